@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets
+from . import bpe, mixing, secrets, tokenfile
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
     "op4_secrets": secrets.op4_secrets,
     "op7_mix": mixing.op7_mix,
+    "op8_tokenfile": tokenfile.op8_tokenfile,
 }
 ORACLES = {"op4_secrets": secrets.OP4_SQL, "op7_mix": mixing.OP7_SQL}
