@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, secrets, tokenfile
+from . import bpe, mixing, quality, secrets, tokenfile
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op3_quality": quality.op3_quality,
     "op4_secrets": secrets.op4_secrets,
     "op7_mix": mixing.op7_mix,
     "op8_tokenfile": tokenfile.op8_tokenfile,
