@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality, secrets, tokenfile
+from . import bpe, jaccard, mixing, quality, secrets, tokenfile
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -10,5 +10,6 @@ QUERIES = {
     "op4_secrets": secrets.op4_secrets,
     "op7_mix": mixing.op7_mix,
     "op8_tokenfile": tokenfile.op8_tokenfile,
+    "op9_jaccard": jaccard.op9_jaccard,
 }
 ORACLES = {"op4_secrets": secrets.OP4_SQL, "op7_mix": mixing.OP7_SQL}

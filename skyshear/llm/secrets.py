@@ -108,7 +108,7 @@ def written(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, digest and spans of the secrets in each document; the ledger starts empty."""
     docs = table(spark, sf_dir, "documents")
-    ledger = stored(scan(docs).filter(F.size("spans") > 0), "secret-ledger")
+    ledger = stored(scan(docs), "secret-ledger")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return findings_by_path(docs, ledger).select(
         "doc_id", *[count(k) for k in BASE], F.sha2(written(F.col("spans"), BASE), 256).alias("base_sha256"), written(F.col("spans")).alias("spans")
@@ -118,7 +118,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_secrets(docs: DataFrame, *, name: str = "secret") -> DataFrame:
     """``docs`` with each found span replaced by its kind in angle brackets; rows and columns stay."""
     columns = docs.columns
-    ledger = stored(scan(docs).filter(F.size("spans") > 0), f"{name}-ledger")
+    ledger = stored(scan(docs), f"{name}-ledger")
     found = findings_by_path(docs, ledger, keep=tuple(columns))
     text = F.col("text")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
