@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, mixing, quality, secrets, tokenfile
+from . import bpe, jaccard, mixing, quality, secrets, tokenfile, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_quality": quality.op3_quality,
     "op4_secrets": secrets.op4_secrets,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_mix": mixing.op7_mix,
     "op8_tokenfile": tokenfile.op8_tokenfile,
     "op9_jaccard": jaccard.op9_jaccard,
