@@ -33,8 +33,8 @@ WINDOW = 32
 LEAST, USUAL, MOST = 128, 512, 2048
 #: At most so many chunks are in the corpus dictionary: under SHARED * MOST * 4 bytes of ids, 2 bytes a token as a rule.
 SHARED = 16_384
-#: Entries of a worker's caches of words and chunks; a full cache starts anew.
-WORDS, CHUNKS = 1_000_000, 60_000
+#: Entries of each of a worker's caches of words, and of its cache of chunks, which starts anew when it is full.
+WORDS, CHUNKS = 1_500_000, 60_000
 #: White space, of one character, before a space: no place to cut the text.
 UNSAFE = re.compile(rb"(?:[\x09-\x0d\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80) ")
 
@@ -46,6 +46,23 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: Words that are encoded as one text.
+JOINED = 500
+
+
+class Cache(dict):
+    """Ids of words: WORDS of them at most, and ``over`` for what comes after."""
+
+    def __init__(self) -> None:
+        self.over: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.over[word]
+
+    def put(self, word: bytes, ids: bytes) -> None:
+        (self if len(self) < WORDS else self.over)[word] = ids
+
+
 class Codec:
     """Encodes and decodes bytes of UTF-8 as the tokenizers library does its text."""
 
@@ -54,19 +71,20 @@ class Codec:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.first: dict[bytes, bytes] = {}
-        self.spaced: dict[bytes, bytes] = {}
-        self._bytes: list[bytes] | None = None
+        if hasattr(self.tokenizer.model, "_resize_cache"):  # words come once; a cache inside would only be filled
+            self.tokenizer.model._resize_cache(0)
+        self.bytes = token_bytes(self.tokenizer)
+        self.lengths = np.array([len(x) for x in self.bytes], dtype=np.int64)
+        self.first, self.spaced = Cache(), Cache()
 
     def whole(self, text: bytes) -> bytes:
         ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
     def warm(self, texts: list[bytes]) -> None:
-        """Encodes the words of ``texts`` that the cache lacks, all at once."""
-        if len(self.spaced) > WORDS:
-            self.spaced.clear()
-            self.first.clear()
+        """Encodes the words of ``texts`` that the caches lack, all at once. A full cache stays; what it has no room for is kept until the next call."""
+        self.spaced.over.clear()
+        self.first.over.clear()
         new: set[bytes] = set()
         heads: set[bytes] = set()
         for text in texts:
@@ -74,11 +92,28 @@ class Codec:
                 words = text.split(b" ")
                 heads.add(words[0])
                 new.update(words[1:])
-        for cache, missing, space in ((self.spaced, new.difference(self.spaced), " "), (self.first, heads.difference(self.first), "")):
-            short = list(missing)
-            found = self.tokenizer.encode_batch_fast([space + w.decode("utf-8", "replace") for w in short], add_special_tokens=False)
-            for word, encoding in zip(short, found, strict=True):
-                cache[word] = np.array(encoding.ids, dtype="<u4").tobytes()
+        missing = list(new.difference(self.spaced))
+        for at in range(0, len(missing), JOINED):
+            self.words(missing[at : at + JOINED])
+        for word in heads.difference(self.first):
+            self.first.put(word, self.whole(word))
+
+    def words(self, words: list[bytes]) -> None:
+        """Encodes words after a space, joined to one text where that can't change them, and divides the ids by their bytes."""
+        joined = b" " + b" ".join(words)
+        if not UNSAFE.search(joined + b" "):
+            ids = np.array(self.tokenizer.encode(joined.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4")
+            lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+            reached, wanted = np.cumsum(self.lengths[ids]), np.cumsum(lengths)
+            ends = np.searchsorted(reached, wanted)
+            if reached[-1] == wanted[-1] and (reached[ends] == wanted).all():
+                raw, start = ids.tobytes(), 0
+                for word, end in zip(words, (4 * ends + 4).tolist(), strict=True):
+                    self.spaced.put(word, raw[start:end])
+                    start = end
+                return
+        for word in words:
+            self.spaced.put(word, self.whole(b" " + word))
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; exact, since words split where the pre-tokenizer must."""
@@ -93,10 +128,8 @@ class Codec:
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the decoded text, special tokens included."""
-        if self._bytes is None:
-            self._bytes = token_bytes(self.tokenizer)
         numbers = np.frombuffer(ids, dtype="<u4").tolist()
-        out = b"".join(map(self._bytes.__getitem__, numbers))
+        out = b"".join(map(self.bytes.__getitem__, numbers))
         try:
             out.decode("utf-8")
             return out
