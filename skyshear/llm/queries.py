@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, classifier, jaccard, mixing, quality, secrets, tokenfile, toxicity
+from . import bpe, classifier, jaccard, mixing, neighbours, quality, secrets, tokenfile, toxicity
 
 QUERIES = {
     "op10_quality_pu": classifier.op10_quality_pu,
     "op1_bpe": bpe.op1_bpe,
+    "op2_neighbours": neighbours.op2_neighbours,
     "op3_quality": quality.op3_quality,
     "op4_secrets": secrets.op4_secrets,
     "op5_toxicity": toxicity.op5_toxicity,
