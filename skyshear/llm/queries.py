@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, classifier, jaccard, mixing, neighbours, quality, secrets, tokenfile, toxicity
+from . import bpe, classifier, jaccard, mixing, neighbours, pages, quality, secrets, tokenfile, toxicity
 
 QUERIES = {
     "op10_quality_pu": classifier.op10_quality_pu,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_secrets": secrets.op4_secrets,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_pages": pages.op6_pages,
     "op7_mix": mixing.op7_mix,
     "op8_tokenfile": tokenfile.op8_tokenfile,
     "op9_jaccard": jaccard.op9_jaccard,
