@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from skyshear.plans import scan_queries
+
 FLAGSHIP = "dual_doppler_cells"
-QUERIES: dict = {}
-ORACLES: dict = {}
+_MODULES = (scan_queries,)
+QUERIES: dict = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
+ORACLES: dict = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
