@@ -13,10 +13,13 @@ def pair_streams(first: DataFrame, second: DataFrame, minutes: int = 2, late: st
     arrive can match it. Emits all pairs; the greedy choice is a batch step, since
     a nearer volume may still come.
     """
+    bucket = lambda c: F.floor(F.unix_timestamp(c) / (60 * minutes))
     a = first.withWatermark("ts", late).select(*[F.col(c).alias(f"{c}_1") for c in first.columns])
-    b = second.withWatermark("ts", late).select(*[F.col(c).alias(f"{c}_2") for c in second.columns])
+    a = a.withColumn("_b", F.explode(F.array(*[bucket("ts_1") + d for d in (-1, 0, 1)])))
+    b = second.withWatermark("ts", late).select(*[F.col(c).alias(f"{c}_2") for c in second.columns]).withColumn("_c", bucket("ts_2"))
     reach = F.expr(f"INTERVAL {minutes} MINUTES")
-    return a.join(b, (F.col("ts_2") >= F.col("ts_1") - reach) & (F.col("ts_2") <= F.col("ts_1") + reach))
+    near = (F.col("_b") == F.col("_c")) & (F.col("ts_2") >= F.col("ts_1") - reach) & (F.col("ts_2") <= F.col("ts_1") + reach)
+    return a.join(b, near).drop("_b", "_c")
 
 
 def scan_rate(scans: DataFrame, window: str = "30 minutes", step: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
