@@ -123,9 +123,12 @@ def repeat(docs: DataFrame, *, name: str = "mix") -> DataFrame:
     number of copies that one of them has. A row without id is taken as often as
     any of these is.
     """
-    copies = mix(docs, name=name).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"])).filter("_copies > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    copies = mix(docs, name=name).groupBy("doc_id").agg(F.max("copies").alias("copies")).filter("copies > 0")
+    # columns travel packed, so none can clash with those of the mix
+    packed = docs.select(F.col("doc_id").alias("of"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = packed.join(copies, packed["of"].eqNullSafe(copies["doc_id"]))
+    each = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return each.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 OP7_SQL = rf"""

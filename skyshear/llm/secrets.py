@@ -116,11 +116,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_secrets(docs: DataFrame, *, name: str = "secret") -> DataFrame:
-    """``docs`` with each found span replaced by its kind in angle brackets; rows and columns stay."""
-    columns = docs.columns
+    """``docs`` with each found span replaced by its kind in angle brackets; rows and columns stay, n_chars follows the text."""
     ledger = stored(scan(docs), f"{name}-ledger")
-    found = findings_by_path(docs, ledger, keep=tuple(columns))
-    text = F.col("text")
+    # columns travel packed, so none can clash with those of the ledger
+    packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = findings_by_path(packed, ledger, keep=("row",))
+    text = F.col("row")["text"]
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -129,7 +130,10 @@ def without_secrets(docs: DataFrame, *, name: str = "secret") -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
     masked = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
-    return found.withColumn("text", F.when(F.size("spans") > 0, masked).otherwise(text)).select(*columns)
+    hit = F.size("spans") > 0
+    done = found.withColumn("masked", F.when(hit, masked).otherwise(text))
+    new = {"text": F.col("masked"), "n_chars": F.when(hit, F.char_length("masked")).otherwise(F.col("row")["n_chars"]) if "n_chars" in docs.columns else None}
+    return done.select(*[(new[f.name].cast(f.dataType) if f.name in new else F.col("row")[f.name]).alias(f.name) for f in docs.schema.fields])
 
 
 def _sql_spans(order: int, kind: str, pattern: str, group: int, least: int) -> str:

@@ -177,7 +177,7 @@ def extreme_law(hist: dict[float, int], best: list[tuple[int, float]]) -> tuple[
     rate = high
     # the mean of lambda * best - ln(K n) is Euler's number in clean text
     gaps = [rate * b - np.log(max(words, 1)) for words, b in best]
-    return rate, float(np.exp(np.clip(np.mean(gaps) - EULER, -20, 20))) if gaps else 1.0
+    return rate, float(np.exp(np.clip(np.mean(gaps) - EULER, -20, 20))) if gaps else 0.1
 
 
 def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Model:
@@ -204,6 +204,9 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Model:
             for s in r.ups:
                 hist[round(s, 2)] = hist.get(round(s, 2), 0) + 1
             hist[DRIFT] = hist.get(DRIFT, 0) + r.n - len(r.ups)
+    if model.odds:  # one word more than was seen, so that a sample of clean text without any has a law too
+        usual = round(float(np.mean(list(model.odds.values()))), 2)
+        hist[usual] = hist.get(usual, 0) + 1
     model.rate, model.scale = extreme_law(hist, [(r.n, max(r.sums)) for r in seen if r.label == 0 and r.sums])
     x, y = np.array([model.evidence(r.n, r.sums) for r in seen]).reshape(-1, 2), np.array([r.label for r in seen])
     if 0 < y.sum() < len(y):
