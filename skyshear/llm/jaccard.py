@@ -18,8 +18,9 @@ Sets that share a published segment are candidates, and every candidate pair is
 verified on the sets themselves. Equal sets are one class from the start. A
 segment that many classes share is hot: its pairs are never listed. A class with
 few hot segments has, by q, a colder one in common with every partner. Classes
-with many (large groups of near copies) are compared with one pivot a segment,
-round by round, and a segment is done once its classes are one component.
+with many (groups of near copies, texts around a common passage) show their
+rarest shingles instead. Those that meet in one are compared with a pivot, round
+by round, until they are one component; only what is left then is listed in full.
 """
 
 from __future__ import annotations
@@ -42,8 +43,8 @@ WORDS, PERCENT = 5, 80
 HOT = 16
 #: Spare segments q: one for each so many shingles; a class with n // LIMIT hot segments or fewer needs no pivot.
 SPARE, LIMIT = 24, 30
-#: Rounds of pivots before what is left of hot segments is compared in full.
-ROUNDS = 3
+#: Rounds of pivots before what is left of hot classes is compared in full.
+ROUNDS = 2
 #: Entries of a worker's word cache.
 CACHE = 1_000_000
 U64 = np.uint64
@@ -189,20 +190,23 @@ def candidates(keys: DataFrame) -> DataFrame:
     return keys.repartition(F.col("key")).mapInArrow(run, "a long, b long, hot boolean")
 
 
-def same_enough(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The ``pairs`` (a, b) whose sets' similarity is ``percent`` hundredths or more, by the sets themselves."""
-    asked = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    wanted = classes.join(asked, "class", "left_semi").select(F.col("_id").alias("of")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").select("text")
+def sets_by_class(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``class, shingles`` (sorted hashes as bytes) of the ``wanted`` classes, from one text each."""
+    texts = classes.join(wanted, "class", "left_semi").select(F.col("_id").alias("of")).distinct()
+    texts = docs.select("doc_id", "text").join(texts, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").select("text")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in parts(batch, 512):
                 data, _, starts = texts_of(rows.column(0))
                 got = [shingles(bytes(data[a:b])) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([class_of(h) for h in got], pa.int64()), pa.array([h.tobytes() for h in got], pa.binary())], ["class", "shingles"])
 
-    own = stored(texts.mapInArrow(sets, "class long, shingles binary"), "jaccard-sets").dropDuplicates(["class"])
+    return texts.mapInArrow(run, "class long, shingles binary").dropDuplicates(["class"])
+
+
+def same_enough(sets: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The ``pairs`` (a, b) whose sets' similarity is ``percent`` hundredths or more, by the sets themselves."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,8 +218,64 @@ def same_enough(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent:
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    left = pairs.join(own.withColumnRenamed("class", "a").withColumnRenamed("shingles", "x"), "a")
-    return left.join(own.withColumnRenamed("class", "b").withColumnRenamed("shingles", "y"), "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    left = pairs.join(sets.withColumnRenamed("class", "a").withColumnRenamed("shingles", "x"), "a")
+    return left.join(sets.withColumnRenamed("class", "b").withColumnRenamed("shingles", "y"), "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+
+#: Lower edges of the size buckets of prefixes, each a twentieth above the last.
+EDGES = np.unique(np.ceil(1.05 ** np.arange(600, dtype=np.float64)).astype(np.int64))
+
+
+def prefixes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``key, class, smaller``: the rarest shingles of each set, so few that similar sets must share one.
+
+    Two sets of m <= n shingles need c = percent (m + n) / (100 + percent) in
+    common, so the first m - c + 1 and n - c + 1 of them in one order of all
+    shingles meet. The smaller set shows its own for partners of its size or more
+    (``smaller``), the larger one shows its own for each size bucket below it.
+    The order is by how many of ``sets`` hold a shingle, so what many share comes last.
+    """
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in parts(batch, 1024):
+                own = [np.frombuffer(v.as_buffer(), np.int64) for v in rows.column(1)]
+                names = np.repeat(rows.column(0).to_numpy(), [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)), pa.array(names)], ["shingle", "class"])
+
+    def held(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+        got = [[c.to_numpy() for c in b.columns] for b in batches]
+        return [np.concatenate(x) for x in zip(*got, strict=True)] if got else []
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if got := held(batches):
+            _, back, n = np.unique(got[0], return_inverse=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1]), pa.array(n[back].astype(np.int32))], ["shingle", "class", "df"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (got := held(batches)):
+            return
+        shingle, name, df = got
+        shingle = mixed(shingle.view(U64))
+        order = np.lexsort((shingle, df, name))
+        shingle, name = shingle[order], name[order]
+        starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        keys, names, smaller = [], [], []
+        for at, n in zip(starts.tolist(), np.diff(np.concatenate([starts, [len(name)]])).tolist()):
+            own = int(np.searchsorted(EDGES, n, "right")) - 1
+            least = -(-percent * n // 100)
+            show = [(own, n - -(-percent * 2 * n // (100 + percent)) + 1, True)]
+            for bucket in range(int(np.searchsorted(EDGES, least, "right")) - 1, own + 1):
+                m = max(least, int(EDGES[bucket]))
+                show.append((bucket, n - -(-percent * (n + m) // (100 + percent)) + 1, False))
+            for bucket, length, role in show:
+                keys.append(mixed(shingle[at : at + length] ^ mixed(np.full(1, bucket + 1, U64))))
+                names.append(np.full(len(keys[-1]), name[at]))
+                smaller.append(np.full(len(keys[-1]), role))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(smaller))], ["key", "class", "smaller"])
+
+    rows = sets.mapInArrow(flat, "shingle long, class long").repartition(F.col("shingle")).mapInArrow(count, "shingle long, class long, df int")
+    return rows.repartition(F.col("class")).mapInArrow(first, "key long, class long, smaller boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -240,26 +300,27 @@ def components(links: DataFrame) -> DataFrame:
 def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``a, b``: verified links between classes, enough of them to join all that are similar."""
     found = stored(candidates(published(docs)), "jaccard-candidates")
-    links = stored(same_enough(docs, classes, found.filter("NOT hot").select("a", "b").distinct()), "jaccard-links")
-    hot = found.filter("hot").select(F.col("a").alias("class"), F.col("b").alias("key"))
-    many = hot.groupBy("class").agg(F.count("*").alias("h")).join(classes.select("class", "n").dropDuplicates(["class"]), "class").filter(F.col("h") > F.floor(F.col("n") / LIMIT))
-    rows = stored(hot.join(many.select("class"), "class", "left_semi"), "jaccard-hot")
+    pairs = stored(found.filter("NOT hot").select("a", "b").distinct(), "jaccard-pairs")
+    many = found.filter("hot").groupBy(F.col("a").alias("class")).agg(F.count("*").alias("h")).join(classes.select("class", "n"), "class").filter(F.col("h") > F.floor(F.col("n") / LIMIT))
+    many = stored(many.select("class"), "jaccard-hot")
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(many).distinct()
+    sets = stored(sets_by_class(docs, classes, wanted), "jaccard-sets")
+    links = stored(same_enough(sets, pairs), "jaccard-links")
+    rows = stored(prefixes(sets.join(many, "class", "left_semi")), "jaccard-prefixes")
     for turn in range(ROUNDS + 1):
-        if rows.isEmpty():
+        placed = rows.join(components(links), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        pivot = F.min(F.when(F.col("smaller"), F.struct(F.xxhash64("class", F.lit(turn)), "class", "component")))
+        ends = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), pivot.alias("p")).filter("lo < hi AND p IS NOT NULL")
+        placed = stored(placed.join(ends.select("key", F.col("p.class").alias("pivot"), F.col("p.component").alias("pivot_component")), "key"), "jaccard-open")
+        if placed.isEmpty():
             break
-        of = components(links)
-        placed = rows.join(of, "class", "left").withColumn("component", F.coalesce("component", "class"))
-        open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct(F.xxhash64("class", F.lit(turn)), "class", "component")).alias("p")).filter("lo < hi")
         if turn < ROUNDS:
-            pivots = open_keys.select("key", F.col("p.class").alias("pivot"), F.col("p.component").alias("pivot_component"))
-            placed = stored(placed.join(pivots, "key"), "jaccard-pivots")
             pairs = placed.filter("component <> pivot_component").select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
-            rows = placed.filter("class <> pivot").select("class", "key")
+            rows = placed.filter("class <> pivot").select("key", "class", "smaller")
         else:
-            rest = stored(placed.join(open_keys.select("key"), "key", "left_semi"), "jaccard-rest")
-            other = rest.select("key", F.col("class").alias("other"), F.col("component").alias("other_component"))
-            pairs = rest.join(other, "key").filter("class < other AND component <> other_component").select(F.col("class").alias("a"), F.col("other").alias("b")).distinct()
-        links = stored(links.union(same_enough(docs, classes, stored(pairs, "jaccard-pairs"))), "jaccard-links")
+            other = placed.filter("smaller").select("key", F.col("class").alias("other"), F.col("component").alias("other_component"))
+            pairs = placed.filter("NOT smaller").join(other, "key").filter("class <> other AND component <> other_component").select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
+        links = stored(links.union(same_enough(sets, stored(pairs, "jaccard-pairs"))), "jaccard-links")
     return links
 
 
