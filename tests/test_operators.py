@@ -167,3 +167,12 @@ def test_sources(spark, tmp_path):
     assert products.missing_columns(w, ("u", "q")) == ["q"]
     todo = products.still_to_do(spark.createDataFrame([("a", "c1"), ("b", "c1")], "case string, config string"), spark.createDataFrame([("a", "c1", True), ("b", "c1", False)], "case string, config string, finished boolean"), ["case", "config"])
     assert [r.case for r in todo.collect()] == ["b"]
+
+
+@pytest.mark.parametrize("options", [(0, 20, 5, 3, 20), (2, 0, 5, 3, 20), (2, 90, 5, 3, 20), (2, 20, 4, 3, 20), (2, 20, 3, 3, 20), (2, 20, 25, 3, 20)])
+def test_options_are_guarded(options):
+    from skyshear.plans.misc_queries import check_options
+
+    check_options(2, 20, 5, 3, 20)
+    with pytest.raises(ValueError, match="must"):
+        check_options(*options)
