@@ -43,11 +43,6 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rows_of(spark: SparkSession, data: list, schema: str) -> DataFrame:
-    """A small DataFrame from driver values."""
-    return spark.createDataFrame(data, schema)
-
-
 def text_of(column: str = "text") -> F.Column:
     """The text, empty for null."""
     return F.coalesce(F.col(column), F.lit(""))
