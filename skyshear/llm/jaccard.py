@@ -19,8 +19,9 @@ verified on the sets themselves. Equal sets are one class from the start. A
 segment that many classes share is hot: its pairs are never listed. A class with
 few hot segments has, by q, a colder one in common with every partner. Classes
 with many (groups of near copies, texts around a common passage) show their
-rarest shingles instead. Those that meet in one are compared with a pivot, round
-by round, until they are one component; only what is left then is listed in full.
+rarest shingles instead. Those that meet in one are compared with a pivot (the
+class with the fewest shingles of its own, likely the text that others vary),
+round by round, until they are one component; what is left then is listed in full.
 """
 
 from __future__ import annotations
@@ -227,13 +228,14 @@ EDGES = np.unique(np.ceil(1.05 ** np.arange(600, dtype=np.float64)).astype(np.in
 
 
 def prefixes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``key, class, smaller``: the rarest shingles of each set, so few that similar sets must share one.
+    """``key, class, smaller, place``: the rarest shingles of each set, so few that similar sets must share one.
 
     Two sets of m <= n shingles need c = percent (m + n) / (100 + percent) in
     common, so the first m - c + 1 and n - c + 1 of them in one order of all
     shingles meet. The smaller set shows its own for partners of its size or more
     (``smaller``), the larger one shows its own for each size bucket below it.
-    The order is by how many of ``sets`` hold a shingle, so what many share comes last.
+    The order is by how many of ``sets`` hold a shingle, so what many share comes
+    last; ``place`` is how many shingles of the set come before.
     """
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +262,7 @@ def prefixes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         order = np.lexsort((shingle, df, name))
         shingle, name = shingle[order], name[order]
         starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-        keys, names, smaller = [], [], []
+        keys, names, smaller, places = [], [], [], []
         for at, n in zip(starts.tolist(), np.diff(np.concatenate([starts, [len(name)]])).tolist()):
             own = int(np.searchsorted(EDGES, n, "right")) - 1
             least = -(-percent * n // 100)
@@ -272,10 +274,11 @@ def prefixes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
                 keys.append(mixed(shingle[at : at + length] ^ mixed(np.full(1, bucket + 1, U64))))
                 names.append(np.full(len(keys[-1]), name[at]))
                 smaller.append(np.full(len(keys[-1]), role))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(smaller))], ["key", "class", "smaller"])
+                places.append(np.arange(len(keys[-1]), dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(smaller)), pa.array(np.concatenate(places))], ["key", "class", "smaller", "place"])
 
     rows = sets.mapInArrow(flat, "shingle long, class long").repartition(F.col("shingle")).mapInArrow(count, "shingle long, class long, df int")
-    return rows.repartition(F.col("class")).mapInArrow(first, "key long, class long, smaller boolean")
+    return rows.repartition(F.col("class")).mapInArrow(first, "key long, class long, smaller boolean, place int")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -309,14 +312,14 @@ def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     rows = stored(prefixes(sets.join(many, "class", "left_semi")), "jaccard-prefixes")
     for turn in range(ROUNDS + 1):
         placed = rows.join(components(links), "class", "left").withColumn("component", F.coalesce("component", "class"))
-        pivot = F.min(F.when(F.col("smaller"), F.struct(F.xxhash64("class", F.lit(turn)), "class", "component")))
+        pivot = F.min(F.when(F.col("smaller"), F.struct("place", F.xxhash64("class", F.lit(turn)), "class", "component")))
         ends = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), pivot.alias("p")).filter("lo < hi AND p IS NOT NULL")
         placed = stored(placed.join(ends.select("key", F.col("p.class").alias("pivot"), F.col("p.component").alias("pivot_component")), "key"), "jaccard-open")
         if placed.isEmpty():
             break
         if turn < ROUNDS:
             pairs = placed.filter("component <> pivot_component").select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
-            rows = placed.filter("class <> pivot").select("key", "class", "smaller")
+            rows = placed.filter("class <> pivot").select("key", "class", "smaller", "place")
         else:
             other = placed.filter("smaller").select("key", F.col("class").alias("other"), F.col("component").alias("other_component"))
             pairs = placed.filter("NOT smaller").join(other, "key").filter("class <> other AND component <> other_component").select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
