@@ -46,8 +46,9 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-#: Words that are encoded as one text.
-JOINED = 500
+def open_ended(word: bytes) -> bool:
+    """Whether a word is empty or ends in white space, so that a space after it is no place to cut."""
+    return not word or word[-1] <= 0x20 or word[-1] >= 0x80 and word.decode("utf-8", "replace")[-1].isspace()
 
 
 class Cache(dict):
@@ -63,6 +64,10 @@ class Cache(dict):
         (self if len(self) < WORDS else self.over)[word] = ids
 
 
+#: Words that are encoded as one text.
+JOINED = 500
+
+
 class Codec:
     """Encodes and decodes bytes of UTF-8 as the tokenizers library does its text."""
 
@@ -81,22 +86,44 @@ class Codec:
         ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def warm(self, texts: list[bytes]) -> None:
-        """Encodes the words of ``texts`` that the caches lack, all at once. A full cache stays; what it has no room for is kept until the next call."""
+    def encode_many(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; exact, since words split where the pre-tokenizer must.
+
+        Words that the caches lack are encoded all at once. A full cache stays;
+        what it has no room for is kept until the next call.
+        """
         self.spaced.over.clear()
         self.first.over.clear()
-        new: set[bytes] = set()
-        heads: set[bytes] = set()
+        look, head = self.spaced.get, self.first.get
+        held, new = [], set()
         for text in texts:
-            if not UNSAFE.search(text):
-                words = text.split(b" ")
-                heads.add(words[0])
-                new.update(words[1:])
-        missing = list(new.difference(self.spaced))
+            words = text.split(b" ")
+            got = list(map(look, words))
+            got[0] = head(words[0])
+            if None in got:
+                new.update([w for w, g in zip(words, got, strict=True) if g is None][got[0] is None :])
+            held.append((words, got))
+        odd = {w for w in new if open_ended(w)}
+        missing = list(new - odd)
         for at in range(0, len(missing), JOINED):
             self.words(missing[at : at + JOINED])
-        for word in heads.difference(self.first):
-            self.first.put(word, self.whole(word))
+        out = []
+        for text, (words, got) in zip(texts, held, strict=True):
+            if None not in got:
+                out.append(b"".join(got))
+            elif len(words) > 1 and words[0] and open_ended(words[0]) or odd and not odd.isdisjoint(words[1:-1]):
+                out.append(self.whole(text))
+            else:
+                if got[0] is None:
+                    got[0] = head(words[0])
+                    if got[0] is None:
+                        got[0] = self.whole(words[0])
+                        self.first.put(words[0], got[0])
+                for i, g in enumerate(got):
+                    if g is None:
+                        got[i] = self.whole(b" " + words[i]) if words[i] in odd else self.spaced[words[i]]
+                out.append(b"".join(got))
+        return out
 
     def words(self, words: list[bytes]) -> None:
         """Encodes words after a space, joined to one text where that can't change them, and divides the ids by their bytes."""
@@ -116,15 +143,7 @@ class Codec:
             self.spaced.put(word, self.whole(b" " + word))
 
     def encode(self, text: bytes) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers; exact, since words split where the pre-tokenizer must."""
-        if UNSAFE.search(text):
-            return self.whole(text)
-        head, *words = text.split(b" ")
-        try:
-            return self.first[head] + b"".join(map(self.spaced.__getitem__, words))
-        except KeyError:
-            self.warm([text])
-            return self.first[head] + b"".join(map(self.spaced.__getitem__, words))
+        return self.encode_many([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the decoded text, special tokens included."""
@@ -267,7 +286,7 @@ def shared_chunks(docs: DataFrame, path: str, most: int = SHARED) -> dict[bytes,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            ids = [own.encode(b) for b in batch.column(1).to_pylist()]
+            ids = own.encode_many(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["chunk", "ids"])
 
     if not wanted.value:
@@ -293,13 +312,13 @@ def encode_part(part: pa.Array, own: Codec, known: dict[bytes, bytes], cache: di
                     new[key] = body
         plan.append((bytes(data[open_at : cuts[-1]]), None))
         plans.append(plan)
-    own.warm([*new.values(), *(window for plan in plans for window, _ in plan)])
-    fresh = {key: own.encode(body) for key, body in new.items()}
+    encoded = iter(own.encode_many([*new.values(), *(window for plan in plans for window, _ in plan)]))
+    fresh = {key: next(encoded) for key in new}
     out = []
     for plan in plans:
         ids = []
-        for window, key in plan:
-            ids.append(own.encode(window))
+        for _, key in plan:
+            ids.append(next(encoded))
             if key is not None:
                 ids.append(known.get(key) or fresh.get(key) or cache[key])
         out.append(b"".join(ids))

@@ -57,8 +57,7 @@ def write_tokens(docs: DataFrame, to: str, path: str | None = None, *, end: int
             for rows in parts(batch, 512):
                 data, _, starts = texts_of(rows.column(1))
                 texts = [bytes(data[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-                own.warm(texts)
-                ids = [own.encode(t) + tail for t in texts]
+                ids = [x + tail for x in own.encode_many(texts)]
                 counts = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 ends = np.cumsum(counts)
                 offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
