@@ -5,10 +5,11 @@ inside the main container (article or main), in a part that its markup names as
 no text of the article (menu, header, footer, sidebar, notice, advert, form,
 comments), or elsewhere. Pages are ordered by host and URL path, and each is
 aligned with its neighbours on the same host by the longest common subsequence
-of their lines. Shared lines are the site's frame and go. Two guards keep the
-article whole: what stands in the main container is never frame, however many
-pages repeat it, and a neighbour that shares nearly all its lines is a copy that
-says nothing about the frame.
+of their lines. Shared lines are the site's frame and go; unshared ones stay, in
+the main container or not, unless their markup names them as no text. Two guards
+keep the article whole: in a container with lines of its own, shared lines are
+quotations and stay, and a neighbour that shares nearly all its lines is a copy
+that says nothing about the frame.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ WHITE = re.compile(r"[\s\x00]+")
 @dataclass
 class Line:
     text: str
-    main: bool
+    main: int  # number of the outermost main container around it, 0 outside
     frame: bool
 
 
@@ -64,6 +65,7 @@ class Blocks(HTMLParser):
         self.open: list[tuple[str, bool, bool]] = []
         self.held: list[str] = []
         self.mains = 0
+        self.boxes = 0
         self.frames = 0
         self.skip: str | None = None
         self.depth = 0
@@ -73,7 +75,7 @@ class Blocks(HTMLParser):
             text = WHITE.sub(" ", entities.unescape("".join(self.held).replace(MARK, "&"))).strip()
             self.held = []
             if text:
-                self.lines.append(Line(text, self.mains > 0, self.frames > 0))
+                self.lines.append(Line(text, self.boxes if self.mains else 0, self.frames > 0))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.skip:
@@ -97,6 +99,7 @@ class Blocks(HTMLParser):
         main = (tag in MAIN or any(k == "role" and v == "main" for k, v in attrs)) and not frame
         if tag in BLOCKS or frame or main:
             self.open.append((tag, main, frame))
+            self.boxes += main and not inside
             self.mains += main
             self.frames += frame
 
@@ -180,7 +183,11 @@ def shared(a: list[str], b: list[str]) -> set[int]:
 
 
 def difference(page: list[Line], others: list[list[Line]]) -> list[Line]:
-    """The lines of ``page`` that aren't frame: named so by markup, or shared with a neighbour and outside the main container."""
+    """The lines of ``page`` that aren't frame: named so by markup, or shared with a neighbour.
+
+    Shared lines stay where their main container has lines of its own, or where
+    the page has none anywhere; a container that is shared whole is a teaser.
+    """
     own = [x.text for x in page]
     frame: set[int] = set()
     for other in others:
@@ -188,8 +195,11 @@ def difference(page: list[Line], others: list[list[Line]]) -> list[Line]:
         both = shared(own, theirs)
         if len(both) < COPY * max(len(own), len(theirs)):
             frame |= both
-    has_main = any(x.main and not x.frame for x in page)
-    return [x for i, x in enumerate(page) if not x.frame and (x.main or not has_main and i not in frame)]
+    text = [(i, x) for i, x in enumerate(page) if not x.frame]
+    kept = {x.main for i, x in text if x.main and i not in frame}
+    if not kept and all(i in frame for i, _ in text):
+        kept = {x.main for _, x in text if x.main}
+    return [x for i, x in text if i not in frame or x.main in kept]
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -301,6 +301,16 @@ def test_main_text(spark):
     assert got == {1: "Head &amp; line\nOne two three\nFour", 2: "Own text", 3: "Other text\nMore", 4: "", 5: "", 6: "plain <b> text"}
 
 
+def test_shared_lines_decide_in_and_out_of_containers():
+    text = lambda page, other: [x.text for x in pages.difference(pages.lines_of(page), [pages.lines_of(other)])]
+    frame = "<p>Welcome</p>{}<p>Imprint</p><nav>menu</nav>"
+    cards = "<article>Card one</article><article>Card two</article>"
+    a, b = (frame.format(f"<div>Lead {n}</div><article><p>Quoted</p><p>Text {n}</p><p>More {n}</p></article>") for n in "ab")
+    assert text(a, b) == ["Lead a", "Quoted", "Text a", "More a"]
+    a, b = (frame.format(f"{cards}<div>Text {n}</div><div>More {n}</div>") for n in "ab")
+    assert text(a, b) == ["Text a", "More a"]
+
+
 def test_pipeline_runs_all_stages(spark, docs):
     import corpus_pipeline
 
