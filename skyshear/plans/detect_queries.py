@@ -58,10 +58,10 @@ def _neighbourhood(s, d):  # noqa: ANN001, ANN202
 
 def _polar(s, d):  # noqa: ANN001, ANN202
     """Gates of radar 1 around each feature: same sweep, 1.5 degrees and 2 gates at most."""
-    f = view(s, d, "features").filter("id < 300").select("id", (F.col("id") * 7 % 360).alias("az"), (F.col("id") * 3 % 100).alias("g"), (F.col("id") % 6).cast("int").alias("sweep"))
-    gates = view(s, d, "gates").filter("radar = 1")
-    off = F.abs(F.pmod(F.col("ray") - F.col("az") + 180, F.lit(360)) - 180)
-    near = F.broadcast(f).join(gates, "sweep").filter((off <= 1) & (F.abs(F.col("gate") - F.col("g")) <= 2))
+    off = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(g).alias("g")) for a in (-1, 0, 1) for g in range(-2, 3)]))
+    f = view(s, d, "features").withColumn("o", off)
+    f = f.select("id", F.pmod(F.col("id") * 7 + F.col("o.a"), F.lit(360)).cast("int").alias("ray"), (F.col("id") * 3 % 100 + F.col("o.g")).cast("int").alias("gate"), (F.col("id") % 6).cast("int").alias("sweep"))
+    near = f.join(view(s, d, "gates").filter("radar = 1"), ["sweep", "ray", "gate"])
     return near.groupBy("id").agg(F.count("*").alias("gates"), F.count_if(F.abs("vr") <= 20).alias("passed"))
 
 

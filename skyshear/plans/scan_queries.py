@@ -36,7 +36,7 @@ def _resolve(spark, sf):  # noqa: ANN001, ANN202
 
 
 def _domains(spark, sf):  # noqa: ANN001, ANN202
-    d = view(spark, sf, "features").filter("id < 40")
+    d = view(spark, sf, "features")
     return scan.dem_tiles(d.select("id", (F.col("fx") / 2e4 + 35).alias("lat_min"), (F.col("fx") / 2e4 + 36.5).alias("lat_max"), (F.col("fy") / 2e4 + 117).alias("lon_min"), (F.col("fy") / 2e4 + 118.2).alias("lon_max")))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skyshear.functions.geo import rounded as R  # noqa: N812
 from skyshear.model import ANGLE_EDGES, DX, DY, RANGE_EDGES
 from skyshear.operators import aggregate, stencil, wind
+from skyshear.operators.grid import near_join
 from skyshear.plans.views import oracle, view
 from skyshear.plans.wind_queries import _SYN, _VW
 
@@ -39,24 +40,23 @@ def _pairs(s, d):  # noqa: ANN001, ANN202
 def _circulation(s, d):  # noqa: ANN001, ANN202
     """Vorticity summed around each feature, and how much of its circle is observed."""
     z = stencil.divergence_vorticity(view(s, d, "wind"), DX, DY).filter("k = 2").select("x", "y", R(F.col("vorticity") * 1e4).alias("zeta"))
-    f = view(s, d, "features").filter("id < 200").select("id", "fx", "fy")
-    near = F.broadcast(f).join(z, (F.col("x") - F.col("fx")) ** 2 + (F.col("y") - F.col("fy")) ** 2 <= 15_000.0**2)
+    near = near_join(view(s, d, "features").select("id", "fx", "fy"), z, ("fx", "fy"), ("x", "y"), 15_000.0)
     area = DX * DY / 1e8
     return near.groupBy("id").agg(R(F.sum(F.col("zeta") * area), 4).alias("circulation"), R(F.sum(F.greatest(F.col("zeta"), F.lit(0.0)) * area), 4).alias("cyclonic"), R(F.avg(F.col("zeta").isNotNull().cast("double"))).alias("coverage"))
 
 
 def _storm(s, d):  # noqa: ANN001, ANN202
     """Mean wind of the box around each feature (half-open, as slices are) below 6 km."""
-    w, f = view(s, d, "wind"), view(s, d, "features").filter("id < 200")
-    near = F.broadcast(f).join(w, (F.col("x") >= F.col("fx") - 20_000) & (F.col("x") < F.col("fx") + 20_000) & (F.col("y") >= F.col("fy") - 20_000) & (F.col("y") < F.col("fy") + 20_000) & (F.col("z") < 6000))
+    box = (F.col("x") >= F.col("fx") - 20_000) & (F.col("x") < F.col("fx") + 20_000) & (F.col("y") >= F.col("fy") - 20_000) & (F.col("y") < F.col("fy") + 20_000)
+    near = near_join(view(s, d, "features").select("id", "fx", "fy"), view(s, d, "wind").filter("z < 6000"), ("fx", "fy"), ("x", "y"), 30_000.0).filter(box)
     return near.groupBy("id").agg(R(F.avg("u"), 5).alias("u"), R(F.avg("v"), 5).alias("v"), F.count("u").alias("n"))
 
 
 def _tangential(s, d):  # noqa: ANN001, ANN202
     """Share of cells around a feature whose wind, relative to its storm's, turns counterclockwise."""
-    w, f = view(s, d, "wind").filter("k = 1"), view(s, d, "features").filter("id < 200").join(_storm(s, d).select("id", F.col("u").alias("su"), F.col("v").alias("sv")), "id")
+    w, f = view(s, d, "wind").filter("k = 1"), view(s, d, "features").join(_storm(s, d).select("id", F.col("u").alias("su"), F.col("v").alias("sv")), "id")
     dx, dy = F.col("x") - F.col("fx"), F.col("y") - F.col("fy")
-    near = F.broadcast(f).join(w, (F.abs(dx) <= 10_000) & (F.abs(dy) <= 10_000))
+    near = near_join(f, w, ("fx", "fy"), ("x", "y"), 15_000.0).filter((F.abs(dx) <= 10_000) & (F.abs(dy) <= 10_000))
     t = R((F.col("v") - F.col("sv")) * dx - (F.col("u") - F.col("su")) * dy, 3)
     g = near.filter((dx * dx + dy * dy > 300.0**2) & F.col("valid")).groupBy("id").agg(R(F.avg((t > 0).cast("double")), 5).alias("ratio"), F.count("*").alias("n"))
     return g.withColumn("rotates", F.col("ratio") >= 0.4)

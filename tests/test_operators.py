@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from skyshear.functions import geo
 from skyshear.operators import grid, kernels, match, stencil, wind
-from skyshear.plans import detect_queries, wind_queries
+from skyshear.plans import detect_queries, registry, wind_queries
+from tests.conftest import SF
 
 
 def test_projection_signs(spark):
@@ -176,3 +177,13 @@ def test_options_are_guarded(options):
     check_options(2, 20, 5, 3, 20)
     with pytest.raises(ValueError, match="must"):
         check_options(*options)
+
+
+@pytest.mark.parametrize("name", ["circulation", "storm_mean_wind", "tangential_ratio", "dem_tiles", "feature_polar_support"])
+def test_features_of_any_id_have_rows(spark, tmp_path, name):
+    far = 37 * 29 * 1800  # features so far apart stand in one place, in coordinates and in azimuth and gate
+    spark.read.parquet(f"{SF}/lineitem.parquet").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(i + n, "s", 1, 1.0) for i in range(1, 11) for n in (0, far)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    rows = [r.asDict() for r in registry.QUERIES[name](spark, str(tmp_path)).collect()]
+    of = lambda n: sorted(str({**r, "id": r["id"] - n}) for r in rows if 0 < r["id"] - n < 11)
+    assert of(0) and of(0) == of(far)
