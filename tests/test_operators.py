@@ -187,3 +187,19 @@ def test_features_of_any_id_have_rows(spark, tmp_path, name):
     rows = [r.asDict() for r in registry.QUERIES[name](spark, str(tmp_path)).collect()]
     of = lambda n: sorted(str({**r, "id": r["id"] - n}) for r in rows if 0 < r["id"] - n < 11)
     assert of(0) and of(0) == of(far)
+
+
+def test_tensor_queries_take_all_rows_and_columns(spark, tmp_path):
+    x = np.random.default_rng(7).normal(size=(60, 64)).astype("float32")
+    rows = {}
+    for first in (0, 200):
+        d = str(tmp_path / str(first))
+        spark.createDataFrame([(first + i, v.tolist(), i % 10) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").write.parquet(f"{d}/embeddings.parquet")
+        rows[first] = [sorted(map(repr, registry.QUERIES[name](spark, d).collect())) for name in ("st_hosvd", "masked_st_hosvd")]
+    assert all(rows[0]) and rows[0] == rows[200]
+    got = sorted((r.n, r.singular) for r in registry.QUERIES["mode_spectrum"](spark, d).collect())
+    want = np.zeros(64)
+    want[:60] = np.linalg.svd(x.astype(float), compute_uv=False)
+    assert [n for n, _ in got] == list(range(1, 65)) and [v for _, v in got] == pytest.approx(want, abs=1e-3)
+    share = (want**2).cumsum() / (want**2).sum()
+    assert registry.QUERIES["spectral_ranks"](spark, d).first().rank_99 == int((share < 0.99).sum()) + 1
