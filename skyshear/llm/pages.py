@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -33,10 +34,16 @@ DROPPED = frozenset("script style noscript template svg math iframe object canva
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements of a head; any other start tag ends one whose end tag is left out.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript object script style template title".split())
+#: Dropped elements in which the end of a parent says nothing.
+SEALED = frozenset("template textarea title iframe".split())
 #: Elements that never have an end.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are the article's own.
 MAIN = frozenset(("article", "main"))
+#: Elements that class, id or role never make frame.
+WHOLE = MAIN | {"html", "body"}
 #: Elements and words of class, id or role that name what isn't the article.
 FRAME = frozenset("nav aside footer form menu dialog search".split())
 FRAME_WORDS = re.compile(
@@ -59,16 +66,20 @@ class Line:
 class Blocks(HTMLParser):
     """The lines of a page, in order, from markup however broken."""
 
-    def __init__(self) -> None:
+    def __init__(self, page: str = "") -> None:
         super().__init__(convert_charrefs=False)
+        self.page = page
+        self.lowered: str | None = None
+        self.ends: dict[str, tuple[int, int]] = {}
+        self.inline: Counter[str] = Counter()
         self.lines: list[Line] = []
         self.open: list[tuple[str, bool, bool]] = []
         self.held: list[str] = []
         self.mains = 0
         self.boxes = 0
         self.frames = 0
-        self.skip: str | None = None
-        self.depth = 0
+        self.skip: list[str] = []
+        self.drops: list[tuple[int, bool]] = []  # place in skip of each dropped element, and whether it has an end
 
     def flush(self) -> None:
         if self.held:
@@ -77,13 +88,42 @@ class Blocks(HTMLParser):
             if text:
                 self.lines.append(Line(text, self.boxes if self.mains else 0, self.frames > 0))
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self.skip:
-            self.depth += tag == self.skip
-            return
+    def ended(self, tag: str) -> bool:
+        """Whether an end tag of ``tag`` follows anywhere."""
+        if tag not in self.ends:
+            self.lowered = self.page.lower() if self.lowered is None else self.lowered
+            at = self.lowered.rfind("</" + tag)
+            self.ends[tag] = (1 + self.lowered.count("\n", 0, at), at - self.lowered.rfind("\n", 0, at) - 1) if at >= 0 else (0, 0)
+        return self.ends[tag] > self.getpos()
+
+    def broken(self, tag: str) -> bool:
+        """Whether ``tag`` starts what can't be in the innermost dropped element, so that ends there."""
+        at, closed = self.drops[-1]
+        outer = self.skip[at]
+        if outer == "head":
+            return tag not in HEAD and tag != "head"
+        if tag == "body":
+            return outer not in SEALED or not closed
+        if tag not in BLOCKS:
+            return False
+        return not closed or outer in ("svg", "math") and not {"foreignobject", "desc", "annotation-xml"} & set(self.skip[at:])
+
+    def drop(self, tag: str) -> None:
         if tag in DROPPED:
+            self.drops.append((len(self.skip), self.ended(tag)))
+        self.skip.append(tag)
+
+    def undrop(self, at: int) -> None:
+        del self.skip[at:]
+        while self.drops and self.drops[-1][0] >= at:
+            self.drops.pop()
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        while self.skip and self.broken(tag):
+            self.undrop(self.drops[-1][0])
+        if self.skip or tag in DROPPED:
             if tag not in VOID:
-                self.skip, self.depth = tag, 1
+                self.drop(tag)
             return
         if tag in BLOCKS:
             self.flush()
@@ -95,8 +135,11 @@ class Blocks(HTMLParser):
             self.close(len(self.open) - 1)
         named = " ".join(v.lower() for k, v in attrs if k in ("class", "id", "role") and v)
         inside = self.mains > 0
-        frame = tag in FRAME or tag == "header" and not inside or bool(named and FRAME_WORDS.search(named))
-        main = (tag in MAIN or any(k == "role" and v == "main" for k, v in attrs)) and not frame
+        main = tag in MAIN or any(k == "role" and v == "main" for k, v in attrs)
+        frame = tag in FRAME or tag == "header" and not inside or bool(named and not main and tag not in WHOLE and FRAME_WORDS.search(named))
+        main = main and not frame
+        if tag not in BLOCKS:
+            self.inline[tag] += 1
         if tag in BLOCKS or frame or main:
             self.open.append((tag, main, frame))
             self.boxes += main and not inside
@@ -111,10 +154,14 @@ class Blocks(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if self.skip:
-            self.depth -= tag == self.skip
-            if not self.depth:
-                self.skip = None
-            return
+            if tag in self.skip:
+                self.undrop(len(self.skip) - 1 - self.skip[::-1].index(tag))
+                return
+            at, closed = self.drops[-1]
+            if self.skip[at] in SEALED and closed or not self.inline[tag] and all(tag != x for x, _, _ in self.open):
+                return
+            self.undrop(0)
+        self.inline[tag] -= self.inline[tag] > 0
         if tag in BLOCKS:
             self.flush()
         for at in range(len(self.open) - 1, -1, -1):
@@ -123,6 +170,8 @@ class Blocks(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
+        if self.skip == ["head"] and data.strip():
+            self.undrop(0)
         if not self.skip:
             self.held.append(data)
 
@@ -134,8 +183,9 @@ class Blocks(HTMLParser):
 
 def lines_of(page: str | None) -> list[Line]:
     """The lines of a page; null has none. An ampersand passes the parser as MARK, so references are decoded once, in whole blocks."""
-    parser = Blocks()
-    parser.feed((page or "").replace("&", MARK))
+    marked = (page or "").replace("&", MARK)
+    parser = Blocks(marked)
+    parser.feed(marked)
     parser.close_input()
     return parser.lines
 

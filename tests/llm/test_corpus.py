@@ -311,6 +311,19 @@ def test_shared_lines_decide_in_and_out_of_containers():
     assert text(a, b) == ["Text a", "More a"]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>x</title><body><article><p>text</article>", "<html><head><title>x</title><p>text", "<html><head><title>x</title>text", "<head><noscript><img src=a></noscript><title>x</title></head><p>text",
+        "<div><svg><path></div><article>text</article>", "<body><svg><path><article>text</article>", "<body><noscript><img src=a><main>text</main>", "<p><a><button>go</a>text</p>",
+        "<ul><li><select><option>a</ul><main>text</main><select></select>", "<div><canvas>old</div><p>text</p><canvas></canvas>", "<svg><foreignObject><p>no</p></foreignObject></svg><p>text", "<div><template><p>no</p></div>no</template>text</div>",
+        "<body class='has-sidebar'><main class='with-sidebar'><article class='post no-header'>text</article></main>", "<div role=main class='no-sidebar'>text</div>",
+    ],
+)
+def test_open_elements_and_class_words_keep_the_article(page):
+    assert [x.text for x in pages.lines_of(page) if not x.frame] == ["text"]
+
+
 def test_pipeline_runs_all_stages(spark, docs):
     import corpus_pipeline
 
