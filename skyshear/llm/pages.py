@@ -16,12 +16,14 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +51,11 @@ FRAME = frozenset("nav aside footer form menu dialog search".split())
 FRAME_WORDS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|sponsor(?:ed)?|promo|banner|nav(?:bar|igation)?|menu|breadcrumbs?|header|masthead|footer|side-?bar|cookies?|consent|notices?|newsletter|subscribe|share|social|related|comments?|respond|replies|popup|modal|complementary|contentinfo|search)(?:$|[\s_-])"
 )
-#: A pair that shares so much of either page is a pair of copies.
+#: The columns that pages are ordered by.
+KEY = ("_host", "_path", "_url", "_id")
+#: Pages that a range gets from each side.
+BORDER = 2
+#: A pair that shares so much of the longer content is a pair of copies.
 COPY = 0.8
 #: A private character that stands for an ampersand until its block is whole.
 MARK = "\uf8f0"
@@ -232,60 +238,201 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
+def witness(page: list[Line], other: list[Line]) -> set[int] | None:
+    """Places of ``page`` that it shares with ``other``; none if that is empty or a copy.
+
+    Copies share nearly all characters that markup doesn't name frame: lines of a menu are many but short.
+    """
+    if not other:
+        return None
+    both, weigh = shared([x.text for x in page], [x.text for x in other]), lambda lines: sum(len(x.text) for x in lines if not x.frame)
+    most = max(weigh(page), weigh(other))
+    return None if most and weigh(page[i] for i in both) >= COPY * most else both
+
+
 def difference(page: list[Line], others: list[list[Line]]) -> list[Line]:
-    """The lines of ``page`` that aren't frame: named so by markup, or shared with a neighbour.
+    """The lines of ``page`` that aren't frame by its neighbours ``others``."""
+    return rest(page, set().union(*(witness(page, other) or () for other in others)))
+
 
-    Shared lines stay where their main container has lines of its own, or where
-    the page has none anywhere; a container that is shared whole is a teaser.
+def rest(page: list[Line], frame: set[int]) -> list[Line]:
+    """The lines of ``page`` that aren't frame: named so by markup, or shared with a neighbour at the places ``frame``.
+
+    Shared lines stay where their main container has lines of its own. Containers
+    that are shared whole are teasers if the page has lines of its own elsewhere;
+    a single one, only if those are longer.
     """
-    own = [x.text for x in page]
-    frame: set[int] = set()
-    for other in others:
-        theirs = [x.text for x in other]
-        both = shared(own, theirs)
-        if len(both) < COPY * max(len(own), len(theirs)):
-            frame |= both
     text = [(i, x) for i, x in enumerate(page) if not x.frame]
-    kept = {x.main for i, x in text if x.main and i not in frame}
-    if not kept and all(i in frame for i, _ in text):
-        kept = {x.main for _, x in text if x.main}
+    kept, boxes = {x.main for i, x in text if x.main and i not in frame}, {x.main for _, x in text if x.main}
+    if not kept:
+        own, held = sum(len(x.text) for i, x in text if i not in frame), sum(len(x.text) for _, x in text if x.main)
+        kept = boxes if not own or len(boxes) == 1 and own <= held else kept
     return [x for i, x in text if i not in frame or x.main in kept]
 
 
+class Node:
+    """A page, with the pages that follow it and have equal lines."""
+
+    def __init__(self, page: str | None, lines: list[Line], before: Node | None) -> None:
+        self.page, self.lines, self.rows, self.waits, self.frame = page, lines, [], [], set()
+        self.before = before
+        while self.before is not None and (found := witness(lines, self.before.lines)) is None:
+            self.before = self.before.before
+        if self.before is not None:
+            self.frame |= found
+
+
+class Host:
+    """Pages of one host in order; each is settled when a page that isn't its copy follows, or at the end."""
+
+    def __init__(self) -> None:
+        self.first: Node | None = None
+        self.last: Node | None = None
+        self.settled: list[tuple] = []
+
+    def add(self, row: tuple | None, page: str | None) -> None:
+        """``row`` is none for a page that another range settles."""
+        last = self.last
+        if last is None or page != last.page:
+            lines = lines_of(page)
+            if last is None or lines != last.lines:
+                self.last = Node(page, lines, last)
+                self.first = self.first or self.last
+                if last is not None:
+                    self.settle(last, self.last)
+                self.forget()
+        if row is not None:
+            self.last.rows.append(row)
+
+    def forget(self) -> None:
+        """Links lead some pages back, then to the host's first, so lines that are long past go."""
+        node = self.last
+        for _ in range(8):
+            node = node and node.before
+        if node is not None and node is not self.first:
+            node.before = self.first
+
+    def settle(self, node: Node, after: Node | None) -> None:
+        todo = [node]
+        while todo:
+            node = todo.pop()
+            found = set() if after is None else witness(node.lines, after.lines)
+            if found is None:
+                after.waits.append(node)
+                continue
+            if node.rows:
+                text = "\n".join(x.text for x in rest(node.lines, node.frame | found))
+                self.settled += [(*row, text, len(text)) for row in node.rows]
+            todo += node.waits
+            node.waits, node.rows = [], []
+
+    def end(self) -> None:
+        if self.last is not None:
+            self.settle(self.last, None)
+
+
+def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a sorted range of keys (host first): the first and last BORDER keys, the last key of its first host, the first of its last."""
+    head: list[tuple] = []
+    tail: list[tuple] = []
+    end = start = None
+    for batch in batches:
+        for key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if tail and key == tail[-1]:
+                continue
+            if len(head) < BORDER:
+                head.append(key)
+            if key[0] == head[0][0]:
+                end = key
+            if not tail or key[0] != tail[-1][0]:
+                start = key
+            tail = [*tail[1 - BORDER :], key] if BORDER > 1 else [key]
+    if head:
+        found = [("head", *k) for k in head] + [("tail", *k) for k in tail] + [("end", *end), ("start", *start)]
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([part] * len(found), pa.int32()), *(pa.array([f[i] for f in found], pa.string()) for i in range(5))], ["part", "kind", *KEY])
+
+
+def borders(ranges: list[dict[str, list[tuple]]]) -> dict[tuple, list[int]]:
+    """The ranges that see a page of another range as neighbour, by its key: on both sides the BORDER nearest of the host, and the host's outermost."""
+    out: dict[tuple, set[int]] = {}
+    for near, far, first, ahead in (("tail", "start", "head", 1), ("head", "end", "tail", -1)):
+        outermost = None
+        for at in range(len(ranges))[::ahead]:
+            host = ranges[at][first][0 if ahead > 0 else -1][0]
+            seen, other = [], at - ahead
+            while 0 <= other < len(ranges) and len(seen) < BORDER:
+                keys = [k for k in ranges[other][near][::-ahead] if k[0] == host]
+                seen += keys
+                if len(keys) < len(ranges[other][near]):
+                    break
+                other -= ahead
+            if outermost is not None and outermost[0] == host:
+                seen = [*seen[:BORDER], outermost]
+            for key in seen:
+                out.setdefault(key, set()).add(at)
+            here = ranges[at][far][0]
+            outermost = outermost if outermost is not None and outermost[0] == host == here[0] else here
+    return {k: sorted(v) for k, v in out.items()}
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` of each row of ``pages`` (page_id, url, html).
 
     Pages are dealt by range of (host, path), so a host of any size spreads over
-    tasks and neighbours stay together but at a range's ends, where a page has one
-    neighbour on its side. A null url is a host of its own; null or empty html
-    gives an empty text. Rows are kept apart even if equal (a copy is no
-    witness); an empty table gives an empty result; other columns are ignored.
+    tasks. Ranges are cut by keys alone; each gets the pages next to it on both
+    sides, and the outermost of their host, so a page meets the nearest page that
+    isn't its copy whatever the number of ranges (the outermost one, if a run of
+    copies passes both a cut and the border pages). A null url is a host of its
+    own; null or empty html gives an empty text. Rows are kept apart even if
+    equal (a copy is no witness); an empty table gives an empty result; other
+    columns are ignored.
     """
     url = F.coalesce("url", F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*|[?#].*$", "")
+    key = [c.alias(k) for c, k in zip((host, path, url, F.coalesce(F.col("page_id").cast("string"), F.lit(""))), KEY, strict=True)]
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"))
-    order = ["host", "path", "url", "page_id"]
+    found = pages.select(*key).repartitionByRange(n, *KEY).sortWithinPartitions(*KEY).mapInArrow(edges, "part int, kind string, " + ", ".join(f"{k} string" for k in KEY)).collect()
+    by_part: dict[int, dict[str, list[tuple]]] = {}
+    for r in found:
+        by_part.setdefault(r[0], {}).setdefault(r[1], []).append(tuple(r[2:]))
+    ranges = [{k: sorted(v) for k, v in by_part[p].items()} for p in sorted(by_part)]
+    cuts, border = [r["head"][0] for r in ranges][1:], borders(ranges)
     kind = pages.schema["page_id"].dataType.simpleString()
 
+    def dealt(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
+        keys = zip(*(x.to_pylist() for x in (a, b, c, d)), strict=True)
+        return pa.array([[bisect_right(cuts, k), *(-1 - p for p in border.get(k, ()))] for k in keys], pa.list_(pa.int32()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((r, lines_of(page)) for batch in batches for part in parts(batch, 256) for r, page in zip(zip(*(part.column(i).to_pylist() for i in (0, 1, 3)), strict=True), part.column(2).to_pylist(), strict=True))
-        before: tuple | None = None
-        here = next(rows, None)
-        done: list[tuple] = []
-        while here is not None:
-            after = next(rows, None)
-            others = [x[1] for x in (before, after) if x is not None and x[0][2] == here[0][2]]
-            text = "\n".join(x.text for x in difference(here[1], others))
-            done.append((here[0][0], here[0][1], text, len(text)))
-            before, here = here, after
-            if len(done) >= 512 or here is None:
-                yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pages_id, pa.string(), pa.string(), pa.int64()))], ["page_id", "url", "text", "n_chars"])
-                done = []
+        now, pages_of, done = None, Host(), []
+        for batch in batches:
+            for piece in parts(batch, 256):
+                for page_id, link, page, *place, to in zip(*(c.to_pylist() for c in piece.columns), strict=True):
+                    if place != now:
+                        pages_of.end()
+                        done += pages_of.settled
+                        now, pages_of = place, Host()
+                    pages_of.add((page_id, link) if to >= 0 else None, page)
+                done, pages_of.settled = done + pages_of.settled, []
+                while len(done) >= 512:
+                    yield out(done[:512])
+                    done = done[512:]
+        pages_of.end()
+        done += pages_of.settled
+        for at in range(0, len(done), 512):
+            yield out(done[at : at + 512])
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([d[i] for d in rows], t) for i, t in enumerate((pages_id, pa.string(), pa.string(), pa.int64()))], ["page_id", "url", "text", "n_chars"])
 
     pages_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    return keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    to = F.explode(F.arrow_udf(dealt, "array<int>")(*KEY)).alias("to")
+    part = F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")).alias("part")
+    rows = pages.select("page_id", "url", "html", *key).select("page_id", "url", "html", *KEY, to).select("*", part)
+    ordered = rows.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", *KEY)
+    return ordered.select("page_id", "url", "html", "part", KEY[0], "to").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -324,6 +324,22 @@ def test_open_elements_and_class_words_keep_the_article(page):
     assert [x.text for x in pages.lines_of(page) if not x.frame] == ["text"]
 
 
+def test_neighbours_past_copies_and_across_ranges(spark):
+    menu, host = "".join(f"<div>item {i}</div>" for i in range(40)), "http://t.org/"
+    body = lambda n: "".join(f"<p>{prose(random.Random(100 * n + k), 30)}</p>" for k in range(8))
+    # a template of many lines; exact copies of one page, then near copies of another; a host apart
+    texts = [body(n) for n in (1, 2, 3)] + [body(4)] * 9 + [body(5) + f"<p>{n}</p>" for n in range(9)] + [body(6)]
+    rows = [(i, f"{host}{i:02}", menu + t) for i, t in enumerate(texts)] + [(90, "http://u.org/", "<p>alone</p>"), (91, None, None)]
+    want = {i: t.replace("</p><p>", "\n").replace("<p>", "").replace("</p>", "") for i, t in enumerate(texts)} | {90: "alone", 91: ""}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for n in ("1", "3", "8", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = pages.extract(df).collect()
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want
+    assert pages.extract(df.limit(0)).count() == 0
+
+
 def test_pipeline_runs_all_stages(spark, docs):
     import corpus_pipeline
 
