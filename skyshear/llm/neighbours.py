@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,7 +60,7 @@ def axes(x: np.ndarray, number: int, most: int) -> np.ndarray:
 
 
 def entries(vectors: DataFrame, id_column: str, column: str, every: int, k: int) -> DataFrame:
-    """``key, dim, vector, ids, asks``: each distinct usable vector, its k + 1 smallest ids, and whether an id is divisible by ``every``.
+    """``key, dim, vector, ids, asks``: each distinct usable vector, its k + 1 smallest distinct ids, and whether an id is divisible by ``every``.
 
     A task reduces equal vectors before they are shuffled. Null, empty and zero
     vectors and those with a null or non-finite component are left out; so are null ids.
@@ -67,14 +68,14 @@ def entries(vectors: DataFrame, id_column: str, column: str, every: int, k: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[bytes, list] = {}
+            held: dict[bytes, set] = {}
             for name, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if name is None or not values or None in values:
                     continue
                 v = np.array(values, dtype=np.float64)
                 if not np.isfinite(v).all() or not v.any():
                     continue
-                held.setdefault(v.tobytes(), []).append(name)
+                held.setdefault(v.tobytes(), set()).add(name)
             rows = [(xxhash.xxh3_128_digest(b), np.frombuffer(b), sorted(names)[: k + 1], any(x % every == 0 for x in names)) for b, names in held.items()]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -88,7 +89,7 @@ def entries(vectors: DataFrame, id_column: str, column: str, every: int, k: int)
             )
 
     some = vectors.select(F.col(id_column).cast("long"), column).mapInArrow(run, "key binary, dim int, vector array<double>, ids array<long>, asks boolean")
-    first = F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids")
+    first = F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")
     return some.groupBy("key").agg(F.first("dim").alias("dim"), F.first("vector").alias("vector"), first, F.max("asks").alias("asks"))
 
 
@@ -122,8 +123,18 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q * x).sum(axis=1) / (np.sqrt((q * q).sum(axis=1)) * np.sqrt((x * x).sum(axis=1)))
 
 
+def reach(near: np.ndarray, lists: list[list[int]], k: int) -> float:
+    """The nearness down to which entries have k + 1 ids together."""
+    seen: set[int] = set()
+    for i in np.argsort(-near, kind="stable"):
+        seen.update(lists[i])
+        if len(seen) > k:
+            return near[i]
+    return -np.inf
+
+
 def best_of_block(queries: pa.Table, index: pa.Table, k: int) -> pa.Table:
-    """``query, key, ids, score`` of each query's best k + 1 entries in a block, and of all that tie with the last."""
+    """``query, key, ids, score`` of each query's best entries in a block, as many as have k + 1 ids, and of all that tie with the last."""
     names = ["query", "key", "ids", "score"]
     kinds = [pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.float64()]
     if not queries.num_rows or not index.num_rows:
@@ -134,6 +145,12 @@ def best_of_block(queries: pa.Table, index: pa.Table, k: int) -> pa.Table:
     near = unit(q) @ unit(x).T
     if near.shape[1] > k + 1:
         last = -np.partition(-near, k, axis=1)[:, k]
+        ids = index.column("ids").combine_chunks()
+        if pc.count_distinct(ids.flatten()).as_py() < len(ids.flatten()):  # an id has several vectors
+            lists = ids.to_pylist()
+            for r in range(len(last)):
+                if len({n for i in np.flatnonzero(near[r] >= last[r]) for n in lists[i]}) <= k:
+                    last[r] = reach(near[r], lists, k)
         rows, columns = np.nonzero(near >= last[:, None] - 1e-9)
     else:
         rows, columns = (a.ravel() for a in np.indices(near.shape))

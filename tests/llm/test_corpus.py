@@ -270,6 +270,19 @@ def test_neighbours(spark):
     assert neighbours.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_neighbours_of_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    x, far = rng.normal(size=(2, 20))
+    rows = [(50, x)] * 6 + [(i, x) for i in range(51, 56)] + [(i, x + 0.001 * rng.normal(size=20)) for i in range(60, 70)]
+    rows += [(100, far)] + [(7, far + 1e-4 * rng.normal(size=20)) for _ in range(10)] + [(i, far + 1e-2 * rng.normal(size=20)) for i in range(8, 12)]
+    got = {}
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<float>")
+    for r in neighbours.search(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got[50] == [51, 52, 53, 54, 55]
+    assert got[100][0] == 7 and set(got[100]) == {7, 8, 9, 10, 11}
+
+
 def lcs_length(a, b):
     d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
