@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyshear.sources.store import stored
+from skyshear.sources.store import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,6 +21,8 @@ def components(links: DataFrame) -> DataFrame:
         better = labels.join(near, labels["id"] == near["a"], "left").select("id", F.least("component", "near").alias("component"), F.col("component").alias("was"))
         hop = labels.select(F.col("id").alias("at"), F.col("component").alias("further"))
         new = stored(better.join(hop, better["component"] == hop["at"], "left").select("id", F.least("component", "further").alias("component"), "was"), "labels")
+        discard(labels)
         labels = new.select("id", "component")
         if new.filter("component < was").isEmpty():
+            discard(both)
             return labels
