@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyshear.sources.store import discard, shared_dir, stored
+
+__all__ = ["WORD", "discard", "ranges", "shared_dir", "stored", "table", "text_of"]
+
+#: Bytes of input, as Spark estimates it, in one range of a sorted table.
+RANGE_BYTES = 128 << 20
+
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,32 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir.
-
-    Only a session that names none (a local test) gets a folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="skyshear-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """``df`` written once to the shared folder and read from there.
-
-    It cuts the lineage: a lost executor costs its running tasks alone, and
-    branches that start here don't compute ``df`` again.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_of(column: str = "text") -> F.Column:
     """The text, empty for null."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def ranges(df: DataFrame, size: int = RANGE_BYTES) -> int:
+    """Ranges to deal ``df`` into: spark.sql.shuffle.partitions, or more where these would pass ``size`` bytes each."""
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    if estimate >= 1 << 58:  # rows that aren't from files have no estimate
+        estimate = 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-estimate // size))

@@ -14,14 +14,18 @@ segments in one order for all sets, fullest segments first, and any two similar
 sets publish q + 1 equal ones. Sketches are made per size band, doubling; a set
 that may have partners in the next band is published there as well.
 
-Sets that share a published segment are candidates, and every candidate pair is
-verified on the sets themselves. Equal sets are one class from the start. A
-segment that many classes share is hot: its pairs are never listed. A class with
-few hot segments has, by q, a colder one in common with every partner. Classes
-with many (groups of near copies, texts around a common passage) show their
-rarest shingles instead. Those that meet in one are compared with a pivot (the
-class with the fewest shingles of its own, likely the text that others vary),
-round by round, until they are one component; what is left then is listed in full.
+Sets that share a published segment are candidates. A candidate pair goes first
+by sizes and by a short sketch of bits, whose Hamming distance is no more than
+the symmetric difference; what is left is verified on the sets themselves, which
+are read again for these classes alone. Equal sets are one class from the start,
+named by 128 bits. A segment that many classes share is hot: its pairs are never
+listed. A class with few hot segments has, by q, a colder one in common with
+every partner. Classes with many (groups of near copies, texts around a common
+passage) show their rarest shingles instead. Those that meet in one are compared
+with a pivot (the class with the fewest shingles of its own, likely the text that
+others vary), round by round, as long as that settles most of them; what is left
+is compared by sketches. Meetings of many classes are dealt over tasks by a salt,
+whatever their size.
 """
 
 from __future__ import annotations
@@ -35,8 +39,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyshear.operators.graph import components
+
 from .bpe import parts, texts_of
-from .common import stored, table
+from .common import discard, stored, table
 
 #: Words of a shingle; the least similarity in hundredths.
 WORDS, PERCENT = 5, 80
@@ -44,10 +50,14 @@ WORDS, PERCENT = 5, 80
 HOT = 16
 #: Spare segments q: one for each so many shingles; a class with n // LIMIT hot segments or fewer needs no pivot.
 SPARE, LIMIT = 24, 30
-#: Rounds of pivots before what is left of hot classes is compared in full.
-ROUNDS = 2
-#: Entries of a worker's word cache.
-CACHE = 1_000_000
+#: Pivot rounds go on while pairs are more than so many for each row that meets and a round halves the rows; ROUNDS at most.
+PAIRS, ROUNDS = 4, 8
+#: At most so many meetings are salted, and so many shingles counted as common; these lists are broadcast.
+SALTED, COMMON = 8_192, 100_000
+#: Rows of one meeting in one task, where no more than SALTED meetings are larger.
+BLOCK = 512
+#: Words whose hashes a task keeps, each of 64 bytes at most; others are hashed each time.
+CACHE = 100_000
 U64 = np.uint64
 
 
@@ -59,24 +69,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """Hash of each word, computed once."""
+    """Hash of each word, computed once; a task's own, and of at most CACHE words."""
 
     def __missing__(self, word: bytes) -> int:
-        out = self[word] = xxhash.xxh64_intdigest(word)
+        out = xxhash.xxh64_intdigest(word)
+        if len(self) < CACHE and len(word) <= 64:
+            self[word] = out
         return out
 
 
-_words = Words()
-
-
-def shingles(text: bytes, k: int = WORDS) -> np.ndarray:
+def shingles(text: bytes, known: Words, k: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles of a text, A-Z lower-cased; fewer words make one shingle, none make none."""
     words = text.lower().split()
     if not words:
         return np.zeros(0, U64)
-    if len(_words) > CACHE:
-        _words.clear()
-    codes = np.fromiter(map(_words.__getitem__, words), U64, len(words))
+    codes = np.fromiter(map(known.__getitem__, words), U64, len(words))
     k = min(k, len(words))
     n = len(words) - k + 1
     h = np.full(n, k, U64)
@@ -85,9 +92,24 @@ def shingles(text: bytes, k: int = WORDS) -> np.ndarray:
     return np.unique(h)
 
 
-def class_of(hashes: np.ndarray) -> int:
-    """A signed 64-bit name of the set."""
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_of(hashes: np.ndarray) -> bytes:
+    """A 128-bit name of the set."""
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def bits(hashes: np.ndarray) -> np.ndarray:
+    """The parity of the set's shingles in each of 2^(band + 1) bits, 64 at least, as bytes."""
+    count = max(64, 1 << len(hashes).bit_length())
+    at = (mixed(hashes ^ U64(0x2545F4914F6CDD1D)) & U64(count - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=count) & 1).astype(np.uint8), bitorder="little")
+
+
+def least_difference(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the symmetric difference from two sketches; the longer one is folded, which only cancels bits."""
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def segments(hashes: np.ndarray) -> np.ndarray:
@@ -116,94 +138,133 @@ def segments(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def texts(batch: pa.RecordBatch, column: int, rows: int, known: Words) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of a batch with the shingles of their texts."""
+    for part in parts(batch, rows):
+        data, _, starts = texts_of(part.column(column))
+        yield part, [shingles(bytes(data[a:b]), known) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+
+
 def sets_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, class`` of each row; n is 0 and class null where there is no word."""
+    """``doc_id, n, class, sketch`` of each row; n is 0 and class null where there is no word. A task sketches a class once, however many copies it reads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, done = Words(), set()
         for batch in batches:
-            for rows in parts(batch, 1024):
-                data, _, starts = texts_of(rows.column(1))
-                got = [shingles(bytes(data[a:b])) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-                names = [class_of(h) if len(h) else None for h in got]
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(h) for h in got], pa.int64()), pa.array(names, pa.int64())], ["doc_id", "n", "class"])
+            for rows, got in texts(batch, 1, 1024, known):
+                names, sketches = [], []
+                for h in got:
+                    name = class_of(h) if len(h) else None
+                    names.append(name)
+                    sketches.append(None if name is None or name in done else bits(h).tobytes())
+                    done.add(name)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(h) for h in got], pa.int64()), pa.array(names, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "n", "class", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, class long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, class binary, sketch binary")
 
 
 def published(docs: DataFrame) -> DataFrame:
-    """``key, class`` of each set's published segments; a task publishes a class once, however many copies it reads."""
+    """``key, hi, lo``: each set's published segments and its class in two numbers; a task publishes a class once, however many copies it reads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
+        known, done = Words(), set()
         for batch in batches:
-            for rows in parts(batch, 2048):
-                data, _, starts = texts_of(rows.column(0))
+            for _, got in texts(batch, 0, 2048, known):
                 keys, names = [], []
-                for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                    h = shingles(bytes(data[a:b]))
+                for h in got:
                     if len(h) and (name := class_of(h)) not in done:
                         done.add(name)
                         keys.append(segments(h))
-                        names.append(np.full(len(keys[-1]), name, np.int64))
+                        names.append(name)
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names))], ["key", "class"])
+                    both = np.repeat(np.frombuffer(b"".join(names), np.int64).reshape(-1, 2), [len(k) for k in keys], axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["key", "hi", "lo"])
 
-    return docs.select("text").mapInArrow(run, "key long, class long")
+    return docs.select("text").mapInArrow(run, "key long, hi long, lo long")
+
+
+def binaries(hi: np.ndarray, lo: np.ndarray) -> pa.Array:
+    """Names of classes from their two numbers."""
+    return pa.Array.from_buffers(pa.binary(), len(hi), [None, pa.py_buffer(np.arange(0, 16 * len(hi) + 1, 16, dtype=np.int32)), pa.py_buffer(np.stack([hi, lo], axis=1).tobytes())])
 
 
 def candidates(keys: DataFrame) -> DataFrame:
-    """``a, b, hot``: pairs of classes a < b that share a segment, and, where hot, class a of hot segment b."""
+    """``a, b, key``: pairs of classes that share a segment, and, where it is hot, class a of hot segment ``key``.
+
+    Rows stream in order of their keys, so a task holds one batch and, of the
+    key that goes on in the next batch, HOT rows.
+    """
+
+    def out(a: list, b: list | None, key: np.ndarray | None) -> pa.RecordBatch:
+        left = binaries(*np.concatenate(a).T)
+        right = pa.nulls(len(left), pa.binary()) if b is None else binaries(*np.concatenate(b).T)
+        return pa.RecordBatch.from_arrays([left, right, pa.nulls(len(left), pa.int64()) if key is None else pa.array(key)], ["a", "b", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if not held:
-            return
-        key, name = (np.concatenate(x) for x in zip(*held, strict=True))
-        del held
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        twice = np.zeros(len(key), bool)
-        same = key[1:] == key[:-1]
-        twice[1:] |= same
-        twice[:-1] |= same
-        key, name = key[twice], name[order][twice]
-        order = np.lexsort((name, key))
-        key, name = key[order], name[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
-        key, name = key[new], name[new]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-        length = np.diff(np.concatenate([first, [len(key)]]))
-        left, right = [], []
-        for size in range(2, HOT + 1):
-            groups = first[length == size]
-            if len(groups):
-                i, j = np.triu_indices(size, 1)
-                left.append(name[(groups[:, None] + i).ravel()])
-                right.append(name[(groups[:, None] + j).ravel()])
-        if left:
-            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.zeros(len(pairs), bool))], ["a", "b", "hot"])
-        hot = np.repeat(length > HOT, length)
-        if hot.any():
-            yield pa.RecordBatch.from_arrays([pa.array(name[hot]), pa.array(key[hot]), pa.array(np.ones(int(hot.sum()), bool))], ["a", "b", "hot"])
-
-    return keys.repartition(F.col("key")).mapInArrow(run, "a long, b long, hot boolean")
+        held, burning = np.zeros((0, 3), np.int64), False  # rows of the last key so far; whether it is hot and some of its rows are out
+        for batch in batches:
+            rows = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
+            rows = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])]
+            first = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+            size = np.diff(np.concatenate([first, [len(rows)]]))
+            hot = size > HOT
+            if burning:
+                hot[0] = True
+            whole = np.arange(len(first)) < len(first) - 1
+            left, right = [], []
+            for n in np.unique(size[whole & ~hot & (size > 1)]).tolist():
+                groups = first[whole & ~hot & (size == n)]
+                i, j = np.triu_indices(n, 1)
+                left.append(rows[(groups[:, None] + i).ravel(), 1:])
+                right.append(rows[(groups[:, None] + j).ravel(), 1:])
+            if left:
+                yield out(left, right, None)
+            # a hot key's last row stays, to tell a repeated one in the next batch; the first of it was out before
+            last = rows[first[-1] :]
+            stays = 1 if hot[-1] else len(last)
+            burnt = np.repeat(hot, size)
+            if burning and len(first) > 1:
+                burning = False
+            burnt[len(rows) - stays :] = False
+            if burnt.any():
+                yield out([rows[burnt, 1:]], None, rows[burnt, 0])
+            held, burning = last[len(last) - stays :], bool(hot[-1])
+        if burning and len(held):
+            yield out([held[:, 1:]], None, held[:, 0])
+        elif len(held) > 1:
+            i, j = np.triu_indices(len(held), 1)
+            yield out([held[i, 1:]], [held[j, 1:]], None)
+
+    return keys.repartition(F.col("key")).sortWithinPartitions("key", "hi", "lo").mapInArrow(run, "a binary, b binary, key long")
+
+
+def likely(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The ``pairs`` (a, b) that sizes and sketches allow to be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sketch = [c.to_pylist() for c in batch.columns[4:]]
+            most = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * (100 - percent) // (100 + percent)
+            ok = [least_difference(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) <= d for x, y, d in zip(*sketch, most.tolist(), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    of = lambda side: classes.select(F.col("class").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}"))
+    near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(near).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
 def sets_by_class(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """``class, shingles`` (sorted hashes as bytes) of the ``wanted`` classes, from one text each."""
-    texts = classes.join(wanted, "class", "left_semi").select(F.col("_id").alias("of")).distinct()
-    texts = docs.select("doc_id", "text").join(texts, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").select("text")
+    ids = classes.join(wanted, "class", "left_semi").select(F.col("_id").alias("of")).distinct()
+    found = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for batch in batches:
-            for rows in parts(batch, 512):
-                data, _, starts = texts_of(rows.column(0))
-                got = [shingles(bytes(data[a:b])) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([class_of(h) for h in got], pa.int64()), pa.array([h.tobytes() for h in got], pa.binary())], ["class", "shingles"])
+            for _, got in texts(batch, 0, 512, known):
+                yield pa.RecordBatch.from_arrays([pa.array([class_of(h) for h in got], pa.binary()), pa.array([h.tobytes() for h in got], pa.binary())], ["class", "shingles"])
 
-    return texts.mapInArrow(run, "class long, shingles binary").dropDuplicates(["class"])
+    return found.mapInArrow(run, "class binary, shingles binary").dropDuplicates(["class"])
 
 
 def same_enough(sets: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -220,110 +281,132 @@ def same_enough(sets: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> Da
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     left = pairs.join(sets.withColumnRenamed("class", "a").withColumnRenamed("shingles", "x"), "a")
-    return left.join(sets.withColumnRenamed("class", "b").withColumnRenamed("shingles", "y"), "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    return left.join(sets.withColumnRenamed("class", "b").withColumnRenamed("shingles", "y"), "b").select("a", "b", "x", "y").mapInArrow(verify, "a binary, b binary")
 
 
 #: Lower edges of the size buckets of prefixes, each a twentieth above the last.
 EDGES = np.unique(np.ceil(1.05 ** np.arange(600, dtype=np.float64)).astype(np.int64))
 
 
-def prefixes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``key, class, smaller, place``: the rarest shingles of each set, so few that similar sets must share one.
+def shown(n: int, percent: int = PERCENT) -> list[tuple[int, int, bool]]:
+    """Of a set of n shingles: size bucket, how many of its rarest shingles it shows there, and whether as the smaller partner.
 
     Two sets of m <= n shingles need c = percent (m + n) / (100 + percent) in
     common, so the first m - c + 1 and n - c + 1 of them in one order of all
-    shingles meet. The smaller set shows its own for partners of its size or more
-    (``smaller``), the larger one shows its own for each size bucket below it.
+    shingles meet. The smaller set shows its own for partners of its size or
+    more, the larger one shows its own for each size bucket below it.
+    """
+    own, least = int(np.searchsorted(EDGES, n, "right")) - 1, -(-percent * n // 100)
+    out = [(own, n - -(-percent * 2 * n // (100 + percent)) + 1, True)]
+    for bucket in range(int(np.searchsorted(EDGES, least, "right")) - 1, own + 1):
+        m = max(least, int(EDGES[bucket]))
+        out.append((bucket, n - -(-percent * (n + m) // (100 + percent)) + 1, False))
+    return out
+
+
+def prefixes(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``key, class, smaller, place``: the rarest shingles of each set, so few that similar sets must share one.
+
     The order is by how many of ``sets`` hold a shingle, so what many share comes
-    last; ``place`` is how many shingles of the set come before.
+    last; ``place`` is how many shingles of the set come before. Counts of common
+    shingles are broadcast, which are COMMON at most; others meet their rows by a join.
     """
 
     def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in parts(batch, 1024):
                 own = [np.frombuffer(v.as_buffer(), np.int64) for v in rows.column(1)]
-                names = np.repeat(rows.column(0).to_numpy(), [len(x) for x in own])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)), pa.array(names)], ["shingle", "class"])
+                if own:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), rows.column(0).take(pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own])))], ["shingle", "class"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in parts(batch, 64):
+                keys, names, smaller, places = [], [], [], []
+                for at, ranked in enumerate(rows.column(1)):
+                    df, shingle = (c.to_numpy() for c in ranked.values.flatten())
+                    shingle = mixed(shingle.view(U64))
+                    shingle = shingle[np.lexsort((shingle, df))]
+                    for bucket, length, role in shown(len(shingle), percent):
+                        keys.append(mixed(shingle[:length] ^ mixed(np.full(1, bucket + 1, U64))))
+                        names.append(np.full(len(keys[-1]), at))
+                        smaller.append(np.full(len(keys[-1]), role))
+                        places.append(np.arange(len(keys[-1]), dtype=np.int32))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), rows.column(0).take(pa.array(np.concatenate(names))), pa.array(np.concatenate(smaller)), pa.array(np.concatenate(places))], ["key", "class", "smaller", "place"])
 
-    def held(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
-        got = [[c.to_numpy() for c in b.columns] for b in batches]
-        return [np.concatenate(x) for x in zip(*got, strict=True)] if got else []
+    rows = sets.mapInArrow(flat, "shingle long, class binary")
+    counts = stored(rows.groupBy("shingle").agg(F.count("*").alias("df")), "jaccard-shingles")
+    limit = max(1000, (counts.agg(F.sum("df")).first()[0] or 0) // COMMON)
+    known = rows.join(F.broadcast(counts.filter(F.col("df") > limit).select("shingle", F.col("df").alias("often"))), "shingle", "left")
+    rare = known.filter("often IS NULL").drop("often").join(counts.filter(F.col("df") <= limit), "shingle").select("class", "shingle", "df")
+    ranked = rare.unionByName(known.filter("often IS NOT NULL").select("class", "shingle", F.col("often").alias("df")))
+    return ranked.groupBy("class").agg(F.collect_list(F.struct("df", "shingle")).alias("ranked")).mapInArrow(first, "key long, class binary, smaller boolean, place int")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if got := held(batches):
-            _, back, n = np.unique(got[0], return_inverse=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1]), pa.array(n[back].astype(np.int32))], ["shingle", "class", "df"])
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not (got := held(batches)):
-            return
-        shingle, name, df = got
-        shingle = mixed(shingle.view(U64))
-        order = np.lexsort((shingle, df, name))
-        shingle, name = shingle[order], name[order]
-        starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-        keys, names, smaller, places = [], [], [], []
-        for at, n in zip(starts.tolist(), np.diff(np.concatenate([starts, [len(name)]])).tolist()):
-            own = int(np.searchsorted(EDGES, n, "right")) - 1
-            least = -(-percent * n // 100)
-            show = [(own, n - -(-percent * 2 * n // (100 + percent)) + 1, True)]
-            for bucket in range(int(np.searchsorted(EDGES, least, "right")) - 1, own + 1):
-                m = max(least, int(EDGES[bucket]))
-                show.append((bucket, n - -(-percent * (n + m) // (100 + percent)) + 1, False))
-            for bucket, length, role in show:
-                keys.append(mixed(shingle[at : at + length] ^ mixed(np.full(1, bucket + 1, U64))))
-                names.append(np.full(len(keys[-1]), name[at]))
-                smaller.append(np.full(len(keys[-1]), role))
-                places.append(np.arange(len(keys[-1]), dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(names)), pa.array(np.concatenate(smaller)), pa.array(np.concatenate(places))], ["key", "class", "smaller", "place"])
-
-    rows = sets.mapInArrow(flat, "shingle long, class long").repartition(F.col("shingle")).mapInArrow(count, "shingle long, class long, df int")
-    return rows.repartition(F.col("class")).mapInArrow(first, "key long, class long, smaller boolean, place int")
-
-
-def components(links: DataFrame) -> DataFrame:
-    """``class, component`` of every class with a link: the least name that it reaches.
-
-    Each round takes the least label among neighbours and then the label of the
-    label, so the number of rounds grows with the logarithm of a path's length.
+def salted(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``salt`` and the number of salts of their key: 1, and more where a key has over BLOCK rows.
+
+    Keys of more rows than a share of 1 / SALTED of all are SALTED at most, so their list is broadcast.
     """
-    both = stored(links.union(links.select("b", "a")).distinct().toDF("a", "b"), "jaccard-edges")
-    labels = stored(both.groupBy(F.col("a").alias("class")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "jaccard-labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["class"]).groupBy("a").agg(F.min("component").alias("near"))
-        better = labels.join(near, labels["class"] == near["a"], "left").select("class", F.least("component", "near").alias("component"), F.col("component").alias("was"))
-        hop = labels.select(F.col("class").alias("at"), F.col("component").alias("further"))
-        new = better.join(hop, better["component"] == hop["at"], "left").select("class", F.least("component", "further").alias("component"), "was")
-        new = stored(new, "jaccard-labels")
-        if new.filter("component < was").isEmpty():
-            return new.select("class", "component")
-        labels = new.select("class", "component")
+    sizes = stored(rows.groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > BLOCK), "jaccard-meetings")
+    block = max(BLOCK, rows.count() // SALTED)
+    many = F.broadcast(sizes.filter(F.col("rows") > block).select("key", F.ceil(F.col("rows") / block).cast("int").alias("salts")))
+    out = rows.join(many, "key", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    return out.withColumn("salt", F.pmod(F.xxhash64("class"), F.col("salts")).cast("int"))
+
+
+def each_salt(rows: DataFrame) -> DataFrame:
+    """Each row once for every salt of its key."""
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+
+
+def pair(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
 def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``a, b``: verified links between classes, enough of them to join all that are similar."""
     found = stored(candidates(published(docs)), "jaccard-candidates")
-    pairs = stored(found.filter("NOT hot").select("a", "b").distinct(), "jaccard-pairs")
-    many = found.filter("hot").groupBy(F.col("a").alias("class")).agg(F.count("*").alias("h")).join(classes.select("class", "n"), "class").filter(F.col("h") > F.floor(F.col("n") / LIMIT))
+    pairs = stored(likely(found.filter("b IS NOT NULL").select("a", "b").distinct(), classes), "jaccard-pairs")
+    many = found.filter("b IS NULL").groupBy(F.col("a").alias("class")).agg(F.count("*").alias("h")).join(classes.select("class", "n"), "class").filter(F.col("h") > F.floor(F.col("n") / LIMIT))
     many = stored(many.select("class"), "jaccard-hot")
+    discard(found)
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(many).distinct()
     sets = stored(sets_by_class(docs, classes, wanted), "jaccard-sets")
     links = stored(same_enough(sets, pairs), "jaccard-links")
-    rows = stored(prefixes(sets.join(many, "class", "left_semi")), "jaccard-prefixes")
+    discard(pairs)
+    rows = stored(salted(stored(prefixes(sets.join(many, "class", "left_semi")), "jaccard-prefixes")), "jaccard-salted")
+    before = None
     for turn in range(ROUNDS + 1):
-        placed = rows.join(components(links), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        of = components(links)
+        placed = rows.join(of.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
         pivot = F.min(F.when(F.col("smaller"), F.struct("place", F.xxhash64("class", F.lit(turn)), "class", "component")))
-        ends = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), pivot.alias("p")).filter("lo < hi AND p IS NOT NULL")
-        placed = stored(placed.join(ends.select("key", F.col("p.class").alias("pivot"), F.col("p.component").alias("pivot_component")), "key"), "jaccard-open")
-        if placed.isEmpty():
+        ends = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), pivot.alias("p"), F.max("salts").alias("salts"), F.sum(F.col("smaller").cast("long")).alias("small"), F.count("*").alias("rows"))
+        ends = stored(ends.filter("lo < hi AND p IS NOT NULL").select("key", "salts", "small", "rows", F.col("p.class").alias("pivot"), F.col("p.component").alias("pivot_component")), "jaccard-meetings")
+        work = ends.agg(F.sum(F.col("small") * (F.col("rows") - F.col("small"))).alias("pairs"), F.sum("rows").alias("rows")).first()
+        if not work["rows"]:
+            discard(ends, of)
             break
-        if turn < ROUNDS:
-            pairs = placed.filter("component <> pivot_component").select(F.least("class", "pivot").alias("a"), F.greatest("class", "pivot").alias("b")).distinct()
-            rows = placed.filter("class <> pivot").select("key", "class", "smaller", "place")
+        placed = stored(placed.join(each_salt(ends.select("key", "salts", "pivot", "pivot_component")), ["key", "salt"]), "jaccard-open")
+        discard(ends, of)
+        listed = work["pairs"] <= PAIRS * work["rows"] or turn == ROUNDS or before is not None and 2 * work["rows"] > before
+        before = work["rows"]
+        if listed:
+            other = each_salt(placed.filter("smaller").select("key", "salts", F.col("class").alias("other"), F.col("component").alias("other_component")))
+            open_pairs = placed.filter("NOT smaller").join(other, ["key", "salt"]).filter("component <> other_component").select(*pair("class", "other"))
         else:
-            other = placed.filter("smaller").select("key", F.col("class").alias("other"), F.col("component").alias("other_component"))
-            pairs = placed.filter("NOT smaller").join(other, "key").filter("class <> other AND component <> other_component").select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
-        links = stored(links.union(same_enough(sets, stored(pairs, "jaccard-pairs"))), "jaccard-links")
+            open_pairs = placed.filter("component <> pivot_component").select(*pair("class", "pivot"))
+        pairs = stored(likely(open_pairs.distinct(), classes), "jaccard-pairs")
+        more, old = stored(links.union(same_enough(sets, pairs)), "jaccard-links"), links
+        discard(old, pairs, rows)
+        links = more
+        if listed:
+            discard(placed)
+            break
+        rows = stored(placed.filter("class <> pivot").select("key", "class", "smaller", "place", "salt", "salts"), "jaccard-salted")
+        discard(placed)
+    discard(sets, many)
     return links
 
 
@@ -333,14 +416,18 @@ def groups(docs: DataFrame) -> DataFrame:
     A null, empty or wordless text has no shingles and is linked with nothing,
     not even its copies: its component is itself. Rows with equal ids are
     documents of their own. A null id is no component's name; a component of
-    null ids alone has a null name. An empty table gives an empty result.
+    null ids alone has a null name. Texts of any length are taken whole. An
+    empty table gives an empty result; columns beside doc_id and text are ignored.
     """
     sets = stored(sets_of(docs), "jaccard-classes")
-    classes = stored(sets.filter("n > 0").groupBy("class").agg(F.max("n").alias("n"), F.min("doc_id").alias("_id")), "jaccard-representatives")
-    of = components(links_of(docs, classes))
-    placed = classes.join(of, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    classes = stored(sets.filter("n > 0").groupBy("class").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.min("doc_id").alias("_id")), "jaccard-representatives")
+    links = links_of(docs, classes)
+    of = components(links)
+    discard(links)
+    placed = classes.join(of.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = placed.groupBy("component").agg(F.min("_id").alias("component_id"))
     by_class = stored(placed.join(least, "component").select(F.col("class").alias("of"), "component_id"), "jaccard-components")
+    discard(of, classes)
     return sets.join(by_class, sets["class"] == by_class["of"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
