@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyshear.functions.geo import nonzero
+from skyshear.sources.store import stored
 
 
-def near_join(left: DataFrame, right: DataFrame, a: tuple[str, ...], b: tuple[str, ...], radius: float) -> DataFrame:
-    """Pairs within ``radius``, with ``d2``: an equi-join on cubes of that size, the left side in its own and all neighbouring ones."""
+def near_join(left: DataFrame, right: DataFrame, a: tuple[str, ...], b: tuple[str, ...], radius: float, on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs within ``radius`` and equal in ``on``, with ``d2``: an equi-join on cubes of that size, the left side in its own and all neighbouring ones."""
     cube = lambda cols, shift: [F.floor(F.col(c) / radius).cast("long") + s for c, s in zip(cols, shift, strict=True)]
     shifts = [()]
     for _ in a:
@@ -19,7 +20,32 @@ def near_join(left: DataFrame, right: DataFrame, a: tuple[str, ...], b: tuple[st
     probe = left.withColumn("_q", F.explode(F.array(*[F.struct(*[x.alias(f"c{n}") for n, x in enumerate(cube(a, s))]) for s in shifts])))
     build = right.withColumn("_q", F.struct(*[x.alias(f"c{n}") for n, x in enumerate(cube(b, (0,) * len(b)))]))
     d2 = sum(((F.col(x) - F.col(y)) ** 2 for x, y in zip(a, b, strict=True)), F.lit(0.0))
-    return probe.join(build, "_q").drop("_q").withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
+    return probe.join(build, ["_q", *on]).drop("_q").withColumn("d2", d2).filter(F.col("d2") <= radius * radius)
+
+
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, ...], b: tuple[str, ...], radius: float, tie: str) -> DataFrame:
+    """``left`` with the nearest row of ``right`` (smallest ``tie`` on equal distances) and ``d2``; every row has one unless ``right`` is empty.
+
+    Rows that have none within ``radius`` are looked at again with twice the
+    radius, so nothing is a cross join and the number of rounds is logarithmic.
+    """
+    ends = lambda df, cols: df.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    p, q = ends(left, a), ends(right, b)
+    if any(e[f"lo{i}"] is None for e in (p, q) for i in range(len(a))):
+        return left.join(right.limit(0).withColumn("d2", F.lit(0.0)), F.lit(False), "inner")
+    span = math.sqrt(sum((max(p[f"hi{i}"], q[f"hi{i}"]) - min(p[f"lo{i}"], q[f"lo{i}"])) ** 2 for i in range(len(a))))
+    rest, out = left, None
+    while True:
+        pairs = near_join(rest, right, a, b, radius)
+        best = pairs.groupBy(*keys).agg(F.min_by(F.struct(*pairs.columns), F.struct("d2", tie)).alias("_m")).select("_m.*")
+        if radius > span:
+            return best if out is None else out.unionByName(best)
+        best = stored(best, "nearest")
+        rest = stored(rest.join(best.select(*keys), keys, "left_anti"), "nearest-rest")
+        out = best if out is None else out.unionByName(best)
+        if rest.isEmpty():
+            return out
+        radius *= 2
 
 
 def cressman(cells: DataFrame, gates: DataFrame, keys: list[str], value: str, radius: float) -> DataFrame:
@@ -29,14 +55,14 @@ def cressman(cells: DataFrame, gates: DataFrame, keys: list[str], value: str, ra
     return near.groupBy(*keys).agg((F.sum(w * F.col(value)) / nonzero(F.sum(w))).alias("value"), F.count("*").alias("n"))
 
 
-def bilinear(points: DataFrame, grid: DataFrame) -> DataFrame:
-    """``points`` (id, px, py in cells) sampled from ``grid`` (j, i, value); null where one of the four corners is."""
+def bilinear(points: DataFrame, grid: DataFrame, keys: tuple[str, ...] = ("id",), on: tuple[str, ...] = ()) -> DataFrame:
+    """``points`` (keys, px, py in cells) sampled from ``grid`` (on, j, i, value); null where one of the four corners is."""
     base = points.withColumn("_i", F.floor("px").cast("int")).withColumn("_j", F.floor("py").cast("int"))
     corner = F.explode(F.array(*[F.struct(F.lit(dj).alias("dj"), F.lit(di).alias("di")) for dj in (0, 1) for di in (0, 1)]))
-    c = base.withColumn("c", corner).select("id", "px", "py", (F.col("_j") + F.col("c.dj")).alias("j"), (F.col("_i") + F.col("c.di")).alias("i"))
+    c = base.withColumn("c", corner).select(*keys, "px", "py", (F.col("_j") + F.col("c.dj")).alias("j"), (F.col("_i") + F.col("c.di")).alias("i"))
     w = (1 - F.abs(F.col("px") - F.col("i"))) * (1 - F.abs(F.col("py") - F.col("j")))
-    got = c.join(grid, ["j", "i"], "left").groupBy("id").agg(F.sum(w * F.col("value")).alias("value"), F.count("value").alias("n"))
-    return got.select("id", F.when(F.col("n") == 4, F.col("value")).alias("value"))
+    got = c.join(grid, [*on, "j", "i"], "left").groupBy(*keys).agg(F.sum(w * F.col("value")).alias("value"), F.count("value").alias("n"))
+    return got.select(*keys, F.when(F.col("n") == 4, F.col("value")).alias("value"))
 
 
 def linear(levels: DataFrame, at: DataFrame, x: str, y: str) -> DataFrame:
@@ -63,8 +89,8 @@ def smooth(cells: DataFrame, value: str, sigma: float, reach: int) -> DataFrame:
 
 def blend_weight(cells: DataFrame, sigma: float, reach: float) -> DataFrame:
     """exp(-d2 / 2 sigma2) with the distance to the level's nearest valid cell; 0 beyond ``reach``, where it is below 1e-7."""
-    valid = cells.filter("valid").select(F.col("k").alias("vk"), F.col("x").alias("vx"), F.col("y").alias("vy"))
-    near = near_join(cells.select("k", "j", "i", "x", "y"), valid, ("x", "y"), ("vx", "vy"), reach).filter("k = vk").groupBy("k", "j", "i").agg(F.min("d2").alias("d2"))
+    valid = cells.filter("valid").select("k", F.col("x").alias("vx"), F.col("y").alias("vy"))
+    near = near_join(cells.select("k", "j", "i", "x", "y"), valid, ("x", "y"), ("vx", "vy"), reach, on=("k",)).groupBy("k", "j", "i").agg(F.min("d2").alias("d2"))
     return cells.select("k", "j", "i").join(near, ["k", "j", "i"], "left").select("k", "j", "i", F.coalesce(F.exp(-F.col("d2") / (2 * sigma * sigma)), F.lit(0.0)).alias("weight"))
 
 
@@ -96,6 +122,14 @@ def translate(field: DataFrame, dx: float, dy: float, ny: int, nx: int, adjoint:
     return out.filter(F.col("j").between(0, ny - 1) & F.col("i").between(0, nx - 1)).groupBy(*keys, "j", "i").agg(F.sum("v").alias("v"))
 
 
+def translate_by(field: DataFrame, shifts: DataFrame, keys: list[str], ny: int, nx: int) -> DataFrame:
+    """``field`` (keys, j, i, v) moved by the (dx, dy) that ``shifts`` gives for its ``keys``; what leaves the domain is lost."""
+    legs = lambda c: F.filter(F.array(*[F.struct((F.floor(c) + n).cast("int").alias("s"), (1 - F.abs(F.col(c) - F.floor(c) - n)).alias("w")) for n in (0, 1)]), lambda x: x["w"] > 1e-12)
+    both = field.join(shifts.select(*keys, F.explode(legs("dx")).alias("a"), "dy").select(*keys, "a", F.explode(legs("dy")).alias("b")), keys)
+    out = both.select(*keys, (F.col("j") + F.col("b.s")).alias("j"), (F.col("i") + F.col("a.s")).alias("i"), (F.col("v") * F.col("a.w") * F.col("b.w")).alias("v"))
+    return out.filter(F.col("j").between(0, ny - 1) & F.col("i").between(0, nx - 1)).groupBy(*keys, "j", "i").agg(F.sum("v").alias("v"))
+
+
 def transported_mask(mask: DataFrame, dx: float, dy: float, ny: int, nx: int) -> DataFrame:
     """Cells all of whose sources are in the domain and valid, of ``mask`` (keys, j, i) that lists valid cells."""
     moves = [(sj, si) for sj, _ in _steps(dy) for si, _ in _steps(dx)]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skyshear.functions.geo import rounded as R  # noqa: N812
 from skyshear.model import DX, DY, DZ, MESO
-from skyshear.operators import kernels, stencil, wind
+from skyshear.operators import boxes, grid, kernels, stencil, wind
 from skyshear.operators.graph import components
 from skyshear.plans.views import oracle, view
 from skyshear.plans.wind_queries import _VW
@@ -37,10 +37,9 @@ def _match(s, d):  # noqa: ANN001, ANN202
     """Each strong cell's nearest feature by horizontal distance, and whether it is near enough in both directions."""
     f = view(s, d, "features").select("id", "fx", "fy", "fz")
     peaks = _zeta(s, d).filter("zeta >= 2.5").select("k", "j", "i", "x", "y", "z")
-    d2 = (F.col("x") - F.col("fx")) ** 2 + (F.col("y") - F.col("fy")) ** 2
-    best = peaks.join(F.broadcast(f)).groupBy("k", "j", "i", "z").agg(F.min(F.struct(d2.alias("d2"), "id", "fz")).alias("m"))
-    near, dz = F.sqrt("m.d2"), F.abs(F.col("z") - F.col("m.fz"))
-    return best.select("k", "j", "i", F.col("m.id").alias("id"), R(near, 4).alias("distance"), ((near <= 15_000) & (dz <= 3000)).alias("matched"))
+    best = grid.nearest(peaks, f, ["k", "j", "i"], ("x", "y"), ("fx", "fy"), 15_000.0, "id")
+    near, dz = F.sqrt("d2"), F.abs(F.col("z") - F.col("fz"))
+    return best.select("k", "j", "i", "id", R(near, 4).alias("distance"), ((near <= 15_000) & (dz <= 3000)).alias("matched"))
 
 
 def _nearest_cell(s, d):  # noqa: ANN001, ANN202
@@ -52,7 +51,7 @@ def _nearest_cell(s, d):  # noqa: ANN001, ANN202
 def _neighbourhood(s, d):  # noqa: ANN001, ANN202
     """What surrounds each feature: cells within 5 km and one level."""
     f, c = _nearest_cell(s, d).withColumnRenamed("k", "fk").select("id", "fk").join(view(s, d, "features"), "id"), view(s, d, "cells")
-    near = F.broadcast(f).join(c, ((F.col("x") - F.col("fx")) ** 2 + (F.col("y") - F.col("fy")) ** 2 <= 25e6) & (F.abs(F.col("k") - F.col("fk")) <= 1))
+    near = grid.near_join(f, c, ("fx", "fy"), ("x", "y"), 5000.0).filter(F.abs(F.col("k") - F.col("fk")) <= 1)
     return near.groupBy("id").agg(F.count("*").alias("cells"), F.count("vr1").alias("seen1"), F.count("vr2").alias("seen2"), F.max("dbz1").alias("dbz"))
 
 
@@ -67,12 +66,12 @@ def _polar(s, d):  # noqa: ANN001, ANN202
 
 def _cuboid(s, d):  # noqa: ANN001, ANN202
     cells = view(s, d, "wind").select(F.lit(0).alias("case"), "k", "j", "i", F.col("u").isNotNull().alias("valid"))
-    return kernels.largest_cuboid(cells)
+    return boxes.largest(cells)
 
 
 def _rectangle(s, d):  # noqa: ANN001, ANN202
     cells = view(s, d, "wind").select(F.col("k").alias("case"), F.lit(0).alias("k"), "j", "i", F.col("valid").alias("valid"))
-    return kernels.largest_cuboid(cells).select("case", "cells")
+    return boxes.largest(cells).select("case", "cells")
 
 
 def _components(s, d):  # noqa: ANN001, ANN202
@@ -117,9 +116,7 @@ def _trim(s, d):  # noqa: ANN001, ANN202
 # --- tensors -------------------------------------------------------------------------------------
 def _gram(s, d):  # noqa: ANN001, ANN202
     """Gram matrix of the tensor's columns."""
-    t = view(s, d, "tensor").filter("col < 16")
-    both = t.alias("a").join(t.alias("b"), "row").groupBy(F.col("a.col").alias("p"), F.col("b.col").alias("q"))
-    return both.agg(R(F.sum(F.col("a.value") * F.col("b.value")), 5).alias("g"))
+    return kernels.gram(view(s, d, "tensor"), "col", "row", "value").select("p", "q", R(F.col("g"), 5).alias("g"))
 
 
 def _product(s, d):  # noqa: ANN001, ANN202
@@ -176,7 +173,7 @@ def _variational(s, d):  # noqa: ANN001, ANN202
     """The closed loop: a rotating wind seen by both radars, solved back."""
     from skyshear.plans.wind_queries import _vortex_cells
 
-    c = wind.beams(_vortex_cells(s, d)).withColumns({"case": F.lit(0), "u0": F.lit(0.0), "v0": F.lit(0.0)})
+    c = _vortex_cells(s, d).withColumns({"case": F.lit(0), "u0": F.lit(0.0), "v0": F.lit(0.0)})
     return kernels.variational(c.select("case", "k", "j", "i", "z", *[f"b{a}{n}" for n in (1, 2) for a in "xyz"], "vr1", "vr2", "u0", "v0"), weights=(100.0, 1e-6, 1.0, 1e-2), steps=(DX, DY, DZ), most=3000)
 
 
@@ -208,7 +205,19 @@ QUERIES = {
     "streamline_rk4": _vortex_lines,
     "threedvar_cg": _variational,
 }
+def _boxes(mask: str) -> str:
+    """SQL of all boxes of the 5 x 21 x 21 grid with their valid cells, from sums over everything below a corner."""
+    at = " ".join(f"JOIN p p{n} ON p{n}.k = {k} - 1 AND p{n}.j = {j} - 1 AND p{n}.i = {i} - 1" for n, (k, j, i) in enumerate((k, j, i) for k in ("k0", "k1") for j in ("j0", "j1") for i in ("i0", "i1")))
+    count = " ".join(f"{'+' if n.bit_count() % 2 else '-'} p{n}.v" for n in range(8))
+    return f"""+m AS ({mask}), g AS (SELECT a.k::INT AS k, b.j::INT AS j, c.i::INT AS i, (m.k IS NOT NULL)::INT AS v FROM range(-1, 5) a(k), range(-1, 21) b(j), range(-1, 21) c(i) LEFT JOIN m ON m.k = a.k AND m.j = b.j AND m.i = c.i),
+      s1 AS (SELECT k, j, i, sum(v) OVER (PARTITION BY k, j ORDER BY i) AS v FROM g), s2 AS (SELECT k, j, i, sum(v) OVER (PARTITION BY k, i ORDER BY j) AS v FROM s1), p AS (SELECT k, j, i, sum(v) OVER (PARTITION BY j, i ORDER BY k) AS v FROM s2),
+      b AS (SELECT k0::INT AS k0, k1::INT AS k1, j0::INT AS j0, j1::INT AS j1, i0::INT AS i0, i1::INT AS i1, ((k1 - k0) * (j1 - j0) * (i1 - i0))::INT AS cells FROM range(5) x0(k0), range(1, 6) x1(k1), range(21) y0(j0), range(1, 22) y1(j1), range(21) z0(i0), range(1, 22) z1(i1) WHERE k1 > k0 AND j1 > j0 AND i1 > i0),
+      full_box AS (SELECT b.* FROM b {at} WHERE {count.lstrip('+ ')} = cells)"""
+
+
 ORACLES = {
+    "largest_cuboid": oracle("wind", _boxes("SELECT k, j, i FROM wind WHERE u IS NOT NULL") + " SELECT 0 AS case, cells, k0, k1, j0, j1, i0, i1 FROM full_box ORDER BY cells DESC, k0, k1, j1, i1, i0 DESC LIMIT 1"),
+    "largest_rectangle": oracle("wind", _boxes("SELECT k, j, i FROM wind WHERE valid") + " SELECT k0 AS case, max(cells) AS cells FROM full_box WHERE k1 = k0 + 1 GROUP BY k0"),
     "meso_nms": oracle("wind", f"""+{_ZETA}, lv AS (SELECT DISTINCT k, j + a AS j, i + b AS i FROM zz, range(-1, 2) x(a), range(-1, 2) y(b) WHERE zeta >= {0.5 * ZETA_LEAST}), dp AS (SELECT j, i, count(*) AS levels FROM lv GROUP BY ALL),
       r AS (SELECT 0 AS turn, [NULL::STRUCT(i INT, j INT, k INT, zeta DOUBLE)] AS picks UNION ALL
         SELECT turn + 1, list_append(picks, (SELECT struct_pack(i := z.i, j := z.j, k := z.k, zeta := z.zeta) FROM zz z WHERE z.zeta >= {ZETA_LEAST} AND NOT list_bool_or(list_transform(picks, lambda p: coalesce(abs(p.i - z.i) <= 2 AND abs(p.j - z.j) <= 2, false))) ORDER BY z.zeta DESC, z.i, z.j, z.k LIMIT 1)) FROM r WHERE turn < 5),
@@ -218,14 +227,14 @@ ORACLES = {
     "m_product_match": oracle("wind features", f"+{_ZETA}, p AS (SELECT k, j, i, z, id, fz, sqrt((x - fx) ** 2 + (y - fy) ** 2) AS d, row_number() OVER (PARTITION BY k, j, i ORDER BY (x - fx) ** 2 + (y - fy) ** 2, id) AS r FROM zz, features WHERE zeta >= 2.5::DOUBLE) SELECT k, j, i, id, round(d, 4) + 0e0 AS distance, d <= 15000 AND abs(z - fz) <= 3000 AS matched FROM p WHERE r = 1"),
     "feature_nearest_cell": oracle("features", f"SELECT id, {_CELL.format('(fx + 5e4) / 5e3', 20)} AS i, {_CELL.format('(fy + 5e4) / 5e3', 20)} AS j, {_CELL.format('(fz - 5e2) / 5e2', 4)} AS k FROM features"),
     "feature_neighbourhood": oracle("cells features", f"+f AS (SELECT *, {_CELL.format('(fz - 5e2) / 5e2', 4)} AS fk FROM features) SELECT id, count(*) AS cells, count(vr1) AS seen1, count(vr2) AS seen2, max(dbz1) AS dbz FROM f JOIN cells ON (x - fx) ** 2 + (y - fy) ** 2 <= 25e6 AND abs(k - fk) <= 1 GROUP BY id"),
-    "feature_polar_support": oracle("features gates", "+f AS (SELECT id, id * 7 % 360 AS az, id * 3 % 100 AS g, id % 6 AS sw FROM features WHERE id < 300) SELECT id, count(*) AS gates, count(*) FILTER (WHERE abs(vr) <= 20) AS passed FROM f JOIN gates ON radar = 1 AND sweep = sw AND least(abs(ray - az), 360 - abs(ray - az)) <= 1 AND abs(gate - g) <= 2 GROUP BY id"),
+    "feature_polar_support": oracle("features gates", "+f AS (SELECT id, id * 7 % 360 AS az, id * 3 % 100 AS g, id % 6 AS sw FROM features) SELECT id, count(*) AS gates, count(*) FILTER (WHERE abs(vr) <= 20) AS passed FROM f JOIN gates ON radar = 1 AND sweep = sw AND least(abs(ray - az), 360 - abs(ray - az)) <= 1 AND abs(gate - g) <= 2 GROUP BY id"),
     "mask_bounding_box": oracle("wind", "SELECT " + ", ".join(f"min({c}) AS {c}_low, max({c}) AS {c}_high" for c in "kji") + " FROM wind WHERE valid AND dbz > 55"),
     "best_plot_level": oracle("wind", f"+{_ZETA} SELECT k, max(abs(zeta)) AS peak FROM zz WHERE k < 3 GROUP BY k ORDER BY peak DESC, k LIMIT 1"),
     "polyline_clip": oracle("features", "+p AS (SELECT id % 7 AS line, id AS seq, abs(fx) <= 35e3 AND abs(fy) <= 3e4 AS ok FROM features), g AS (SELECT *, sum((NOT ok)::INT) OVER (PARTITION BY line ORDER BY seq) AS run FROM p) SELECT line, min(seq) AS first, max(seq) AS last, count(*) AS points FROM g WHERE ok GROUP BY line, run HAVING count(*) >= 2"),
     "streamline_trim": oracle("features", "+p AS (SELECT id % 3 AS line, id AS seq, fx ** 2 + fy ** 2 <= 225e6 AS near FROM features), e AS (SELECT line, min(seq) FILTER (WHERE near) AS a, max(seq) FILTER (WHERE near) AS b FROM p GROUP BY line) SELECT line, count(*) AS points, min(seq) AS first, max(seq) AS last FROM p JOIN e USING (line) WHERE seq BETWEEN a AND b GROUP BY line"),
     "components_label": oracle("cells", """+c AS (SELECT (k * 441 + j * 21 + i)::BIGINT AS id, k, j, i FROM cells WHERE dbz1 >= 54), e AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON abs(a.k - b.k) + abs(a.j - b.j) + abs(a.i - b.i) = 1),
       r AS (SELECT id, id AS seen FROM c UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a) SELECT component, count(*) AS cells FROM (SELECT id, min(seen) AS component FROM r GROUP BY id) GROUP BY component HAVING count(*) >= 3""", recursive=True),
-    "mode_gram": oracle("tensor", "SELECT a.col AS p, b.col AS q, round(sum(a.value * b.value), 5) + 0e0 AS g FROM tensor a JOIN tensor b ON a.row = b.row WHERE a.col < 16 AND b.col < 16 GROUP BY ALL"),
+    "mode_gram": oracle("tensor", "SELECT a.col AS p, b.col AS q, round(sum(a.value * b.value), 5) + 0e0 AS g FROM tensor a JOIN tensor b ON a.row = b.row GROUP BY ALL"),
     "mode_product": oracle("tensor", "SELECT row, o::INT AS out, round(sum(value * ((col * 7 + o * 3) % 11 - 5)), 5) + 0e0 AS value FROM tensor, range(4) m(o) GROUP BY ALL"),
     "relative_error": oracle("tensor", "+m AS (SELECT label, col, avg(value) AS mean FROM tensor GROUP BY ALL) SELECT col, round(sqrt(sum((value - mean) ** 2)) / sqrt(sum(value ** 2)), 5) + 0e0 AS error FROM tensor JOIN m USING (label, col) GROUP BY col"),
     "rank_rules": oracle("features", """+s AS (SELECT id, id % 40 + 2 AS nx, id % 30 + 3 AS ny, id % 12 + 1 AS nz, id % 4 + 2 AS nt FROM features), u(rule, a, b, t) AS (VALUES ('aggressive_temporal', 125, 250, 1), ('compact_temporal', 250, 500, 2), ('moderate_temporal', 500, 750, 3), ('compact_rt_full', 250, 500, 99), ('moderate_rt_full', 500, 750, 99)),
