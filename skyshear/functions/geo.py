@@ -47,6 +47,11 @@ def feature_to_xy(lat: Column, lon: Column, lat0: float, lon0: float) -> tuple[C
     return (lon - lon0) * 111.0 * F.cos(F.radians(lat)), (lat - lat0) * 111.0
 
 
+def stretched(z: Column, scale: float) -> Column:
+    """Heights of a scene, exaggerated."""
+    return z * scale
+
+
 def cosines(azimuth_deg: Column, elevation_deg: Column) -> tuple[Column, Column, Column]:
     """East, north, up components of a beam: azimuth clockwise from north, elevation upwards."""
     az, el = F.radians(azimuth_deg), F.radians(elevation_deg)

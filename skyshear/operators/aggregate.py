@@ -21,6 +21,13 @@ def bin_of(value: Column, edges: tuple, closed_end: bool) -> Column:
     return out if closed_end else F.when(value >= edges[-1], len(edges) - 1).otherwise(out)
 
 
+def with_next(cells: DataFrame, volumes: int) -> DataFrame:
+    """``t, j, i, now, next``: cells of ``cells`` (t, j, i) at t or t + 1, and at which of both, for all pairs of successive volumes."""
+    each = F.explode(F.array(F.struct(F.col("t").alias("t"), F.lit(True).alias("now")), F.struct((F.col("t") - 1).alias("t"), F.lit(False).alias("now"))))
+    rows = cells.select("j", "i", each.alias("e")).select("e.t", "j", "i", "e.now").filter(F.col("t").between(0, volumes - 2))
+    return rows.groupBy("t", "j", "i").agg(F.max("now").alias("now"), F.max(~F.col("now")).alias("next"))
+
+
 def coverage_by_height(cells: DataFrame) -> DataFrame:
     """Shares of each level that either radar sees, both see, and the crossing angle accepts."""
     v1, v2 = F.col("vr1").isNotNull(), F.col("vr2").isNotNull()

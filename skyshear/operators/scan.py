@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,11 +52,20 @@ def nyquist(wanted: DataFrame, config: DataFrame) -> DataFrame:
     return least.groupBy("id").agg(F.coalesce(F.max(F.when(hit, F.col("speed"))), F.lit(NYQUIST_FALLBACK)).alias("nyquist"))
 
 
-def volume_rays(gates: DataFrame, n_gates: int) -> DataFrame:
-    """Rays in sweep and azimuth order: running index, values of exactly ``n_gates`` gates (cut or padded with nulls)."""
-    rays = gates.filter(F.col("gate") < n_gates).groupBy("radar", "sweep", "ray").agg(F.map_from_entries(F.collect_list(F.struct("gate", "vr"))).alias("m"))
-    at = F.row_number().over(Window.partitionBy("radar").orderBy("sweep", "ray")) - 1
-    return rays.select("radar", "sweep", "ray", at.alias("ray_idx"), F.transform(F.sequence(F.lit(0), F.lit(n_gates - 1)), lambda g: F.try_element_at("m", g)).alias("values"))
+def volume_rays(gates: DataFrame) -> DataFrame:
+    """Rays in order of elevation and azimuth: running index, values of as many gates as the radar's lowest sweep has (cut or padded with nulls)."""
+    sweeps = gates.groupBy("radar", "sweep", "elevation").agg((F.max("gate") + 1).alias("n"))
+    first = sweeps.groupBy("radar").agg(F.min_by("n", F.struct("elevation", "sweep")).alias("n_gates"))  # one row a radar
+    cut = gates.join(F.broadcast(first), "radar")
+    values = F.map_from_entries(F.collect_list(F.when(F.col("gate") < F.col("n_gates"), F.struct("gate", "vr"))))
+    rays = cut.groupBy("radar", "sweep", "elevation", "ray", "n_gates").agg(values.alias("m"))
+    at = F.row_number().over(Window.partitionBy("radar").orderBy("elevation", "sweep", "ray")) - 1
+    return rays.select("radar", "sweep", "ray", at.alias("ray_idx"), F.transform(F.sequence(F.lit(0), F.col("n_gates") - 1), lambda g: F.try_element_at("m", g)).alias("values"))
+
+
+def without_extremes(gates: DataFrame, speed: float = 100.0, dbz: tuple[float, float] = (-20.0, 80.0)) -> DataFrame:
+    """Values that no weather has are null: radial velocities beyond ``speed``, reflectivities outside ``dbz``."""
+    return gates.withColumns({"vr": F.when(F.abs("vr") <= speed, F.col("vr")), "dbz": F.when(F.col("dbz").between(*dbz), F.col("dbz"))})
 
 
 def repeated_sweeps(sweeps: DataFrame) -> DataFrame:
@@ -69,9 +82,20 @@ def gate_stats(gates: DataFrame, limit: float = 20.0) -> DataFrame:
 
 
 def byte_histogram(texts: DataFrame, top: int = 8) -> DataFrame:
-    """The most frequent bytes of all contents."""
-    one = texts.select(F.explode(F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit("(..)"), F.lit(1))).alias("byte"))
-    return one.groupBy("byte").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "byte").limit(top)
+    """The most frequent bytes of all contents: a batch of texts is counted as one buffer and gives 256 rows at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(256, np.int64)
+        for batch in batches:
+            column = batch.column(0).cast(pa.large_binary())
+            if len(column) and column.buffers()[2] is not None:
+                ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+                n += np.bincount(np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]], minlength=256)
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([f"{b:02X}" for b in seen]), pa.array(n[seen])], ["byte", "n"])
+
+    one = texts.select("text").mapInArrow(count, "byte string, n long")
+    return one.groupBy("byte").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "byte").limit(top)
 
 
 def provenance(texts: DataFrame) -> DataFrame:

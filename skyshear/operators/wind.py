@@ -35,7 +35,11 @@ def solve_uv(w: Column) -> tuple[Column, Column]:
 
 def synthesise(cells: DataFrame, w: Column | None = None, least: float = MIN_ANGLE) -> DataFrame:
     """``cells`` with beams, ``valid`` and, where valid, u and v."""
-    out = beams(cells)
+    return solved(beams(cells), w, least)
+
+
+def solved(out: DataFrame, w: Column | None = None, least: float = MIN_ANGLE) -> DataFrame:
+    """Cells that have their beams with ``valid`` and, where valid, u and v."""
     out = out.withColumn("valid", dual(out, least))
     u, v = solve_uv(F.lit(0.0) if w is None else w)
     return out.withColumn("u", F.when(F.col("valid"), u)).withColumn("v", F.when(F.col("valid"), v))

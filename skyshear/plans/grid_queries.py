@@ -11,13 +11,16 @@ from skyshear.operators import grid
 from skyshear.plans.views import oracle, view
 
 NY = NX = 15
-_GATES = "g AS (SELECT (ray % 41 - 20) * 2400e0 AS gx, (gate % 37 - 18) * 2700e0 AS gy, vr FROM gates WHERE radar = 1 AND sweep = 2)"
+#: Cells of 5 km that a storm may move between volumes: 30 km.
+REACH = 6
+_GATES = "g AS (SELECT radar, sweep, (ray % 41 - 20) * 2400e0 AS gx, (gate % 37 - 18) * 2700e0 AS gy, vr FROM gates), c AS (SELECT DISTINCT j, i, x, y FROM cells)"
 
 
 def _cressman(s, d):  # noqa: ANN001, ANN202
-    cells = view(s, d, "cells").filter("k = 0").select("j", "i", "x", "y")
-    g = view(s, d, "gates").filter("radar = 1 AND sweep = 2").select(((F.col("ray") % 41 - 20) * 2400.0).alias("gx"), ((F.col("gate") % 37 - 18) * 2700.0).alias("gy"), "vr")
-    return grid.cressman(cells, g, ["j", "i"], "vr", 4000.0).select("j", "i", R(F.col("value"), 5).alias("value"), "n")
+    """Each sweep of each radar on the columns of the grid."""
+    cells = view(s, d, "cells").select("j", "i", "x", "y").distinct()
+    g = view(s, d, "gates").select("radar", "sweep", ((F.col("ray") % 41 - 20) * 2400.0).alias("gx"), ((F.col("gate") % 37 - 18) * 2700.0).alias("gy"), "vr")
+    return grid.cressman(cells, g, ["radar", "sweep", "j", "i"], "vr", 4000.0).select("radar", "sweep", "j", "i", R(F.col("value"), 5).alias("value"), "n")
 
 
 def _points(s, d):  # noqa: ANN001, ANN202
@@ -25,12 +28,14 @@ def _points(s, d):  # noqa: ANN001, ANN202
 
 
 def _bilinear(s, d):  # noqa: ANN001, ANN202
-    f = view(s, d, "field").filter("t = 0").select("j", "i", F.col("v").alias("value"))
-    return grid.bilinear(_points(s, d), f).select("id", R(F.col("value"), 5).alias("value"))
+    """Every point in every volume."""
+    f = view(s, d, "field").select("t", "j", "i", F.col("v").alias("value"))
+    p = _points(s, d).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    return grid.bilinear(p, f, ("id", "t"), ("t",)).select("id", "t", R(F.col("value"), 5).alias("value"))
 
 
 def _profile(s, d):  # noqa: ANN001, ANN202
-    p = view(s, d, "profile").filter("level % 3 <> 0").select((F.col("level") * 300.0).alias("z"), (-F.col("speed") * F.sin(F.radians("direction"))).alias("u"))
+    p = view(s, d, "profile").select((F.col("level") * 300.0).alias("z"), (-F.col("speed") * F.sin(F.radians("direction"))).alias("u"))
     at = view(s, d, "features").select("id", (F.col("id") * 97 % 17000).cast("double").alias("x0"))
     return grid.linear(p, at, "z", "u").select("id", R(F.col("value"), 5).alias("u"))
 
@@ -93,7 +98,7 @@ def _consistency(s, d):  # noqa: ANN001, ANN202
 
 
 def _scores(s, d):  # noqa: ANN001, ANN202
-    return grid.motion_scores(_field(s, d), 3, 3.0, 25)
+    return grid.motion_scores(_field(s, d), REACH, 3.0, 25)
 
 
 def _ncc(s, d):  # noqa: ANN001, ANN202
@@ -121,7 +126,7 @@ def _sql_move(dx, dy, adjoint):  # noqa: ANN001, ANN202
 
 
 _LEVELS = ", ".join(f"({a[0]}, {b[0]}, {a[1]}, {b[1]}, {a[2]}, {b[2]}, {a[3]}, {b[3]})" for a, b in zip(COLOURS[:-1], COLOURS[1:], strict=True))
-_NCC = """f AS (SELECT t, j, i, greatest(v - 3, 0) AS e FROM field), s AS (SELECT dj::INT AS dj, di::INT AS di FROM range(-3, 4) a(dj), range(-3, 4) b(di)),
+_NCC = """f AS (SELECT t, j, i, greatest(v - 3, 0) AS e FROM field), s AS (SELECT dj::INT AS dj, di::INT AS di FROM range(-6, 7) a(dj), range(-6, 7) b(di)),
   p AS (SELECT f.t, dj, di, f.e AS a, g.e AS b FROM f, s, f g WHERE g.t = f.t + 1 AND g.j = f.j + dj AND g.i = f.i + di AND (f.e > 0 OR g.e > 0)),
   sc AS (SELECT t, dj, di, round(sum(a * b) / nullif(sqrt(sum(a * a) * sum(b * b)), 0), 5) + 0e0 AS score, count(*) AS cells FROM p GROUP BY ALL HAVING count(*) >= 25)"""
 QUERIES = {
@@ -142,11 +147,11 @@ QUERIES = {
     "cumulative_shift": _cumulative,
 }
 ORACLES = {
-    "cressman_grid": oracle("cells gates", f"+{_GATES}, p AS (SELECT j, i, vr, 16e6 AS r, (x - gx) ** 2 + (y - gy) ** 2 AS d FROM cells, g WHERE k = 0 AND vr IS NOT NULL AND (x - gx) ** 2 + (y - gy) ** 2 <= 16e6) SELECT j, i, round(sum((r - d) / (r + d) * vr) / nullif(sum((r - d) / (r + d)), 0), 5) + 0e0 AS value, count(*) AS n FROM p GROUP BY j, i"),
-    "bilinear_sample": oracle("features field", """+p AS (SELECT id, id * 37 % 1300 / 1e2 AS px, id * 53 % 1300 / 1e2 AS py FROM features), f AS (SELECT j, i, v FROM field WHERE t = 0)
-      SELECT id, round(a.v * (1 - (px - floor(px))) * (1 - (py - floor(py))) + b.v * (px - floor(px)) * (1 - (py - floor(py))) + c.v * (1 - (px - floor(px))) * (py - floor(py)) + e.v * (px - floor(px)) * (py - floor(py)), 5) + 0e0 AS value FROM p
-      LEFT JOIN f a ON a.i = floor(px) AND a.j = floor(py) LEFT JOIN f b ON b.i = floor(px) + 1 AND b.j = floor(py) LEFT JOIN f c ON c.i = floor(px) AND c.j = floor(py) + 1 LEFT JOIN f e ON e.i = floor(px) + 1 AND e.j = floor(py) + 1"""),
-    "vwp_background": oracle("profile features", """+p AS (SELECT level * 300e0 AS z, -speed * sin(radians(direction::DOUBLE)) AS u FROM profile WHERE level % 3 <> 0), a AS (SELECT id, (id * 97 % 17000)::DOUBLE AS x FROM features),
+    "cressman_grid": oracle("cells gates", f"+{_GATES}, p AS (SELECT radar, sweep, j, i, vr, 16e6 AS r, (x - gx) ** 2 + (y - gy) ** 2 AS d FROM c, g WHERE vr IS NOT NULL AND (x - gx) ** 2 + (y - gy) ** 2 <= 16e6) SELECT radar, sweep, j, i, round(sum((r - d) / (r + d) * vr) / nullif(sum((r - d) / (r + d)), 0), 5) + 0e0 AS value, count(*) AS n FROM p GROUP BY ALL"),
+    "bilinear_sample": oracle("features field", """+p AS (SELECT id, id * 37 % 1300 / 1e2 AS px, id * 53 % 1300 / 1e2 AS py, t::INT AS t FROM features, range(6) r(t)), f AS (SELECT t, j, i, v FROM field)
+      SELECT id, p.t, round(a.v * (1 - (px - floor(px))) * (1 - (py - floor(py))) + b.v * (px - floor(px)) * (1 - (py - floor(py))) + c.v * (1 - (px - floor(px))) * (py - floor(py)) + e.v * (px - floor(px)) * (py - floor(py)), 5) + 0e0 AS value FROM p
+      LEFT JOIN f a ON a.t = p.t AND a.i = floor(px) AND a.j = floor(py) LEFT JOIN f b ON b.t = p.t AND b.i = floor(px) + 1 AND b.j = floor(py) LEFT JOIN f c ON c.t = p.t AND c.i = floor(px) AND c.j = floor(py) + 1 LEFT JOIN f e ON e.t = p.t AND e.i = floor(px) + 1 AND e.j = floor(py) + 1"""),
+    "vwp_background": oracle("profile features", """+p AS (SELECT level * 300e0 AS z, -speed * sin(radians(direction::DOUBLE)) AS u FROM profile), a AS (SELECT id, (id * 97 % 17000)::DOUBLE AS x FROM features),
       l AS (SELECT a.id, a.x, p.z AS z0, p.u AS u0 FROM a ASOF LEFT JOIN p ON a.x >= p.z), h AS (SELECT a.id, p.z AS z1, p.u AS u1 FROM a ASOF LEFT JOIN p ON a.x < p.z)
       SELECT id, round(CASE WHEN z0 IS NULL THEN u1 WHEN z1 IS NULL THEN u0 ELSE u0 + (u1 - u0) * (x - z0) / (z1 - z0) END, 5) + 0e0 AS u FROM l JOIN h USING (id)"""),
     "gaussian_smooth_masked": oracle("wind", "+c AS (SELECT k, j, i, u FROM wind WHERE valid) SELECT a.k, a.j, a.i, round(sum(u2 * w) / greatest(sum(w), 1e-6), 5) + 0e0 AS smooth FROM (SELECT k, j, i FROM wind) a LEFT JOIN (SELECT c.k, c.j + dj AS j, c.i + di AS i, u AS u2, exp(-(dj * dj) / 4.5::DOUBLE) * exp(-(di * di) / 4.5::DOUBLE) AS w FROM c, range(-6, 7) x(dj), range(-6, 7) y(di)) s ON s.k = a.k AND s.j = a.j AND s.i = a.i GROUP BY a.k, a.j, a.i"),

@@ -105,13 +105,9 @@ def _seeds(s, d):  # noqa: ANN001, ANN202
 
 def _storm_relative(s, d):  # noqa: ANN001, ANN202
     """Volumes of a window moved back to the first one's place, with what is lost at the borders."""
-    f = view(s, d, "field")
-    out = None
-    for t in range(3):
-        one = f.filter(F.col("t") == t).select("j", "i", "v")
-        moved = (grid.translate(one, -1.0 * t, 0.5 * t, 15, 15) if t else one).agg(F.lit(t).alias("t"), F.count("*").alias("cells"), R(F.sum("v"), 5).alias("total"))
-        out = moved if out is None else out.unionByName(moved)
-    return out
+    shifts = s.range(6).select(F.col("id").cast("int").alias("t"), (-1.0 * F.col("id")).alias("dx"), (0.5 * F.col("id")).alias("dy"))
+    moved = grid.translate_by(view(s, d, "field"), shifts, ["t"], 15, 15)
+    return moved.groupBy("t").agg(F.count("*").alias("cells"), R(F.sum("v"), 5).alias("total"))
 
 
 QUERIES = {
@@ -132,7 +128,7 @@ _ZETA = "CASE WHEN valid THEN ((v_ip - v_im) - (u_jp - u_jm)) END"
 ORACLES = {
     "cr_clean": oracle("cells", "SELECT k, j, i, CASE WHEN dbz1 >= -5 THEN dbz1 END AS loaded, CASE WHEN dbz1 > -5 THEN dbz1 END AS gridded FROM cells"),
     "unobserved_cells": oracle("wind", "+g AS (SELECT k::INT AS k, j::INT AS j, i::INT AS i FROM range(5) a(k), range(21) b(j), range(21) c(i)) SELECT k, count(*) AS unobserved FROM g WHERE NOT EXISTS (SELECT 1 FROM wind w WHERE w.valid AND w.k = g.k AND w.j = g.j AND w.i = g.i) GROUP BY k"),
-    "forward_discrepancy": oracle("cells", _SYN + "SELECT count(*) AS n, true AS agrees, 0e0 AS largest FROM b WHERE vr1 IS NOT NULL AND vr2 IS NOT NULL"),
+    "forward_discrepancy": oracle("cells", _SYN + ", e AS (SELECT abs(bx1 * vr1 + by1 * vr2 + bz1 * 1.5::DOUBLE - (cos(asin(bz1)) * sin(atan2(bx1, by1)) * vr1 + cos(asin(bz1)) * cos(atan2(bx1, by1)) * vr2 + sin(asin(bz1)) * 1.5::DOUBLE)) AS gap FROM b WHERE vr1 IS NOT NULL AND vr2 IS NOT NULL) SELECT count(*) AS n, max(gap) < 1e-9 AS agrees, round(max(gap), 6) + 0e0 AS largest FROM e"),
     "residual_attribution": oracle("wind", f"""+{_VW}, q AS (SELECT *, rho * w AS rw, exp(-(z + 500) / 1e4) * w_kp AS rp, exp(-(z - 500) / 1e4) * w_km AS rm,
         (coalesce(u_ip, u) - coalesce(u_im, u)) / nullif(5e3 * ((u_ip IS NOT NULL)::INT + (u_im IS NOT NULL)::INT), 0) + (coalesce(v_jp, v) - coalesce(v_jm, v)) / nullif(5e3 * ((v_jp IS NOT NULL)::INT + (v_jm IS NOT NULL)::INT), 0) AS h, nullif({DZ} * ((w_kp IS NOT NULL)::INT + (w_km IS NOT NULL)::INT), 0) AS dz FROM n WHERE valid),
       e AS (SELECT h + (coalesce(rp, rw) - coalesce(rm, rw)) / dz / rho AS a, h + (coalesce(w_kp, w) - coalesce(w_km, w)) / dz - w / 1e4 AS b FROM q)
@@ -145,6 +141,6 @@ ORACLES = {
     "newest_result": "SELECT event_type, event_id AS newest FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1",
     "ring_seeds": oracle("wind", """+n AS (SELECT ring, angle, angle * (pi() / 4) + (CAST('0x' || md5(ring || ':' || angle)[1:6] AS BIGINT) / 16777216e0 - 0.5::DOUBLE) * 0.16::DOUBLE AS turn, 3e3 + 15e2 * ring AS r FROM range(5) a(ring), range(8) b(angle)),
       p AS (SELECT ring, angle, r * cos(turn) AS x, r * sin(turn) AS y FROM n) SELECT ring, angle, round(p.x, 3) + 0e0 AS x, round(p.y, 3) + 0e0 AS y FROM p WHERE EXISTS (SELECT 1 FROM wind w WHERE w.valid AND w.k = 1 AND w.i = floor((p.x + 525e2) / 5e3) AND w.j = floor((p.y + 525e2) / 5e3))"""),
-    "storm_relative": oracle("field", """+m(t, sj, si, w) AS (VALUES (0, 0, 0, 1e0), (1, 0, -1, 0.5::DOUBLE), (1, 1, -1, 0.5::DOUBLE), (2, 1, -2, 1e0)), p AS (SELECT t, j + sj AS j, i + si AS i, sum(v * w) AS v FROM field JOIN m USING (t) GROUP BY ALL)
+    "storm_relative": oracle("field", """+m AS (SELECT t::INT AS t, (t // 2 + s)::INT AS sj, -t::INT AS si, CASE WHEN t % 2 = 0 THEN 1e0 ELSE 0.5::DOUBLE END AS w FROM range(6) a(t), range(2) b(s) WHERE t % 2 = 1 OR s = 0), p AS (SELECT t, j + sj AS j, i + si AS i, sum(v * w) AS v FROM field JOIN m USING (t) GROUP BY ALL)
       SELECT t, count(*) AS cells, round(sum(v), 5) + 0e0 AS total FROM p WHERE j BETWEEN 0 AND 14 AND i BETWEEN 0 AND 14 GROUP BY t"""),
 }

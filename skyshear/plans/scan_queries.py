@@ -26,7 +26,7 @@ def _sweeps(spark, sf):  # noqa: ANN001, ANN202
 
 def _nyquist(spark, sf):  # noqa: ANN001, ANN202
     wanted = view(spark, sf, "features").select("id", ((F.col("id") % 200) * 0.1).alias("elevation"))
-    config = view(spark, sf, "profile").filter("level % 4 <> 1").select((F.col("level") * 0.35).alias("elev"), F.col("speed").alias("speed"))
+    config = view(spark, sf, "profile").select((F.col("level") * 0.35).alias("elev"), F.col("speed").alias("speed"))
     return scan.nyquist(wanted, config).select("id", F.round("nyquist", 6).alias("nyquist"))
 
 
@@ -49,7 +49,7 @@ def _labels(spark, sf):  # noqa: ANN001, ANN202
 
 
 def _rays(spark, sf):  # noqa: ANN001, ANN202
-    rays = scan.volume_rays(view(spark, sf, "gates"), 40)
+    rays = scan.volume_rays(view(spark, sf, "gates").withColumn("elevation", F.col("sweep") * 1.5 + 0.5))
     return rays.select("radar", "sweep", "ray", "ray_idx", F.size("values").alias("n"), F.size(F.filter("values", lambda v: v.isNotNull())).alias("present"), F.round(F.aggregate(F.filter("values", lambda v: v.isNotNull()), F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
 
 
@@ -99,18 +99,19 @@ ORACLES = {
     "discover_files": oracle("names", f"+{_PARSE}, {_MAP} SELECT station, ts, layer, string_agg(DISTINCT code, ',' ORDER BY code) AS codes, count(*) AS files FROM y JOIN m USING (code) WHERE product <> 'ProductIndex' AND quantity = 'velocity' AND resolution = 'high' GROUP BY station, ts, layer"),
     "name_timestamps": oracle("names", "+x AS (SELECT name, list_filter(string_split(name, '_'), lambda p: length(p) = 15 AND p LIKE '%Z') AS f FROM names) SELECT name, f[1] AS ts1, coalesce(f[2], f[1]) AS ts2 FROM x"),
     "distinct_timestamps": oracle("names", f"+{_PARSE} SELECT DISTINCT station, ts FROM y"),
-    "nyquist_lookup": oracle("features profile", """+w AS (SELECT id, (id % 200) * 0.1::DOUBLE AS e FROM features), c AS (SELECT level * 0.35::DOUBLE AS elev, speed FROM profile WHERE level % 4 <> 1),
+    "nyquist_lookup": oracle("features profile", """+w AS (SELECT id, (id % 200) * 0.1::DOUBLE AS e FROM features), c AS (SELECT level * 0.35::DOUBLE AS elev, speed FROM profile),
       d AS (SELECT id, speed, round(abs(e - elev), 6) AS d FROM w, c), l AS (SELECT id, min(d) AS m FROM d GROUP BY id)
       SELECT id, round(coalesce(max(speed) FILTER (WHERE m <= 0.25 AND d <= round(m + 0.02::DOUBLE, 6) AND speed > 0), 30), 6) AS nyquist FROM d JOIN l USING (id) GROUP BY id"""),
-    "volume_rays": oracle("gates", """+r AS (SELECT radar, sweep, ray, count(vr) AS present, round(sum(vr), 6) + 0e0 AS total FROM gates WHERE gate < 40 GROUP BY ALL)
-      SELECT radar, sweep, ray, (row_number() OVER (PARTITION BY radar ORDER BY sweep, ray) - 1)::INT AS ray_idx, 40 AS n, present, total FROM r"""),
+    "volume_rays": oracle("gates", """+f AS (SELECT radar, arg_min(n, sweep) AS n FROM (SELECT radar, sweep, max(gate) + 1 AS n FROM gates GROUP BY ALL) GROUP BY radar),
+      r AS (SELECT radar, sweep, ray, n, count(vr) FILTER (WHERE gate < n) AS present, round(coalesce(sum(vr) FILTER (WHERE gate < n), 0), 6) + 0e0 AS total FROM gates JOIN f USING (radar) GROUP BY ALL)
+      SELECT radar, sweep, ray, (row_number() OVER (PARTITION BY radar ORDER BY sweep, ray) - 1)::INT AS ray_idx, n, present, total FROM r"""),
     "repeated_sweeps": oracle("gates", """+s AS (SELECT DISTINCT radar AS station, sweep, round_even(ray % 9 * 0.505::DOUBLE, 3) AS elevation FROM gates),
       c AS (SELECT station, round_even(elevation, 2) AS e, count(*) AS same FROM s GROUP BY ALL) SELECT s.station, sweep, elevation, same, same > 1 AS repeated FROM s JOIN c ON s.station = c.station AND round_even(s.elevation, 2) = c.e"""),
     "gate_stats": oracle("gates", "SELECT radar, count(*) AS total, count(vr) AS present, count(*) FILTER (WHERE abs(vr) <= 20) AS passed, count(*) FILTER (WHERE abs(vr) > 20) AS masked FROM gates GROUP BY radar"),
     "byte_histogram": "SELECT byte, count(*) AS n FROM (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS byte FROM documents) GROUP BY byte ORDER BY n DESC, byte LIMIT 8",
     "content_sha256": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "station_resolve": oracle("features", f"+k(station, lat, lon) AS (VALUES {_STATIONS}), s AS (SELECT 'Z9' || (id % 300 + 300) AS station, (id % 50)::DOUBLE AS a, (id % 70 + 70)::DOUBLE AS o FROM features) SELECT station, coalesce(lat, a)::DOUBLE AS lat, coalesce(lon, o)::DOUBLE AS lon, lat IS NOT NULL AS registered FROM s LEFT JOIN k USING (station)"),
-    "dem_tiles": oracle("features", """+d AS (SELECT id, fx / 2e4 + 35 AS a, fx / 2e4 + 36.5::DOUBLE AS b, fy / 2e4 + 117 AS c, fy / 2e4 + 118.2::DOUBLE AS e FROM features WHERE id < 40),
+    "dem_tiles": oracle("features", """+d AS (SELECT id, fx / 2e4 + 35 AS a, fx / 2e4 + 36.5::DOUBLE AS b, fy / 2e4 + 117 AS c, fy / 2e4 + 118.2::DOUBLE AS e FROM features),
       la AS (SELECT *, unnest(range(floor(a)::BIGINT, ceil(b)::BIGINT)) AS la FROM d), lo AS (SELECT *, unnest(range(floor(c)::BIGINT, ceil(e)::BIGINT)) AS lo FROM la) SELECT DISTINCT id, printf('N%02dE%03d', la, lo) AS tile FROM lo"""),
     "label_names": oracle("features", "SELECT id, trim(string_split('a|b ' || CASE WHEN id % 2 = 0 THEN '| town ' ELSE '' END || id || ' ', '|')[-1]) AS label FROM features"),
     "time_match_greedy": oracle("scans", _MATCH + "SELECT t1, t2, diff FROM claims WHERE c = 1"),

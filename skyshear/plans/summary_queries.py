@@ -12,6 +12,8 @@ from skyshear.plans.views import oracle, view
 from skyshear.plans.wind_queries import _SYN, _VW
 
 KEY = ["k", "j", "i"]
+#: Volumes of the field view.
+VOLUMES = 6
 
 
 def _beams(s, d):  # noqa: ANN001, ANN202
@@ -92,16 +94,13 @@ def _fit(s, d):  # noqa: ANN001, ANN202
 
 
 def _union(s, d):  # noqa: ANN001, ANN202
-    f = view(s, d, "field").filter("v IS NOT NULL")
-    at = lambda t: f.filter(F.col("t") == t).select("j", "i")
-    some, both = at(0).union(at(1)).distinct(), at(0).intersect(at(1))
-    return some.join(both.withColumn("both", F.lit(True)), ["j", "i"], "left").select("j", "i", F.coalesce("both", F.lit(False)).alias("both"))
+    """Of each volume and the next one: cells that either observes, and whether both do."""
+    return aggregate.with_next(view(s, d, "field").filter("v IS NOT NULL"), VOLUMES).select("t", "j", "i", (F.col("now") & F.col("next")).alias("both"))
 
 
 def _xor(s, d):  # noqa: ANN001, ANN202
-    f = view(s, d, "field").filter("v > 5")
-    at = lambda t: f.filter(F.col("t") == t).select("j", "i")
-    return at(0).subtract(at(1)).union(at(1).subtract(at(0)))
+    """Of each volume and the next one: cells above the limit in one of them alone."""
+    return aggregate.with_next(view(s, d, "field").filter("v > 5"), VOLUMES).filter("now <> next").select("t", "j", "i")
 
 
 def _rollup(s, d):  # noqa: ANN001, ANN202
@@ -110,13 +109,13 @@ def _rollup(s, d):  # noqa: ANN001, ANN202
 
 def _vortex_summary(s, d):  # noqa: ANN001, ANN202
     w = view(s, d, "cells")
-    return w.filter((F.col("z") >= 1000) & (F.col("z") <= 2000)).groupBy("j", "i").agg(F.max(F.greatest("dbz1", "dbz2")).alias("composite"))
+    return w.filter((F.col("z") >= 2000) & (F.col("z") <= 6000)).groupBy("j", "i").agg(F.max(F.greatest("dbz1", "dbz2")).alias("composite"))
 
 
 _CASES = ", ".join(f"({n}, {lo}, {hi}, {str(n == len(ANGLE_EDGES) - 2).lower()})" for n, (lo, hi) in enumerate(zip(ANGLE_EDGES[:-1], ANGLE_EDGES[1:], strict=True)))
 _RANGES = ", ".join(f"({n}, {lo}, {hi})" for n, (lo, hi) in enumerate(zip(RANGE_EDGES, (*RANGE_EDGES[1:], 1_000_000), strict=True)))
 _NORMS = "count(*) AS n, round(sqrt(sum((a - b) ** 2)), 5) + 0e0 AS l2, round(sqrt(avg((a - b) ** 2)), 5) + 0e0 AS rmse, round(sqrt(sum((a - b) ** 2)) / nullif(sqrt(sum(b * b)), 0), 5) + 0e0 AS relative"
-_STORM = "storm AS (SELECT id, round(avg(u), 5) + 0e0 AS u, round(avg(v), 5) + 0e0 AS v, count(u) AS n FROM features, wind WHERE id < 200 AND x >= fx - 2e4 AND x < fx + 2e4 AND y >= fy - 2e4 AND y < fy + 2e4 AND z < 6000 GROUP BY id)"
+_STORM = "storm AS (SELECT id, round(avg(u), 5) + 0e0 AS u, round(avg(v), 5) + 0e0 AS v, count(u) AS n FROM features, wind WHERE x >= fx - 2e4 AND x < fx + 2e4 AND y >= fy - 2e4 AND y < fy + 2e4 AND z < 6000 GROUP BY id)"
 QUERIES = {
     "coverage_by_height": lambda s, d: aggregate.coverage_by_height(_beams(s, d)),
     "bca_bins": lambda s, d: aggregate.angle_bins(_beams(s, d)),
@@ -148,13 +147,13 @@ ORACLES = {
     "quality_gate": oracle("wind", "+g AS (SELECT round(quantile_cont(abs(w), 0.99), 5) + 0e0 AS w_p99, round(quantile_cont(abs(u * 1e-4), 0.95), 5) + 0e0 AS residual_p95 FROM wind WHERE valid) SELECT *, w_p99 <= 15 AND residual_p95 <= 0.005::DOUBLE AS ok FROM g"),
     "field_stats": oracle("cells", "SELECT k, count(dbz1) AS n, round(avg(dbz1), 5) + 0e0 AS mean, round(quantile_cont(dbz1, 0.5), 5) + 0e0 AS median, min(dbz1) AS least, max(dbz1) AS most FROM cells GROUP BY k"),
     "residual_correlation": oracle("wind", "SELECT round(corr(u, w), 5) + 0e0 AS correlation, count(*) AS n FROM wind WHERE valid"),
-    "composite_max": oracle("cells", "SELECT j, i, max(greatest(dbz1, dbz2)) AS composite FROM cells WHERE z BETWEEN 1000 AND 2000 GROUP BY j, i"),
+    "composite_max": oracle("cells", "SELECT j, i, max(greatest(dbz1, dbz2)) AS composite FROM cells WHERE z BETWEEN 2000 AND 6000 GROUP BY j, i"),
     "window_masks": oracle("field", "+s AS (SELECT length, start FROM (VALUES (3), (4), (5)) a(length), range(6) b(start) WHERE start + length <= 6), c AS (SELECT length, start, j, i, count(v) AS n FROM s JOIN field ON t >= start AND t < start + length GROUP BY ALL) SELECT length, start::INT AS start, count(*) FILTER (WHERE n = length) AS everywhen, count(*) AS somewhen, round(count(*) FILTER (WHERE n = length)::DOUBLE / count(*), 6) + 0e0 AS share FROM c GROUP BY ALL"),
     "temporal_rmse": oracle("field", f"+p AS (SELECT f.t, g.v AS a, f.v AS b FROM field f JOIN field g ON g.t = f.t + 1 AND g.j = f.j AND g.i = f.i) SELECT t, {_NORMS} FROM p GROUP BY t"),
     "height_rmse": oracle("wind", f"+p AS (SELECT k, 'u' AS component, u AS a, v AS b FROM wind WHERE valid UNION ALL SELECT k, 'v', v, w FROM wind WHERE valid UNION ALL SELECT k, 'w', w, u FROM wind WHERE valid) SELECT k, component, {_NORMS} FROM p GROUP BY ALL"),
-    "circulation": oracle("wind features", f"+{_VW}, q AS (SELECT x, y, round(CASE WHEN valid THEN ((v_ip - v_im) - (u_jp - u_jm)) END, 6) + 0e0 AS zeta FROM n WHERE k = 2) SELECT id, round(sum(zeta * 0.25::DOUBLE), 4) + 0e0 AS circulation, round(sum(greatest(zeta, 0) * 0.25::DOUBLE), 4) + 0e0 AS cyclonic, round(avg((zeta IS NOT NULL)::INT), 6) + 0e0 AS coverage FROM features JOIN q ON (x - fx) ** 2 + (y - fy) ** 2 <= 225e6 WHERE id < 200 GROUP BY id"),
+    "circulation": oracle("wind features", f"+{_VW}, q AS (SELECT x, y, round(CASE WHEN valid THEN ((v_ip - v_im) - (u_jp - u_jm)) END, 6) + 0e0 AS zeta FROM n WHERE k = 2) SELECT id, round(sum(zeta * 0.25::DOUBLE), 4) + 0e0 AS circulation, round(sum(greatest(zeta, 0) * 0.25::DOUBLE), 4) + 0e0 AS cyclonic, round(avg((zeta IS NOT NULL)::INT), 6) + 0e0 AS coverage FROM features JOIN q ON (x - fx) ** 2 + (y - fy) ** 2 <= 225e6 GROUP BY id"),
     "storm_mean_wind": oracle("wind features", f"+{_STORM} SELECT * FROM storm"),
-    "tangential_ratio": oracle("wind features", f"+{_STORM}, t AS (SELECT f.id, round((w.v - s.v) * (x - fx) - (w.u - s.u) * (y - fy), 3) > 0 AS pos FROM features f JOIN storm s USING (id) JOIN wind w ON k = 1 AND abs(x - fx) <= 1e4 AND abs(y - fy) <= 1e4 WHERE f.id < 200 AND valid AND (x - fx) ** 2 + (y - fy) ** 2 > 9e4) SELECT id, round(avg(pos::INT), 5) + 0e0 AS ratio, count(*) AS n, round(avg(pos::INT), 5) >= 0.4::DOUBLE AS rotates FROM t GROUP BY id"),
+    "tangential_ratio": oracle("wind features", f"+{_STORM}, t AS (SELECT f.id, round((w.v - s.v) * (x - fx) - (w.u - s.u) * (y - fy), 3) > 0 AS pos FROM features f JOIN storm s USING (id) JOIN wind w ON k = 1 AND abs(x - fx) <= 1e4 AND abs(y - fy) <= 1e4 WHERE valid AND (x - fx) ** 2 + (y - fy) ** 2 > 9e4) SELECT id, round(avg(pos::INT), 5) + 0e0 AS ratio, count(*) AS n, round(avg(pos::INT), 5) >= 0.4::DOUBLE AS rotates FROM t GROUP BY id"),
     "updraft_class": oracle("wind", "+m AS (SELECT j, i, round(avg(w), 8) + 0e0 AS mean_w FROM wind WHERE valid GROUP BY ALL) SELECT *, CASE WHEN mean_w > 0.3::DOUBLE THEN 'updraft' WHEN mean_w < -0.3::DOUBLE THEN 'downdraft' ELSE 'mixed' END AS class FROM m"),
     "confidence_counts": oracle("features", "+f AS (SELECT (id * 37 % 100) / 1e2 AS c, (id * 53 % 100) / 1e2 AS o, (id * 7 % 10) / 1e2 AS g, id % 9 = 0 AS e FROM features) SELECT CASE WHEN c >= 0.8::DOUBLE AND o >= 0.45::DOUBLE AND g >= 0.02::DOUBLE AND NOT e THEN 'high' WHEN c >= 0.6::DOUBLE AND o >= 0.25::DOUBLE AND NOT e THEN 'medium' ELSE 'low' END AS confidence, count(*) AS n FROM f GROUP BY 1"),
     "meso_eligible": oracle("wind", f"+{_VW}, q AS (SELECT n.k, n.i, n.j, dbz, round(CASE WHEN n.valid THEN ((v_ip - v_im) - (u_jp - u_jm)) END, 6) + 0e0 AS zeta FROM n JOIN wind USING (k, j, i)) SELECT k, count(*) AS n, max(zeta) AS peak FROM q WHERE zeta IS NOT NULL AND dbz >= 30 AND i BETWEEN 1 AND 19 AND j BETWEEN 1 AND 19 GROUP BY k"),
@@ -162,7 +161,7 @@ ORACLES = {
       m AS (SELECT radar, sweep, count(*)::DOUBLE AS n, sum(s * s) AS ss, sum(c * c) AS cc, sum(s * c) AS sc, sum(s) AS s, sum(c) AS c, sum(s * v) AS sv, sum(c * v) AS cv, sum(v) AS v FROM g GROUP BY ALL),
       d AS (SELECT *, ss * (cc * n - c * c) - sc * (sc * n - c * s) + s * (sc * c - cc * s) AS d FROM m)
       SELECT radar, sweep, round((sv * (cc * n - c * c) - sc * (cv * n - c * v) + s * (cv * c - cc * v)) / d, 5) + 0e0 AS east, round((ss * (cv * n - c * v) - sv * (sc * n - c * s) + s * (sc * v - cv * s)) / d, 5) + 0e0 AS north, round((ss * (cc * v - cv * c) - sc * (sc * v - cv * s) + sv * (sc * c - cc * s)) / d, 5) + 0e0 AS mean FROM d"""),
-    "mask_union_intersection": oracle("field", "+a AS (SELECT j, i FROM field WHERE t = 0), b AS (SELECT j, i FROM field WHERE t = 1), u AS (SELECT * FROM a UNION SELECT * FROM b), x AS (SELECT * FROM a INTERSECT SELECT * FROM b) SELECT u.j, u.i, x.j IS NOT NULL AS both FROM u LEFT JOIN x ON u.j = x.j AND u.i = x.i"),
-    "mask_xor": oracle("field", "+a AS (SELECT j, i FROM field WHERE t = 0 AND v > 5), b AS (SELECT j, i FROM field WHERE t = 1 AND v > 5) (SELECT * FROM a EXCEPT SELECT * FROM b) UNION (SELECT * FROM b EXCEPT SELECT * FROM a)"),
+    "mask_union_intersection": oracle("field", "+a AS (SELECT t, j, i FROM field WHERE t < 5), b AS (SELECT t - 1 AS t, j, i FROM field WHERE t > 0), u AS (SELECT * FROM a UNION SELECT * FROM b), x AS (SELECT * FROM a INTERSECT SELECT * FROM b) SELECT u.t, u.j, u.i, x.j IS NOT NULL AS both FROM u LEFT JOIN x ON u.t = x.t AND u.j = x.j AND u.i = x.i"),
+    "mask_xor": oracle("field", "+a AS (SELECT t, j, i FROM field WHERE t < 5 AND v > 5), b AS (SELECT t - 1 AS t, j, i FROM field WHERE t > 0 AND v > 5) (SELECT * FROM a EXCEPT SELECT * FROM b) UNION (SELECT * FROM b EXCEPT SELECT * FROM a)"),
     "gate_rollup": oracle("gates", "SELECT radar, sweep, count(*) AS n, count(*) FILTER (WHERE abs(vr) > 20) AS masked FROM gates GROUP BY ROLLUP (radar, sweep)"),
 }

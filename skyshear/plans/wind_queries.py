@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skyshear.functions import geo
 from skyshear.model import DX, DY, DZ, RADARS
-from skyshear.operators import stencil, wind
+from skyshear.operators import scan, stencil, wind
 from skyshear.plans.views import oracle, view
 
 KEY = ["k", "j", "i"]
@@ -39,16 +39,15 @@ _BEAMS = _B.removeprefix("+").split(",\n s AS")[0]
 
 
 def _vortex_cells(s, d):  # noqa: ANN001, ANN202
-    """Solid rotation on a 17 x 17 x 5 grid, seen by both radars; no table is read."""
+    """Solid rotation on a 17 x 17 x 5 grid, seen by both radars, with their beams; no table is read."""
     n = s.range(17 * 17 * 5).select((F.col("id") % 17).cast("int").alias("i"), (F.floor(F.col("id") / 17) % 17).cast("int").alias("j"), F.floor(F.col("id") / 289).cast("int").alias("k"))
     cells = n.select(*KEY, ((F.col("i") - 8) * 5000.0).alias("x"), ((F.col("j") - 8) * 5000.0).alias("y"), (500.0 + 500.0 * F.col("k")).alias("z"))
     true_u, true_v = 8.0 - 2e-4 * F.col("y"), 3.0 + 2e-4 * F.col("x")
-    seen = wind.beams(cells).withColumns({f"vr{n}": F.col(f"bx{n}") * true_u + F.col(f"by{n}") * true_v for n in (1, 2)})
-    return seen.drop(*[f"{c}{n}" for c in ("bx", "by", "bz", "r") for n in (1, 2)], "angle")
+    return wind.beams(cells).withColumns({f"vr{n}": F.col(f"bx{n}") * true_u + F.col(f"by{n}") * true_v for n in (1, 2)})
 
 
 def _vortex(s, d):  # noqa: ANN001, ANN202
-    out = wind.synthesise(_vortex_cells(s, d)).filter("valid")
+    out = wind.solved(_vortex_cells(s, d)).filter("valid")
     return _out(out, *KEY, u=R(F.col("u"), 4), v=R(F.col("v"), 4), angle=F.col("angle"), close=(F.abs(F.col("u") - (8.0 - 2e-4 * F.col("y"))) < 1e-4) & (F.abs(F.col("v") - (3.0 + 2e-4 * F.col("x"))) < 1e-4))
 
 
@@ -100,7 +99,7 @@ def _vorticity(s, d):  # noqa: ANN001, ANN202
 
 
 def _maxima(s, d):  # noqa: ANN001, ANN202
-    return stencil.local_maxima(_full(s, _cells(s, d)).select(*KEY, "dbz1"), "dbz1", {"k": 1, "j": 3, "i": 3}).orderBy(F.col("dbz1").desc(), *KEY).limit(20)
+    return stencil.local_maxima(_full(s, _cells(s, d)).select(*KEY, "dbz1"), "dbz1", {"k": 1, "j": 3, "i": 3})
 
 
 def _runs(s, d):  # noqa: ANN001, ANN202
@@ -181,14 +180,14 @@ def _cosines(s, d):  # noqa: ANN001, ANN202
 
 
 # --- quality control -----------------------------------------------------------------------------
-def _extremes(s, d):  # noqa: ANN001, ANN202
-    g = view(s, d, "gates")
-    return g.select("radar", "sweep", "ray", "gate", F.when(F.abs("vr") <= 20.0, F.col("vr")).alias("vr"), F.when((F.col("dbz") >= -5.0) & (F.col("dbz") <= 50.0), F.col("dbz")).alias("dbz"))
+def _extremes(s, d, *limits):  # noqa: ANN001, ANN002, ANN202
+    return scan.without_extremes(view(s, d, "gates"), *limits).select("radar", "sweep", "ray", "gate", "vr", "dbz")
 
 
 def _median(s, d):  # noqa: ANN001, ANN202
-    g = view(s, d, "gates").select("radar", "sweep", (F.col("ray") % 12).alias("ray"), (F.col("gate") % 15).alias("gate"), "vr").groupBy("radar", "sweep", "ray", "gate").agg(R(F.max("vr")).alias("vr"))
-    return stencil.median3(g.filter("(ray * 7 + gate) % 23 <> 5"))
+    """All rays and gates of all sweeps; some gates have no value."""
+    g = view(s, d, "gates")
+    return stencil.median3(g.withColumn("vr", F.when((F.col("ray") * 7 + F.col("gate")) % 23 != 5, F.col("vr"))))
 
 
 def provenance(cells):  # noqa: ANN001, ANN201
@@ -229,8 +228,9 @@ def _count(s, d):  # noqa: ANN001, ANN202
 
 
 def _masks(s, d):  # noqa: ANN001, ANN202
-    """Wind is masked where no radar sees, diagnostics where not both do (a missing mask falls back on the count)."""
-    c = _count(s, d).withColumn("dual", F.coalesce(F.lit(None).cast("boolean"), F.col("radar_count") == 2))
+    """Wind is masked where no radar sees, diagnostics where the dual mask is off (without an angle it falls back on the count)."""
+    b = wind.beams(_cells(s, d)).withColumn("radar_count", F.col("vr1").isNotNull().cast("int") + F.col("vr2").isNotNull().cast("int"))
+    c = b.withColumn("dual", F.coalesce((F.col("radar_count") == 2) & (F.col("angle") >= 20), F.col("radar_count") == 2))
     return c.select(*KEY, (F.col("radar_count") == 0).alias("wind_masked"), (~F.col("dual")).alias("diagnostics_masked"))
 
 
@@ -269,7 +269,8 @@ QUERIES = {
     "local_maxima_3x7x7": _maxima,
     "longest_run": _runs,
     "column_depth": _depth,
-    "filter_extremes": _extremes,
+    "filter_extremes": lambda s, d: _extremes(s, d, 20.0, (-5.0, 50.0)),
+    "filter_extremes_default": _extremes,
     "despeckle_median3": _median,
     "mask_provenance": _provenance,
     "failure_reason": _reason,
@@ -348,11 +349,12 @@ ORACLES = {
     "legacy_continuity": oracle("wind", f"+{_FULL}, c0 AS (SELECT c.*, {_CF} FROM f c {_JF}), c AS (SELECT k, j, i, w, {_grad('u', 'i', DX, 21)} AS ux, {_grad('v', 'j', DY, 21)} AS vy, {_grad('v', 'i', DX, 21)} AS vx, {_grad('u', 'j', DY, 21)} AS uy, {_grad('w', 'k', DZ, 5)} AS wz FROM c0)"
       " SELECT k, j, i, round((ux + vy) * 1e4, 6) + 0e0 AS divergence, round((vx - uy) * 1e4, 6) + 0e0 AS vorticity, round((ux + vy + wz - w / 1e4) * 1e4, 6) + 0e0 AS continuity FROM c"),
     "helicity": oracle("wind", f"+{_VW} SELECT k, j, i, round(coalesce(u * ((w_jp - w_jm) / 1e4 - (v_kp - v_km) / 1e3) + v * ((u_kp - u_km) / 1e3 - (w_ip - w_im) / 1e4) + w * ((v_ip - v_im) / 1e4 - (u_jp - u_jm) / 1e4), 0) * 1e2, 6) + 0e0 AS helicity FROM n"),
-    "local_maxima_3x7x7": oracle("cells", "+c AS (SELECT k, j, i, dbz1 FROM cells WHERE dbz1 IS NOT NULL) SELECT k, j, i, dbz1 FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE abs(o.k - c.k) <= 1 AND abs(o.j - c.j) <= 3 AND abs(o.i - c.i) <= 3 AND o.dbz1 > c.dbz1) ORDER BY dbz1 DESC, k, j, i LIMIT 20"),
+    "local_maxima_3x7x7": oracle("cells", "+c AS (SELECT k, j, i, dbz1 FROM cells WHERE dbz1 IS NOT NULL) SELECT k, j, i, dbz1 FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE abs(o.k - c.k) <= 1 AND abs(o.j - c.j) <= 3 AND abs(o.i - c.i) <= 3 AND o.dbz1 > c.dbz1)"),
     "longest_run": oracle("wind", "+r AS (SELECT j, i, k, k - row_number() OVER (PARTITION BY j, i ORDER BY k) AS g FROM wind WHERE valid), n AS (SELECT j, i, g, count(*) AS n FROM r GROUP BY ALL) SELECT j, i, max(n) AS longest FROM n GROUP BY j, i"),
     "column_depth": oracle("cells", "+l AS (SELECT j, k, max(dbz1) AS peak FROM cells GROUP BY ALL), q AS (SELECT j, k FROM l JOIN (SELECT j, max(peak) AS ref FROM l GROUP BY j) USING (j) WHERE peak >= 0.25::DOUBLE * ref), r AS (SELECT j, k - row_number() OVER (PARTITION BY j ORDER BY k) AS g FROM q) SELECT j, max(n) * 500e0 AS depth_m FROM (SELECT j, g, count(*) AS n FROM r GROUP BY ALL) GROUP BY j"),
+    "filter_extremes_default": oracle("gates", "SELECT radar, sweep, ray, gate, CASE WHEN abs(vr) <= 100 THEN vr END AS vr, CASE WHEN dbz BETWEEN -20 AND 80 THEN dbz END AS dbz FROM gates"),
     "filter_extremes": oracle("gates", "SELECT radar, sweep, ray, gate, CASE WHEN abs(vr) <= 20 THEN vr END AS vr, CASE WHEN dbz BETWEEN -5 AND 50 THEN dbz END AS dbz FROM gates"),
-    "despeckle_median3": oracle("gates", f"""+g0 AS (SELECT radar, sweep, ray % 12 AS ray, gate % 15 AS gate, max(vr) AS vr FROM gates GROUP BY ALL), g AS (SELECT * FROM g0 WHERE (ray * 7 + gate) % 23 <> 5),
+    "despeckle_median3": oracle("gates", f"""+g AS (SELECT radar, sweep, ray, gate, CASE WHEN (ray * 7 + gate) % 23 <> 5 THEN vr END AS vr FROM gates),
       c AS (SELECT *, min(ray) OVER w AS rl, max(ray) OVER w AS rh, min(gate) OVER w AS gl, max(gate) OVER w AS gh FROM g WINDOW w AS (PARTITION BY radar, sweep)),
       m AS (SELECT c.radar, c.sweep, c.ray, c.gate, [{", ".join(f"m{a}{b}.vr" for a in range(3) for b in range(3))}] AS l FROM c {_MEDIAN_JOIN})
       SELECT radar, sweep, ray, gate, CASE WHEN len(list_filter(l, lambda x: x IS NOT NULL)) = 9 THEN list_sort(l)[5] END AS median FROM m"""),
@@ -360,6 +362,6 @@ ORACLES = {
     "failure_reason": oracle("cells", _SYN + f""", {_FLAG_SQL}, q AS (SELECT CASE WHEN NOT v1 AND NOT v2 THEN CASE WHEN r1 > 6e4 AND r2 > 6e4 THEN 'out of both ranges' WHEN r1 > 6e4 THEN 'out of range of radar 1' WHEN r2 > 6e4 THEN 'out of range of radar 2' ELSE 'no observation' END
       WHEN NOT v2 THEN CASE WHEN r2 > 6e4 THEN 'radar 2 out of range' ELSE 'radar 2 has no value' END WHEN NOT v1 THEN CASE WHEN r1 > 6e4 THEN 'radar 1 out of range' ELSE 'radar 1 has no value' END WHEN NOT ao THEN 'angle' WHEN NOT dn THEN 'downstream' ELSE 'accepted' END AS reason FROM p) SELECT reason, count(*) AS n FROM q GROUP BY reason"""),
     "radar_count": oracle("cells", "SELECT k, j, i, (vr1 IS NOT NULL)::INT + (vr2 IS NOT NULL)::INT AS radar_count, greatest(dbz1, dbz2) AS dbz FROM cells"),
-    "output_masks": oracle("cells", "SELECT k, j, i, vr1 IS NULL AND vr2 IS NULL AS wind_masked, vr1 IS NULL OR vr2 IS NULL AS diagnostics_masked FROM cells"),
+    "output_masks": oracle("cells", _SYN + "SELECT k, j, i, vr1 IS NULL AND vr2 IS NULL AS wind_masked, CASE WHEN angle IS NULL THEN vr1 IS NULL OR vr2 IS NULL ELSE vr1 IS NULL OR vr2 IS NULL OR angle < 20 END AS diagnostics_masked FROM b"),
     "holdout_lattice": oracle("field", "SELECT t, count(*) AS n, count(*) FILTER (WHERE (i + 2 * j + 5 * t) % 10 = 0) AS held FROM field GROUP BY t"),
 }

@@ -57,6 +57,29 @@ def read_wind(spark: SparkSession, path: str, columns: tuple[str, ...] = ("u", "
     return df
 
 
+def write_grid(cells: DataFrame, path: str, by: str = "case_id") -> None:
+    """Gridded fields by case in order of level, row and column, so a reader's filter on a level skips row groups."""
+    cells.repartition(by).sortWithinPartitions(by, "k", "j", "i").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def write_diagnostics(df: DataFrame, path: str) -> None:
+    """Diagnostics in small types: doubles as floats, truth values as bytes."""
+    small = {"double": "float", "boolean": "tinyint"}
+    df.select(*[F.col(c).cast(small.get(t, t)).alias(c) for c, t in df.dtypes]).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def enrich(spark: SparkSession, path: str, columns: dict) -> DataFrame:
+    """Adds ``columns`` (name to expression) to a stored table: the new one is written beside it and then takes its name."""
+    new, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
+    spark.read.parquet(path).withColumns(columns).write.mode("overwrite").parquet(new)
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.rename(at(path), at(old))
+    fs.rename(at(new), at(path))
+    fs.delete(at(old), True)
+    return spark.read.parquet(path)
+
+
 def append_records(*tables: DataFrame) -> DataFrame:
     """Records of unlike columns under one another, missing ones null."""
     out = tables[0]

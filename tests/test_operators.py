@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyshear.functions import geo
-from skyshear.operators import grid, kernels, match, stencil, wind
+from skyshear.operators import boxes, grid, kernels, match, qc, retrieval, stencil, study, wind
 from skyshear.plans import detect_queries, registry, wind_queries
+from skyshear.sources import products, volumes
 from tests.conftest import SF
 
 
@@ -116,11 +117,19 @@ def test_variational_closed_loop(spark):
     assert got.wind < 1.0 and got.seen < 0.5
 
 
-def test_cuboid_and_rectangle():
-    mask = np.zeros((4, 5), bool)
-    mask[1:3, 1:5] = True
-    mask[0, 0] = True
-    assert kernels.largest_rectangle(mask) == (8, (1, 3, 1, 5))
+def test_cuboid_and_rectangle(spark):
+    rng = np.random.default_rng(5)
+    masks = [rng.random((3, 5, 6)) < share for share in (0.5, 0.7, 0.85)]
+    masks[0][:, 1:3, 1:5] = True
+    rows = [(n, *map(int, c), bool(m[c])) for n, m in enumerate(masks) for c in np.ndindex(*m.shape)]
+
+    def brute(m):
+        ranges = [[(a, b) for a in range(n) for b in range(a + 1, n + 1)] for n in m.shape]
+        full = [((b - a) * (d - c) * (f - e), a, b, c, d, e, f) for a, b in ranges[0] for c, d in ranges[1] for e, f in ranges[2] if m[a:b, c:d, e:f].all()]
+        return min(full, key=lambda x: (-x[0], x[1], x[2], x[4], x[6], -x[5]))
+
+    got = {r.case: tuple(r)[1:] for r in boxes.largest(spark.createDataFrame(rows, "case int, k int, j int, i int, valid boolean")).collect()}
+    assert got == {n: brute(m) for n, m in enumerate(masks)} and got[0][0] >= 24
 
 
 def test_low_rank_tensor_is_exact(spark):
@@ -203,3 +212,202 @@ def test_tensor_queries_take_all_rows_and_columns(spark, tmp_path):
     assert [n for n, _ in got] == list(range(1, 65)) and [v for _, v in got] == pytest.approx(want, abs=1e-3)
     share = (want**2).cumsum() / (want**2).sum()
     assert registry.QUERIES["spectral_ranks"](spark, d).first().rank_99 == int((share < 0.99).sum()) + 1
+
+
+def test_nearest_times_against_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    a, b = ([int(v) for v in np.unique(rng.integers(0, 40_000, 300))] for _ in range(2))
+    left, right = (spark.createDataFrame([(v,) for v in x], f"{n} long") for n, x in (("t1", a), ("t2", b)))
+    for tolerance in (1, 7, 120):
+        want = {x: min((abs(x - y), y) for y in b) for x in a}
+        got = {r.t1: (r.diff, r.t2) for r in match.nearest_times(left, right, tolerance).collect()}
+        assert got == {x: m for x, m in want.items() if m[0] <= tolerance}
+
+
+def test_nearest_feature_at_any_distance(spark):
+    rng = np.random.default_rng(9)
+    p, q = rng.uniform(0, 1000, (40, 2)), np.vstack([rng.uniform(0, 30, (20, 2)), [[5000.0, 5000.0]]])
+    left = spark.createDataFrame([(n, *map(float, v)) for n, v in enumerate(p)], "n int, x double, y double")
+    right = spark.createDataFrame([(n, *map(float, v)) for n, v in enumerate(q)], "id int, fx double, fy double")
+    got = {r.n: r.id for r in grid.nearest(left, right, ["n"], ("x", "y"), ("fx", "fy"), 10.0, "id").collect()}
+    assert got == {n: int(np.argmin(((q - v) ** 2).sum(axis=1))) for n, v in enumerate(p)}
+    assert grid.nearest(left, right.limit(0), ["n"], ("x", "y"), ("fx", "fy"), 10.0, "id").count() == 0
+
+
+def test_folded_velocities_come_back(spark):
+    """A smooth wind folded into 12 m/s on either side, with gates missing."""
+    rng = np.random.default_rng(10)
+    true = lambda ray, gate: 8 * math.sin(math.radians(ray)) + 0.35 * gate
+    rows = []
+    for ray in range(0, 360, 6):
+        for gate in range(60):
+            v = true(ray, gate)
+            rows.append((1, 0, ray, gate, None if rng.random() < 0.1 else (v + 12) % 24 - 12, v))
+    got = kernels.dealias(spark.createDataFrame(rows, "radar int, sweep int, ray int, gate int, vr double, v double").drop("v"), 12.0)
+    out = {(r.ray, r.gate): r.unfolded for r in got.collect()}
+    off = [out[r[2], r[3]] - r[5] for r in rows if r[4] is not None]
+    assert all(out[r[2], r[3]] is None for r in rows if r[4] is None)
+    assert max(abs(x - 24 * round(x / 24)) for x in off) < 1e-5 and len({round(x / 24) for x in off}) == 1
+
+
+def test_qc_skips_corrected_velocity(spark):
+    rows = [(1, 0, ray, gate, 20.0 if gate >= 5 else -20.0, 90.0 if gate == 3 else 30.0) for ray in range(8) for gate in range(10)]
+    g = spark.createDataFrame(rows, "radar int, sweep int, ray int, gate int, vr double, dbz double")
+    kept = {r.vr for r in qc.control(g, "Vc", 12.0).collect()}
+    assert kept == {-20.0, 20.0}
+    unfolded = {r.vr for r in qc.control(g, "V", 22.0).collect()}
+    assert max(unfolded) - min(unfolded) == 4
+    assert qc.control(g, "Vc").filter("dbz IS NULL").count() == 8
+
+
+def synthetic_cells(spark, u, v, seen=lambda k, j, i: True):
+    cells = spark.createDataFrame([(k, j, i, (i - 8) * 5000.0, (j - 8) * 5000.0, 500.0 + 500.0 * k, seen(k, j, i)) for k in range(4) for j in range(17) for i in range(17)], "k int, j int, i int, x double, y double, z double, seen boolean")
+    b = wind.beams(cells)
+    return b.select("k", "j", "i", "x", "y", "z", *[F.when(F.col("seen"), F.col(f"bx{n}") * u + F.col(f"by{n}") * v).alias(f"vr{n}") for n in (1, 2)])
+
+
+def test_first_guess_and_retrieval_of_a_uniform_wind(spark):
+    cells = synthetic_cells(spark, 7.0, -3.0, lambda k, j, i: (i + j) % 5 != 0)
+    background = spark.range(4).select(F.col("id").cast("int").alias("k"), F.lit(7.0).alias("ub"), F.lit(-3.0).alias("vb"))
+    guess = retrieval.initial_wind(cells, background).collect()
+    assert len(guess) == 4 * 17 * 17 and max(abs(r.u0 - 7) + abs(r.v0 + 3) + abs(r.w0) for r in guess) < 1e-6
+    out = retrieval.retrieve(cells, background, most=60).collect()
+    assert max(abs(r.u - 7) + abs(r.v + 3) for r in out) < 0.05 and max(abs(r.w) for r in out) < 0.05
+    assert sum(r.wind_masked for r in out) == sum((r.i + r.j) % 5 == 0 for r in out) and all(r.diagnostics_masked for r in out if r.wind_masked)
+
+
+def test_feedback_keeps_a_wind_without_divergence(spark):
+    """Solid rotation has none, so feeding the vertical speed back changes nothing."""
+    c = wind_queries._vortex_cells(spark, "")
+    out = wind.retrieve(c.drop(*[f"{a}{n}" for a in ("bx", "by", "bz", "r") for n in (1, 2)], "angle"), 500.0, 3).filter("valid")
+    got = out.agg(F.max(F.abs(F.col("u") - (8 - 2e-4 * F.col("y")))).alias("u"), F.max(F.abs("w")).alias("w"), F.count("*").alias("n")).first()
+    assert got.n > 300 and got.u < 1e-4 and got.w < 1e-5
+
+
+def test_gridding_in_space_against_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    g = rng.uniform(-6000, 6000, (400, 3))
+    gates = spark.createDataFrame([(1 + n % 2, *map(float, p), None if n % 7 == 0 else float(n), float(-n)) for n, p in enumerate(g)], "radar int, gx double, gy double, gz double, vr double, dbz double")
+    places = [(0, j, i, 2000.0 * i, 2000.0 * j, 0.0) for j in range(-2, 3) for i in range(-2, 3)]
+    cells = spark.createDataFrame(places, "k int, j int, i int, x double, y double, z double")
+    got = {(r.radar, r.j, r.i): (r.vr, r.dbz, r.n) for r in retrieval.grid_volume(cells, gates, 3000.0).collect()}
+    for radar in (1, 2):
+        for _, j, i, x, y, z in places:
+            d2 = ((g - (x, y, z)) ** 2).sum(axis=1)
+            near = [n for n in range(400) if 1 + n % 2 == radar and d2[n] <= 9e6]
+            if not near:
+                assert (radar, j, i) not in got
+                continue
+            w = {n: (9e6 - d2[n]) / (9e6 + d2[n]) for n in near}
+            some = [n for n in near if n % 7]
+            vr, dbz, count = got[radar, j, i]
+            assert count == len(some) and dbz == pytest.approx(-sum(w[n] * n for n in near) / sum(w.values()))
+            assert vr == pytest.approx(sum(w[n] * n for n in some) / sum(w[n] for n in some)) if some else vr is None
+
+
+def test_spectrum_against_an_array(spark):
+    x = np.random.default_rng(12).normal(size=(5, 30)) * np.arange(1, 6)[:, None]
+    df = spark.createDataFrame([(int(r), int(c), float(x[r, c])) for r, c in np.ndindex(*x.shape)], "r int, c int, v double").repartition(3)
+    rows = kernels.spectrum(df, "r", "c", "v").orderBy("n").collect()
+    s = np.linalg.svd(x, compute_uv=False)
+    p = s**2 / (s**2).sum()
+    assert [r.singular for r in rows] == pytest.approx(s, abs=1e-3) and [r.share for r in rows] == pytest.approx(p, abs=1e-5)
+    assert rows[0].effective_rank == pytest.approx(math.exp(-(p * np.log(p)).sum()), abs=1e-3)
+    ranks = kernels.spectral_ranks(kernels.spectrum(df, "r", "c", "v")).first()
+    assert tuple(ranks) == tuple(int(np.searchsorted(p.cumsum(), q - 1e-9)) + 1 for q in (0.90, 0.95, 0.99))
+
+
+def test_masked_fit_fills_what_is_hidden(spark):
+    rng = np.random.default_rng(13)
+    x = kernels.rebuilt(np.ones((1, 1, 1)), [rng.uniform(1, 2, size=(n, 1)) for n in (6, 7, 5)])
+    df = spark.createDataFrame([(0, *map(int, c), None if rng.random() < 0.1 else float(x[c])) for c in np.ndindex(*x.shape)], "case int, i0 int, i1 int, i2 int, value double")
+    assert kernels.tucker(df, (1, 1, 1), rounds=40).first().error < 1e-3
+
+
+def test_streamlines_follow_a_circle(spark):
+    seeds = spark.createDataFrame([(0, 2.0, 0.0, 0.0), (1, 5.0, 0.0, 0.0)], "seed long, x double, y double, z double")
+    rows = kernels.streamlines(seeds, lambda p: (-p[1], p[0], 0.0), (0, 0, 0), (1, 1, 1), length=0.1, most=30).collect()
+    assert len(rows) == 2 * 60 and all(math.hypot(r.x, r.y) == pytest.approx(2 if r.seed == 0 else 5, abs=1e-4) for r in rows)
+    assert all(r.speed == pytest.approx(2 if r.seed == 0 else 5, abs=1e-4) for r in rows)
+
+
+def test_trilinear_is_exact_for_linear_fields():
+    n = np.indices((4, 5, 6)).astype(float)
+    u = np.stack([2 * n[0] - n[1] + 3 * n[2], n[0] + n[1]])
+    p = np.array([1.25, 2.5, 3.75])
+    assert kernels.trilinear(u, p) == pytest.approx([2 * 1.25 - 2.5 + 3 * 3.75, 3.75])
+    assert (kernels.trilinear(u, np.array([3.5, 1, 1])) == 0).all() and (kernels.trilinear(u, np.array([-0.1, 1, 1])) == 0).all()
+
+
+def test_rank_study_of_an_exact_field(spark):
+    """A standing wave of rank 1 is kept whole by every rule in its own frame."""
+    rows = [(t, j, i, (1.0 + t) * math.sin(0.4 * j + 0.2) * math.cos(0.3 * i)) for t in range(6) for j in range(9) for i in range(10)]
+    out = study.rank_study(spark.createDataFrame(rows, "t int, j int, i int, v double"), (0.0, 0.0), 6, 9, 10).collect()
+    assert len(out) == 9 * 2 * 2 * 5 and max(r.error for r in out) < 1e-4 and all(r.speed_kept == pytest.approx(1, abs=1e-4) for r in out)
+    assert {r.rule for r in out if r.compression > 1} == set(study.RULES)
+
+
+def test_vortex_kept_by_hand(spark):
+    """An estimate with nine tenths of a rotation keeps nine tenths of its measures, in its place."""
+    rows = []
+    for k in range(5):
+        for j in range(9):
+            for i in range(9):
+                x, y = 1000.0 * (i - 4), 1000.0 * (j - 4)
+                g = math.exp(-(x * x + y * y) / 8e6) * (1.0 if k < 3 else 0.05)
+                rows.append((k, j, i, x, y, 500.0 * k, True, -y * g, x * g, -0.9 * y * g, 0.9 * x * g))
+    r = study.vortex_kept(spark.createDataFrame(rows, "k int, j int, i int, x double, y double, z double, valid boolean, u double, v double, eu double, ev double"), 1000.0, 1000.0, 500.0).first()
+    assert r.zeta_kept == pytest.approx(0.9) and r.circulation_kept == pytest.approx(0.9) and r.cyclonic_kept == pytest.approx(0.9)
+    assert r.shift == 0 and (r.depth, r.depth_est) == (1500.0, 1500.0) and r.coverage == 1
+
+
+def test_readers_of_sweeps_and_lines(spark, tmp_path):
+    import struct
+
+    (tmp_path / "v").mkdir()
+    for layer, elevation in ((1, 1.5), (2, 0.5)):
+        with (tmp_path / "v" / f"Z9317_20260101000000Z_PPI_0{layer}_026.npz").open("wb") as f:
+            np.savez(f, azimuth=np.arange(4.0) * 90, V=np.array([[1.0, np.nan, 3.0]] * 4), elevation=elevation)
+    (tmp_path / "v" / "Z9317_20260101000000Z_PPI_03_026.npz").write_bytes(b"broken")
+    sweeps = volumes.read_sweeps(spark, str(tmp_path / "v"))
+    assert sweeps.filter("corrupt IS NOT NULL").count() == 1
+    rows = volumes.volume(sweeps).collect()
+    assert len(rows) == 24 and {(r.sweep, r.elevation, r.station) for r in rows} == {(0, 0.5, "Z9317"), (1, 1.5, "Z9317")}
+    assert sum(r.value is None for r in rows) == 8 and {r.azimuth for r in rows} == {0.0, 90.0, 180.0, 270.0}
+
+    def line(number, parts):
+        points = [p for part in parts for p in part]
+        body = struct.pack("<i4d2i", 3, 0, 0, 0, 0, len(parts), len(points)) + b"".join(struct.pack("<i", sum(map(len, parts[:n]))) for n in range(len(parts))) + b"".join(struct.pack("<2d", *p) for p in points)
+        return struct.pack(">ii", number, len(body) // 2) + body
+
+    (tmp_path / "rivers.shp").write_bytes(b"\0" * 100 + line(1, [[(0, 0), (1, 1)], [(5, 5), (6, 6), (7, 7)]]) + line(2, [[(50, 50), (51, 51)]]))
+    points = volumes.read_lines(spark, str(tmp_path))
+    assert sorted((r.line, r.seq, r.lon) for r in points.collect()) == [(1, 0, 5.0), (1, 1, 6.0), (1, 2, 7.0), (2, 0, 50.0), (2, 1, 51.0)]
+    assert {r.line for r in volumes.lines_in(points, (0.0, 10.0, 0.0, 10.0)).collect()} == {1}
+
+
+def test_sinks_and_sets(spark, tmp_path):
+    cells = spark.createDataFrame([(f"case{c}", 0, 0, i, float(i), 0.0, 0.0, float(c), True) for c in range(6) for i in range(3)], "case_id string, k int, j int, i int, x double, y double, z double, u double, ok boolean")
+    products.write_grid(cells, str(tmp_path / "grid"))
+    assert spark.read.parquet(str(tmp_path / "grid")).count() == 18
+    assert volumes.baseline_set(cells, "^case[0-5]$").count() == 18
+    for bad in (cells.filter("case_id <> 'case3'"), cells.filter("case_id <> 'case3' OR i < 2")):
+        with pytest.raises(ValueError):
+            volumes.baseline_set(bad, "^case")
+    products.write_diagnostics(cells, str(tmp_path / "small"))
+    assert dict(spark.read.parquet(str(tmp_path / "small")).dtypes) | {"u": "float", "ok": "tinyint"} == dict(spark.read.parquet(str(tmp_path / "small")).dtypes)
+    out = products.enrich(spark, str(tmp_path / "small"), {"masked": F.col("u") > 2})
+    assert out.filter("masked").count() == 9 and sorted(p.name for p in tmp_path.iterdir()) == ["grid", "small"]
+    products.write_csv(products.append_records(cells.select("k", "u"), cells.select("k", "ok")), str(tmp_path / "csv"))
+    back = spark.read.option("header", "true").csv(str(tmp_path / "csv"))
+    assert back.columns == ["k", "u", "ok"] and back.count() == 36
+    features = spark.createDataFrame([(100, "a"), (100, "b"), (900, "c")], "ts long, name string")
+    near = volumes.nearest_features(features, spark.createDataFrame([(130,), (5000,)], "t1 long"), 600).collect()
+    assert sorted((r.t1, r.name) for r in near) == [(130, "a"), (130, "b")]
+
+
+def test_no_plan_has_a_cartesian_product(spark):
+    names = ["m_product_match", "feature_neighbourhood", "circulation", "storm_mean_wind", "tangential_ratio", "tolerance_sweep", "time_match_greedy", "cressman_grid", "blend_weight", "grid_volume"]
+    for name in names:
+        plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
