@@ -1,17 +1,26 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's target is a share of all words. A document is taken whole, so many
-times for certain as the target holds the source whole; what remains of the
-target is filled by a sample without replacement: each document draws a random
-number u in (0, 1) from a hash of its id, is ranked by
+A source's target is a share of all words. Each of its documents is taken whole,
+so many times for certain as the target holds the source whole; what remains of
+the target is filled by a sample without replacement. A document's chance p of
+that extra copy grows with its measure x, the root of its length, so that long
+documents bring most of the words and short ones aren't crowded out:
 
-    (u / (1 - u)) / (p / (1 - p)),        p its inclusion probability,
+    p = min(1, rate * x),        rate such that the expected words are the remainder,
 
-and documents are taken in that order until the words that they bring come
-nearest to the remainder. The sample's size in words is thus fixed.
+and where p reaches 1 the extra copy is certain too. Every other document draws
+a random number u in (0, 1) from a hash of its id and is ranked by
+
+    (u / (1 - u)) / (p / (1 - p)),
+
+the random odds divided by the inclusion odds. Documents are taken in that order
+until the words that they bring come nearest to the remainder: the sample's size
+in words is fixed, and its cut lies near 1 as in any Pareto sample.
 
 No source is sorted as a whole. Words are first summed in ``BINS`` bins of the
 rank, so one bin of each source holds the cut, and only its rows are ordered.
+The table of targets has one row a source and is worked out in one task, which
+suits up to some millions of sources.
 """
 
 from __future__ import annotations
@@ -72,24 +81,27 @@ def chance(key: Column, seed: str = "mix") -> Column:
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, *, name: str = "mix") -> DataFrame:
     """``doc_id, source, size, source_size, target, copies`` for each row of ``docs``.
 
-    Null or empty texts have size 0. A null source is a source of its own, the
-    last. Rows with the same id share a random number and are ranked by size;
-    equal rows are alike, so either may be the last one taken. An empty table
-    gives an empty result. Columns other than doc_id, text, source are ignored.
+    Null or empty texts have size 0 and no extra copy. A null source is a source
+    of its own, the last; a source without words takes nothing. Rows with the
+    same id share a random number and are ranked by chance, then size; equal rows
+    are alike, so either may be the last one taken. An empty table gives an empty
+    result. Columns other than doc_id, text, source are ignored.
     """
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = stored(docs.select("doc_id", "source", size.alias("size"), chance(F.col("doc_id")).alias("u")), f"{name}-sizes")
+    sized = docs.select("doc_id", "source", size.alias("size"), chance(F.col("doc_id")).alias("u"))
+    sized = stored(sized.withColumn("x", F.ceil(F.sqrt("size"))), f"{name}-sizes")
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     goal = (
         stored(goal, f"{name}-targets")
         .withColumn("whole", F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)))
         .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-        .withColumn("p", F.coalesce(F.col("rest") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0)))
         .withColumnRenamed("source", "of")
     )
+    goal = stored(goal.join(rates(sized, goal), F.col("of").eqNullSafe(F.col("rated")), "left").drop("rated"), f"{name}-rates")
     goal = F.broadcast(goal) if goal.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else goal
-    odds = (F.col("u") / (1 - F.col("u"))) / F.nullif(F.col("p") / F.nullif(1 - F.col("p"), F.lit(0.0)), F.lit(0.0))
-    ranked = sized.join(goal, sized["source"].eqNullSafe(goal["of"])).drop("of").withColumn("odds", odds)
+    p = F.least(F.lit(1.0), F.coalesce(F.col("rate"), F.lit(0.0)) * F.col("x"))
+    odds = F.when(F.col("p") >= 1, 0.0).when(F.col("p") > 0, (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p"))))
+    ranked = sized.join(goal, sized["source"].eqNullSafe(goal["of"])).withColumn("p", p).withColumn("odds", odds).drop("of", "rate")
     ranked = ranked.withColumn("bin", F.coalesce(F.floor(F.col("odds") / (1 + F.col("odds")) * BINS), F.lit(BINS)))
 
     along = Window.partitionBy("source").orderBy("bin")
@@ -111,6 +123,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, *,
     return clear.select(*kept).unionByName(close.select(*kept))
 
 
+def rates(sized: DataFrame, goal: DataFrame) -> DataFrame:
+    """``rated, rate``: for each source the factor by which min(1, rate * x) expects the words ``rest``.
+
+    Measures go down from the largest: those whose chance would pass 1 are
+    certain, and the first that doesn't gives the rate. Sums are whole numbers.
+    """
+    down = Window.partitionBy("source").orderBy(F.col("x").desc())
+    levels = sized.filter("x > 0").groupBy("source", "x").agg(F.sum("size").alias("words"))
+    levels = levels.withColumn("certain", F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    levels = levels.withColumn("measured", F.sum(F.col("x") * F.col("words")).over(down.rowsBetween(0, Window.unboundedFollowing)))
+    levels = levels.join(goal.select("of", "rest"), F.col("source").eqNullSafe(F.col("of")))
+    left = F.col("rest") - F.col("certain")
+    fits = levels.filter(left * F.col("x") <= F.col("measured"))
+    return fits.groupBy(F.col("source").alias("rated")).agg(F.max_by(left / F.col("measured"), "x").alias("rate"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -136,6 +164,7 @@ WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
          (CAST('0x' || md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:{DIGITS}] AS BIGINT) + 0.5::DOUBLE) / {16**DIGITS}::DOUBLE AS u
   FROM documents),
+measured AS (SELECT *, ceil(sqrt(size))::BIGINT AS x FROM sized),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
   SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM per),
@@ -154,11 +183,23 @@ goal AS (
 parts AS (
   SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0) AS whole FROM goal),
 rests AS (SELECT *, target - whole * source_size AS rest FROM parts),
+levels AS (
+  SELECT source, x, sum(size)::BIGINT AS words FROM measured WHERE x > 0 GROUP BY source, x),
+sums AS (
+  SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY x DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS certain,
+    (sum(x * words) OVER (PARTITION BY source ORDER BY x DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS total
+  FROM levels),
+rates AS (
+  SELECT s.source, arg_max((rest - certain) / total, x) AS rate
+  FROM sums s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source WHERE (rest - certain) * x <= total GROUP BY s.source),
+chances AS (
+  SELECT s.doc_id, s.size, s.u, r.*, least(1e0, coalesce(t.rate, 0e0) * s.x) AS p
+  FROM measured s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source LEFT JOIN rates t ON s.source IS NOT DISTINCT FROM t.source),
+odds AS (
+  SELECT *, CASE WHEN p >= 1 THEN 0e0 WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM chances),
 ranked AS (
-  SELECT s.doc_id, s.size, s.u, r.*,
-    sum(s.size) OVER (PARTITION BY r.source ORDER BY s.u, s.doc_id NULLS LAST, s.size ROWS UNBOUNDED PRECEDING) AS upto
-  FROM sized s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source)
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS upto FROM odds)
 SELECT doc_id, size, source_size, target,
-  (size * (whole + CASE WHEN rest > 0 AND (upto <= rest OR (upto - size < rest AND 2 * upto - size <= 2 * rest)) THEN 1 ELSE 0 END))::BIGINT AS taken
+  (size * (whole + CASE WHEN p > 0 AND (upto <= rest OR (upto - size < rest AND 2 * upto - size <= 2 * rest)) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM ranked
 """
