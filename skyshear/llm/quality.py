@@ -8,6 +8,12 @@ not repetitive, then once more from those that agree with the first version, so
 that junk leaves no mark on them. Short documents give noisy histograms, so
 below a least length no verdict is passed, and the limits widen with one over
 the root of the length.
+
+A language's common words are the COMMON most frequent ones among those that
+make up SHARE of its words. They are found exactly in two passes: the corpus
+falls into blocks, and a word with that share of all has it in one block at
+least, so each block names its candidates; then candidates are counted over all
+documents. The result doesn't depend on how documents are dealt to tasks.
 """
 
 from __future__ import annotations
@@ -22,22 +28,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import parts
-from .common import stored, table
+from .common import discard, stored, table
 
 SYMBOLS = "#*$%&|<>"
 #: Character classes, by number: lower, upper, digit, white space, symbol, punctuation, others.
 CLASSES = 7
 LOWER, UPPER, DIGIT, SPACE, SYMBOL, POINT, OTHER = range(CLASSES)
-#: Words of a language in its histogram; what is no candidate in any task can't be one of them.
-COMMON, CANDIDATE_SHARE = 32, 1e-3
-#: A language with less than this share of all words is compared with the reference of all.
+#: Words of a language in its histogram, and the least share of its words that one of them makes up.
+COMMON, SHARE = 32, 1e-3
+#: A language with this share of all words has a reference, so there are 1,000 at most; null is a language of its own.
 LANGUAGE_SHARE = 1e-3
+#: Words of a block, in which candidates are counted.
+BLOCK = 2_000_000
+#: Up to so many candidates are broadcast; beyond, all words are counted.
+CANDIDATES = 200_000
 #: Fewer words get no verdict from the method.
 LEAST_WORDS = 50
 #: Largest distances of a good document, and what is added for n words: SLACK / sqrt(n).
 CHAR_LIMIT, WORD_LIMIT, SLACK = 0.28, 0.40, 0.20
-#: Entries of a task's word counter before the rarest go (lossy counting).
-COUNTER = 300_000
 
 
 def _class_table() -> np.ndarray:
@@ -85,41 +93,67 @@ def base_counts(text: str) -> tuple[int, int, int]:
     return len(words), len(lines) - len(set(lines)), repeated
 
 
-def vocabularies(docs: DataFrame) -> dict[str, list[str]]:
-    """The common words of each language with enough words, and of all under an empty name; at most 1,000 languages can have enough."""
+def block_counts(docs: DataFrame, share: float, only: dict[str, set[str]] | None = None) -> DataFrame:
+    """``lang, word, n`` of each block of ``docs`` and language: its words of at least ``share``, or those in ``only``; all its words under a null word."""
+
+    def out(counts: dict[str, Counter]) -> pa.RecordBatch:
+        rows = []
+        for lang, own in counts.items():
+            total = own.total()
+            rows.append((lang, None, total))
+            if only is None:
+                rows += [(lang, w, n) for w, n in own.items() if n >= share * total]
+            else:
+                rows += [(lang, w, own[w]) for w in only.get(lang, ()) if w in own]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
-        total: Counter = Counter()
-        floor: Counter = Counter()
+        held = 0
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = (text or "").lower().split()
-                lang = lang or ""
-                total[lang] += len(words)
-                own = counts.setdefault(lang, Counter())
-                own.update(words)
-                if len(own) > COUNTER:
-                    floor[lang] += 1
-                    while len(own) > COUNTER // 2:
-                        counts[lang] = own = Counter({w: n for w, n in own.items() if n > floor[lang]})
-                        floor[lang] += 1 if len(own) > COUNTER // 2 else 0
-        rows = [(lang, None, n) for lang, n in total.items()]
-        rows += [(lang, w, n) for lang, own in counts.items() for w, n in own.items() if n >= CANDIDATE_SHARE * total[lang]]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
-
-    words = stored(docs.select("text", "lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "common-words")
-    everything = words.filter("word IS NULL").agg(F.sum("n")).first()[0] or 0
-    enough = words.filter(F.col("word").isNull() & (F.col("n") >= max(1, LANGUAGE_SHARE * everything)) & (F.col("lang") != "")).select("lang")
-    both = words.join(F.broadcast(enough), "lang").unionByName(words.groupBy("word").agg(F.sum("n").alias("n")).withColumn("lang", F.lit("")))
+                counts.setdefault(lang or "", Counter()).update(words)
+                held += len(words)
+                if held >= BLOCK:
+                    yield out(counts)
+                    counts, held = {}, 0
+        yield out(counts)
+
+    return docs.select("text", "lang").mapInArrow(count, "lang string, word string, n long")
+
+
+def vocabularies(docs: DataFrame) -> dict[str, list[str]]:
+    """The common words of each language with LANGUAGE_SHARE of all words; null is the language of an empty name."""
+    summed = lambda rows: stored(rows.groupBy("lang", "word").agg(F.sum("n").alias("n")), "common-words")
+    found = summed(block_counts(docs, SHARE))
+    totals = {r["lang"]: r["n"] for r in _enough(found).toLocalIterator()}
+    some = F.broadcast(_enough(found).withColumnRenamed("n", "total"))
+    candidates = found.filter("word IS NOT NULL").join(some, "lang")
+    if candidates.count() <= CANDIDATES:
+        only: dict[str, set[str]] = {lang: set() for lang in totals}
+        for r in candidates.select("lang", "word").toLocalIterator():
+            only[r["lang"]].add(r["word"])
+        words = summed(block_counts(docs, 0.0, only))
+    else:
+        words = summed(block_counts(docs, 0.0))
+    # a share of SHARE leaves 1 / SHARE rows of a language at most, so the window is small
+    often = words.filter("word IS NOT NULL").join(some, "lang").filter(F.col("n") >= SHARE * F.col("total"))
     rank = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
-    top = both.filter("word IS NOT NULL").withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= COMMON)
-    out: dict[str, list[str]] = {}
+    top = often.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= COMMON)
+    out: dict[str, list[str]] = {lang: [] for lang in totals}
     for r in top.orderBy("lang", "rank").toLocalIterator():
-        out.setdefault(r["lang"], []).append(r["word"])
+        out[r["lang"]].append(r["word"])
+    discard(found, words)
     return out
 
 
+def _enough(found: DataFrame) -> DataFrame:
+    """``lang, n``: languages with LANGUAGE_SHARE of all words, 1 / LANGUAGE_SHARE at most."""
+    everything = found.filter("word IS NULL").agg(F.sum("n")).first()[0] or 0
+    return found.filter(F.col("word").isNull() & (F.col("n") > 0) & (F.col("n") >= LANGUAGE_SHARE * everything)).select("lang", "n")
+
+
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, key string, chars array<long>, words array<long>"
 
 
@@ -128,7 +162,7 @@ def features(text: str | None, lang: str | None, common: dict[str, dict[str, int
     text = text or ""
     chars = classes(text)
     n, dup, repeated = base_counts(text)
-    key = lang if lang in common else ""
+    key = lang or ""
     places = common.get(key, {})
     words = [0] * (COMMON + 1)
     for w, k in Counter(text.lower().split()).items():
@@ -153,7 +187,7 @@ class References:
     shares: dict[str, tuple[np.ndarray, np.ndarray]]
 
     def distances(self, key: str, chars: list, words: list) -> tuple[float, float]:
-        """Of classes and of words; 0 without a reference or a text."""
+        """Of classes and of words; 0, so no objection, without a reference or a text."""
         if key not in self.shares or not sum(chars) or not sum(words):
             return 0.0, 0.0
         c, w = self.shares[key]
@@ -183,19 +217,25 @@ def featured(docs: DataFrame, common: dict[str, dict[str, int]]) -> DataFrame:
 
 
 def shares(rows: DataFrame, keys: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Mean histograms by key and, under the empty key, of all; one row a key reaches the driver, 1,001 at most."""
+    """Mean histograms by key, of ``keys`` alone; one row a key reaches the driver, 1,000 at most."""
     mean = lambda column, n: [F.avg(F.col(column)[i] / F.col(f"{column}_sum")).alias(f"{column}{i}") for i in range(n)]
     add = lambda column: F.aggregate(column, F.lit(0).cast("long"), lambda a, b: a + b)
     rows = rows.withColumn("chars_sum", add("chars")).withColumn("words_sum", add("words"))
     out = {}
+    rows = rows.filter(F.col("key").isin(keys)) if keys else rows.limit(0)
     for r in rows.groupBy("key").agg(*mean("chars", CLASSES), *mean("words", COMMON + 1)).toLocalIterator():
         c, w = (np.array([round(r[f"{name}{i}"], 6) for i in range(n)]) for name, n in (("chars", CLASSES), ("words", COMMON + 1)))
         out[r["key"]] = (c / c.sum(), w / w.sum())
-    return {k: v for k, v in out.items() if k in keys}
+    return out
 
 
 def learn(docs: DataFrame) -> tuple[References, DataFrame]:
-    """References of ``docs``, and the stored features of its rows."""
+    """References of ``docs`` (doc_id, text, lang), and the stored features of its rows.
+
+    A null text has no words; a null lang is a language of its own. Repeated rows
+    count as often as they stand there. Texts of any length are taken whole. An
+    empty table gives no reference and no rows; extra columns are ignored.
+    """
     common = {lang: {w: i for i, w in enumerate(ws)} for lang, ws in vocabularies(docs).items()}
     rows = stored(featured(docs, common), "quality-features")
     fit = rows.filter(~F.col("base_failed") & (F.col("n_words") >= LEAST_WORDS))
@@ -222,7 +262,7 @@ def judged(rows: DataFrame, references: References) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base counts, both distances and the verdict for each document."""
+    """Base counts, both distances and the verdict for each document, repeated ones each; documents without a reference are judged by the base rules alone."""
     references, rows = learn(table(spark, sf_dir, "documents"))
     return judged(rows, references).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.col("agrees")).alias("kept"), "char_distance", "word_distance"
@@ -232,11 +272,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all columns.
 
-    A null text or one under 50 words goes, as the base rules say; a null or
-    rare language is compared with all. Rows are judged one by one, so repeated
-    ones fare alike; an empty table stays empty.
+    A null text or one under 50 words goes, as the base rules say; a language of
+    too few words for a reference passes by these alone. Rows are judged one by
+    one, so repeated ones fare alike; an empty table stays empty.
     """
-    references, _ = learn(docs)
+    references, rows = learn(docs)
+    discard(rows)
     names = docs.columns
     text_at, lang_at = names.index("text"), names.index("lang")
 
