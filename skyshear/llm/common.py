@@ -28,7 +28,7 @@ def text_of(column: str = "text") -> F.Column:
 
 def ranges(df: DataFrame, size: int = RANGE_BYTES) -> int:
     """Ranges to deal ``df`` into: spark.sql.shuffle.partitions, or more where these would pass ``size`` bytes each."""
-    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if estimate >= 1 << 58:  # rows that aren't from files have no estimate
         estimate = 0
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-estimate // size))

@@ -3,7 +3,9 @@
 A page's body is divided into lines of text, one a block, each with its place:
 inside the main container (article or main), in a part that its markup names as
 no text of the article (menu, header, footer, sidebar, notice, advert, form,
-comments), or elsewhere. Pages are ordered by host and URL path, and each is
+comments), or elsewhere. Markup decides first, since differencing alone gives
+wrong results where menus and adverts differ from page to page (the README has
+figures). Pages are ordered by host and URL path, and each is
 aligned with its neighbours on the same host by the longest common subsequence
 of their lines. Shared lines are the site's frame and go; unshared ones stay, in
 the main container or not, unless their markup names them as no text. Two guards
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import parts
-from .common import table
+from .common import ranges, table
 
 #: Elements whose content is no text.
 DROPPED = frozenset("script style noscript template svg math iframe object canvas select textarea button head title audio video".split())
@@ -57,9 +59,18 @@ KEY = ("_host", "_path", "_url", "_id")
 BORDER = 2
 #: A pair that shares so much of the longer content is a pair of copies.
 COPY = 0.8
-#: A private character that stands for an ampersand until its block is whole.
-MARK = "\uf8f0"
-WHITE = re.compile(r"[\s\x00]+")
+#: Private characters, one of which, not in the page, stands for an ampersand until its block is whole.
+MARKS = (*range(0xE000, 0xF900), *range(0xF0000, 0x10FFFE))
+WHITE = re.compile(r"\s+")
+#: Elements that the start of another one ends, and the elements that such an end doesn't pass.
+ENDS = {
+    "li": (("li",), ("ul", "ol", "menu", "dir")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+}
 
 
 @dataclass
@@ -72,9 +83,9 @@ class Line:
 class Blocks(HTMLParser):
     """The lines of a page, in order, from markup however broken."""
 
-    def __init__(self, page: str = "") -> None:
+    def __init__(self, page: str = "", mark: str = "") -> None:
         super().__init__(convert_charrefs=False)
-        self.page = page
+        self.page, self.mark = page, mark
         self.lowered: str | None = None
         self.ends: dict[str, tuple[int, int]] = {}
         self.inline: Counter[str] = Counter()
@@ -89,7 +100,7 @@ class Blocks(HTMLParser):
 
     def flush(self) -> None:
         if self.held:
-            text = WHITE.sub(" ", entities.unescape("".join(self.held).replace(MARK, "&"))).strip()
+            text = WHITE.sub(" ", entities.unescape("".join(self.held).replace(self.mark, "&"))).strip()
             self.held = []
             if text:
                 self.lines.append(Line(text, self.boxes if self.mains else 0, self.frames > 0))
@@ -137,12 +148,14 @@ class Blocks(HTMLParser):
             self.held.append("\n")
         if tag in VOID:
             return
-        if tag == "p" and self.open and self.open[-1][0] == "p":
+        if tag in BLOCKS and self.open and self.open[-1][0] == "p":
             self.close(len(self.open) - 1)
+        self.end_before(tag)
         named = " ".join(v.lower() for k, v in attrs if k in ("class", "id", "role") and v)
         inside = self.mains > 0
         main = tag in MAIN or any(k == "role" and v == "main" for k, v in attrs)
-        frame = tag in FRAME or tag == "header" and not inside or bool(named and not main and tag not in WHOLE and FRAME_WORDS.search(named))
+        heads = tag == "header" or "header" in named  # of the page, outside an article; the article's own inside
+        frame = tag in FRAME or tag == "header" and not inside or bool(named and not main and tag not in WHOLE and FRAME_WORDS.search(re.sub(r"(^|[\s_-])(?:mast)?header", r"\1", named) if inside and heads else named))
         main = main and not frame
         if tag not in BLOCKS:
             self.inline[tag] += 1
@@ -152,6 +165,17 @@ class Blocks(HTMLParser):
             self.mains += main
             self.frames += frame
 
+    def end_before(self, tag: str) -> None:
+        """Ends the open elements that HTML ends where ``tag`` starts."""
+        if tag not in ENDS:
+            return
+        ended, bounds = ENDS[tag]
+        for at in range(len(self.open) - 1, -1, -1):
+            if self.open[at][0] in bounds:
+                break
+            if self.open[at][0] in ended:
+                self.close(at)
+
     def close(self, at: int) -> None:
         for _, main, frame in self.open[at:]:
             self.mains -= main
@@ -188,9 +212,11 @@ class Blocks(HTMLParser):
 
 
 def lines_of(page: str | None) -> list[Line]:
-    """The lines of a page; null has none. An ampersand passes the parser as MARK, so references are decoded once, in whole blocks."""
-    marked = (page or "").replace("&", MARK)
-    parser = Blocks(marked)
+    """The lines of a page; null has none. An ampersand passes the parser as a mark, so references are decoded once, in whole blocks."""
+    page = page or ""
+    mark = next(c for c in map(chr, MARKS) if c not in page)
+    marked = page.replace("&", mark)
+    parser = Blocks(marked, mark)
     parser.feed(marked)
     parser.close_input()
     return parser.lines
@@ -385,20 +411,21 @@ def extract(pages: DataFrame) -> DataFrame:
     isn't its copy whatever the number of ranges (the outermost one, if a run of
     copies passes both a cut and the border pages). A null url is a host of its
     own; null or empty html gives an empty text. Rows are kept apart even if
-    equal (a copy is no witness); an empty table gives an empty result; other
-    columns are ignored.
+    equal (a copy is no witness); pages of any length are read whole, and tags
+    that are never closed end where HTML ends them; an empty table gives an empty
+    result; other columns are ignored.
     """
     url = F.coalesce("url", F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     path = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*|[?#].*$", "")
     key = [c.alias(k) for c, k in zip((host, path, url, F.coalesce(F.col("page_id").cast("string"), F.lit(""))), KEY, strict=True)]
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges(pages)
     found = pages.select(*key).repartitionByRange(n, *KEY).sortWithinPartitions(*KEY).mapInArrow(edges, "part int, kind string, " + ", ".join(f"{k} string" for k in KEY)).collect()
     by_part: dict[int, dict[str, list[tuple]]] = {}
     for r in found:
         by_part.setdefault(r[0], {}).setdefault(r[1], []).append(tuple(r[2:]))
-    ranges = [{k: sorted(v) for k, v in by_part[p].items()} for p in sorted(by_part)]
-    cuts, border = [r["head"][0] for r in ranges][1:], borders(ranges)
+    found = [{k: sorted(v) for k, v in by_part[p].items()} for p in sorted(by_part)]
+    cuts, border = [r["head"][0] for r in found][1:], borders(found)
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def dealt(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:

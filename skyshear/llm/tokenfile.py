@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec, parts, texts_of, tokenizer_path
-from .common import shared_dir, table
+from .common import ranges, shared_dir, table
 
 #: The id that ends each document.
 END = 0
@@ -39,16 +39,16 @@ LAYOUT = {
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
 
-def write_tokens(docs: DataFrame, to: str, path: str | None = None, *, end: int | None = END) -> None:
+def write_tokens(docs: DataFrame, to: str, path: str | None = None, *, end: int | None = END, files: int | None = None) -> None:
     """Writes the ids of ``docs`` (doc_id, text) to the folder ``to``, by ascending doc_id.
 
     A null text is empty: only the end id. Null ids come first; rows that share
     an id follow each other in the order of their texts' hashes. Texts are whole, and
-    an empty table makes files without rows. Extra columns are ignored.
+    an empty table makes files without rows. Extra columns are ignored. There are
+    ``files`` files, as a rule so many that each takes 128 MB of the input at most.
     """
     path = path or tokenizer_path()
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = files or ranges(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, at = codec(path), TaskContext.get().partitionId(), 0
