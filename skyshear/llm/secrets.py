@@ -8,12 +8,13 @@ back to every path that holds the blob, however many there are.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_of
+from .common import shared_dir, table, text_of
 
 
 def either_case(word: str) -> str:
@@ -35,6 +36,7 @@ RULES = (
 BASE = ("assign", "access", "hex")
 #: Goes up when a rule changes: blobs are then scanned anew.
 RULES_VERSION = 1
+LEDGER = "blob string, rules_version int, spans array<struct<start:int,ord:int,kind:string,end:int>>"
 
 
 def spans_of(text: Column, kind: str, order: int, pattern: str, group: int, least: int) -> Column:
@@ -73,8 +75,11 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, *, rules: tuple =
     """The ledger's new rows: ``blob, rules_version, spans`` for unseen blobs of ``versions``.
 
     ``versions`` has a column text; null counts as empty, which is a blob like
-    any other. Copies are reduced to one where they are read, before the shuffle.
-    Blobs without a finding get an empty array. Extra columns are ignored.
+    any other, and texts of any length are scanned whole. Copies are reduced to
+    one where they are read, before the shuffle. Matches of one kind don't
+    overlap; those of different kinds may, and of equal starts the kind that RULES
+    lists first comes first. Blobs without a finding get an empty array. Extra
+    columns are ignored; an empty table adds nothing.
     """
     text = text_of()
     blobs = versions.select(F.sha2(text, 256).alias("blob"), text.alias("text"))
@@ -87,6 +92,21 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, *, rules: tuple =
     return once.select("blob", F.lit(version).alias("rules_version"), F.when(may_hold(F.col("text"), rules), spans).otherwise(nothing).alias("spans"))
 
 
+def updated_ledger(versions: DataFrame, path: str, *, rules: tuple = RULES, version: int = RULES_VERSION) -> DataFrame:
+    """The ledger kept at ``path``, after what ``versions`` adds to it.
+
+    The first run makes it. A later one scans only (blob, version) pairs that it
+    lacks and appends them; nothing that is in it changes. A run that fails adds
+    nothing, so it can be repeated. One run may write at a time.
+    """
+    spark = versions.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+    new = scan(versions, spark.read.schema(LEDGER).parquet(path) if there else None, rules=rules, version=version)
+    new.write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
 def findings_by_path(versions: DataFrame, ledger: DataFrame, *, version: int = RULES_VERSION, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``spans`` of each row of ``versions``; the same blob under many paths is one key that AQE may split.
 
@@ -106,18 +126,24 @@ def written(spans: Column, kinds: tuple[str, ...] | None = None) -> Column:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts, digest and spans of the secrets in each document; the ledger starts empty."""
+    """Counts, digest and spans of the secrets in each document; the ledger is a new one, in the shared folder."""
     docs = table(spark, sf_dir, "documents")
-    ledger = stored(scan(docs), "secret-ledger")
+    ledger = updated_ledger(docs, f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return findings_by_path(docs, ledger).select(
         "doc_id", *[count(k) for k in BASE], F.sha2(written(F.col("spans"), BASE), 256).alias("base_sha256"), written(F.col("spans")).alias("spans")
     )
 
 
-def without_secrets(docs: DataFrame, *, name: str = "secret") -> DataFrame:
-    """``docs`` with each found span replaced by its kind in angle brackets; rows and columns stay, n_chars follows the text."""
-    ledger = stored(scan(docs), f"{name}-ledger")
+def without_secrets(docs: DataFrame, *, path: str | None = None) -> DataFrame:
+    """``docs`` with each found span replaced by its kind in angle brackets; rows and columns stay, n_chars follows the text.
+
+    Of spans that overlap, what an earlier one covers isn't replaced again. A null
+    text stays null; ids don't matter, so rows may share one or have none; an
+    empty table stays empty. The ledger at ``path`` is used and added to; without
+    one it starts empty.
+    """
+    ledger = updated_ledger(docs, path or f"{shared_dir(docs.sparkSession)}/secret-ledger-{uuid.uuid4().hex}")
     # columns travel packed, so none can clash with those of the ledger
     packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     found = findings_by_path(packed, ledger, keep=("row",))
