@@ -439,7 +439,14 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's least; all columns stay. Of rows that share that id one stays, rows without id all do."""
+    """The rows of ``docs`` whose id is their component's least; all columns stay.
+
+    Of rows that share an id and a text one stays; rows without id all do. A text
+    without words is a component of its own. An empty table stays empty.
+    """
     first = groups(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["_first"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    # columns travel packed, so none can clash with those of the groups
+    packed = docs.select(F.col("doc_id").alias("_of"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    kept = packed.join(first, packed["_of"] == first["_first"], "left_semi").groupBy("_of", "_text").agg(F.first("_row").alias("_row")).select("_row")
+    rows = kept.unionByName(packed.filter("_of IS NULL").select("_row"))
+    return rows.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
