@@ -33,8 +33,10 @@ WINDOW = 32
 LEAST, USUAL, MOST = 128, 512, 2048
 #: At most so many chunks are in the corpus dictionary: under SHARED * MOST * 4 bytes of ids, 2 bytes a token as a rule.
 SHARED = 16_384
-#: Entries of each of a worker's caches of words, and of its cache of chunks, which starts anew when it is full.
-WORDS, CHUNKS = 1_500_000, 60_000
+#: Entries of a worker's cache of words (about 200 bytes each), of its cache of words that start a text, and of its cache of chunks, which starts anew when it is full.
+WORDS, STARTS, CHUNKS = 700_000, 50_000, 20_000
+#: Longer words are not kept.
+LONGEST = 64
 #: White space, of one character, before a space: no place to cut the text.
 UNSAFE = re.compile(rb"(?:[\x09-\x0d\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80) ")
 
@@ -52,16 +54,17 @@ def open_ended(word: bytes) -> bool:
 
 
 class Cache(dict):
-    """Ids of words: WORDS of them at most, and ``over`` for what comes after."""
+    """Ids of words: ``most`` of them at most, and ``over`` for what comes after."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int) -> None:
+        self.most = most
         self.over: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
         return self.over[word]
 
     def put(self, word: bytes, ids: bytes) -> None:
-        (self if len(self) < WORDS else self.over)[word] = ids
+        (self if len(self) < self.most and len(word) <= LONGEST else self.over)[word] = ids
 
 
 #: Words that are encoded as one text.
@@ -80,11 +83,14 @@ class Codec:
             self.tokenizer.model._resize_cache(0)
         self.bytes = token_bytes(self.tokenizer)
         self.lengths = np.array([len(x) for x in self.bytes], dtype=np.int64)
-        self.first, self.spaced = Cache(), Cache()
+        self.first, self.spaced = Cache(STARTS), Cache(WORDS)
+
+    def numbers(self, text: bytes) -> np.ndarray:
+        """Ids of a text by the tokenizer, which needs no offsets here."""
+        return np.array(self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def whole(self, text: bytes) -> bytes:
-        ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
+        return self.numbers(text).tobytes()
 
     def encode_many(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; exact, since words split where the pre-tokenizer must.
@@ -129,7 +135,7 @@ class Codec:
         """Encodes words after a space, joined to one text where that can't change them, and divides the ids by their bytes."""
         joined = b" " + b" ".join(words)
         if not UNSAFE.search(joined + b" "):
-            ids = np.array(self.tokenizer.encode(joined.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4")
+            ids = self.numbers(joined)
             lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
             reached, wanted = np.cumsum(self.lengths[ids]), np.cumsum(lengths)
             ends = np.searchsorted(reached, wanted)

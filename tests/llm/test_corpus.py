@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyshear.llm import bpe, classifier, jaccard, mixing, neighbours, pages, quality, secrets, tokenfile, toxicity
+from skyshear.llm import bpe, classifier, common, jaccard, mixing, neighbours, pages, quality, secrets, tokenfile, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, class string, spans string, `row` int, key int, copies int, label int, `of` int"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -197,6 +198,52 @@ def test_mix_meets_targets(docs, none, duck):
     assert mixing.mix(none).count() == 0
     twice = mixing.repeat(docs)
     assert twice.columns == docs.columns
+    most = {}
+    for r in rows:
+        most[r.doc_id] = max(most.get(r.doc_id, 0), r.copies)
+    assert Counter(r.doc_id for r in twice.collect()) == Counter({i: n * sum(c[0] == i for c in corpus()) for i, n in most.items() if n})
+
+
+def test_mix_equals_its_sql(spark, duck):
+    from tests.conftest import SF
+
+    got = sorted(map(str, mixing.op7_mix(spark, SF).select("doc_id", "size", "source_size", "target", "taken").collect()))
+    want = duck.sql(mixing.OP7_SQL).df()[["doc_id", "size", "source_size", "target", "taken"]]
+    assert got == sorted(f"Row(doc_id={r.doc_id}, size={r.size_}, source_size={r.source_size}, target={r.target}, taken={r.taken})" for r in want.rename(columns={"size": "size_"}).itertuples())
+
+
+def test_inclusion_odds_decide_the_sample(spark):
+    """Longer documents are likelier; ranks by the random odds alone would take others."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(["w"] * rng.choice([4, 9, 25, 100])), s) for s in "abc" for i in range(2000 * "abc".index(s), 2000 * "abc".index(s) + 2000)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source in "abc":
+        own = [r for r in out if r.source == source]
+        least = min(r.copies for r in own)
+        share = {n: np.mean([r.copies > least for r in own if r.size == n]) for n in (4, 9, 25, 100)}
+        rest = own[0].target - least * own[0].source_size
+        assert abs(sum(r.size * r.copies for r in own) - own[0].target) <= 50
+        if 0.05 < rest / own[0].source_size < 0.95:
+            rate = min(x for x in (share[100], 1)) / 10
+            assert share[100] > share[4] + 0.1 and share[9] == pytest.approx(min(1, 3 * rate), abs=0.08) or share[100] == 1
+            plain = sorted(own, key=lambda r: int(hashlib.md5(f"mix:{r.doc_id}".encode()).hexdigest()[: mixing.DIGITS], 16))
+            taken, words = set(), 0
+            for r in plain:
+                if words < rest:
+                    taken.add(r.doc_id)
+                    words += r.size
+            assert taken != {r.doc_id for r in own if r.copies > least}
+
+
+@pytest.mark.parametrize("text", ["w w w", None])
+def test_mix_at_its_edges(spark, text):
+    """One source, sources at their caps, no words at all, repeated ids."""
+    rows = [(1, text, "a"), (1, text, "a"), (2, text, "a"), (None, text, "a")]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(out) == 4 and all(r.copies == (1 if text else 0) for r in out)
+    rows += [(10 + i, " ".join(["w"] * 50), "b") for i in range(40)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(r.copies == (3 if text else 0) for r in out if r.source == "a") and sum(r.size * r.copies for r in out) == pytest.approx(sum(r.size for r in out), abs=50)
 
 
 def brute_toxic_segments(scores):
@@ -363,3 +410,277 @@ def test_pipeline_runs_all_stages(spark, docs):
             assert out.columns == rows.columns
         rows = spark.createDataFrame(out.collect(), out.schema)
     assert {r.doc_id for r in rows.collect()} <= {r[0] for r in corpus()}
+
+
+def brute_quality(rows, passes=2):
+    """Counts, references and verdicts of (doc_id, text, lang), from their definitions."""
+    def shares(counts):
+        return np.array(counts) / sum(counts)
+
+    def js(p, q):
+        m = (p + q) / 2
+        h = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m, strict=True) if x > 0)
+        return max(0.0, (h(p) + h(q)) / 2) ** 0.5
+
+    words = {}
+    for _, text, lang in rows:
+        words.setdefault(lang or "", Counter()).update((text or "").lower().split())
+    everything = sum(w.total() for w in words.values())
+    common = {k: [w for w, n in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: quality.COMMON] if n >= quality.SHARE * c.total()] for k, c in words.items() if c.total() >= quality.LANGUAGE_SHARE * everything and c}
+    out = []
+    for doc_id, text, lang in rows:
+        text, key = text or "", lang or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", text)
+        hit = Counter(zip(w, w[1:], w[2:], strict=False))
+        covered = {i + d for i in range(len(w) - 2) if hit[tuple(w[i : i + 3])] > 1 for d in range(3)}
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        base = (len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered))
+        own = Counter(text.lower().split())
+        hist = [own[x] for x in common.get(key, [])] + [0] * (quality.COMMON - len(common.get(key, [])))
+        out.append((doc_id, key, base, base[0] < 50 or 100 * base[4] > 50 * base[0], quality.classes(text), [*hist, own.total() - sum(hist)]))
+    kept, refs = None, {}
+    for _ in range(passes):
+        for key in common:
+            fit = [r for n, r in enumerate(out) if r[1] == key and not r[3] and (kept is None or kept[n])]
+            if fit:
+                mean = [np.mean([shares(r[k]) for r in fit], axis=0).round(6) for k in (4, 5)]
+                refs[key] = [m / m.sum() for m in mean]
+        slack = [quality.SLACK / max(1, r[2][0]) ** 0.5 for r in out]
+        far = [(0.0, 0.0) if r[1] not in refs or not r[2][0] else (js(shares(r[4]), refs[r[1]][0]), js(shares(r[5]), refs[r[1]][1])) for r in out]
+        kept = [r[2][0] < quality.LEAST_WORDS or d[0] <= quality.CHAR_LIMIT + x and d[1] <= quality.WORD_LIMIT + x for r, d, x in zip(out, far, slack, strict=True)]
+    return Counter((r[0], *r[2], r[3], not r[3] and k, round(d[0], 6), round(d[1], 6)) for r, k, d in zip(out, kept, far, strict=True))
+
+
+@pytest.mark.parametrize(("block", "most"), [(2_000_000, 200_000), (300, 200_000), (300, 0)])
+def test_quality_matches_brute_force(docs, monkeypatch, block, most):
+    """Whatever the blocks and tasks, and with or without candidates, common words are exact."""
+    monkeypatch.setattr(quality, "BLOCK", block)
+    monkeypatch.setattr(quality, "CANDIDATES", most)
+    references, rows = quality.learn(docs.repartition(1 if block > 300 else 5))
+    kept = ~F.col("base_failed") & F.col("agrees")
+    got = quality.judged(rows, references).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept, F.round("char_distance", 6), F.round("word_distance", 6))
+    assert Counter(map(tuple, got.collect())) == brute_quality([(r[0], r[1], r[2]) for r in corpus()])
+
+
+def test_neighbours_of_clustered_vectors_with_few_candidates(spark):
+    """Recall against exact search; a query looks at a bounded number of entries however many there are."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(300, 48))
+    x = (centres[rng.integers(0, 300, 6000)] + 0.35 * rng.normal(size=(6000, 48))).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], "x", 1, [i], 2) for i in range(6000)], "vec_id long, embedding array<float>, key string, dim int, ids array<int>, number int")
+    got = {}
+    for r in neighbours.search(df, every=100).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hit = 0
+    for q, found in got.items():
+        s = u @ u[q]
+        s[q] = -9
+        assert [r[0] for r in sorted(found)] == [1, 2, 3, 4, 5] and all(v == pytest.approx(s[i], abs=1e-12) for _, i, v in found)
+        hit += len({i for _, i, _ in found} & set(np.argsort(-s, kind="stable")[:5].tolist()))
+    assert len(got) == 60 and hit / 300 >= 0.9
+    sizes = neighbours.digits(6000, 48)
+    at = np.stack([neighbours.buckets(u, t, sizes) for t in range(neighbours.TABLES)])
+    looked = [len({i for t in range(neighbours.TABLES) for i in np.flatnonzero(np.isin(at[t], neighbours.probes(u[[q]], t, sizes, neighbours.PROBES)[0])).tolist()}) for q in range(0, 6000, 500)]
+    assert np.mean(looked) <= 1.5 * neighbours.TABLES * neighbours.PROBES * neighbours.LOAD
+    for n in (10**4, 10**6, 10**9):
+        assert neighbours.LOAD / 1.5 <= n / np.prod(np.array(neighbours.digits(n, 64), float)) <= 1.5 * neighbours.LOAD
+
+
+def test_neighbours_on_hard_rows(spark, monkeypatch):
+    """Several lengths, few candidates, multiples of one vector, and large chunks cut into blocks, with ties to the smaller id."""
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    rows = [(i, [1.0, 2.0, 2.0]) for i in (200, 1, 2)] + [(3, [0.5, 0.0, 1.0])] + [(i, [float(v) for v in rng.normal(size=9)]) for i in range(1000, 1001)]
+    v = rng.normal(size=6)
+    rows += [(5000 + i, [float(c) for c in v * 2.0 ** (i % 5)]) for i in range(60)] + [(9000, None), (9050, []), (9100, [0.0] * 6), (None, [1.0] * 6)]
+    got = {}
+    for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert [i for i, _ in got[200]] == [1, 2, 3] and 1000 not in got and not {9000, 9050, 9100} & set(got)
+    assert [i for i, _ in got[5000]] == [5001, 5002, 5003, 5004, 5005] and [i for i, _ in got[5050]] == [5000, 5001, 5002, 5003, 5004]
+
+
+def test_hadamard_is_the_plain_transform():
+    x = np.random.default_rng(3).normal(size=(5, 256))
+    h = np.ones((1, 1))
+    while len(h) < 256:
+        h = np.block([[h, h], [h, -h]])
+    assert np.abs(neighbours.hadamard(x.astype(np.float32)) - x @ h / 16).max() < 1e-5
+
+
+def brute_extract(rows):
+    """Each page against the nearest pages of its host, before and after it in order of path, that aren't its copies."""
+    def key(r):
+        m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", r[1] or "")
+        return ((m[1].lower() if m else ""), re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*|[?#].*$", "", r[1] or ""), r[1] or "", str(r[0]))
+
+    rows = sorted(rows, key=key)
+    lines, out = [pages.lines_of(r[2]) for r in rows], {}
+    for n, r in enumerate(rows):
+        frame = set()
+        for step in (-1, 1):
+            m = n + step
+            while 0 <= m < len(rows) and key(rows[m])[0] == key(r)[0]:
+                if (found := pages.witness(lines[n], lines[m])) is not None:
+                    frame |= found
+                    break
+                m += step
+        out[r[0]] = "\n".join(x.text for x in pages.rest(lines[n], frame))
+    return out
+
+
+def test_extraction_matches_brute_force_for_any_number_of_ranges(spark):
+    rng = random.Random(14)
+    rows, chrome = [], {h: [prose(rng, 3) for _ in range(12)] for h in "abc"}
+    for i in range(120):
+        host = rng.choice("abc")
+        own = "".join(f"<p>{prose(rng, 20)}</p>" for _ in range(rng.randint(2, 5)))
+        menu = "".join(f"<div>{x}</div>" for x in chrome[host])
+        rows.append((i, f"https://{host}.org/{rng.randint(0, 20)}/{i}?q=1", f"<body>{menu}{own}<div>{chrome[host][0]}!</div></body>"))
+    want = brute_extract(rows)
+    assert sum(want[i] == "\n".join(x.text for x in pages.lines_of(h)) for i, _, h in rows) == 0  # without neighbours every page keeps its frame
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for n in ("1", "7", "211"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = {r.page_id: r.text for r in pages.extract(df).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert got == want
+    assert {r.page_id: r.n_chars for r in pages.extract(df.union(df)).collect()} == {i: len(t) for i, t in want.items()}
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><header class='entry-header'><h1>Title</h1></header><p>text</p></article>", ["Title", "text"]),
+        ("<article><ul><li class='share'>Share<li>kept</ul><p>text</article>", ["kept", "text"]),
+        ("<article><p class='ad'>buy<div>text</div></article>", ["text"]),
+        ("<article>a \uf8f0lt; b &lt; c</article>", ["a \uf8f0lt; b < c"]),
+        ("<article><table><tr><td class='ad'>buy<td>cell<tr><td>next</table></article>", ["cell", "next"]),
+        ("<article>" + "x" * 200_000 + "</article>", ["x" * 200_000]),
+    ],
+)
+def test_markup_that_html_closes_itself(page, want):
+    assert [x.text for x in pages.lines_of(page) if not x.frame] == want
+
+
+def test_token_files_can_be_read_in_part(spark, docs, tmp_path, tokenizer):
+    import pyarrow.parquet as pq
+
+    rows = [(i, " ".join(["word", str(i)] * 40)) for i in range(3000)] + [(5, "other text"), (5, "third")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tokenfile.write_tokens(df, str(tmp_path / "t"), files=2)
+    names = sorted((tmp_path / "t").glob("*.parquet"))
+    assert len(names) == 2
+    for name in names:
+        f = pq.ParquetFile(name)
+        column = f.metadata.row_group(0).column(f.schema_arrow.get_field_index("ids"))
+        assert column.has_offset_index and column.has_column_index and {"RLE_DICTIONARY", "DELTA_BINARY_PACKED"} & set(column.encodings)
+    got = tokenfile.read_tokens(spark, str(tmp_path / "t")).filter("doc_id = 5")
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,5)]" in got._jdf.queryExecution().toString()
+    want = sorted([*tokenizer.encode(t, add_special_tokens=False).ids, 0] for i, t in rows if i == 5)
+    assert sorted(r.ids for r in got.collect()) == want
+    index = tokenfile.read_index(spark, str(tmp_path / "t"))
+    assert "ids" not in index._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
+    place = sorted(tuple(r) for r in index.collect())
+    assert [p[0] for p in place] == sorted(i for i, _ in rows) and all(a[1] + a[2] == b[1] for a, b in zip(sorted(place, key=lambda r: r[1]), sorted(place, key=lambda r: r[1])[1:], strict=False))
+
+
+def test_ledger_is_kept_and_a_second_run_scans_what_is_new(spark, tmp_path, none):
+    at = str(tmp_path / "ledger")
+    long = "x " * 20_000 + "token=abcdefgh"
+    texts = ["-----BEGIN RSA PRIVATE KEY----- token=abcdef", "ghp_" + "a1B2" * 10, "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeKK end", "see ftp://me:pass@host/x", long, None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.s for r in secrets.findings_by_path(df, secrets.updated_ledger(df, at)).select("doc_id", secrets.written(F.col("spans")).alias("s")).collect()}
+    assert got == {0: "pem:0:31,assign:32:44", 1: "forge:0:44", 2: "jwt:0:39", 3: "login:4:18", 4: "assign:40000:40014", 5: "", 6: ""}
+    first = spark.read.parquet(at)
+    assert first.count() == 6  # null and empty are one blob
+    again = secrets.updated_ledger(df.union(df), at)
+    assert again.count() == 6 and secrets.scan(df, again).count() == 0
+    more = spark.createDataFrame([(50, texts[1]), (51, "secret: zzzzzz")], "doc_id long, text string")
+    after = secrets.updated_ledger(more, at)
+    assert after.count() == 7 and secrets.updated_ledger(none, at).count() == 7
+    paths = {r.doc_id: r.s for r in secrets.findings_by_path(more, after).select("doc_id", secrets.written(F.col("spans")).alias("s")).collect()}
+    assert paths == {50: "forge:0:44", 51: "assign:0:14"}
+    assert secrets.updated_ledger(df, at, version=2).filter("rules_version = 2").count() == 6
+
+
+def test_one_of_each_keeps_texts_that_share_an_id(spark):
+    rows = [(1, "one two three four five six", 7), (1, "entirely other words stand in this row", 8), (1, "one two three four five six", 9), (2, "one two three four five six", 7), (None, "one two three four five six", 7), (3, None, 1), (4, "", 1)]
+    out = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, `_first` int"))
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(1, rows[0][1]), (1, rows[1][1]), (None, rows[0][1]), (3, None), (4, "")]) and out.columns == ["doc_id", "text", "_first"]
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 900), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.random()], rng.integers(0, 2**63, rng.integers(0, 200), dtype=np.uint64)]))
+        if len(b):
+            assert jaccard.least_difference(jaccard.bits(a), jaccard.bits(b)) <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize("learned", ["toxic", "quality"])
+def test_labels_that_teach_nothing(spark, learned):
+    """All of one class, conflicting and repeated labels, ties, very long texts, clashing columns."""
+    texts = spark.createDataFrame([(i, "same text for all" if i < 40 else "long " * 30_000, 1.0, 1, "x") for i in range(42)] + [(None, None, 0.0, 0, "x")], "doc_id long, text string, score double, label int, n string")
+    labels = spark.createDataFrame([(i, 1, 1) for i in range(40)] + [(0, 0, 0), (1, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int")
+    module, learn = (toxicity, toxicity.learn) if learned == "toxic" else (classifier, classifier.learn)
+    out = module.score(texts, learn(texts, labels)).collect()
+    assert len(out) == 43 and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in out) and len({r.score for r in out if r.doc_id is not None and r.doc_id < 40}) == 1
+    module.score(texts, learn(texts, labels.limit(0))).collect()
+
+
+def test_risk_and_its_slope():
+    """One step of the non-negative risk goes the way of its numerical gradient, also where it would be negative."""
+    rng = np.random.default_rng(2)
+    pos, unl = rng.normal(1, 1, (500, classifier.WIDTH)), np.concatenate([rng.normal(1, 1, (300, classifier.WIDTH)), rng.normal(-1, 1, (200, classifier.WIDTH))])
+    model = classifier.fit(pos, unl, 0.6, np.zeros(classifier.WIDTH), np.ones(classifier.WIDTH))
+    loss = lambda z: np.logaddexp(0, -z)
+    risk = lambda m: 0.6 * loss(m.logits(pos)).mean() + max(0.0, loss(-m.logits(unl)).mean() - 0.6 * loss(-m.logits(pos)).mean())
+    start = classifier.Model(model.mean, model.scale, [np.zeros_like(w) for w in model.layers], 0.6)
+    assert risk(model) < 0.15 < risk(start)
+    truth = np.repeat([1, 0], [300, 200])
+    assert ((model.scores(unl) >= 0.5) == truth).mean() > 0.97
+    plain = classifier.fit(pos[::2], unl[::2], None, np.zeros(classifier.WIDTH), np.ones(classifier.WIDTH))
+    assert classifier.estimate_prior(plain.logits(pos[1::2]), plain.logits(unl[1::2])) == pytest.approx(0.6, abs=0.12)
+
+
+def test_each_stage_against_brute_force(spark):
+    """The pipeline's stages one by one, on rows with null ids, repeated ids, nulls and columns that clash."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    base = prose(rng, 90)
+    rows = [(i, prose(rng, 80) + (" token=abcdef1" if i % 9 == 0 else ""), "en", "ab"[i % 2]) for i in range(40)]
+    rows += [(50 + i, base + f" tail{i}", "en", "a") for i in range(5)] + [(60, None, None, None), (61, "", "en", "a"), (62, "short", "en", "a"), (63, " ".join(w + "###" for w in prose(rng, 90).split()), "en", "b"), (None, prose(rng, 70), "en", "b"), (0, rows[0][1], "en", "a")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, class int, `row` int, `of` int, spans int, copies int, salt int"
+    docs = spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), 1, 2, 3, 4, 5, 6) for r in rows], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    again = lambda df: common.stored(df, "stage")
+    ids = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+
+    kept = again(stages["quality rules"](spark, docs, ""))
+    verdict = brute_quality([r[:3] for r in rows])
+    assert Counter(r.doc_id for r in kept.collect()) == Counter({k[0]: n for k, n in verdict.items() if k[7] for n in [sum(m for q, m in verdict.items() if q[0] == k[0] and q[7])]})
+    left = [(r.doc_id, r.text) for r in kept.collect()]
+    first = {(g[0]) for g in brute_groups(left) if g[0] == g[2]}
+    single = again(stages["near duplicates"](spark, kept, ""))
+    assert ids(single) == Counter({(i, t): 1 for i, t in left if i in first and i is not None} | {(i, t): n for (i, t), n in Counter(left).items() if i is None})
+    masked = again(stages["secret scan"](spark, single, ""))
+    assert ids(masked) == Counter((r.doc_id, r.text.replace("token=abcdef1", "<assign>")) for r in single.collect())
+    mixed = again(stages["mix"](spark, masked, ""))
+    copies = Counter()
+    for r in mixing.mix(masked).collect():
+        copies[r.doc_id] = max(copies[r.doc_id], r.copies)
+    assert Counter(r.doc_id for r in mixed.collect()) == Counter({r.doc_id: copies[r.doc_id] for r in masked.collect() if copies[r.doc_id]})
+    assert docs.columns == kept.columns == single.columns == masked.columns == mixed.columns
+    out = stages["encode"](spark, mixed, "").collect()
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(bpe.tokenizer_path())
+    assert Counter((r.doc_id, r.n_tokens) for r in out) == Counter((r.doc_id, len(own.encode(r.text or "", add_special_tokens=False).ids)) for r in mixed.collect())
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = again(stage(spark, empty, ""))
+        assert empty.count() == 0
