@@ -12,31 +12,52 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from skyshear.llm import bpe, jaccard, mixing, quality, secrets
-from skyshear.llm.common import shared_dir, table
+from skyshear.llm.common import discard, shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the divergence rule keep."""
+    """Documents that the base rules and the divergence rule keep.
+
+    Null and empty texts and those under 50 words go; a null language is one of
+    its own. Rows are judged one by one: repeated ones and rows without id fare
+    like any other. Texts of any length are judged whole; other columns stay as
+    they are, whatever their names; an empty table stays empty.
+    """
     return quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least id."""
+    """One document of each group of near copies: the one with the least id.
+
+    A text without words is no copy of anything and stays; rows without id stay.
+    Of rows that share the least id one stays for each different text. Other
+    columns stay as they are; an empty table stays empty.
+    """
     return jaccard.one_of_each(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each found secret replaced by its kind."""
+    """All documents, each found secret replaced by its kind.
+
+    A null text stays null, and n_chars follows the text. Rows may share an id or
+    have none. Other columns stay as they are; an empty table stays empty.
+    """
     return secrets.without_secrets(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, which may be never.
+
+    A text without words is taken as often as its source is for certain; a null
+    source is one of its own. Rows that share an id are taken as often as the one
+    of them that is taken most; so are rows without id. Ties in rank go to the
+    smaller id. Other columns stay as they are; an empty table stays empty.
+    """
     return mixing.repeat(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of each row, copies included."""
+    """Token count and digests of each row, copies included; a null text is empty, and an empty table gives no rows."""
     return bpe.digests(docs)
 
 
@@ -58,5 +79,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         path = f"{shared_dir(spark)}/pipeline-{k}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        if k:
+            discard(docs)
         docs = spark.read.parquet(path)
     return docs

@@ -8,6 +8,7 @@ from skyshear.functions import geo
 from skyshear.model import DX, DY, DZ, RADARS
 from skyshear.operators import scan, stencil, wind
 from skyshear.plans.views import oracle, view
+from skyshear.sources.store import stored
 
 KEY = ["k", "j", "i"]
 R = geo.rounded
@@ -43,7 +44,8 @@ def _vortex_cells(s, d):  # noqa: ANN001, ANN202
     n = s.range(17 * 17 * 5).select((F.col("id") % 17).cast("int").alias("i"), (F.floor(F.col("id") / 17) % 17).cast("int").alias("j"), F.floor(F.col("id") / 289).cast("int").alias("k"))
     cells = n.select(*KEY, ((F.col("i") - 8) * 5000.0).alias("x"), ((F.col("j") - 8) * 5000.0).alias("y"), (500.0 + 500.0 * F.col("k")).alias("z"))
     true_u, true_v = 8.0 - 2e-4 * F.col("y"), 3.0 + 2e-4 * F.col("x")
-    return wind.beams(cells).withColumns({f"vr{n}": F.col(f"bx{n}") * true_u + F.col(f"by{n}") * true_v for n in (1, 2)})
+    # written once, so what stands on the beams doesn't repeat their formulas
+    return stored(wind.beams(cells).withColumns({f"vr{n}": F.col(f"bx{n}") * true_u + F.col(f"by{n}") * true_v for n in (1, 2)}), "vortex")
 
 
 def _vortex(s, d):  # noqa: ANN001, ANN202
