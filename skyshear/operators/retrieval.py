@@ -55,7 +55,7 @@ def initial_wind(cells: DataFrame, background: DataFrame, sigma: float = 8000.0,
     guess = lambda u, d, b: F.when(F.col("valid"), F.col(u)).otherwise(F.col(b) + F.col("weight") * F.coalesce(f"s{d}", F.lit(0.0)))
     out = out.withColumns({"direct": F.col("valid"), "u0": guess("u", "du", "ub"), "v0": guess("v", "dv", "vb")})
     field = out.select(*KEY, "x", "y", "z", "vr1", "vr2", "direct", F.col("u0").alias("u"), F.col("v0").alias("v"), F.lit(True).alias("valid"))
-    div = stencil.divergence_vorticity(field, DX, DY).withColumn("div", F.coalesce("divergence", F.lit(0.0))).withColumn("is_top", F.col("k") == F.max("k").over(Window.partitionBy("j", "i")))
+    div = stencil.divergence_vorticity(field, DX, DY).withColumn("div", F.coalesce("divergence", F.lit(0.0))).withColumn("is_top", F.col("k") == F.max("k").over(Window.partitionBy(*stencil.cases(field), "j", "i")))
     w = F.greatest(F.lit(-W_LIMIT), F.least(F.lit(W_LIMIT), F.col("w")))
     done = stencil.downward_integral(div, DZ, F.lit(0.0))
     return done.select(*KEY, "x", "y", "z", "vr1", "vr2", "direct", F.col("u").alias("u0"), F.col("v").alias("v0"), w.alias("w0"))

@@ -74,7 +74,7 @@ def retrieve(cells: DataFrame, dz: float, rounds: int = 5, least: float = MIN_AN
     """
     out = beams(cells)
     out = out.withColumn("valid", dual(out, least)).withColumn("w", F.lit(0.0))
-    out = stored(out.withColumn("is_top", F.col("k") == F.max("k").over(Window.partitionBy("j", "i"))), "beams")
+    out = stored(out.withColumn("is_top", F.col("k") == F.max("k").over(Window.partitionBy(*stencil.cases(out), "j", "i"))), "beams")
     for _ in range(rounds):
         u, v = solve_uv(F.col("w"))
         out = out.withColumn("u", F.when(F.col("valid"), u)).withColumn("v", F.when(F.col("valid"), v)).drop("w")

@@ -146,6 +146,25 @@ def test_rotations_ignore_distractors(spark):
     assert [(r.i, r.j) for r in got] == [(4, 4)]
 
 
+def test_cases_of_one_table_dont_mix(spark):
+    """Every stencil gives each case of a table what it gives the case alone."""
+    rng = np.random.default_rng(15)
+    rows = [(c, k, j, i, 1000.0 * i, 1000.0 * j, 500.0 * k, *map(float, rng.normal(size=3)), bool(rng.random() < 0.9), k == 3) for c in range(2) for k in range(4) for j in range(4) for i in range(5)]
+    both = spark.createDataFrame(rows, "case int, k int, j int, i int, x double, y double, z double, u double, v double, w double, valid boolean, is_top boolean")
+    steps = {
+        "vorticity": lambda d: stencil.divergence_vorticity(d, 1000.0, 1000.0),
+        "d_rho": stencil.mass_divergence,
+        "complete": lambda d: stencil.stencil_complete(d, F.col("valid"), {"k": 4, "j": 4, "i": 5}),
+        "w": lambda d: stencil.downward_integral(d.withColumn("div", F.when(F.col("valid"), F.col("u"))).drop("w"), 500.0, F.lit(0.5)),
+        "u": lambda d: stencil.local_maxima(d, "u", {"k": 1, "j": 1, "i": 1}),
+        "value": lambda d: stencil.scatter_transpose(d.withColumn("value", F.col("u")), "i", 1000.0, 5),
+    }
+    for name, step in steps.items():
+        got = {(r["case"], r.k, r.j, r.i): r[name] for r in step(both).collect()}
+        want = {(c, r.k, r.j, r.i): r[name] for c in range(2) for r in step(both.filter(F.col("case") == c).drop("case")).collect()}
+        assert got == pytest.approx(want), name
+
+
 def test_streams_pair(spark, tmp_path):
     from skyshear.streaming import pairing
 
