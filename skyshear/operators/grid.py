@@ -130,6 +130,55 @@ def translate_by(field: DataFrame, shifts: DataFrame, keys: list[str], ny: int,
     return out.filter(F.col("j").between(0, ny - 1) & F.col("i").between(0, nx - 1)).groupBy(*keys, "j", "i").agg(F.sum("v").alias("v"))
 
 
+def time_difference(field: DataFrame, dx: float, dy: float, ny: int, nx: int) -> DataFrame:
+    """T: ``t, j, i, v`` of each volume's successor less the volume moved by (dx, dy); what either lacks is zero."""
+    moved = translate(field, dx, dy, ny, nx).select("t", "j", "i", (-F.col("v")).alias("v"))
+    later = field.select((F.col("t") - 1).alias("t"), "j", "i", "v")
+    ends = field.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
+    return moved.unionByName(later).filter(F.col("t").between(ends["lo"], ends["hi"] - 1) if ends["lo"] is not None else F.lit(False)).groupBy("t", "j", "i").agg(F.sum("v").alias("v"))
+
+
+def time_adjoint(change: DataFrame, dx: float, dy: float, ny: int, nx: int) -> DataFrame:
+    """T*: each change goes to the later volume as it is and, moved back and negated, to the earlier one."""
+    back = translate(change, dx, dy, ny, nx, adjoint=True).select("t", "j", "i", (-F.col("v")).alias("v"))
+    return back.unionByName(change.select((F.col("t") + 1).alias("t"), "j", "i", "v")).groupBy("t", "j", "i").agg(F.sum("v").alias("v"))
+
+
+def trilinear(points: DataFrame, cells: DataFrame, sizes: tuple[int, int, int], values: tuple[str, ...]) -> DataFrame:
+    """``points`` (id, px, py, pz in cells) with ``values`` of ``cells`` (k, j, i): from eight corners, missing ones as zero; zero outside and on the last cells."""
+    base = {a: F.floor(f"p{b}").cast("int") for a, b in zip("kji", "zyx", strict=True)}
+    corner = F.explode(F.array(*[F.struct(*[F.lit(d).alias(a) for a, d in zip("kji", c, strict=True)]) for c in ((x, y, z) for x in (0, 1) for y in (0, 1) for z in (0, 1))]))
+    inside = F.lit(True)
+    for a, n in zip("kji", sizes, strict=True):
+        inside = inside & (base[a] >= 0) & (base[a] < n - 1)
+    c = points.withColumn("_in", inside).withColumn("_c", corner).select("id", "px", "py", "pz", "_in", *[(base[a] + F.col(f"_c.{a}")).alias(a) for a in "kji"])
+    w = (1 - F.abs(F.col("px") - F.col("i"))) * (1 - F.abs(F.col("py") - F.col("j"))) * (1 - F.abs(F.col("pz") - F.col("k")))
+    mean = lambda v: F.sum(F.when(F.col("_in"), w * F.coalesce(v, F.lit(0.0))).otherwise(0.0)).alias(v)
+    return c.join(cells.select("k", "j", "i", *values), ["k", "j", "i"], "left").groupBy("id").agg(*[mean(v) for v in values])
+
+
+def composite(products: DataFrame, wanted: DataFrame, tolerance: int = 180, least: float = -20.0) -> DataFrame:
+    """``t1, py, px, v, stations``: the largest value of several stations at each wanted place and time.
+
+    ``products``: station, ts (s), j, i, v; ``wanted``: t1, px, py (cells). Of each
+    station the product nearest to t1 counts, if it is within ``tolerance``; values
+    below ``least`` are none, and the four corners of a place must have one.
+    """
+    from skyshear.operators.match import nearest_within
+
+    times = products.select("station", F.col("ts").alias("t2")).distinct()
+    near = None
+    for (station,) in times.select("station").distinct().orderBy("station").collect():  # a few stations
+        one = nearest_within(wanted.select("t1").distinct(), times.filter(F.col("station") == station).select("t2"), tolerance).filter("t2 IS NOT NULL").select("t1", "t2", F.lit(station).alias("station"))
+        near = one if near is None else near.unionByName(one)
+    if near is None or near.isEmpty():
+        raise ValueError("no product lies within the tolerance of any wanted time")
+    fields = near.join(products.withColumnRenamed("ts", "t2"), ["station", "t2"]).select("t1", "station", "j", "i", F.when(F.col("v") >= least, F.col("v")).alias("value"))
+    at = wanted.select("t1", "px", "py").distinct().join(near.select("t1", "station"), "t1").withColumn("id", F.struct("t1", "station", "px", "py"))
+    got = bilinear(at, fields, ("id", "t1", "station"), ("t1", "station")).filter("value IS NOT NULL")
+    return got.groupBy("t1", F.col("id.py").alias("py"), F.col("id.px").alias("px")).agg(F.max("value").alias("v"), F.count("*").alias("stations"))
+
+
 def transported_mask(mask: DataFrame, dx: float, dy: float, ny: int, nx: int) -> DataFrame:
     """Cells all of whose sources are in the domain and valid, of ``mask`` (keys, j, i) that lists valid cells."""
     moves = [(sj, si) for sj, _ in _steps(dy) for si, _ in _steps(dx)]

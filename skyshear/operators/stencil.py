@@ -78,6 +78,18 @@ def mass_divergence(wind: DataFrame) -> DataFrame:
     return out.withColumn("d_rho", F.col("du") + F.col("dv") + F.col("dw") / F.col("rho"))
 
 
+def mass_adjoint(values: DataFrame, steps: dict[str, float], sizes: dict[str, int]) -> DataFrame:
+    """The transpose of the mass divergence on a full grid, applied to ``value`` (k, j, i, z, value): au, av and aw."""
+    rho = density(F.col("z"))
+    out = None
+    for name, axis in (("au", "i"), ("av", "j"), ("aw", "k")):
+        given = values.withColumn("value", F.col("value") / rho) if axis == "k" else values
+        one = scatter_transpose(given, axis, steps[axis], sizes[axis]).withColumnRenamed("value", name)
+        out = one if out is None else out.join(one, [*cases(values), "k", "j", "i"])
+    heights = values.select(*cases(values), "k", "j", "i", "z")
+    return out.join(heights, [*cases(values), "k", "j", "i"]).withColumn("aw", F.col("aw") * rho).drop("z")
+
+
 def stencil_complete(cells: DataFrame, ok: Column, sizes: dict[str, int]) -> DataFrame:
     """``complete``: a cell and its neighbours in all three directions are valid; at a domain end the one inside."""
 

@@ -56,11 +56,22 @@ def forward(cells: DataFrame) -> DataFrame:
     return cells.withColumns({f"h{n}": F.when(F.col(f"vr{n}").isNotNull(), radial(u, v, w, n)).otherwise(0.0) for n in (1, 2)})
 
 
+def sound(weight: Column) -> Column:
+    """``weight``, or an error where it is negative or not finite."""
+    bad = weight.isNull() | F.isnan(weight) | (weight < 0) | (weight == float("inf"))
+    return F.when(bad, F.raise_error(F.lit("weights must be finite and not negative")).cast("double")).otherwise(weight)
+
+
+def weighted_forward(cells: DataFrame, weights: tuple[Column, Column]) -> DataFrame:
+    """The roots of ``weights`` times H, whose transpose is the weighted adjoint."""
+    return forward(cells).withColumns({f"h{n}": F.sqrt(sound(weights[n - 1])) * F.col(f"h{n}") for n in (1, 2)})
+
+
 def adjoint(cells: DataFrame, weights: tuple[Column, Column] | None = None) -> DataFrame:
     """H*, weighted by the roots of ``weights`` if given: what both radars' values say about u, v and w."""
     parts = {c: F.lit(0.0) for c in "uvw"}
     for n in (1, 2):
-        d = F.coalesce(F.col(f"vr{n}"), F.lit(0.0)) * (F.lit(1.0) if weights is None else F.sqrt(weights[n - 1]))
+        d = F.coalesce(F.col(f"vr{n}"), F.lit(0.0)) * (F.lit(1.0) if weights is None else F.sqrt(sound(weights[n - 1])))
         for c, b in zip("uvw", "xyz", strict=True):
             parts[c] = parts[c] + F.col(f"b{b}{n}") * d
     return cells.withColumns({f"a{c}": e for c, e in parts.items()})

@@ -146,6 +146,49 @@ def test_rotations_ignore_distractors(spark):
     assert [(r.i, r.j) for r in got] == [(4, 4)]
 
 
+def test_time_operator_and_its_adjoint(spark):
+    rng = np.random.default_rng(16)
+    u, r = rng.normal(size=(4, 6, 7)), rng.normal(size=(3, 6, 7))
+    df = lambda a: spark.createDataFrame([(t, j, i, float(a[t, j, i])) for t, j, i in np.ndindex(*a.shape)], "t int, j int, i int, v double")
+    left = sum(x.v * r[x.t, x.j, x.i] for x in grid.time_difference(df(u), 1.3, -0.4, 6, 7).collect())
+    right = sum(x.v * u[x.t, x.j, x.i] for x in grid.time_adjoint(df(r), 1.3, -0.4, 6, 7).collect())
+    assert left == pytest.approx(right, rel=1e-12)
+
+
+def test_mass_divergence_and_its_adjoint(spark):
+    rng = np.random.default_rng(17)
+    n = (4, 5, 6)
+    u, g = rng.normal(size=(3, *n)), rng.normal(size=n)
+    rows = [(k, j, i, 1000.0 * i, 2000.0 * j, 500.0 * k, *(float(u[c, k, j, i]) for c in range(3)), True, float(g[k, j, i])) for k, j, i in np.ndindex(*n)]
+    df = spark.createDataFrame(rows, "k int, j int, i int, x double, y double, z double, u double, v double, w double, valid boolean, value double")
+    left = sum(r.d_rho * g[r.k, r.j, r.i] for r in stencil.mass_divergence(df).collect())
+    back = stencil.mass_adjoint(df.select("k", "j", "i", "z", "value"), {"i": 1000.0, "j": 2000.0, "k": 500.0}, {"i": 6, "j": 5, "k": 4}).collect()
+    right = sum(r.au * u[0, r.k, r.j, r.i] + r.av * u[1, r.k, r.j, r.i] + r.aw * u[2, r.k, r.j, r.i] for r in back)
+    assert len(back) == 120 and left == pytest.approx(right, rel=1e-10)
+
+
+def test_bad_weights_raise(spark):
+    c = wind.beams(wind_queries._vortex_cells(spark, "")).withColumns({"u": F.lit(1.0), "v": F.lit(1.0), "w": F.lit(0.0)})
+    for bad in (F.lit(-1.0), F.lit(float("nan")), F.lit(None).cast("double")):
+        with pytest.raises(Exception, match="finite"):
+            wind.weighted_forward(c, (F.lit(1.0), bad)).agg(F.sum("h2")).collect()
+
+
+def test_no_product_in_time_is_an_error(spark):
+    products_ = spark.createDataFrame([(1, 0, 0, 0, 1.0)], "station int, ts long, j int, i int, v double")
+    with pytest.raises(ValueError, match="tolerance"):
+        grid.composite(products_, spark.createDataFrame([(5000, 0.0, 0.0)], "t1 long, px double, py double"))
+
+
+def test_streamlines_through_a_cube(spark):
+    """A wind along x crosses the cube and ends outside."""
+    cube = np.zeros((3, 6, 4, 4))
+    cube[0] = 2.0
+    seeds = spark.createDataFrame([(0, 2.5, 1.5, 1.5)], "seed long, x double, y double, z double")
+    rows = kernels.streamlines(seeds, cube, (0, 0, 0), (1, 1, 1), length=0.25, most=200).collect()
+    assert {(r.y, r.z) for r in rows} == {(1.5, 1.5)} and min(r.x for r in rows) < 0.3 and 4.7 < max(r.x for r in rows) < 5.0 and [r.seq for r in rows] == list(range(len(rows)))
+
+
 def test_cases_of_one_table_dont_mix(spark):
     """Every stencil gives each case of a table what it gives the case alone."""
     rng = np.random.default_rng(15)
