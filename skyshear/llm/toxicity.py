@@ -1,9 +1,9 @@
 """Toxicity by maximum-scoring segments.
 
-Words score by their log-odds between toxic and clean documents under a
-Dirichlet prior; a word that training hardly knows takes the score of its
-beginning, so inflected and compounded forms count. Words without evidence
-score a little below zero. One linear scan over a document's scores finds every
+Words score by their signed log-odds between toxic and clean documents under a
+Dirichlet prior, discounted where evidence is thin and a little lowered, so that
+clean text falls; a word that training hardly knows takes the score of its
+beginning, so inflected and compounded forms count. One linear scan over a document's scores finds every
 maximal segment, the passages whose sum can't be raised by moving an end.
 
 In clean text the best of n scores follows an extreme-value law: passages of
@@ -30,9 +30,9 @@ from .common import stored, table
 TRAIN = 20_000
 #: Weight of the prior, in documents.
 PRIOR = 100.0
-#: Evidence that a word needs: log-odds, and log-odds by standard deviations.
-LEAST_ODDS, LEAST_Z = 1.5, 4.0
-#: Score of a word without evidence.
+#: Documents that must hold a form, and how many standard deviations halve the log-odds of one: z * z / (z * z + DOUBT).
+LEAST_COUNT, DOUBT = 5, 40.0
+#: What every word's score is lowered by; that of a form that training hardly knows is this alone.
 DRIFT = -0.15
 #: Lengths of beginnings.
 STEMS = (3, 4, 5, 6, 7)
@@ -87,11 +87,14 @@ class Model:
     known: dict[str, float] = field(default_factory=dict)
 
     def word(self, word: str) -> float:
-        """The score of the most telling form, else DRIFT."""
+        """The log-odds of the word or, if it is hardly known, of its most telling beginning, lowered by DRIFT."""
         if word not in self.known:
-            if len(self.known) > 500_000:
+            if len(self.known) > 200_000:
                 self.known.clear()
-            self.known[word] = max((self.odds[f] for f in forms(word) if f in self.odds), default=DRIFT)
+            own = self.odds.get(word)
+            if own is None:
+                own = max((self.odds[f] for f in forms(word)[1:] if f in self.odds), key=abs, default=0.0)
+            self.known[word] = own + DRIFT
         return self.known[word]
 
     def sums(self, text: str | None) -> tuple[int, list[float]]:
@@ -124,7 +127,11 @@ def training(docs: DataFrame, labels: DataFrame, column: str, most: int = TRAIN)
 
 
 def log_odds(rows: DataFrame, known: dict[str, float] | None = None) -> dict[str, float]:
-    """Log-odds of words with enough evidence, from ``text, label``; given ``known`` words, of the beginnings of all others. Bounded by the sample."""
+    """Signed log-odds of all words that LEAST_COUNT documents hold, from ``text, label``; given ``known`` words, of the beginnings of all others.
+
+    The prior draws them to those of the sample, and what little evidence says is
+    discounted. Their number is bounded by the sample.
+    """
 
     def told_by(word: str) -> list[str]:
         return [word] if known is None else [] if word in known else forms(word)[1:]
@@ -145,8 +152,9 @@ def log_odds(rows: DataFrame, known: dict[str, float] | None = None) -> dict[str
         return {}
     p = (F.col("clean") + F.col("toxic")) * (PRIOR / (n0 + n1))
     odds = lambda y, total: F.log((y + p) / (total + PRIOR - y - p))
-    told = counts.filter("form <> ''").select("form", (odds(F.col("toxic"), n1) - odds(F.col("clean"), n0)).alias("d"), F.sqrt(1 / (F.col("toxic") + p) + 1 / (F.col("clean") + p)).alias("sd"))
-    return {r["form"]: r["d"] for r in told.filter((F.col("d") >= LEAST_ODDS) & (F.col("d") >= LEAST_Z * F.col("sd"))).toLocalIterator()}
+    told = counts.filter(F.col("clean") + F.col("toxic") >= LEAST_COUNT).filter("form <> ''").select("form", (odds(F.col("toxic"), n1) - odds(F.col("clean"), n0)).alias("d"), F.sqrt(1 / (F.col("toxic") + p) + 1 / (F.col("clean") + p)).alias("sd"))
+    z2 = (F.col("d") / F.col("sd")) ** 2
+    return {r["form"]: r["score"] for r in told.select("form", (F.col("d") * z2 / (z2 + DOUBT)).alias("score")).toLocalIterator()}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -186,29 +194,39 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Model:
     words = log_odds(rows.filter("half = 0"))
     model = Model(log_odds(rows.filter("half = 0"), words) | words)
 
+    other = rows.filter("half = 1").select("text", "label")
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Length and best sum of each clean text (label 0) and, a task, how often each score occurs in them (label null)."""
+        hist: dict[float, int] = {}
         for batch in batches:
-            got, ups, words = [], [], []
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n, sums = model.sums(text)
-                scores = [s for s in map(model.word, words_of(text)) if s > 0] if sums and label == 0 else []
-                got.append(sums)
-                ups.append(scores)
-                words.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(words, pa.int64()), pa.array(got, pa.list_(pa.float64())), pa.array(ups, pa.list_(pa.float64()))], ["label", "n", "sums", "ups"])
-
-    seen = rows.filter("half = 1").select("text", "label").mapInArrow(scan, "label int, n long, sums array<double>, ups array<double>").collect()
+            words, best = [], []
+            for text in batch.column(0).to_pylist():
+                scores = [model.word(w) for w in words_of(text)]
+                for s in scores:
+                    hist[round(s, 1)] = hist.get(round(s, 1), 0) + 1
+                words.append(len(scores))
+                best.append(max(segments(scores), default=0.0))
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(words), pa.int32()), pa.array(words, pa.int64()), pa.array(best, pa.float64())], ["label", "n", "value"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(hist), pa.int32()), pa.array(list(hist.values()), pa.int64()), pa.array(list(hist), pa.float64())], ["label", "n", "value"])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([model.evidence(*model.sums(t)) for t in batch.column(0).to_pylist()]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x[:, 0]), pa.array(x[:, 1])], ["label", "best", "all"])
+
+    # what reaches the driver are two numbers a text of the bounded sample
+    told = other.filter("label = 0").mapInArrow(scan, "label int, n long, value double").collect()
     hist: dict[float, int] = {}
-    for r in seen:
-        if r.label == 0:
-            for s in r.ups:
-                hist[round(s, 2)] = hist.get(round(s, 2), 0) + 1
-            hist[DRIFT] = hist.get(DRIFT, 0) + r.n - len(r.ups)
+    for r in told:
+        if r.label is None:
+            hist[r.value] = hist.get(r.value, 0) + r.n
     if model.odds:  # one word more than was seen, so that a sample of clean text without any has a law too
-        usual = round(float(np.mean(list(model.odds.values()))), 2)
+        usual = round(float(np.mean([s for s in model.odds.values() if s + DRIFT > 0] or [1.0])), 1)
         hist[usual] = hist.get(usual, 0) + 1
-    model.rate, model.scale = extreme_law(hist, [(r.n, max(r.sums)) for r in seen if r.label == 0 and r.sums])
-    x, y = np.array([model.evidence(r.n, r.sums) for r in seen]).reshape(-1, 2), np.array([r.label for r in seen])
+    model.rate, model.scale = extreme_law(hist, [(r.n, r.value) for r in told if r.label == 0 and r.value > 0])
+    seen = other.mapInArrow(weigh, "label int, best double, all double").collect()
+    x, y = np.array([(r.best, r.all) for r in seen]).reshape(-1, 2), np.array([r.label for r in seen])
     if 0 < y.sum() < len(y):
         order = np.lexsort((x[:, 1], x[:, 0], y))
         model.curve = logistic(x[order], y[order])

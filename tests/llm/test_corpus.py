@@ -684,3 +684,59 @@ def test_each_stage_against_brute_force(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = again(stage(spark, empty, ""))
         assert empty.count() == 0
+
+
+def test_log_odds_by_hand(spark, monkeypatch):
+    """Words by their counts of documents, and beginnings of what isn't a known word."""
+    rng = random.Random(31)
+    rows = [(prose(rng, 12) + (" vile rottenness" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(60)]
+    df = spark.createDataFrame(rows, "text string, label int").repartition(3)
+    got = toxicity.log_odds(df)
+
+    def brute(told_by):
+        seen = {}
+        for text, label in rows:
+            for form in {f for w in set(toxicity.words_of(text)) for f in told_by(w)}:
+                seen.setdefault(form, [0, 0])[label] += 1
+        n0, n1 = sum(y == 0 for _, y in rows), sum(y == 1 for _, y in rows)
+        out = {}
+        for form, (c, t) in seen.items():
+            if c + t >= toxicity.LEAST_COUNT:
+                p = (c + t) * toxicity.PRIOR / (n0 + n1)
+                d = np.log((t + p) / (n1 + toxicity.PRIOR - t - p)) - np.log((c + p) / (n0 + toxicity.PRIOR - c - p))
+                z2 = d * d / (1 / (t + p) + 1 / (c + p))
+                out[form] = d * z2 / (z2 + toxicity.DOUBT)
+        return out
+
+    assert got == pytest.approx(brute(lambda w: [w])) and got["vile"] == max(got.values()) > 0 > min(got.values())
+    known = {"vile": 1.0}
+    assert toxicity.log_odds(df, known) == pytest.approx(brute(lambda w: [] if w in known else toxicity.forms(w)[1:]))
+
+
+def test_law_of_clean_scores():
+    """lambda makes the mean of exp(lambda s) one, and E of a clean text's best passage is one on average."""
+    rng = np.random.default_rng(3)
+    values, odds = [-1.0, 1.0, 2.0], [0.8, 0.15, 0.05]
+    best = [(400, max(toxicity.segments(rng.choice(values, 400, p=odds).tolist()))) for _ in range(400)]
+    rate, scale = toxicity.extreme_law({v: int(1000 * p) for v, p in zip(values, odds, strict=True)}, best)
+    assert np.array(odds) @ np.exp(rate * np.array(values)) == pytest.approx(1, abs=1e-6)
+    gaps = [rate * b - np.log(scale * n) for n, b in best]
+    assert np.mean(gaps) == pytest.approx(toxicity.EULER, abs=1e-6) and np.mean(np.array(gaps) > 3) == pytest.approx(1 - np.exp(-np.exp(-3)), abs=0.04)
+
+
+def test_joined_chunks_equal_whole_encoding(tokenizer, monkeypatch):
+    """Short chunks, so many joins; texts of odd white space, marks, scripts and special tokens."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "LEAST", 6)
+    monkeypatch.setattr(bpe, "MOST", 48)
+    rng, own = random.Random(5), bpe.Codec(bpe.tokenizer_path())
+    pieces = [" ", "  ", "\\n", " \\n ", "\\t", "\\u00a0", "\\u3000", "don't", "I'll", "x" * 30, "é", "ñandú", "日本語", "🙂", "123", "4.5", "...", "<|endoftext|>", "foo", "Bar", "_", "-", "\\x85", "\\u2028", "'s", "'"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    texts += [a + b for a, b in zip(texts[:50], texts[50:100], strict=True)]
+    cache = {}
+    got = [x for i in range(0, len(texts), 64) for x in bpe.encode_part(pa.array(texts[i : i + 64]), own, {}, cache)]
+    for text, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert own.decode(ids).decode() == tokenizer.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
+    assert cache
