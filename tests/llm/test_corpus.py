@@ -124,6 +124,7 @@ def test_groups_match_brute_force(docs, none, monkeypatch, hot):
     monkeypatch.setattr(jaccard, "HOT", hot)
     if hot == 2:
         monkeypatch.setattr(jaccard, "LIMIT", 10**9)
+        monkeypatch.setattr(jaccard, "BLOCK", 8)  # meetings are salted
     assert Counter(map(tuple, jaccard.groups(docs).collect())) == brute_groups(corpus())
     if hot == 16:
         assert jaccard.groups(none).count() == 0
@@ -731,7 +732,7 @@ def test_joined_chunks_equal_whole_encoding(tokenizer, monkeypatch):
     monkeypatch.setattr(bpe, "LEAST", 6)
     monkeypatch.setattr(bpe, "MOST", 48)
     rng, own = random.Random(5), bpe.Codec(bpe.tokenizer_path())
-    pieces = [" ", "  ", "\\n", " \\n ", "\\t", "\\u00a0", "\\u3000", "don't", "I'll", "x" * 30, "é", "ñandú", "日本語", "🙂", "123", "4.5", "...", "<|endoftext|>", "foo", "Bar", "_", "-", "\\x85", "\\u2028", "'s", "'"]
+    pieces = [" ", "  ", "\n", " \n ", "\t", "\u00a0", "\u3000", "don't", "I'll", "x" * 30, "é", "ñandú", "日本語", "🙂", "123", "4.5", "...", "<|endoftext|>", "foo", "Bar", "_", "-", "\x85", "\u2028", "'s", "'"]
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 60))) for _ in range(400)]
     texts += [a + b for a, b in zip(texts[:50], texts[50:100], strict=True)]
     cache = {}
@@ -740,3 +741,25 @@ def test_joined_chunks_equal_whole_encoding(tokenizer, monkeypatch):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
         assert own.decode(ids).decode() == tokenizer.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
     assert cache
+
+
+@pytest.mark.parametrize("rows_of_batch", [1, 7, 10_000])
+def test_candidates_stream_over_batches(spark, rows_of_batch):
+    """Pairs of cold segments and each row of hot ones once, wherever batches end."""
+    rng = random.Random(rows_of_batch)
+    groups = {key: sorted({rng.randrange(-500, 500) for _ in range(rng.choice([1, 1, 2, 3, 16, 17, 18, 60]))}) for key in range(-40, 40)}
+    rows = [(key, name, -name) for key, names in groups.items() for name in names for _ in range(rng.choice([1, 1, 3]))]
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_of_batch))
+    out = jaccard.candidates(spark.createDataFrame(rows, "key long, hi long, lo long")).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    name = lambda b: int(np.frombuffer(bytes(b), np.int64)[0])
+    pairs = Counter(tuple(sorted((name(r.a), name(r.b)))) for r in out if r.b is not None)
+    hot = Counter((name(r.a), r.key) for r in out if r.b is None)
+    want_pairs, want_hot = Counter(), Counter()
+    for key, names in groups.items():
+        if len(names) <= jaccard.HOT:
+            want_pairs.update((a, b) for n, a in enumerate(names) for b in names[n + 1 :])
+        else:
+            want_hot.update((n, key) for n in names)
+    assert pairs == want_pairs and hot == want_hot
