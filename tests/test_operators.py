@@ -146,6 +146,18 @@ def test_rotations_ignore_distractors(spark):
     assert [(r.i, r.j) for r in got] == [(4, 4)]
 
 
+def test_rates_of_a_stream(spark, tmp_path):
+    from skyshear.streaming import pairing
+
+    s = spark.createDataFrame([(1, "2026-01-01 00:01:00"), (1, "2026-01-01 00:12:00"), (2, "2026-01-01 00:12:00")], "station int, t string").select("station", F.to_timestamp("t").alias("ts"))
+    s.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(s.schema).parquet(str(tmp_path / "in"))
+    q = pairing.scan_rate(stream).writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    got = {(r.start.strftime("%H:%M"), r.station): r.n for r in spark.table("rates").collect()}
+    assert got[("00:00", 1)] == 2 and got[("00:00", 2)] == 1 and got[("23:40", 1)] == 1 and ("23:40", 2) not in got and len(got) == 7
+
+
 def test_time_operator_and_its_adjoint(spark):
     rng = np.random.default_rng(16)
     u, r = rng.normal(size=(4, 6, 7)), rng.normal(size=(3, 6, 7))
