@@ -39,6 +39,12 @@ WORDS, STARTS, CHUNKS = 700_000, 50_000, 20_000
 LONGEST = 64
 #: White space, of one character, before a space: no place to cut the text.
 UNSAFE = re.compile(rb"(?:[\x09-\x0d\x1c-\x20]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80) ")
+#: A letter of Latin scripts, and a mark of ASCII other than the apostrophe, which may begin a contraction.
+_LETTER = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])"
+_MARK = rb"[!-&(-/:-@\[-`{-~]"
+#: Words that the pre-tokenizer surely splits into letters, marks, a line's end, letters and marks.
+SPLIT = re.compile(rb"(%b+)(%b*)(?:\n(%b+)(%b*))?" % (_LETTER, _MARK, _LETTER, _MARK))
+WITHIN = re.compile(rb"%b*%b*(?:\n%b*%b*)?" % (_LETTER, _MARK, _LETTER, _MARK))
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -84,6 +90,9 @@ class Codec:
         self.bytes = token_bytes(self.tokenizer)
         self.lengths = np.array([len(x) for x in self.bytes], dtype=np.int64)
         self.first, self.spaced = Cache(STARTS), Cache(WORDS)
+        self.marks: dict[bytes, bytes] = {}
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.splits = not any(WITHIN.fullmatch(t) for t in added)  # an added token inside a word would be matched first
 
     def numbers(self, text: bytes) -> np.ndarray:
         """Ids of a text by the tokenizer, which needs no offsets here."""
@@ -110,9 +119,20 @@ class Codec:
                 new.update([w for w, g in zip(words, got, strict=True) if g is None][got[0] is None :])
             held.append((words, got))
         odd = {w for w in new if open_ended(w)}
-        missing = list(new - odd)
+        missing, made = new - odd, {}
+        if self.splits:
+            for w in missing:
+                m = SPLIT.fullmatch(w)
+                if m and m.end(1) < len(w):
+                    made[w] = m.groups()
+            missing = missing.difference(made).union({m[0] for m in made.values()}.difference(self.spaced))
+            self.lines(list({m[2] for m in made.values() if m[2]}.difference(self.first)))
+        missing = list(missing)
         for at in range(0, len(missing), JOINED):
             self.words(missing[at : at + JOINED])
+        for w, (letters, marks, more, last) in made.items():
+            ids = self.spaced[letters] + self.mark(marks)
+            self.spaced.put(w, ids + self.mark(b"\n") + self.first[more] + self.mark(last) if more else ids)
         out = []
         for text, (words, got) in zip(texts, held, strict=True):
             if None not in got:
@@ -131,22 +151,41 @@ class Codec:
                 out.append(b"".join(got))
         return out
 
+    def mark(self, marks: bytes) -> bytes:
+        """Ids of a run of marks, or of a line's end, which stands by itself."""
+        if not marks:
+            return b""
+        if marks not in self.marks:
+            if len(self.marks) > STARTS:
+                self.marks.clear()
+            self.marks[marks] = self.whole(marks)
+        return self.marks[marks]
+
+    def divided(self, words: list[bytes], between: bytes) -> list[bytes] | None:
+        """Ids of ``between`` and each word, from one text that joins them; none if they don't divide by their bytes."""
+        ids = self.numbers(between + between.join(words))
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        reached, wanted = np.cumsum(self.lengths[ids]), np.cumsum(lengths)
+        ends = np.searchsorted(reached, wanted)
+        if reached[-1] != wanted[-1] or (reached[ends] != wanted).any():
+            return None
+        raw, at = ids.tobytes(), [0, *(4 * ends + 4).tolist()]
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
     def words(self, words: list[bytes]) -> None:
-        """Encodes words after a space, joined to one text where that can't change them, and divides the ids by their bytes."""
-        joined = b" " + b" ".join(words)
-        if not UNSAFE.search(joined + b" "):
-            ids = self.numbers(joined)
-            lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-            reached, wanted = np.cumsum(self.lengths[ids]), np.cumsum(lengths)
-            ends = np.searchsorted(reached, wanted)
-            if reached[-1] == wanted[-1] and (reached[ends] == wanted).all():
-                raw, start = ids.tobytes(), 0
-                for word, end in zip(words, (4 * ends + 4).tolist(), strict=True):
-                    self.spaced.put(word, raw[start:end])
-                    start = end
-                return
-        for word in words:
-            self.spaced.put(word, self.whole(b" " + word))
+        """Encodes words after a space, joined to one text where that can't change them."""
+        ids = None if UNSAFE.search(b" " + b" ".join(words) + b" ") else self.divided(words, b" ")
+        for i, word in enumerate(words):
+            self.spaced.put(word, ids[i] if ids else self.whole(b" " + word))
+
+    def lines(self, words: list[bytes]) -> None:
+        """Encodes words of letters that begin a line, joined by ends of lines, which are tokens of their own."""
+        end = self.mark(b"\n")
+        for at in range(0, len(words), JOINED):
+            some = words[at : at + JOINED]
+            ids = self.divided(some, b"\n")
+            for i, word in enumerate(some):
+                self.first.put(word, ids[i][len(end) :] if ids and ids[i].startswith(end) else self.whole(word))
 
     def encode(self, text: bytes) -> bytes:
         return self.encode_many([text])[0]
