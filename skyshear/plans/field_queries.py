@@ -155,5 +155,5 @@ ORACLES = {
       SELECT t1::BIGINT AS t1, i0 + 0.25::DOUBLE AS px, j0 + 0.5::DOUBLE AS py, round(max(s), 5) + 0e0 AS v, count(*) AS stations FROM c WHERE found = 4 GROUP BY ALL"""),
     "profile_mode": oracle("profile", "+p AS (SELECT level % 3 AS mode, level, speed, direction, (level * 7 % 13)::DOUBLE AS rms FROM profile), m AS (SELECT mode, avg(rms) AS e FROM p GROUP BY mode ORDER BY e, mode LIMIT 1) SELECT mode, level, level * 300 AS height_m, speed, direction, speed > 0 AND rms < 10 AS valid FROM p JOIN m USING (mode) WHERE level <= 30"),
     "residual_rmse_valid": oracle("cells", _SYN + "SELECT " + ", ".join(f"count(*) FILTER (WHERE {_OK(n)}) AS n{n}, round(sqrt(avg({_ERR(n)} ** 2) FILTER (WHERE {_OK(n)})), 5) + 0e0 AS rmse{n}" for n in (1, 2)) + " FROM b"),
-    "volume_counts": oracle("cells", _SYN + ", q AS (SELECT *, vr1 IS NOT NULL AS a, vr2 IS NOT NULL AS e, greatest(dbz1, dbz2) AS z FROM b) SELECT k, count(*) FILTER (WHERE a) AS radar1, count(*) FILTER (WHERE e) AS radar2, count(vr1) + count(vr2) AS samples, count(*) FILTER (WHERE a OR e) AS either, count(*) FILTER (WHERE a AND e) AS dual, count(*) FILTER (WHERE a AND e AND angle >= 20) AS effective, count(*) FILTER (WHERE a AND e AND angle >= 20 AND z >= 30) AS strong FROM q GROUP BY k"),
+    "volume_counts": oracle("cells", _SYN + ", q AS (SELECT *, vr1 IS NOT NULL AS a, vr2 IS NOT NULL AS e, greatest(dbz1, dbz2) AS top FROM b) SELECT k, count(*) FILTER (WHERE a) AS radar1, count(*) FILTER (WHERE e) AS radar2, count(vr1) + count(vr2) AS samples, count(*) FILTER (WHERE a OR e) AS either, count(*) FILTER (WHERE a AND e) AS dual, count(*) FILTER (WHERE a AND e AND angle >= 20) AS effective, count(*) FILTER (WHERE a AND e AND angle >= 20 AND top >= 30) AS strong FROM q GROUP BY k"),
 }
