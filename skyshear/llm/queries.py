@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, classifier, jaccard, mixing, neighbours, pages, quality, secrets, tokenfile, toxicity
+from . import bpe, classifier, fingerprints, jaccard, mixing, neighbours, pages, quality, secrets, tokenfile, toxicity
 
 QUERIES = {
     "op10_quality_pu": classifier.op10_quality_pu,
+    "op12_fingerprints": fingerprints.op12_fingerprints,
     "op1_bpe": bpe.op1_bpe,
     "op2_neighbours": neighbours.op2_neighbours,
     "op3_quality": quality.op3_quality,
