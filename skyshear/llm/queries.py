@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, classifier, fingerprints, jaccard, mixing, neighbours, pages, quality, secrets, tokenfile, toxicity
+from . import bpe, classifier, divergence, fingerprints, jaccard, mixing, neighbours, pages, quality, secrets, tokenfile, toxicity
 
 QUERIES = {
     "op10_quality_pu": classifier.op10_quality_pu,
+    "op11_divergence": divergence.op11_divergence,
     "op12_fingerprints": fingerprints.op12_fingerprints,
     "op1_bpe": bpe.op1_bpe,
     "op2_neighbours": neighbours.op2_neighbours,
@@ -17,4 +18,4 @@ QUERIES = {
     "op8_tokenfile": tokenfile.op8_tokenfile,
     "op9_jaccard": jaccard.op9_jaccard,
 }
-ORACLES = {"op4_secrets": secrets.OP4_SQL, "op7_mix": mixing.OP7_SQL}
+ORACLES = {"op11_divergence": divergence.OP11_SQL, "op4_secrets": secrets.OP4_SQL, "op7_mix": mixing.OP7_SQL}
