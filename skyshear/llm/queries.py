@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, classifier, divergence, fingerprints, jaccard, mixing, neighbours, pages, quality, secrets, tokenfile, toxicity
+from . import bpe, classifier, divergence, fingerprints, jaccard, mixing, neighbours, pages, quality, secrets, tokenfile, toxicity, turns
 
 QUERIES = {
     "op10_quality_pu": classifier.op10_quality_pu,
     "op11_divergence": divergence.op11_divergence,
     "op12_fingerprints": fingerprints.op12_fingerprints,
+    "op13_turns": turns.op13_turns,
     "op1_bpe": bpe.op1_bpe,
     "op2_neighbours": neighbours.op2_neighbours,
     "op3_quality": quality.op3_quality,
