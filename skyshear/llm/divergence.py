@@ -39,7 +39,7 @@ TOP = 50
 #: Terms that a task has counted before it hands them on.
 ENTRIES = 300_000
 #: Postings of a block; additions of a block; places of the accumulators that a task makes.
-BLOCK, WORK, PLACES = 500_000, 1 << 31, 1 << 22
+BLOCK, WORK, PLACES = 50_000, 1 << 31, 1 << 22
 #: Letters of ASCII in lower case and all bytes of other characters stay, the rest separates terms.
 TERM = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
