@@ -15,6 +15,11 @@ def rounded(c: Column, digits: int = 6) -> Column:
     return F.round(c, digits) + F.lit(0.0)
 
 
+def exact_sum(c: Column, digits: int = 9) -> Column:
+    """The sum of values rounded to ``digits`` places, added as decimals, so that it doesn't depend on their order."""
+    return F.sum(F.round(c, digits).cast(f"decimal({15 + digits},{digits})")).cast("double")
+
+
 def nonzero(c: Column) -> Column:
     return F.nullif(c, F.lit(0.0))
 

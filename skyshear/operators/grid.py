@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyshear.functions.geo import nonzero
+from skyshear.functions.geo import exact_sum, nonzero
 from skyshear.sources.store import stored
 
 
@@ -52,7 +52,7 @@ def cressman(cells: DataFrame, gates: DataFrame, keys: list[str], value: str, ra
     """Weighted mean of the gates around each cell, weight (R2 - d2) / (R2 + d2)."""
     near = near_join(cells, gates, ("x", "y"), ("gx", "gy"), radius).filter(F.col(value).isNotNull())
     w = (radius * radius - F.col("d2")) / (radius * radius + F.col("d2"))
-    return near.groupBy(*keys).agg((F.sum(w * F.col(value)) / nonzero(F.sum(w))).alias("value"), F.count("*").alias("n"))
+    return near.groupBy(*keys).agg((exact_sum(w * F.col(value)) / nonzero(exact_sum(w))).alias("value"), F.count("*").alias("n"))
 
 
 def bilinear(points: DataFrame, grid: DataFrame, keys: tuple[str, ...] = ("id",), on: tuple[str, ...] = ()) -> DataFrame:
@@ -61,7 +61,7 @@ def bilinear(points: DataFrame, grid: DataFrame, keys: tuple[str, ...] = ("id",)
     corner = F.explode(F.array(*[F.struct(F.lit(dj).alias("dj"), F.lit(di).alias("di")) for dj in (0, 1) for di in (0, 1)]))
     c = base.withColumn("c", corner).select(*keys, "px", "py", (F.col("_j") + F.col("c.dj")).alias("j"), (F.col("_i") + F.col("c.di")).alias("i"))
     w = (1 - F.abs(F.col("px") - F.col("i"))) * (1 - F.abs(F.col("py") - F.col("j")))
-    got = c.join(grid, [*on, "j", "i"], "left").groupBy(*keys).agg(F.sum(w * F.col("value")).alias("value"), F.count("value").alias("n"))
+    got = c.join(grid, [*on, "j", "i"], "left").groupBy(*keys).agg(exact_sum(w * F.col("value"), 12).alias("value"), F.count("value").alias("n"))
     return got.select(*keys, F.when(F.col("n") == 4, F.col("value")).alias("value"))
 
 

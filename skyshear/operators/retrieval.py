@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyshear.functions import geo
-from skyshear.functions.geo import nonzero
+from skyshear.functions.geo import exact_sum, nonzero
 from skyshear.model import DX, DY, DZ, MIN_ANGLE, RADARS
 from skyshear.operators import grid, kernels, stencil, wind
 
@@ -29,7 +29,7 @@ def grid_volume(cells: DataFrame, gates: DataFrame, radius: float = ROI) -> Data
     """``radar, k, j, i, vr, dbz, n``: weighted means, weight (R2 - d2) / (R2 + d2), of each radar's gates within ``radius`` of a cell, in space."""
     near = grid.near_join(cells.select(*KEY, "x", "y", "z"), gates.select("radar", "gx", "gy", "gz", "vr", "dbz"), ("x", "y", "z"), ("gx", "gy", "gz"), radius)
     w = (radius * radius - F.col("d2")) / (radius * radius + F.col("d2"))
-    mean = lambda c: (F.sum(w * F.col(c)) / nonzero(F.sum(F.when(F.col(c).isNotNull(), w)))).alias(c)
+    mean = lambda c: (exact_sum(w * F.col(c)) / nonzero(exact_sum(F.when(F.col(c).isNotNull(), w)))).alias(c)
     return near.groupBy("radar", *KEY).agg(mean("vr"), mean("dbz"), F.count("vr").alias("n"))
 
 

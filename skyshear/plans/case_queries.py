@@ -103,7 +103,7 @@ _PLACED = f"""+q AS (SELECT radar, vr, dbz, (gate + 0.5::DOUBLE) * {GATE_M}::DOU
   g AS (SELECT radar, vr, dbz, round(CASE radar {_X} END + r * (cos(el) * sin(az)), 3) + 0e0 AS gx, round(CASE radar {_Y} END + r * (cos(el) * cos(az)), 3) + 0e0 AS gy, round(0e0 + r * sin(el), 3) + 0e0 AS gz FROM q)"""
 ORACLES = {
     "grid_volume": oracle("cells gates", f"""{_PLACED}, p AS (SELECT radar, k, j, i, vr, dbz, 9e6 AS m, (x - gx) ** 2 + (y - gy) ** 2 + (z - gz) ** 2 AS d FROM cells JOIN g ON gx BETWEEN x - 3e3 AND x + 3e3 AND gy BETWEEN y - 3e3 AND y + 3e3 AND gz BETWEEN z - 3e3 AND z + 3e3 WHERE (x - gx) ** 2 + (y - gy) ** 2 + (z - gz) ** 2 <= 9e6)
-      SELECT radar, k, j, i, round(sum((m - d) / (m + d) * vr) / nullif(sum((m - d) / (m + d)) FILTER (WHERE vr IS NOT NULL), 0), 5) + 0e0 AS vr, round(sum((m - d) / (m + d) * dbz) / nullif(sum((m - d) / (m + d)) FILTER (WHERE dbz IS NOT NULL), 0), 5) + 0e0 AS dbz, count(vr) AS n FROM p GROUP BY ALL"""),
+      SELECT radar, k, j, i, round(sum(round((m - d) / (m + d) * vr, 9)::DECIMAL(24,9))::DOUBLE / nullif(sum(round((m - d) / (m + d), 9)::DECIMAL(24,9)) FILTER (WHERE vr IS NOT NULL)::DOUBLE, 0), 5) + 0e0 AS vr, round(sum(round((m - d) / (m + d) * dbz, 9)::DECIMAL(24,9))::DOUBLE / nullif(sum(round((m - d) / (m + d), 9)::DECIMAL(24,9)) FILTER (WHERE dbz IS NOT NULL)::DOUBLE, 0), 5) + 0e0 AS dbz, count(vr) AS n FROM p GROUP BY ALL"""),
     "qc_chain": oracle("gates", f"""+g AS (SELECT * FROM gates), c AS (SELECT *, min(ray) OVER w AS rl, max(ray) OVER w AS rh, min(gate) OVER w AS gl, max(gate) OVER w AS gh FROM g WINDOW w AS (PARTITION BY radar, sweep)),
       m AS (SELECT c.radar, c.sweep, c.ray, c.gate, c.vr, c.dbz, [{", ".join(f"m{a}{b}.vr" for a in range(3) for b in range(3))}] AS l FROM c {_MEDIAN_JOIN}),
       s AS (SELECT radar, sweep, ray, gate, dbz, CASE WHEN vr IS NOT NULL AND len(list_filter(l, lambda x: x IS NOT NULL)) = 9 THEN list_sort(l)[5] END AS vr FROM m)

@@ -246,7 +246,24 @@ def _dealias(s, d):  # noqa: ANN001, ANN202
     return dealias(view(s, d, "gates"), nyquist=12.0)
 
 
+#: A sweep of 18 rays and 12 gates whose velocity is known: its SQL, for either engine; rays 3 to 5 have no gates near the radar.
+_KNOWN = "9e0 * sin(radians(ray * 20e0)) + gate - 6e0 + 5e-1 * sweep"
+_COMPACT = "SELECT DISTINCT radar, sweep, ray % 18 AS ray, gate % 12 AS gate FROM gates"
+
+
+def _dealias_regions(s, d):  # noqa: ANN001, ANN202
+    """A known velocity on the gates that are there, folded into 8 m/s and unfolded by regions."""
+    from skyshear.operators.unfold import by_regions
+
+    known = s.sql(f"SELECT *, {_KNOWN} AS v FROM ({_COMPACT.replace('gates', '{gates}')})", gates=view(s, d, "gates"))
+    hidden = F.col("ray").between(3, 5) & (F.col("gate") < 7)
+    folded = F.col("v") - 16.0 * F.floor((F.col("v") + 8.0) / 16.0)
+    g = known.select("radar", "sweep", "ray", "gate", F.when(~hidden, folded).alias("vr"))
+    return by_regions(g, 8.0, skip=2).select("radar", "sweep", "ray", "gate", R(F.col("unfolded"), 5).alias("unfolded"))
+
+
 QUERIES = {
+    "dealias_regions": _dealias_regions,
     "dual_doppler_vortex": _vortex,
     "dual_doppler_cells": lambda s, d: _out(wind.synthesise(_cells(s, d)).filter("valid"), *KEY, u=R(F.col("u"), 4), v=R(F.col("v"), 4), angle=F.col("angle")),
     "crossing_angle": lambda s, d: _out(wind.beams(_cells(s, d)), *KEY, angle=F.col("angle")),
@@ -319,6 +336,7 @@ _MEDIAN_JOIN = " ".join(
 _FLAG_SQL = """p AS (SELECT *, vr1 IS NOT NULL AS v1, vr2 IS NOT NULL AS v2, angle >= 20 AS ao, coalesce(dbz1, 0) > 10 AS dn FROM b)"""
 _ADJ = lambda w: f"SELECT k, j, i, {', '.join(_rnd(f'b{a}1 * coalesce(vr1, 0) * {w[0]} + b{a}2 * coalesce(vr2, 0) * {w[1]}', f'a{c}') for a, c in zip('xyz', 'uvw', strict=True))} FROM b"
 ORACLES = {
+    "dealias_regions": oracle("gates", f"+c AS ({_COMPACT}) SELECT radar, sweep, ray, gate, CASE WHEN NOT (ray BETWEEN 3 AND 5 AND gate < 7) THEN round({_KNOWN}, 5) + 0e0 END AS unfolded FROM c"),
     "dual_doppler_vortex": f"""WITH cells AS (SELECT k::INT AS k, j::INT AS j, i::INT AS i, (i - 8) * 5e3 AS x, (j - 8) * 5e3 AS y, 5e2 + 5e2 * k AS z, NULL AS vr1, NULL AS vr2 FROM range(5) a(k), range(17) b(j), range(17) c(i)), {_BEAMS},
       o AS (SELECT *, 8 - 2e-4 * y AS tu, 3 + 2e-4 * x AS tv, bx1 * by2 - bx2 * by1 AS det FROM b), q AS (SELECT *, bx1 * tu + by1 * tv AS a, bx2 * tu + by2 * tv AS e FROM o)
       SELECT k, j, i, round((by2 * a - by1 * e) / nullif(det, 0), 4) + 0e0 AS u, round((bx1 * e - bx2 * a) / nullif(det, 0), 4) + 0e0 AS v, angle, true AS close FROM q WHERE angle >= 20""",

@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from skyshear.functions import geo
-from skyshear.operators import boxes, grid, kernels, match, qc, retrieval, stencil, study, wind
+from skyshear.operators import boxes, grid, kernels, match, qc, retrieval, stencil, study, unfold, wind
 from skyshear.plans import detect_queries, registry, wind_queries
 from skyshear.sources import products, volumes
 from tests.conftest import SF
@@ -324,6 +325,57 @@ def test_folded_velocities_come_back(spark):
     assert max(abs(x - 24 * round(x / 24)) for x in off) < 1e-5 and len({round(x / 24) for x in off}) == 1
 
 
+def folded_sweeps(seed=1):
+    """Sweeps whose rays 5 to 10 have no gates near the radar, so that only other rays lead to what they hold."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for case in range(2):
+        for sweep in range(2):
+            for ray in range(36):
+                for gate in range(40):
+                    v = 9 * math.sin(math.radians(10 * ray)) + 0.6 * gate - 3.0 * sweep + 5.0 * case
+                    near = 5 <= ray <= 10 and gate < 22
+                    if rng.random() > 0.2:
+                        rows.append((case, 1, sweep, ray, gate, None if near else (v + 8) % 16 - 8, v))
+    return rows
+
+
+def test_regions_unfold_what_no_ray_leads_to(spark):
+    g = spark.createDataFrame(folded_sweeps(), "case int, radar int, sweep int, ray int, gate int, vr double, v double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    results = []
+    for parts in ("1", "200"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        results.append(sorted(tuple(r) for r in unfold.by_regions(g.repartition(int(parts)), 8.0).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert results[0] == results[1] and len(results[0]) == g.count()
+    offsets = {}
+    for case, _, sweep, _, _, vr, v, out in results[0]:
+        assert (vr is None) == (out is None)
+        if vr is not None:
+            assert abs((out - v) / 16 - round((out - v) / 16)) < 1e-9
+            offsets.setdefault((case, sweep), set()).add(round((out - v) / 16))
+    assert len(offsets) == 4 and all(len(x) == 1 for x in offsets.values())  # exact up to one shift a sweep
+    rays = {(r.sweep, round((r.unfolded - r.v) / 16)) for r in kernels.dealias(g.filter("case = 0").drop("v"), 8.0).join(g.filter("case = 0"), ["radar", "sweep", "ray", "gate"]).filter("unfolded IS NOT NULL").collect()}
+    assert len(rays) > 2  # ray by ray the same sweeps fall apart
+
+
+def test_fold_numbers_join_the_strongest_edge_first():
+    rows = [(1, 1, 100, 0.0, False), (2, 2, 50, 0.0, False), (3, 3, 10, 0.0, False), (4, 4, 5, 0.0, False), (1, 2, 20, 20 * -15.0, False), (2, 3, 8, 8 * 16.0, False), (1, 3, 1, 7.0, False), (3, 4, 2, 0.1, True)]
+    out = unfold.fold_numbers(pd.DataFrame(rows, columns=["a", "b", "count", "jump", "joined"]), 8.0)
+    assert dict(zip(out["run"], out["fold"], strict=True)) == {1: 0, 2: 1, 3: 0, 4: 0}
+    empty = unfold.fold_numbers(pd.DataFrame(rows[:1], columns=["a", "b", "count", "jump", "joined"]), 8.0)
+    assert list(empty["fold"]) == [0]
+
+
+def test_qc_keeps_cases_apart(spark):
+    rows = [(c, 1, 0, ray, gate, float(c * 10 + gate % 3), 30.0) for c in range(2) for ray in range(6) for gate in range(6)]
+    g = spark.createDataFrame(rows, "case int, radar int, sweep int, ray int, gate int, vr double, dbz double")
+    both = sorted(tuple(r) for r in qc.control(g, "V", 9.0).select("case", *qc.GATE, "vr", "dbz").collect())
+    alone = sorted((c, *tuple(r)) for c in range(2) for r in qc.control(g.filter(F.col("case") == c).drop("case"), "V", 9.0).select(*qc.GATE, "vr", "dbz").collect())
+    assert both == alone and len(both) == 72
+
+
 def test_qc_skips_corrected_velocity(spark):
     rows = [(1, 0, ray, gate, 20.0 if gate >= 5 else -20.0, 90.0 if gate == 3 else 30.0) for ray in range(8) for gate in range(10)]
     g = spark.createDataFrame(rows, "radar int, sweep int, ray int, gate int, vr double, dbz double")
