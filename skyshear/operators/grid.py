@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyshear.functions.geo import exact_sum, nonzero
+from skyshear.operators.stencil import AXES, beside, cases
 from skyshear.sources.store import stored
 
 
@@ -76,22 +80,95 @@ def linear(levels: DataFrame, at: DataFrame, x: str, y: str) -> DataFrame:
     return joined.select(*at.columns, F.when(F.col("n") >= 2, value).alias("value"))
 
 
+def smoothed(cells: DataFrame, values: tuple[str, ...], sigma: float, reach: int, axes: tuple[str, ...] = ("i", "j", "k")) -> DataFrame:
+    """Gaussian means of ``values`` (``s_`` before each) over the cells that have all of them, one axis after the other.
+
+    Sums and weights travel together, so holes and what lies outside count for
+    nothing, whatever their place. Every cell of the table gets a mean; null where
+    no valid cell is within ``reach`` along each axis. Partial sums are made
+    before each of the shuffles, one an axis. Cases don't mix.
+    """
+    keys = [*cases(cells), "k", "j", "i"]
+    valid = cells.filter(" AND ".join(f"{v} IS NOT NULL" for v in values))
+    out = valid.select(*keys, *[F.col(v).alias(f"s_{v}") for v in values], F.lit(1.0).alias("s_"))
+    total = sum(math.exp(-d * d / (2 * sigma * sigma)) for d in range(-reach, reach + 1))
+    legs = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(math.exp(-d * d / (2 * sigma * sigma)) / total).alias("w")) for d in range(-reach, reach + 1)])
+    sums = [f"s_{v}" for v in values] + ["s_"]
+    for axis in axes:
+        spread = out.withColumn("leg", F.explode(legs)).withColumn(axis, F.col(axis) + F.col("leg.d"))
+        out = spread.groupBy(*keys).agg(*[F.sum(F.col(c) * F.col("leg.w")).alias(c) for c in sums])
+    kept = cells.select(*keys).join(out, keys, "left")
+    return kept.select(*keys, *[(F.col(f"s_{v}") / F.greatest(F.col("s_"), F.lit(1e-6))).alias(f"s_{v}") for v in values])
+
+
 def smooth(cells: DataFrame, value: str, sigma: float, reach: int) -> DataFrame:
-    """Gaussian mean over valid cells along i, then j; ``num`` and ``den`` carry value and weight, so holes count for nothing."""
-    out = cells.withColumn("num", F.coalesce(F.col(value), F.lit(0.0))).withColumn("den", F.col(value).isNotNull().cast("double"))
-    for axis, other in (("i", "j"), ("j", "i")):
-        spread = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(math.exp(-d * d / (2 * sigma * sigma))).alias("w")) for d in range(-reach, reach + 1)]))
-        s = out.filter("den > 0").withColumn("s", spread).select("k", other, (F.col(axis) + F.col("s.d")).alias(axis), (F.col("num") * F.col("s.w")).alias("num"), (F.col("den") * F.col("s.w")).alias("den"))
-        out = s.groupBy("k", "j", "i").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
-    kept = cells.select("k", "j", "i").join(out, ["k", "j", "i"], "left")
-    return kept.select("k", "j", "i", (F.col("num") / F.greatest(F.col("den"), F.lit(1e-6))).alias("smooth"))
+    """Gaussian mean ``smooth`` over valid cells of a level, along i, then j."""
+    return smoothed(cells, (value,), sigma, reach, ("i", "j")).withColumnRenamed(f"s_{value}", "smooth")
+
 
+def distances(cells: DataFrame) -> DataFrame:
+    """``d2``: each cell's exact squared distance to the nearest valid cell of its level; null on a level without one.
 
-def blend_weight(cells: DataFrame, sigma: float, reach: float) -> DataFrame:
-    """exp(-d2 / 2 sigma2) with the distance to the level's nearest valid cell; 0 beyond ``reach``, where it is below 1e-7."""
-    valid = cells.filter("valid").select("k", F.col("x").alias("vx"), F.col("y").alias("vy"))
-    near = near_join(cells.select("k", "j", "i", "x", "y"), valid, ("x", "y"), ("vx", "vy"), reach, on=("k",)).groupBy("k", "j", "i").agg(F.min("d2").alias("d2"))
-    return cells.select("k", "j", "i").join(near, ["k", "j", "i"], "left").select("k", "j", "i", F.coalesce(F.exp(-F.col("d2") / (2 * sigma * sigma)), F.lit(0.0)).alias("weight"))
+    First the nearest along each row, from both sides, then along each column the
+    least of row distance and way to the row, for all columns at once. One group
+    is one level of one case.
+    """
+    by = [*cases(cells), "k"]
+    kinds = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in by)
+
+    def level(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = rows[["j", "i"]].copy()
+        for n, name in enumerate(by):
+            out.insert(n, name, key[n])
+        xs, at_x = np.unique(rows["x"], return_inverse=True)
+        ys, at_y = np.unique(rows["y"], return_inverse=True)
+        valid = np.zeros((len(ys), len(xs)), bool)
+        ok = rows["valid"].to_numpy(bool)
+        valid[at_y[ok], at_x[ok]] = True
+        before = np.maximum.accumulate(np.where(valid, xs, -np.inf), axis=1)
+        after = np.minimum.accumulate(np.where(valid, xs, np.inf)[:, ::-1], axis=1)[:, ::-1]
+        along = np.minimum(xs - before, after - xs) ** 2
+        best = np.full(valid.shape, np.inf)
+        for row in np.flatnonzero(valid.any(axis=1)):
+            best = np.minimum(best, along[row] + (ys[:, None] - ys[row]) ** 2)
+        found = best[at_y, at_x]
+        out["d2"] = np.where(np.isfinite(found), found, np.nan)
+        return out
+
+    out = cells.select(*by, "j", "i", "x", "y", "valid").groupBy(*by).applyInPandas(level, f"{kinds}, j int, i int, d2 double")
+    return out.withColumn("d2", F.nanvl("d2", F.lit(None).cast("double")))
+
+
+def blend_weight(cells: DataFrame, sigma: float) -> DataFrame:
+    """exp(-d2 / 2 sigma2) with the distance to the level's nearest valid cell; 0 on a level without one."""
+    return distances(cells).withColumn("weight", F.coalesce(F.exp(-F.col("d2") / (2 * sigma * sigma)), F.lit(0.0))).drop("d2")
+
+
+def low_pass(cells: DataFrame, values: tuple[str, ...], window: int = 5, order: int = 3) -> DataFrame:
+    """``values`` of a full grid smoothed by local least-squares polynomials (Savitzky and Golay) along k, j and i, one after the other.
+
+    A cell takes the polynomial of the ``window`` cells around it, at the ends of
+    its line that of the line's first or last ones. Lines shorter than ``window``,
+    or with a cell missing in it, keep their values.
+    """
+    by, half = cases(cells), window // 2
+    powers = np.vander(np.arange(window, dtype=float), order + 1, increasing=True)
+    weights = powers @ np.linalg.pinv(powers)  # row a: what the cells of the window give to its cell a
+    out = cells
+    for axis in ("k", "j", "i"):
+        line = Window.partitionBy(*by, *AXES[axis])
+        place = F.greatest(F.lit(0), F.least(F.col("_n") - window, F.col("_a") - half))
+        out = out.withColumn("_a", F.col(axis) - F.min(axis).over(line)).withColumn("_n", F.max(axis).over(line) - F.min(axis).over(line) + 1)
+        out = out.withColumn("_r", (F.col("_a") - place).cast("int"))
+        table = F.array(*[F.array(*[F.lit(float(w)) for w in row]) for row in weights])
+        for v in values:
+            parts = [
+                F.when((F.col("_r") + d >= 0) & (F.col("_r") + d < window), F.get(F.get(table, F.col("_r")), F.col("_r") + d) * beside(F.col(v), axis, d, by)).when((F.col("_r") + d < 0) | (F.col("_r") + d >= window), 0.0)
+                for d in range(1 - window, window)
+            ]
+            out = out.withColumn(f"_{v}", F.when(F.col("_n") >= window, reduce(lambda a, b: a + b, parts)))
+        out = out.withColumns({v: F.coalesce(f"_{v}", v) for v in values}).drop("_a", "_n", "_r", *[f"_{v}" for v in values])
+    return out
 
 
 def lerp(levels: tuple, value: Column) -> list[Column]:
@@ -145,16 +222,20 @@ def time_adjoint(change: DataFrame, dx: float, dy: float, ny: int, nx: int) -> D
 
 
 def trilinear(points: DataFrame, cells: DataFrame, sizes: tuple[int, int, int], values: tuple[str, ...]) -> DataFrame:
-    """``points`` (id, px, py, pz in cells) with ``values`` of ``cells`` (k, j, i): from eight corners, missing ones as zero; zero outside and on the last cells."""
+    """``points`` (id, px, py, pz in cells) with ``values`` of ``cells`` (k, j, i): from eight corners, missing ones as zero; zero outside and on the last cells.
+
+    Where both tables have case columns, points read the cells of their own case.
+    """
+    by = [c for c in cases(cells) if c in points.columns]
     base = {a: F.floor(f"p{b}").cast("int") for a, b in zip("kji", "zyx", strict=True)}
     corner = F.explode(F.array(*[F.struct(*[F.lit(d).alias(a) for a, d in zip("kji", c, strict=True)]) for c in ((x, y, z) for x in (0, 1) for y in (0, 1) for z in (0, 1))]))
     inside = F.lit(True)
     for a, n in zip("kji", sizes, strict=True):
         inside = inside & (base[a] >= 0) & (base[a] < n - 1)
-    c = points.withColumn("_in", inside).withColumn("_c", corner).select("id", "px", "py", "pz", "_in", *[(base[a] + F.col(f"_c.{a}")).alias(a) for a in "kji"])
+    c = points.withColumn("_in", inside).withColumn("_c", corner).select(*by, "id", "px", "py", "pz", "_in", *[(base[a] + F.col(f"_c.{a}")).alias(a) for a in "kji"])
     w = (1 - F.abs(F.col("px") - F.col("i"))) * (1 - F.abs(F.col("py") - F.col("j"))) * (1 - F.abs(F.col("pz") - F.col("k")))
     mean = lambda v: F.sum(F.when(F.col("_in"), w * F.coalesce(v, F.lit(0.0))).otherwise(0.0)).alias(v)
-    return c.join(cells.select("k", "j", "i", *values), ["k", "j", "i"], "left").groupBy("id").agg(*[mean(v) for v in values])
+    return c.join(cells.select(*by, "k", "j", "i", *values), [*by, "k", "j", "i"], "left").groupBy(*by, "id").agg(*[mean(v) for v in values])
 
 
 def composite(products: DataFrame, wanted: DataFrame, tolerance: int = 180, least: float = -20.0) -> DataFrame:

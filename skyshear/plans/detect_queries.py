@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skyshear.functions.geo import rounded as R  # noqa: N812
 from skyshear.model import DX, DY, DZ, MESO
-from skyshear.operators import boxes, grid, kernels, stencil, wind
+from skyshear.operators import boxes, grid, kernels, stencil, variational, wind
 from skyshear.operators.graph import components
 from skyshear.plans.views import oracle, view
 from skyshear.plans.wind_queries import _VW
@@ -174,7 +174,7 @@ def _variational(s, d):  # noqa: ANN001, ANN202
     from skyshear.plans.wind_queries import _vortex_cells
 
     c = _vortex_cells(s, d).withColumns({"case": F.lit(0), "u0": F.lit(0.0), "v0": F.lit(0.0)})
-    return kernels.variational(c.select("case", "k", "j", "i", "z", *[f"b{a}{n}" for n in (1, 2) for a in "xyz"], "vr1", "vr2", "u0", "v0"), weights=(100.0, 1e-6, 1.0, 1e-2), steps=(DX, DY, DZ), most=3000)
+    return variational.solve(c.select("case", "k", "j", "i", "z", *[f"b{a}{n}" for n in (1, 2) for a in "xyz"], "vr1", "vr2", "u0", "v0"), weights=(100.0, 1e-6, 1.0, 1e-2), steps=(DX, DY, DZ), most=3000).select("case", "k", "j", "i", "u", "v", "w", "iterations", "residual")
 
 
 _ZETA = f"{_VW}, q AS (SELECT n.k, n.j, n.i, n.x, n.y, n.z, dbz, round(CASE WHEN n.valid THEN ((v_ip - v_im) - (u_jp - u_jm)) END, 6) + 0e0 AS zeta FROM n JOIN wind USING (k, j, i)), zz AS (SELECT * FROM q WHERE zeta IS NOT NULL)"

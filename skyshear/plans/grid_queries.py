@@ -50,7 +50,7 @@ def _holes(s, d):  # noqa: ANN001, ANN202
 
 
 def _weight(s, d):  # noqa: ANN001, ANN202
-    return grid.blend_weight(_holes(s, d), 8000.0, 48000.0).select("k", "j", "i", R(F.col("weight")).alias("weight"))
+    return grid.blend_weight(_holes(s, d), 8000.0).select("k", "j", "i", R(F.col("weight")).alias("weight"))
 
 
 def _blend(s, d):  # noqa: ANN001, ANN202

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyshear.functions import geo
-from skyshear.operators import boxes, grid, kernels, match, qc, retrieval, stencil, study, unfold, wind
+from skyshear.operators import boxes, grid, kernels, match, qc, retrieval, stencil, study, unfold, variational, wind
 from skyshear.plans import detect_queries, registry, wind_queries
 from skyshear.sources import products, volumes
 from tests.conftest import SF
