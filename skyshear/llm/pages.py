@@ -50,9 +50,12 @@ MAIN = frozenset(("article", "main"))
 WHOLE = MAIN | {"html", "body"}
 #: Elements and words of class, id or role that name what isn't the article.
 FRAME = frozenset("nav aside footer form menu dialog search".split())
-FRAME_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|sponsor(?:ed)?|promo|banner|nav(?:bar|igation)?|menu|breadcrumbs?|header|masthead|footer|side-?bar|cookies?|consent|notices?|newsletter|subscribe|share|social|related|comments?|respond|replies|popup|modal|complementary|contentinfo|search)(?:$|[\s_-])"
+FRAME_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar cookie cookies consent notice notices newsletter subscribe share social related comment comments respond replies popup modal complementary contentinfo search".split()
 )
+#: Parts of a name that say nothing by themselves, and those that turn a name round.
+NEUTRAL = frozenset("site page post posts block blocks box list section wrap wrapper container widget area bar inner outer top bottom links buttons form slot unit item items global primary secondary thread group panel article articles".split())
+TURNED = frozenset("no not non has with without hide hidden is".split())
 #: The columns that pages are ordered by.
 KEY = ("_host", "_path", "_url", "_id")
 #: Pages that a range gets from each side.
@@ -78,6 +81,27 @@ class Line:
     text: str
     main: int  # number of the outermost main container around it, 0 outside
     frame: bool
+    weak: str = ""  # a name around it that makes it frame where a neighbour has a block of that name
+
+
+def named_frame(names: str, heads: bool, inside: bool) -> tuple[bool, str]:
+    """Whether the words of class, id and role name what isn't the article, and a name among them that may.
+
+    Whole words count: those of frame words alone, or outside a main container
+    with parts that say nothing. Any other that holds a frame word is only a hint.
+    ``heads``: a header is the article's own here.
+    """
+    hint = ""
+    for name in names.replace("side-bar", "sidebar").replace("side_bar", "sidebar").split():
+        parts = [x for x in re.split(r"[_-]+", name) if x]
+        found = [x for x in parts if x in FRAME_WORDS and not (heads and x in ("header", "masthead"))]
+        if not found or TURNED & set(parts):
+            continue
+        other = [x for x in parts if x not in FRAME_WORDS]
+        if not other or not inside and NEUTRAL.issuperset(other):
+            return True, ""
+        hint = hint or name
+    return False, hint
 
 
 class Blocks(HTMLParser):
@@ -90,11 +114,13 @@ class Blocks(HTMLParser):
         self.ends: dict[str, tuple[int, int]] = {}
         self.inline: Counter[str] = Counter()
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, bool]] = []
+        self.open: list[tuple[str, bool, bool, str]] = []
+        self.hints: list[str] = []
         self.held: list[str] = []
         self.mains = 0
         self.boxes = 0
         self.frames = 0
+        self.muted = 0  # open inline elements that are frame: what they hold is left out of its block
         self.skip: list[str] = []
         self.drops: list[tuple[int, bool]] = []  # place in skip of each dropped element, and whether it has an end
 
@@ -103,7 +129,7 @@ class Blocks(HTMLParser):
             text = WHITE.sub(" ", entities.unescape("".join(self.held).replace(self.mark, "&"))).strip()
             self.held = []
             if text:
-                self.lines.append(Line(text, self.boxes if self.mains else 0, self.frames > 0))
+                self.lines.append(Line(text, self.boxes if self.mains else 0, self.frames > 0, self.hints[-1] if self.hints else ""))
 
     def ended(self, tag: str) -> bool:
         """Whether an end tag of ``tag`` follows anywhere."""
@@ -155,15 +181,19 @@ class Blocks(HTMLParser):
         inside = self.mains > 0
         main = tag in MAIN or any(k == "role" and v == "main" for k, v in attrs)
         heads = tag == "header" or "header" in named  # of the page, outside an article; the article's own inside
-        frame = tag in FRAME or tag == "header" and not inside or bool(named and not main and tag not in WHOLE and FRAME_WORDS.search(re.sub(r"(^|[\s_-])(?:mast)?header", r"\1", named) if inside and heads else named))
+        by_name, hint = (False, "") if main or tag in WHOLE else named_frame(named, inside and heads, inside)
+        frame = tag in FRAME or tag == "header" and not inside or by_name
+        hint = "" if frame else hint
         main = main and not frame
         if tag not in BLOCKS:
             self.inline[tag] += 1
-        if tag in BLOCKS or frame or main:
-            self.open.append((tag, main, frame))
+        if tag in BLOCKS or frame or main or hint:
+            self.open.append((tag, main, frame, hint))
+            self.hints += [hint] if hint else []
             self.boxes += main and not inside
             self.mains += main
             self.frames += frame
+            self.muted += frame and tag not in BLOCKS
 
     def end_before(self, tag: str) -> None:
         """Ends the open elements that HTML ends where ``tag`` starts."""
@@ -177,9 +207,12 @@ class Blocks(HTMLParser):
                 self.close(at)
 
     def close(self, at: int) -> None:
-        for _, main, frame in self.open[at:]:
+        for tag, main, frame, hint in self.open[at:]:
             self.mains -= main
+            self.muted -= frame and tag not in BLOCKS
             self.frames -= frame
+            if hint:
+                self.hints.pop()
         del self.open[at:]
 
     def handle_endtag(self, tag: str) -> None:
@@ -188,7 +221,7 @@ class Blocks(HTMLParser):
                 self.undrop(len(self.skip) - 1 - self.skip[::-1].index(tag))
                 return
             at, closed = self.drops[-1]
-            if self.skip[at] in SEALED and closed or not self.inline[tag] and all(tag != x for x, _, _ in self.open):
+            if self.skip[at] in SEALED and closed or not self.inline[tag] and all(tag != x for x, *_ in self.open):
                 return
             self.undrop(0)
         self.inline[tag] -= self.inline[tag] > 0
@@ -202,7 +235,7 @@ class Blocks(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.skip == ["head"] and data.strip():
             self.undrop(0)
-        if not self.skip:
+        if not self.skip and not self.muted:
             self.held.append(data)
 
     def close_input(self) -> None:
@@ -211,9 +244,17 @@ class Blocks(HTMLParser):
         self.flush()
 
 
+def finished(page: str) -> str:
+    """``page`` with each < after its last > as a reference: no tag ends there, and the parser would look for its end from every one of them."""
+    last = page.rfind(">") + 1
+    comment = page.find("<!--", last)
+    tail = page[last:] if comment < 0 else page[last:comment]
+    return page[:last] + tail.replace("<", "&lt;") + page[last + len(tail) :]
+
+
 def lines_of(page: str | None) -> list[Line]:
     """The lines of a page; null has none. An ampersand passes the parser as a mark, so references are decoded once, in whole blocks."""
-    page = page or ""
+    page = finished(page or "")
     mark = next(c for c in map(chr, MARKS) if c not in page)
     marked = page.replace("&", mark)
     parser = Blocks(marked, mark)
@@ -268,12 +309,16 @@ def witness(page: list[Line], other: list[Line]) -> set[int] | None:
     """Places of ``page`` that it shares with ``other``; none if that is empty or a copy.
 
     Copies share nearly all characters that markup doesn't name frame: lines of a menu are many but short.
+    Lines in a block whose name is only a hint are shared where the other page has a block of that name.
     """
     if not other:
         return None
     both, weigh = shared([x.text for x in page], [x.text for x in other]), lambda lines: sum(len(x.text) for x in lines if not x.frame)
     most = max(weigh(page), weigh(other))
-    return None if most and weigh(page[i] for i in both) >= COPY * most else both
+    if most and weigh(page[i] for i in both) >= COPY * most:
+        return None
+    names = {x.weak for x in other if x.weak}
+    return both | {i for i, x in enumerate(page) if x.weak in names}
 
 
 def difference(page: list[Line], others: list[list[Line]]) -> list[Line]:
@@ -284,11 +329,12 @@ def difference(page: list[Line], others: list[list[Line]]) -> list[Line]:
 def rest(page: list[Line], frame: set[int]) -> list[Line]:
     """The lines of ``page`` that aren't frame: named so by markup, or shared with a neighbour at the places ``frame``.
 
+    Lines in a block whose name is a hint go if they are among these places.
     Shared lines stay where their main container has lines of its own. Containers
     that are shared whole are teasers if the page has lines of its own elsewhere;
     a single one, only if those are longer.
     """
-    text = [(i, x) for i, x in enumerate(page) if not x.frame]
+    text = [(i, x) for i, x in enumerate(page) if not x.frame and not (x.weak and i in frame)]
     kept, boxes = {x.main for i, x in text if x.main and i not in frame}, {x.main for _, x in text if x.main}
     if not kept:
         own, held = sum(len(x.text) for i, x in text if i not in frame), sum(len(x.text) for _, x in text if x.main)

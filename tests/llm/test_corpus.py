@@ -763,3 +763,35 @@ def test_candidates_stream_over_batches(spark, rows_of_batch):
         else:
             want_hot.update((n, key) for n in names)
     assert pairs == want_pairs and hot == want_hot
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article class="post"><div class="content no-sidebar"><p>Body of text</p></div></article>', ["Body of text"]),
+        ('<article><h1>Title</h1><section class="related-work"><p>Others found</p></section></article>', ["Title", "Others found"]),
+        ('<article><p>text</p><div class="share-buttons">Share</div><div id="comments">me</div><span class="ads">buy</span></article>', ["text", "Share"]),
+        ('<div class="site-footer">foot</div><div class="cookie-banner">eat</div><div class="with-comments"><p>text</p></div>', ["text"]),
+        ("<article><p>1 < 2 and a<b is no tag", ["1 < 2 and a<b is no tag"]),
+        ("<article><p>text<b>bold</b> <i", ["textbold <i"]),
+    ],
+)
+def test_names_alone_dont_empty_an_article(page, want):
+    assert [x.text for x in pages.difference(pages.lines_of(page), [])] == want
+
+
+def test_a_neighbour_decides_about_a_hint():
+    page = lambda text, name: pages.lines_of(f"<article><h1>{text}</h1><p>{text} has a body of its own</p><div class='{name}'><p>see {text}</p></div></article>")
+    left = lambda a, b: [x.text for x in pages.difference(a, [b])]
+    assert left(page("one", "related-posts"), page("two", "related-posts")) == ["one", "one has a body of its own"]
+    assert left(page("one", "related-posts"), page("two", "other")) == ["one", "one has a body of its own", "see one"]
+
+
+@pytest.mark.parametrize("unit", ["a<b ", "<", "<a <b", "<!x", "</p", "<p x='", "&amp", "<!-"])
+def test_long_pages_of_stray_marks_are_quick(unit):
+    import time
+
+    for start in ("", "<article><p>"):
+        began = time.process_time()
+        pages.lines_of(start + unit * (200_000 // len(unit)))
+        assert time.process_time() - began < 1.5, (start, unit)
