@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skyshear.functions.geo import rounded as R  # noqa: N812
 from skyshear.model import DX, DY, DZ, MESO
-from skyshear.operators import boxes, grid, kernels, stencil, variational, wind
+from skyshear.operators import boxes, grid, kernels, stencil, tensor, variational, wind
 from skyshear.operators.graph import components
 from skyshear.plans.views import oracle, view
 from skyshear.plans.wind_queries import _VW
@@ -179,7 +179,29 @@ def _variational(s, d):  # noqa: ANN001, ANN202
 
 _ZETA = f"{_VW}, q AS (SELECT n.k, n.j, n.i, n.x, n.y, n.z, dbz, round(CASE WHEN n.valid THEN ((v_ip - v_im) - (u_jp - u_jm)) END, 6) + 0e0 AS zeta FROM n JOIN wind USING (k, j, i)), zz AS (SELECT * FROM q WHERE zeta IS NOT NULL)"
 _CELL = "least({1}, greatest(0, ceil({0} - 0.5)))::INT"
+#: Winds by time, level, row, column and component, for either engine; some places have none.
+_WINDS = """SELECT CAST(l_suppkey % 4 AS INT) AS t, CAST(l_partkey % 3 AS INT) AS k, CAST(l_orderkey % 8 AS INT) AS j, CAST(l_orderkey % 7 AS INT) AS i, l_quantity - 255e-1 AS u, round(l_discount * 1e2) AS v, round(l_tax * 1e2) AS w
+    FROM lineitem WHERE (l_suppkey % 4 + l_orderkey % 8 + l_orderkey % 7) % 9 <> 2"""
+_MODES = ("m", "k", "j", "i", "c")  # times are a mode here, not cases
+
+
+def _winds(s, d):  # noqa: ANN001, ANN202
+    rows = s.sql(_WINDS.replace("lineitem", "{lineitem}"), lineitem=s.read.parquet(f"{d}/lineitem.parquet")).groupBy("t", "k", "j", "i").agg(*[F.round(F.avg(c), 4).alias(c) for c in "uvw"])
+    return rows.select(F.col("t").alias("m"), "k", "j", "i", F.posexplode(F.array("u", "v", "w")).alias("c", "value"))
+
+
+def _wind_gram(s, d):  # noqa: ANN001, ANN202
+    return tensor.gram(_winds(s, d), "j", _MODES).select("p", "q", R(F.col("g"), 3).alias("g"))
+
+
+def _wind_fit(s, d):  # noqa: ANN001, ANN202
+    """All components, levels and times together, with what is missing filled once."""
+    return tensor.fit(_winds(s, d), _MODES, (2, 2, 4, 4, 3), 1).select("cells", R(F.col("error"), 4).alias("error"), "parameters")
+
+
 QUERIES = {
+    "wind_gram": _wind_gram,
+    "wind_tucker": _wind_fit,
     "meso_nms": _nms,
     "vertical_continuity": _levels,
     "m_product_match": _match,
@@ -216,6 +238,7 @@ def _boxes(mask: str) -> str:
 
 
 ORACLES = {
+    "wind_gram": f"WITH r AS ({_WINDS}), g AS (SELECT t, k, j, i, round(avg(u), 4) AS u, round(avg(v), 4) AS v, round(avg(w), 4) AS w FROM r GROUP BY ALL) SELECT a.j AS p, b.j AS q, round(sum(a.u * b.u + a.v * b.v + a.w * b.w), 3) + 0e0 AS g FROM g a JOIN g b ON a.t = b.t AND a.k = b.k AND a.i = b.i AND a.j <= b.j GROUP BY ALL",
     "largest_cuboid": oracle("wind", _boxes("SELECT k, j, i FROM wind WHERE u IS NOT NULL") + " SELECT 0 AS case, cells, k0, k1, j0, j1, i0, i1 FROM full_box ORDER BY cells DESC, k0, k1, j1, i1, i0 DESC LIMIT 1"),
     "largest_rectangle": oracle("wind", _boxes("SELECT k, j, i FROM wind WHERE valid") + " SELECT k0 AS case, max(cells) AS cells FROM full_box WHERE k1 = k0 + 1 GROUP BY k0"),
     "meso_nms": oracle("wind", f"""+{_ZETA}, lv AS (SELECT DISTINCT k, j + a AS j, i + b AS i FROM zz, range(-1, 2) x(a), range(-1, 2) y(b) WHERE zeta >= {0.5 * ZETA_LEAST}), dp AS (SELECT j, i, count(*) AS levels FROM lv GROUP BY ALL),
