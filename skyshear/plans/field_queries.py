@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from skyshear.functions import geo
 from skyshear.model import DX, DY, DZ
-from skyshear.operators import grid, kernels, stencil, wind
+from skyshear.operators import grid, lines, stencil, wind
 from skyshear.plans.grid_queries import _sql_move
 from skyshear.plans.views import oracle, view
 from skyshear.plans.wind_queries import _FULL, _SYN, _VW, _full
@@ -52,12 +51,10 @@ def _trilinear(s, d):  # noqa: ANN001, ANN202
 
 
 def _lines(s, d):  # noqa: ANN001, ANN202
-    """Lines through the wind of one case, whose cells (three numbers each) every task needs: 5 x 21 x 21 of them."""
-    cube = np.zeros((3, 21, 21, 5))
-    for r in view(s, d, "wind").filter("valid").select("k", "j", "i", "u", "v", "w").toLocalIterator():
-        cube[:, r.i, r.j, r.k] = (r.u, r.v, r.w)
+    """Lines through every feature; the wind lies in tiles of eight columns square."""
     seeds = view(s, d, "features").select(F.col("id").alias("seed"), F.col("fx").alias("x"), F.col("fy").alias("y"), F.col("fz").alias("z"))
-    return kernels.streamlines(seeds, cube, (-5e4, -5e4, 5e2), (DX, DY, DZ), length=500.0, most=60)
+    cells = view(s, d, "wind").filter("valid").select(*KEY, "u", "v", "w")
+    return lines.streamlines(seeds, cells, (-5e4, -5e4, 5e2), (DX, DY, DZ), length=500.0, most=60, tile=8)
 
 
 def _top_rotations(s, d):  # noqa: ANN001, ANN202
