@@ -3,8 +3,9 @@
 Particles, not fields, travel: a round sends each to the tile that holds the
 point where it next needs the wind, within a Runge-Kutta step or between two.
 There all particles of the tile go on together, as arrays, until they need a
-point of another tile or end. So a round lasts as long as lines stay in their
-tiles, and the number of rounds is that of the tiles that a line crosses.
+point well outside it or end. So a round lasts as long as lines stay in their
+tiles and the margins around them, and a line that winds along a border doesn't
+cross it all the time.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from skyshear.operators.stencil import cases
 from skyshear.sources.store import discard, stored
 
-#: Columns of a tile in either direction; particles of one tile in one task.
-TILE, CROWD = 64, 50_000
+#: Columns of a tile in either direction; columns around it that a line may wander into; particles of one tile in one task.
+TILE, MARGIN, CROWD = 64, 8, 50_000
 #: What a particle carries: its point, the slopes so far and the point it needs next.
 CARRIED = [f"{name}{axis}" for name in ("p", "a", "b", "c", "q") for axis in "xyz"]
 
@@ -51,14 +52,15 @@ def streamlines(seeds: DataFrame, wind: DataFrame, origin: tuple[float, float, f
     o, h = np.array(origin, float), np.array(step, float)
     sizes = wind.groupBy(*by).agg(*[F.coalesce(F.max(c) + 1, F.lit(0)).cast("int").alias(f"n{c}") for c in "kji"])
     spread = wind.join(sizes, by) if by else wind.join(F.broadcast(sizes), F.lit(True))  # one row
-    near = lambda c: F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0)), lambda d: F.floor((F.col(c) + d) / tile).cast("int"))))
+    margin = min(MARGIN, tile // 2)
+    near = lambda c: F.explode(F.array_distinct(F.transform(F.array(F.lit(-margin - 1), F.lit(0), F.lit(margin)), lambda d: F.floor((F.col(c) + d) / tile).cast("int"))))
     dealt = spread.withColumn("tj", near("j")).withColumn("ti", near("i")).filter("tj >= 0 AND ti >= 0")
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         tj, ti = int(key[-2]), int(key[-1])
         nk, nj, ni = (int(rows[f"n{c}"].iloc[0]) for c in "kji")
-        field = np.zeros((3, nk, tile + 1, tile + 1))
-        at = (rows["k"].to_numpy(), rows["j"].to_numpy() - tj * tile, rows["i"].to_numpy() - ti * tile)
+        field = np.zeros((3, nk, tile + 2 * margin + 1, tile + 2 * margin + 1))
+        at = (rows["k"].to_numpy(), rows["j"].to_numpy() - tj * tile + margin, rows["i"].to_numpy() - ti * tile + margin)
         for n, c in enumerate("uvw"):
             field[(n, *at)] = rows[c].astype(float).fillna(0.0)
         return pd.DataFrame([[*key, nk, nj, ni, field.tobytes()]], columns=[*by, "tj", "ti", "nk", "nj", "ni", "field"])
@@ -78,7 +80,7 @@ def streamlines(seeds: DataFrame, wind: DataFrame, origin: tuple[float, float, f
         tj, ti = int(key[len(by)]), int(key[len(by) + 1])
         one = about.iloc[0]
         shape = (int(one.ni), int(one.nj), int(one.nk))
-        field = np.frombuffer(one.field).reshape(3, shape[2], tile + 1, tile + 1)
+        field = np.frombuffer(one.field).reshape(3, shape[2], tile + 2 * margin + 1, tile + 2 * margin + 1)
         seed, sign = particles["seed"].to_numpy(), particles["sign"].to_numpy()
         count, stage = particles["n"].to_numpy(copy=True), particles["stage"].to_numpy(copy=True)
         p, a, b, c, q = (particles[[f"{name}{x}" for x in "xyz"]].to_numpy(float, copy=True) for name in ("p", "a", "b", "c", "q"))
@@ -86,10 +88,11 @@ def streamlines(seeds: DataFrame, wind: DataFrame, origin: tuple[float, float, f
         while True:
             at = np.floor((q - o) / h)
             outside = ((at < 0) | (at >= np.array(shape) - 1)).any(axis=1)  # no wind, wherever that is
-            now = np.flatnonzero(running & (outside | (at[:, 0] // tile == ti) & (at[:, 1] // tile == tj)))
+            here = [(at[:, n] >= t * tile - margin) & (at[:, n] < (t + 1) * tile + margin) for n, t in ((0, ti), (1, tj))]
+            now = np.flatnonzero(running & (outside | here[0] & here[1]))
             if not len(now):
                 break
-            v = corners(field, (q[now] - o) / h, (ti * tile, tj * tile, 0), shape)
+            v = corners(field, (q[now] - o) / h, (ti * tile - margin, tj * tile - margin, 0), shape)
             speed = np.sqrt((v**2).sum(axis=1))
             first = stage[now] == 0
             still = now[first & (speed < 1e-6)]

@@ -51,10 +51,10 @@ def _trilinear(s, d):  # noqa: ANN001, ANN202
 
 
 def _lines(s, d):  # noqa: ANN001, ANN202
-    """Lines through every feature; the wind lies in tiles of eight columns square."""
+    """Lines through every feature."""
     seeds = view(s, d, "features").select(F.col("id").alias("seed"), F.col("fx").alias("x"), F.col("fy").alias("y"), F.col("fz").alias("z"))
     cells = view(s, d, "wind").filter("valid").select(*KEY, "u", "v", "w")
-    return lines.streamlines(seeds, cells, (-5e4, -5e4, 5e2), (DX, DY, DZ), length=500.0, most=60, tile=8)
+    return lines.streamlines(seeds, cells, (-5e4, -5e4, 5e2), (DX, DY, DZ), length=500.0, most=60)
 
 
 def _top_rotations(s, d):  # noqa: ANN001, ANN202
