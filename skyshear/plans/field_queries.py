@@ -139,8 +139,8 @@ ORACLES = {
     "elevation_counts": oracle("gates", "SELECT radar, count(DISTINCT sweep * 1.5::DOUBLE + 0.5::DOUBLE) AS elevations, min(vr) AS least, max(vr) AS most FROM gates GROUP BY radar"),
     "weighted_forward": oracle("cells", _SYN + "SELECT k, j, i, " + ", ".join(f"round(sqrt(coalesce(abs(dbz{n}), 0)) * CASE WHEN vr{n} IS NULL THEN 0 ELSE bx{n} * coalesce(vr1, 0) + by{n} * coalesce(vr2, 0) + bz{n} * 1.5::DOUBLE END, 5) + 0e0 AS h{n}" for n in (1, 2)) + " FROM b"),
     "terrain_sample": oracle("features field", """+p AS (SELECT id, (id % 8)::INT AS t, id * 37 % 1300 / 1e2 AS px, id * 53 % 1300 / 1e2 AS py FROM features),
-      c AS (SELECT id, p.t, count(v) AS n, sum(v * (1 - abs(px - (floor(px) + a))) * (1 - abs(py - (floor(py) + b)))) AS h FROM p, range(2) x(a), range(2) y(b) LEFT JOIN field f ON f.t = p.t AND f.i = floor(px) + a AND f.j = floor(py) + b GROUP BY ALL)
-      SELECT id, t AS tile, round(CASE WHEN n = 4 THEN h ELSE 0 END, 5) + 0e0 AS height FROM c"""),
+      c AS (SELECT id, p.t, count(v) AS n, sum(round((1 - abs(px - (floor(px) + a))) * (1 - abs(py - (floor(py) + b))) * v, 12)::DECIMAL(27,12)) AS h FROM p, range(2) x(a), range(2) y(b) LEFT JOIN field f ON f.t = p.t AND f.i = floor(px) + a AND f.j = floor(py) + b GROUP BY ALL)
+      SELECT id, t AS tile, round(CASE WHEN n = 4 THEN h ELSE 0 END, 5)::DOUBLE + 0e0 AS height FROM c"""),
     "trilinear_wind": oracle("wind features", """+p AS (SELECT id, (fx + 5e4) / 5e3 AS px, (fy + 5e4) / 5e3 AS py, (fz - 5e2) / 5e2 AS pz FROM features),
       c AS (SELECT id, floor(px) BETWEEN 0 AND 19 AND floor(py) BETWEEN 0 AND 19 AND floor(pz) BETWEEN 0 AND 3 AS ok, u, v, w, (1 - abs(px - (floor(px) + a))) * (1 - abs(py - (floor(py) + b))) * (1 - abs(pz - (floor(pz) + e))) AS g FROM p, range(2) x(a), range(2) y(b), range(2) q(e) LEFT JOIN wind ON i = floor(px) + a AND j = floor(py) + b AND k = floor(pz) + e)
       SELECT id, """ + ", ".join(f"round(sum(CASE WHEN ok THEN g * coalesce({c}, 0) ELSE 0 END), 4) + 0e0 AS {c}" for c in "uvw") + " FROM c GROUP BY id"),
@@ -148,8 +148,8 @@ ORACLES = {
     "streamline_keep": oracle("features", "+p AS (SELECT id % 3 AS line, id AS seq, fz, fx ** 2 + fy ** 2 <= 225e6 AS near FROM features), e AS (SELECT line, min(seq) FILTER (WHERE near) AS a, max(seq) FILTER (WHERE near) AS b FROM p GROUP BY line) SELECT line, count(*) AS points, round(max(fz) - min(fz), 3) + 0e0 AS span FROM p JOIN e USING (line) WHERE seq BETWEEN a AND b GROUP BY line HAVING count(*) >= 15 AND round(max(fz) - min(fz), 3) >= 500"),
     "reflectivity_composite": oracle("field", """+q AS (SELECT t % 2 AS station, t * 150 AS ts, j, i, CASE WHEN v * 10 - 30 >= -20 THEN v * 10 - 30 END AS v FROM field), m AS (SELECT DISTINCT station, ts FROM q),
       n AS (SELECT station, t1, ts FROM (SELECT station, t1, ts, row_number() OVER (PARTITION BY station, t1 ORDER BY abs(ts - t1), ts) AS r FROM m, (VALUES (200), (420), (5000)) w(t1) WHERE abs(ts - t1) <= 180) WHERE r = 1),
-      c AS (SELECT n.t1, n.station, x AS i0, y AS j0, count(v) AS found, sum(v * CASE WHEN a = 0 THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END * 0.5::DOUBLE) AS s FROM n, range(14) p(x), range(14) r(y), range(2) d(a), range(2) e(b) LEFT JOIN q ON q.station = n.station AND q.ts = n.ts AND q.i = x + a AND q.j = y + b GROUP BY ALL)
-      SELECT t1::BIGINT AS t1, i0 + 0.25::DOUBLE AS px, j0 + 0.5::DOUBLE AS py, round(max(s), 5) + 0e0 AS v, count(*) AS stations FROM c WHERE found = 4 GROUP BY ALL"""),
+      c AS (SELECT n.t1, n.station, x AS i0, y AS j0, count(v) AS found, sum(round(CASE WHEN a = 0 THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END * 0.5::DOUBLE * v, 12)::DECIMAL(27,12)) AS s FROM n, range(14) p(x), range(14) r(y), range(2) d(a), range(2) e(b) LEFT JOIN q ON q.station = n.station AND q.ts = n.ts AND q.i = x + a AND q.j = y + b GROUP BY ALL)
+      SELECT t1::BIGINT AS t1, i0 + 0.25::DOUBLE AS px, j0 + 0.5::DOUBLE AS py, round(max(s), 5)::DOUBLE + 0e0 AS v, count(*) AS stations FROM c WHERE found = 4 GROUP BY ALL"""),
     "profile_mode": oracle("profile", "+p AS (SELECT level % 3 AS mode, level, speed, direction, (level * 7 % 13)::DOUBLE AS rms FROM profile), m AS (SELECT mode, avg(rms) AS e FROM p GROUP BY mode ORDER BY e, mode LIMIT 1) SELECT mode, level, level * 300 AS height_m, speed, direction, speed > 0 AND rms < 10 AS valid FROM p JOIN m USING (mode) WHERE level <= 30"),
     "residual_rmse_valid": oracle("cells", _SYN + "SELECT " + ", ".join(f"count(*) FILTER (WHERE {_OK(n)}) AS n{n}, round(sqrt(avg({_ERR(n)} ** 2) FILTER (WHERE {_OK(n)})), 5) + 0e0 AS rmse{n}" for n in (1, 2)) + " FROM b"),
     "volume_counts": oracle("cells", _SYN + ", q AS (SELECT *, vr1 IS NOT NULL AS a, vr2 IS NOT NULL AS e, greatest(dbz1, dbz2) AS top FROM b) SELECT k, count(*) FILTER (WHERE a) AS radar1, count(*) FILTER (WHERE e) AS radar2, count(vr1) + count(vr2) AS samples, count(*) FILTER (WHERE a OR e) AS either, count(*) FILTER (WHERE a AND e) AS dual, count(*) FILTER (WHERE a AND e AND angle >= 20) AS effective, count(*) FILTER (WHERE a AND e AND angle >= 20 AND top >= 30) AS strong FROM q GROUP BY k"),

@@ -149,7 +149,7 @@ QUERIES = {
 ORACLES = {
     "cressman_grid": oracle("cells gates", f"+{_GATES}, p AS (SELECT radar, sweep, j, i, vr, 16e6 AS r, (x - gx) ** 2 + (y - gy) ** 2 AS d FROM c, g WHERE vr IS NOT NULL AND (x - gx) ** 2 + (y - gy) ** 2 <= 16e6) SELECT radar, sweep, j, i, round(sum(round((r - d) / (r + d) * vr, 9)::DECIMAL(24,9))::DOUBLE / nullif(sum(round((r - d) / (r + d), 9)::DECIMAL(24,9))::DOUBLE, 0), 5) + 0e0 AS value, count(*) AS n FROM p GROUP BY ALL"),
     "bilinear_sample": oracle("features field", """+p AS (SELECT id, id * 37 % 1300 / 1e2 AS px, id * 53 % 1300 / 1e2 AS py, t::INT AS t FROM features, range(6) r(t)), f AS (SELECT t, j, i, v FROM field)
-      SELECT id, p.t, round((round(((1 - abs(px - floor(px))) * (1 - abs(py - floor(py)))) * a.v, 12)::DECIMAL(27,12) + round(((1 - abs(px - (floor(px) + 1))) * (1 - abs(py - floor(py)))) * b.v, 12)::DECIMAL(27,12) + round(((1 - abs(px - floor(px))) * (1 - abs(py - (floor(py) + 1)))) * c.v, 12)::DECIMAL(27,12) + round(((1 - abs(px - (floor(px) + 1))) * (1 - abs(py - (floor(py) + 1)))) * e.v, 12)::DECIMAL(27,12))::DOUBLE, 5) + 0e0 AS value FROM p
+      SELECT id, p.t, round((round(((1 - abs(px - floor(px))) * (1 - abs(py - floor(py)))) * a.v, 12)::DECIMAL(27,12) + round(((1 - abs(px - (floor(px) + 1))) * (1 - abs(py - floor(py)))) * b.v, 12)::DECIMAL(27,12) + round(((1 - abs(px - floor(px))) * (1 - abs(py - (floor(py) + 1)))) * c.v, 12)::DECIMAL(27,12) + round(((1 - abs(px - (floor(px) + 1))) * (1 - abs(py - (floor(py) + 1)))) * e.v, 12)::DECIMAL(27,12)), 5)::DOUBLE + 0e0 AS value FROM p
       LEFT JOIN f a ON a.t = p.t AND a.i = floor(px) AND a.j = floor(py) LEFT JOIN f b ON b.t = p.t AND b.i = floor(px) + 1 AND b.j = floor(py) LEFT JOIN f c ON c.t = p.t AND c.i = floor(px) AND c.j = floor(py) + 1 LEFT JOIN f e ON e.t = p.t AND e.i = floor(px) + 1 AND e.j = floor(py) + 1"""),
     "vwp_background": oracle("profile features", """+p AS (SELECT level * 300e0 AS z, -speed * sin(radians(direction::DOUBLE)) AS u FROM profile), a AS (SELECT id, (id * 97 % 17000)::DOUBLE AS x FROM features),
       l AS (SELECT a.id, a.x, p.z AS z0, p.u AS u0 FROM a ASOF LEFT JOIN p ON a.x >= p.z), h AS (SELECT a.id, p.z AS z1, p.u AS u1 FROM a ASOF LEFT JOIN p ON a.x < p.z)
