@@ -144,7 +144,14 @@ def described(docs: DataFrame, *extra: str) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int = TRAIN) -> Model:
-    """The model from a bounded sample: positives (label 1) and documents without any label, held-out ids in neither."""
+    """The model from a bounded sample: positives (label 1) and documents without any label, held-out ids in neither.
+
+    Repeated labels count once; an id labelled both 1 and 0 counts as positive,
+    one labelled null has no label, a null id is in no sample. Rows that share an
+    id are all in it. Of equal hashes of ids the smaller id comes first. Texts
+    are read whole, a null text is empty. Without positives or without documents
+    that have no label, as in an empty table, all documents score alike.
+    """
     known = labels.filter(F.col(column).isNotNull())
     positive = known.filter(~held_out() & (F.col(column) == 1)).groupBy("doc_id").agg(F.lit(1).alias("kind"))
     free = docs.filter(~held_out()).select("doc_id").distinct().join(known.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("kind", F.lit(0))

@@ -189,7 +189,12 @@ def extreme_law(hist: dict[float, int], best: list[tuple[int, float]]) -> tuple[
 
 
 def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Model:
-    """Word scores from one half of the sample, the law and the curve from the other half."""
+    """Word scores from one half of the sample, the law and the curve from the other half.
+
+    What repeats, and labels that conflict or are null, are as ``training`` says;
+    texts are read whole, a null text is empty, and rows without an id are in no
+    sample. Of equal hashes of ids the smaller id comes first.
+    """
     rows = stored(training(docs, labels, column), "toxicity-sample")
     words = log_odds(rows.filter("half = 0"))
     model = Model(log_odds(rows.filter("half = 0"), words) | words)
