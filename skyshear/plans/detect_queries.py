@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from skyshear.functions.geo import rounded as R  # noqa: N812
 from skyshear.model import DX, DY, DZ, MESO
-from skyshear.operators import boxes, grid, kernels, stencil, tensor, variational, wind
+from skyshear.operators import boxes, grid, kernels, polar, stencil, tensor, variational, wind
 from skyshear.operators.graph import components
 from skyshear.plans.views import oracle, view
-from skyshear.plans.wind_queries import _VW
+from skyshear.plans.wind_queries import _BEAMS, _VW
 
 ZETA_LEAST = 2.0  # of u and v differences over 10 km, in 1e-4 / s
 
@@ -64,6 +64,18 @@ def _polar(s, d):  # noqa: ANN001, ANN202
     return near.groupBy("id").agg(F.count("*").alias("gates"), F.count_if(F.abs("vr") <= 20).alias("passed"))
 
 
+def _support(s, d):  # noqa: ANN001, ANN202
+    """What both radars measured around each feature, and why its cell has a wind or none."""
+    f = view(s, d, "features").select("id", F.col("fx").alias("x"), F.col("fy").alias("y"), F.col("fz").alias("z"))
+    gates = view(s, d, "gates").select("radar", "sweep", (F.col("sweep") * 1.5 + 0.5).alias("elevation"), F.col("ray").cast("double").alias("azimuth"), (F.col("gate") * 1000.0 + 500.0).alias("range_m"), F.when(F.abs("vr") <= 20, F.col("vr")).alias("value"))
+    at = lambda c, step, first: F.floor((F.col(c) - first) / step + 0.5).cast("int")
+    cell = f.select("id", at("z", DZ, 500.0).alias("k"), (at("y", DY, 0.0) + 10).alias("j"), (at("x", DX, 0.0) + 10).alias("i"))
+    cells = wind.beams(view(s, d, "cells")).select("k", "j", "i", "vr1", "vr2", "angle", "dbz1")
+    seen = cell.join(cells, ["k", "j", "i"], "left")
+    reason = polar.why(F.col("vr1").isNotNull(), F.col("vr2").isNotNull(), F.coalesce(F.col("angle") >= 20, F.lit(False)), F.coalesce(F.col("dbz1") > 10, F.lit(False)))
+    return polar.support(f, gates).join(seen, "id").withColumn("reason", reason).drop("k", "j", "i", "vr1", "vr2", "angle", "dbz1")
+
+
 def _cuboid(s, d):  # noqa: ANN001, ANN202
     cells = view(s, d, "wind").select(F.lit(0).alias("case"), "k", "j", "i", F.col("u").isNotNull().alias("valid"))
     return boxes.largest(cells)
@@ -208,6 +220,7 @@ QUERIES = {
     "feature_nearest_cell": _nearest_cell,
     "feature_neighbourhood": _neighbourhood,
     "feature_polar_support": _polar,
+    "polar_reasons": _support,
     "largest_cuboid": _cuboid,
     "largest_rectangle": _rectangle,
     "components_label": _components,
@@ -251,6 +264,16 @@ ORACLES = {
     "feature_nearest_cell": oracle("features", f"SELECT id, {_CELL.format('(fx + 5e4) / 5e3', 20)} AS i, {_CELL.format('(fy + 5e4) / 5e3', 20)} AS j, {_CELL.format('(fz - 5e2) / 5e2', 4)} AS k FROM features"),
     "feature_neighbourhood": oracle("cells features", f"+f AS (SELECT *, {_CELL.format('(fz - 5e2) / 5e2', 4)} AS fk FROM features) SELECT id, count(*) AS cells, count(vr1) AS seen1, count(vr2) AS seen2, max(dbz1) AS dbz FROM f JOIN cells ON (x - fx) ** 2 + (y - fy) ** 2 <= 25e6 AND abs(k - fk) <= 1 GROUP BY id"),
     "feature_polar_support": oracle("features gates", "+f AS (SELECT id, id * 7 % 360 AS az, id * 3 % 100 AS g, id % 6 AS sw FROM features) SELECT id, count(*) AS gates, count(*) FILTER (WHERE abs(vr) <= 20) AS passed FROM f JOIN gates ON radar = 1 AND sweep = sw AND least(abs(ray - az), 360 - abs(ray - az)) <= 1 AND abs(gate - g) <= 2 GROUP BY id"),
+    "polar_reasons": oracle("features gates cells", f"+{_BEAMS}" + f""", rad(radar, rx, ry) AS (VALUES (1, -5e4, 0e0), (2, 5e4, -3e4)), rel AS (SELECT id, radar, fx - rx AS e, fy - ry AS n, fz AS u FROM features, rad),
+      pol AS (SELECT id, radar, round(CASE WHEN atan2(e, n) < 0 THEN degrees(atan2(e, n)) + 360 ELSE degrees(atan2(e, n)) END, 6) AS az, round(degrees(atan2(u, sqrt(e * e + n * n))), 6) AS el, round(sqrt(e * e + n * n + u * u), 6) AS rg FROM rel),
+      tilt AS (SELECT radar, sweep, sweep * 1.5::DOUBLE + 0.5::DOUBLE AS elevation, max(gate) * 1e3 + 500 AS far FROM gates GROUP BY radar, sweep), rim AS (SELECT radar, max(far) AS far FROM tilt GROUP BY radar),
+      pick AS (SELECT *, row_number() OVER (PARTITION BY id, radar ORDER BY round(abs(elevation - el), 6), sweep) AS pos FROM pol JOIN tilt USING (radar)),
+      met AS (SELECT id, pick.radar, pick.sweep, elevation, round(abs(elevation - el), 6) AS off, rg <= rim.far + 2000 AS near, count(gate) AS samples, count(vr) FILTER (WHERE abs(vr) <= 20) AS valid FROM pick JOIN rim USING (radar) LEFT JOIN gates x
+        ON x.radar = pick.radar AND x.sweep = pick.sweep AND round(least(abs(ray - az), 360 - abs(ray - az)), 6) <= 1.5 AND round(abs(gate * 1e3 + 500 - rg), 6) <= 2000 WHERE pos = 1 GROUP BY ALL),
+      wide AS (SELECT id, {", ".join(f"max({c}) FILTER (WHERE radar = {n}) AS {m}{n}" for n in (1, 2) for c, m in (("sweep", "sweep"), ("elevation", "elevation"), ("off", "offset"), ("samples", "samples"), ("valid", "valid"), ("near", "in_range")))} FROM met GROUP BY id),
+      cel AS (SELECT id, vr1 IS NOT NULL AS v1, vr2 IS NOT NULL AS v2, coalesce(angle >= 20, false) AS ao, coalesce(dbz1 > 10, false) AS dn FROM features LEFT JOIN b ON k = floor((fz - 500) / 500 + 0.5) AND j = floor(fy / 5e3 + 0.5) + 10 AND i = floor(fx / 5e3 + 0.5) + 10)
+      SELECT wide.*, CASE WHEN NOT v1 AND NOT v2 THEN CASE WHEN NOT in_range1 AND NOT in_range2 THEN 'out of both ranges' WHEN NOT in_range1 THEN 'out of range of radar 1' WHEN NOT in_range2 THEN 'out of range of radar 2' WHEN valid1 = 0 AND valid2 = 0 THEN 'no valid gate nearby' ELSE 'gates nearby but no value' END
+        WHEN NOT v2 THEN CASE WHEN NOT in_range2 THEN 'radar 2 out of range' WHEN valid2 = 0 THEN 'radar 2 has no valid gate nearby' ELSE 'radar 2 has gates nearby but no value' END WHEN NOT v1 THEN CASE WHEN NOT in_range1 THEN 'radar 1 out of range' WHEN valid1 = 0 THEN 'radar 1 has no valid gate nearby' ELSE 'radar 1 has gates nearby but no value' END WHEN NOT ao THEN 'angle' WHEN NOT dn THEN 'downstream' ELSE 'accepted' END AS reason FROM wide JOIN cel USING (id)"""),
     "mask_bounding_box": oracle("wind", "SELECT " + ", ".join(f"min({c}) AS {c}_low, max({c}) AS {c}_high" for c in "kji") + " FROM wind WHERE valid AND dbz > 55"),
     "best_plot_level": oracle("wind", f"+{_ZETA} SELECT k, max(abs(zeta)) AS peak FROM zz WHERE k < 3 GROUP BY k ORDER BY peak DESC, k LIMIT 1"),
     "polyline_clip": oracle("features", "+p AS (SELECT id % 7 AS line, id AS seq, abs(fx) <= 35e3 AND abs(fy) <= 3e4 AS ok FROM features), g AS (SELECT *, sum((NOT ok)::INT) OVER (PARTITION BY line ORDER BY seq) AS run FROM p) SELECT line, min(seq) AS first, max(seq) AS last, count(*) AS points FROM g WHERE ok GROUP BY line, run HAVING count(*) >= 2"),
