@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from skyshear.model import PRODUCTS, STATIONS
 from skyshear.operators import match, scan
 from skyshear.plans.views import oracle, view
+from skyshear.sources.store import shared_dir
+from skyshear.streaming.claims import claims
 
 _PRODUCTS = ", ".join(f"('{c}', '{q}', '{r}')" for c, q, r in PRODUCTS)
 _STATIONS = ", ".join(f"('{s}', {a}, {o})" for s, a, o, _ in STATIONS)
@@ -68,6 +72,18 @@ def _matches(spark, sf):  # noqa: ANN001, ANN202
     return match.match_times(*_sides(spark, sf), 120)
 
 
+def _stream_claims(spark, sf):  # noqa: ANN001, ANN202
+    """The match of all events as a stream, as far as its watermark settles it."""
+    path = f"{sf}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")  # a stream takes a folder or a pattern
+    side = lambda n: events.filter(F.col("user_id") % 2 + 1 == n).select(F.col("ts").cast("timestamp").alias("ts"))
+    matched = claims(side(1), side(2), 120)
+    root = f"{shared_dir(spark)}/claims-{uuid.uuid4().hex}"
+    stream = matched.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").option("path", f"{root}/rows").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    return spark.read.schema(matched.schema).parquet(f"{root}/rows")
+
+
 QUERIES = {
     "file_name_parse": lambda s, d: scan.parse_names(view(s, d, "names")),
     "product_map_join": lambda s, d: scan.parse_names(view(s, d, "names")).join(scan.products(s), "code").select("name", "quantity", "resolution"),
@@ -84,6 +100,7 @@ QUERIES = {
     "dem_tiles": _domains,
     "label_names": _labels,
     "time_match_greedy": _matches,
+    "time_match_stream": _stream_claims,
     "best_pair": lambda s, d: match.best_pair(_matches(s, d)),
     "nearest_within_tol": lambda s, d: match.nearest_within(*_sides(s, d), 600),
     "tolerance_sweep": lambda s, d: match.tolerance_sweep(*_sides(s, d), MINUTES),
@@ -115,6 +132,7 @@ ORACLES = {
       la AS (SELECT *, unnest(range(floor(a)::BIGINT, ceil(b)::BIGINT)) AS la FROM d), lo AS (SELECT *, unnest(range(floor(c)::BIGINT, ceil(e)::BIGINT)) AS lo FROM la) SELECT DISTINCT id, printf('N%02dE%03d', la, lo) AS tile FROM lo"""),
     "label_names": oracle("features", "SELECT id, trim(string_split('a|b ' || CASE WHEN id % 2 = 0 THEN '| town ' ELSE '' END || id || ' ', '|')[-1]) AS label FROM features"),
     "time_match_greedy": oracle("scans", _MATCH + "SELECT t1, t2, diff FROM claims WHERE c = 1"),
+    "time_match_stream": oracle("scans", _MATCH + "SELECT t1, t2, diff FROM claims WHERE c = 1 AND 1000 * (t2 + 241) < (SELECT epoch_ms(max(ts)) FROM events) - 600000"),
     "best_pair": oracle("scans", _MATCH + "SELECT t1, t2, diff FROM claims WHERE c = 1 ORDER BY diff, t1 LIMIT 1"),
     "nearest_within_tol": oracle("scans", f"+{_SIDES}, {_NEAR} SELECT a.t1, best.t2, best.diff FROM a LEFT JOIN best ON a.t1 = best.t1 AND diff <= 600"),
     "tolerance_sweep": oracle("scans", f"+{_SIDES}, {_NEAR}, m(minutes) AS (VALUES {', '.join(f'({x})' for x in MINUTES)}) SELECT minutes, count(DISTINCT t2) AS matches FROM best, m WHERE diff <= 60 * minutes GROUP BY minutes"),
