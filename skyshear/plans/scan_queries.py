@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from skyshear.model import PRODUCTS, STATIONS
 from skyshear.operators import match, scan
 from skyshear.plans.views import oracle, view
+from skyshear.sources import probes
 from skyshear.sources.store import shared_dir
 from skyshear.streaming.claims import claims
 
@@ -84,6 +85,12 @@ def _stream_claims(spark, sf):  # noqa: ANN001, ANN202
     return spark.read.schema(matched.schema).parquet(f"{root}/rows")
 
 
+def _as_files(spark, sf):  # noqa: ANN001, ANN202
+    """Texts as files of bytes."""
+    content = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return _docs(spark, sf).select(F.col("doc_id").alias("path"), content.alias("content"), F.octet_length(content).cast("long").alias("length"))
+
+
 QUERIES = {
     "file_name_parse": lambda s, d: scan.parse_names(view(s, d, "names")),
     "product_map_join": lambda s, d: scan.parse_names(view(s, d, "names")).join(scan.products(s), "code").select("name", "quantity", "resolution"),
@@ -95,6 +102,8 @@ QUERIES = {
     "repeated_sweeps": lambda s, d: scan.repeated_sweeps(_sweeps(s, d)),
     "gate_stats": lambda s, d: scan.gate_stats(view(s, d, "gates")),
     "byte_histogram": lambda s, d: scan.byte_histogram(_docs(s, d)),
+    "header_strings": lambda s, d: probes.strings(_as_files(s, d), separator=" ").withColumnRenamed("path", "doc_id"),
+    "shape_candidates": lambda s, d: probes.shapes(_as_files(s, d)).withColumnRenamed("path", "doc_id"),
     "content_sha256": lambda s, d: scan.provenance(_docs(s, d)),
     "station_resolve": _resolve,
     "dem_tiles": _domains,
@@ -126,6 +135,13 @@ ORACLES = {
       c AS (SELECT station, round_even(elevation, 2) AS e, count(*) AS same FROM s GROUP BY ALL) SELECT s.station, sweep, elevation, same, same > 1 AS repeated FROM s JOIN c ON s.station = c.station AND round_even(s.elevation, 2) = c.e"""),
     "gate_stats": oracle("gates", "SELECT radar, count(*) AS total, count(vr) AS present, count(*) FILTER (WHERE abs(vr) <= 20) AS passed, count(*) FILTER (WHERE abs(vr) > 20) AS masked FROM gates GROUP BY radar"),
     "byte_histogram": "SELECT byte, count(*) AS n FROM (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS byte FROM documents) GROUP BY byte ORDER BY n DESC, byte LIMIT 8",
+    "header_strings": """WITH h AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..')[1:512] AS h FROM documents),
+      c AS (SELECT doc_id, string_split(array_to_string(list_transform(h, lambda b: chr(('0x' || b)::INT)), ''), ' ') AS p FROM h),
+      t AS (SELECT doc_id, seq::INT AS seq, regexp_replace(p[seq + 1], '^[\\x09-\\x0d\\x20]+|[\\x09-\\x0d\\x20]+$', '', 'g') AS text FROM c, unnest(range(len(p))) u(seq))
+      SELECT doc_id, seq, regexp_replace(text, '[^\\x00-\\x7f]', '�', 'g') AS text FROM t WHERE length(text) >= 3 AND regexp_matches(text, '[A-Za-z0-9]')""",
+    "shape_candidates": """SELECT doc_id, azimuths, gates, header, item_bytes, header + azimuths * gates * item_bytes AS expected FROM (SELECT doc_id, octet_length(encode(text)) AS n FROM documents),
+      (VALUES (360), (720), (1440)) a(azimuths), (VALUES (230), (460), (920), (1000)) g(gates), (VALUES (1024, 1), (2048, 1), (128, 2)) l(header, item_bytes)
+      WHERE n > 1024 AND abs(n - (header + azimuths * gates * item_bytes)) < 2000""",
     "content_sha256": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "station_resolve": oracle("features", f"+k(station, lat, lon) AS (VALUES {_STATIONS}), s AS (SELECT 'Z9' || (id % 300 + 300) AS station, (id % 50)::DOUBLE AS a, (id % 70 + 70)::DOUBLE AS o FROM features) SELECT station, coalesce(lat, a)::DOUBLE AS lat, coalesce(lon, o)::DOUBLE AS lon, lat IS NOT NULL AS registered FROM s LEFT JOIN k USING (station)"),
     "dem_tiles": oracle("features", """+d AS (SELECT id, fx / 2e4 + 35 AS a, fx / 2e4 + 36.5::DOUBLE AS b, fy / 2e4 + 117 AS c, fy / 2e4 + 118.2::DOUBLE AS e FROM features),

@@ -20,9 +20,9 @@ def list_products(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_dem(spark: SparkSession, root: str, size: int = 1201) -> DataFrame:
-    """Elevation of tile files N..E..: ``tile, row, col, lat, lon, elev_m``; big-endian 16-bit rows from the north edge, -32768 and less is null.
+    """Elevation of tile files N..E..: ``tile, row, col, lat, lon, elev_m, corrupt``; big-endian 16-bit rows from the north edge, -32768 and less is null.
 
-    A tile with another size gives no rows.
+    A tile that isn't of ``size`` rows and columns gives one row with the reason in ``corrupt``.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "N*E*.hgt").load(root).select("path", "content")
 
@@ -30,15 +30,16 @@ def read_dem(spark: SparkSession, root: str, size: int = 1201) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 name = path.rsplit("/", 1)[-1][:7]
-                v = np.frombuffer(content, dtype=">i2").astype(float)
-                if len(v) != size * size:
+                if len(content) != 2 * size * size:
+                    yield pd.DataFrame([(name, *[None] * 5, f"{len(content)} bytes, not {2 * size * size}")], columns=["tile", "row", "col", "lat", "lon", "elev_m", "corrupt"])
                     continue
+                v = np.frombuffer(content, dtype=">i2").astype(float)
                 v[v <= -32768] = np.nan
                 row, col = np.divmod(np.arange(size * size), size)
                 step = 1 / (size - 1)
-                yield pd.DataFrame({"tile": name, "row": row, "col": col, "lat": int(name[1:3]) + 1 - row * step, "lon": int(name[4:7]) + col * step, "elev_m": v})
+                yield pd.DataFrame({"tile": name, "row": row, "col": col, "lat": int(name[1:3]) + 1 - row * step, "lon": int(name[4:7]) + col * step, "elev_m": v, "corrupt": None})
 
-    out = files.mapInPandas(decode, "tile string, row int, col int, lat double, lon double, elev_m double")
+    out = files.mapInPandas(decode, "tile string, row int, col int, lat double, lon double, elev_m double, corrupt string")
     return out.withColumn("elev_m", F.nanvl("elev_m", F.lit(None).cast("double")))
 
 

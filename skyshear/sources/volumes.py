@@ -17,13 +17,23 @@ from skyshear.operators.scan import parse_names
 GATES = "path string, elevation double, ray int, azimuth double, gate int, value double, corrupt string"
 
 
-def _files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "content")
+#: Columns of Spark's binary files, which a stream of them must be told.
+_BINARY = "path string, modificationTime timestamp, length long, content binary"
 
 
-def read_sweeps(spark: SparkSession, root: str) -> DataFrame:
+def _files(spark: SparkSession, root: str, pattern: str, stream: int = 0) -> DataFrame:
+    reader = spark.readStream.schema(_BINARY).option("maxFilesPerTrigger", stream) if stream else spark.read
+    return reader.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "content")
+
+
+def read_sweeps(spark: SparkSession, root: str, station: str = "*", time: str = "*", product: str = "*", layer: str = "*", code: str = "*", stream: int = 0) -> DataFrame:
     """Gates of all sweeps under ``root``, one .npz archive each: ``path, elevation, ray, azimuth, gate, value, corrupt``.
 
+    The parts of a file's name may be patterns (``time="20260511*"``); files whose
+    names don't match are left out as folders are listed, so none of them is
+    opened. With ``stream`` the folder is a stream of at most so many files a
+    batch: each file once, new ones as they arrive.
+
     An archive holds azimuth (degrees, a ray) and fields of (ray, gate), of which
     the first counts; its elevation stands in ``elevation``, else in ``params``,
     else it is 0. Values that aren't finite are null. A file that can't be read
@@ -44,7 +54,9 @@ def read_sweeps(spark: SparkSession, root: str) -> DataFrame:
                 except Exception as e:  # any damage to a file
                     yield pd.DataFrame([(path, None, None, None, None, None, f"{type(e).__name__}: {e}")], columns=["path", "elevation", "ray", "azimuth", "gate", "value", "corrupt"])
 
-    out = _files(spark, root, "*.npz").mapInPandas(decode, GATES)
+    parts = (station, time, product, layer, code)
+    name = "*" if set(parts) == {"*"} else "_".join(parts)
+    out = _files(spark, root, f"{name}.npz", stream).mapInPandas(decode, GATES)
     finite = ~F.isnan("value") & (F.abs("value") != float("inf"))
     return out.withColumn("value", F.when(finite, F.col("value")))
 
