@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyshear.functions.geo import nonzero, rounded
+from skyshear.functions.geo import azimuth, nonzero, rounded, wrapped
 from skyshear.model import ANGLE_EDGES, RANGE_EDGES, RESIDUAL_P95, W_P99
 
 
@@ -73,6 +73,29 @@ def window_masks(field: DataFrame, lengths: tuple[int, ...] = (3, 4, 5), times:
     return cells.groupBy("length", "start").agg(F.count_if(F.col("n") == F.col("length")).alias("everywhen"), F.count_if(F.col("n") > 0).alias("somewhen"), rounded(F.count_if(F.col("n") == F.col("length")) / F.nullif(F.count_if(F.col("n") > 0), F.lit(0))).alias("share"))
 
 
+def window_levels(seen: DataFrame, first: int, last: int, cells: int, lengths: tuple[int, ...] = (3, 4, 5), by: tuple[str, ...] = ("k",), cell: tuple[str, ...] = ("j", "i")) -> DataFrame:
+    """``length, start, by, union, intersection, of_union, of_level`` of windows of successive volumes ``first`` to ``last``.
+
+    ``seen`` has a row (t, by, cell) wherever something was observed; repeated
+    rows count once. ``by`` are the columns that results are told apart by: level,
+    radar, case. ``cells`` is the number of cells of one such part, observed or
+    not. A part that a window doesn't see at all has no row. Rows move once, to
+    their cell; windows are counted from there.
+    """
+    times = seen.filter(F.col("t").between(first, last)).groupBy(*by, *cell).agg(F.collect_set("t").alias("_ts"))
+
+    def met(n: int) -> Column:
+        """The windows of ``n`` volumes that have one of a cell's times, and whether they have all."""
+        inside = lambda s: (s >= first) & (s <= last - n + 1)
+        starts = F.array_distinct(F.flatten(F.transform("_ts", lambda t: F.filter(F.sequence(t - n + 1, t), inside))))
+        held = lambda s: F.size(F.filter("_ts", lambda t: (t >= s) & (t < s + n)))
+        return F.transform(starts, lambda s: F.struct(F.lit(n).alias("length"), s.alias("start"), (held(s) == n).alias("all")))
+
+    each = times.select(*by, F.explode(F.concat(*[met(n) for n in lengths])).alias("w")).select(*by, "w.*")
+    g = each.groupBy("length", "start", *by).agg(F.count("*").alias("union"), F.count_if("all").alias("intersection"))
+    return g.withColumns({"of_union": rounded(F.col("intersection") / F.col("union")), "of_level": rounded(F.col("intersection") / cells)})
+
+
 def norms(pairs: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
     """Norm and root mean square of a difference, and its share of the reference's norm."""
     d = F.col(a) - F.col(b)
@@ -81,8 +104,8 @@ def norms(pairs: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
     return pairs.filter(d.isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), rounded(l2, 5).alias("l2"), rounded(F.sqrt(F.avg(d * d)), 5).alias("rmse"), rounded(F.coalesce(l2 / nonzero(ref), l2), 5).alias("relative"))
 
 
-def harmonic_fit(gates: DataFrame, *keys: str) -> DataFrame:
-    """Least squares of v = a sin(az) + b cos(az) + c from nine sums, solved by Cramer's rule."""
+def harmonic_fit(gates: DataFrame, *keys: str, counted: bool = False) -> DataFrame:
+    """Least squares of v = a sin(az) + b cos(az) + c from nine sums, solved by Cramer's rule; ``counted`` adds ``samples``."""
     s, c, v = F.sin(F.radians(F.col("azimuth"))), F.cos(F.radians(F.col("azimuth"))), F.col("v")
     sums = {"n": F.count("*").cast("double"), "ss": F.sum(s * s), "cc": F.sum(c * c), "sc": F.sum(s * c), "s": F.sum(s), "c": F.sum(c), "sv": F.sum(s * v), "cv": F.sum(c * v), "v": F.sum(v)}
     g = gates.filter("v IS NOT NULL").groupBy(*keys).agg(*[e.alias(f"_{k}") for k, e in sums.items()])
@@ -96,7 +119,28 @@ def harmonic_fit(gates: DataFrame, *keys: str) -> DataFrame:
 
     whole = nonzero(det(m))
     solved = [det([[rhs[r] if k == n else m[r][k] for k in range(3)] for r in range(3)]) / whole for n in range(3)]
-    return g.select(*keys, *[rounded(e, 5).alias(n) for e, n in zip(solved, ("east", "north", "mean"), strict=True)])
+    return g.select(*keys, *[rounded(e, 5).alias(n) for e, n in zip(solved, ("east", "north", "mean"), strict=True)], *([F.col("_n").cast("long").alias("samples")] if counted else []))
+
+
+def fit_against_profile(gates: DataFrame, profile: DataFrame, below: float = 150.0, above: float = 200.0, most: float = 15.0) -> DataFrame:
+    """The harmonic fit of each station's gates around the lowest valid level of its wind profile, and whether both blow the same way.
+
+    ``gates`` have station, azimuth, height_m and v; ``profile`` has station,
+    height_m, speed and direction (degrees it comes from), valid where speed is
+    above 0. They agree if the fit's dot product with the profile's wind is
+    positive and their directions differ by less than ``most`` degrees. A station
+    without a valid level or without gates in the band has no row; one whose gates
+    don't determine a fit has nulls and doesn't agree.
+    """
+    lowest = profile.filter("speed > 0 AND NOT isnan(speed)").groupBy("station").agg(F.min(F.struct("height_m", "speed", "direction")).alias("_p"))
+    band = gates.join(lowest, "station").filter(F.col("height_m").between(F.col("_p.height_m") - below, F.col("_p.height_m") + above))
+    fit = harmonic_fit(band.select("station", "azimuth", "v"), "station", counted=True).join(lowest, "station")
+    from_deg, speed = F.radians("_p.direction"), F.col("_p.speed")
+    toward, expected = azimuth(F.col("east"), F.col("north")), F.pmod(F.col("_p.direction") + 180.0, F.lit(360.0))
+    dot = -speed * (F.col("east") * F.sin(from_deg) + F.col("north") * F.cos(from_deg))
+    out = fit.select("station", "samples", "mean", rounded(toward, 4).alias("toward"), rounded(expected, 4).alias("profile_toward"), rounded(dot, 4).alias("dot"))
+    apart = rounded(wrapped(F.col("toward"), F.col("profile_toward")), 4)
+    return out.withColumns({"apart": apart, "agrees": F.coalesce((F.col("dot") > 0) & (apart < most), F.lit(False))})
 
 
 def all_of(*conditions: Column) -> Column:

@@ -291,6 +291,62 @@ def parabolic(before: Column, at: Column, after: Column) -> Column:
     return F.when(bend < 0, F.greatest(F.lit(-0.5), F.least(F.lit(0.5), off))).otherwise(0.0)
 
 
+def motion_found(field: DataFrame, most: int, floor: float = 20.0, least: int = 25) -> DataFrame:
+    """The motion between successive fields and how far to trust it.
+
+    ``field`` has t, j, i, v and whatever columns tell cases apart; v is null where
+    nothing is observed. Each time gives one row: the best shift ``dj, di`` of at
+    most ``most`` cells (first in row order on ties) by the cosine of the excesses
+    over ``floor``, with offsets ``oj, oi`` within a cell; ``peak``, ``second``
+    (outside the peak's 3 x 3 surroundings) and ``margin``; ``overlap``, the share of
+    cells with an excess in both among those with one in either; ``finite``, the
+    share of observed cells that both observe; ``at_edge`` of the search; and
+    ``confidence``. A shift counts if at least ``least`` observed cells have an
+    excess in either; a time without such a shift has no row.
+
+    Only cells with an excess are shifted, from both sides: a union's size is
+    that of both parts less what they share.
+    """
+    by = tuple(c for c in cases(field) if c not in ("t", "t_idx"))
+    seen = field.filter("v IS NOT NULL AND NOT isnan(v)").select(*by, "t", "j", "i", F.greatest(F.col("v") - floor, F.lit(0.0)).alias("e"))
+    later = seen.withColumn("t", F.col("t") - 1)
+    span = F.sequence(F.lit(-most), F.lit(most))
+
+    def shifted(cells: DataFrame, sign: int, name: str) -> DataFrame:
+        every = cells.filter("e > 0").withColumn("dj", F.explode(span)).withColumn("di", F.explode(span))
+        return every.select(*by, "t", "dj", "di", (F.col("j") + sign * F.col("dj")).alias("j"), (F.col("i") + sign * F.col("di")).alias("i"), F.col("e").alias(name))
+
+    on, key = [*by, "t", "j", "i"], [*by, "t", "dj", "di"]
+    ahead = shifted(seen, 1, "a").join(later.withColumnRenamed("e", "b"), on).groupBy(*key)
+    ahead = ahead.agg(F.count("*").alias("n_a"), F.count_if(F.col("b") > 0).alias("both"), F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") ** 2).alias("aa"))
+    back = shifted(later, -1, "b").join(seen, on).groupBy(*key).agg(F.count("*").alias("n_b"), F.sum(F.col("b") ** 2).alias("bb"))
+    union = F.col("n_a") + F.col("n_b") - F.col("both")
+    score = F.round(F.col("ab") / F.sqrt(F.col("aa") * F.col("bb")), 9)
+    scores = ahead.join(back, key).filter(union >= least).select(*key, score.alias("score"), (F.col("both") / union).alias("overlap"))
+
+    top = F.max(F.struct("score", (-F.col("dj")).alias("j"), (-F.col("di")).alias("i"), "overlap"))
+    best = scores.groupBy(*by, "t").agg(top.alias("m")).select(*by, "t", (-F.col("m.j")).alias("bj"), (-F.col("m.i")).alias("bi"), F.col("m.score").alias("peak"), "m.overlap")
+    at = lambda a, b: F.max(F.when((F.col("dj") == F.col("bj") + a) & (F.col("di") == F.col("bi") + b), F.col("score")))
+    far = (F.abs(F.col("dj") - F.col("bj")) > 1) | (F.abs(F.col("di") - F.col("bi")) > 1)
+    g = scores.drop("overlap").join(best, [*by, "t"]).groupBy(*by, "t", "bj", "bi", "peak", "overlap")
+    g = g.agg(at(-1, 0).alias("n"), at(1, 0).alias("s"), at(0, -1).alias("w"), at(0, 1).alias("e"), F.max(F.when(far, F.col("score"))).alias("second"))
+
+    sizes = seen.groupBy(*by, "t").agg(F.count("*").alias("size"))
+    moved = seen.join(best.select(*by, "t", "bj", "bi"), [*by, "t"]).select(*by, "t", (F.col("j") + F.col("bj")).alias("j"), (F.col("i") + F.col("bi")).alias("i"))
+    shared = moved.join(later, on).groupBy(*by, "t").agg(F.count("*").alias("shared"))
+    least_seen = sizes.join(sizes.select(*by, (F.col("t") - 1).alias("t"), F.col("size").alias("next")), [*by, "t"])
+    finite = shared.join(least_seen, [*by, "t"]).select(*by, "t", (F.col("shared") / F.least("size", "next")).alias("finite"))
+
+    edge = (F.abs("bj") == most) | (F.abs("bi") == most)
+    margin = F.col("peak") - F.col("second")
+    sure = (F.col("peak") >= 0.8) & (F.col("overlap") >= 0.45) & F.coalesce(margin >= 0.02, F.lit(False)) & ~edge
+    fair = (F.col("peak") >= 0.6) & (F.col("overlap") >= 0.25) & ~edge
+    return g.join(finite, [*by, "t"]).select(
+        *by, "t", F.col("bj").alias("dj"), F.col("bi").alias("di"), parabolic(F.col("n"), F.col("peak"), F.col("s")).alias("oj"), parabolic(F.col("w"), F.col("peak"), F.col("e")).alias("oi"),
+        "peak", "second", margin.alias("margin"), "overlap", "finite", edge.alias("at_edge"), F.when(sure, "high").when(fair, "medium").otherwise("low").alias("confidence"),
+    )
+
+
 def best_motion(scores: DataFrame) -> DataFrame:
     """The best shift of each time (first in row order on ties) with sub-cell offsets and the runner-up outside its 3 x 3 surroundings."""
     w = Window.partitionBy("t").orderBy(F.col("score").desc(), "dj", "di")

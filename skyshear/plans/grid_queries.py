@@ -110,6 +110,11 @@ def _best(s, d):  # noqa: ANN001, ANN202
     return grid.best_motion(rounded).select("t", "dj", "di", "peak", "second", R(F.col("oj"), 3).alias("oj"), R(F.col("oi"), 3).alias("oi"))
 
 
+def _found(s, d):  # noqa: ANN001, ANN202
+    found = grid.motion_found(_field(s, d), REACH, 3.0, 25)
+    return found.select("t", "dj", "di", R(F.col("oj"), 3).alias("oj"), R(F.col("oi"), 3).alias("oi"), *[R(F.col(c), 5).alias(c) for c in ("peak", "second", "margin", "overlap", "finite")], "at_edge", "confidence")
+
+
 def _cumulative(s, d):  # noqa: ANN001, ANN202
     """Displacement of each volume from the first one of its window."""
     step = s.range(1, 6).select(F.col("id").cast("int").alias("t"), (F.col("id") * 0.5 + 0.25).alias("dx"), (1.5 - F.col("id") * 0.25).alias("dy"))
@@ -143,6 +148,7 @@ QUERIES = {
     "time_difference": _difference,
     "temporal_consistency": _consistency,
     "ncc_motion": _ncc,
+    "motion_confidence": _found,
     "ncc_peak": _best,
     "cumulative_shift": _cumulative,
 }
@@ -163,6 +169,15 @@ ORACLES = {
     "transported_mask": oracle("field", f"SELECT t, j, i FROM {_sql_move(0.5, 1.0, False)} WHERE n = 2"),
     "time_difference": oracle("field", f"SELECT m.t, m.j, m.i, round(f.v - m.v, 7) + 0e0 AS change FROM {_sql_move(0.5, 1.0, False)} m JOIN field f ON f.t = m.t + 1 AND f.j = m.j AND f.i = m.i WHERE n = 2"),
     "temporal_consistency": oracle("field", f"+g AS (SELECT m.t, count(*) AS n, sqrt(avg((f.v - o.v) ** 2)) AS b, sqrt(avg((f.v - m.v) ** 2)) AS a FROM {_sql_move(0.5, 1.0, False)} m JOIN field f ON f.t = m.t + 1 AND f.j = m.j AND f.i = m.i JOIN field o ON o.t = m.t AND o.j = m.j AND o.i = m.i WHERE n = 2 GROUP BY m.t) SELECT t, n, round(b, 4) + 0e0 AS before, round(a, 4) + 0e0 AS after, round(1 - a / b, 4) + 0e0 AS reduction FROM g"),
+    "motion_confidence": oracle("field", """+f AS (SELECT t, j, i, greatest(v - 3, 0) AS e FROM field WHERE v IS NOT NULL), s AS (SELECT dj::INT AS dj, di::INT AS di FROM range(-6, 7) a(dj), range(-6, 7) b(di)), z AS (SELECT t, count(*) AS n FROM f GROUP BY t),
+      p AS (SELECT f.t, dj, di, f.e AS a, g.e AS b FROM f, s, f g WHERE g.t = f.t + 1 AND g.j = f.j + dj AND g.i = f.i + di),
+      sc AS (SELECT t, dj, di, round(sum(a * b) / nullif(sqrt(sum(a * a) * sum(b * b)), 0), 9) AS score, count(*) AS n, count(*) FILTER (WHERE a > 0 OR b > 0) AS u, count(*) FILTER (WHERE a > 0 AND b > 0) AS o FROM p GROUP BY ALL HAVING u >= 25 AND score IS NOT NULL),
+      b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, dj, di) AS r FROM sc) WHERE r = 1),
+      q AS (SELECT b.t, b.dj, b.di, b.score AS peak, b.o / b.u AS overlap, b.n / least(z.n, y.n) AS finite, abs(b.dj) = 6 OR abs(b.di) = 6 AS at_edge, max(c.score) FILTER (WHERE abs(c.dj - b.dj) > 1 OR abs(c.di - b.di) > 1) AS second, max(c.score) FILTER (WHERE c.dj = b.dj - 1 AND c.di = b.di) AS n, max(c.score) FILTER (WHERE c.dj = b.dj + 1 AND c.di = b.di) AS s,
+        max(c.score) FILTER (WHERE c.dj = b.dj AND c.di = b.di - 1) AS w, max(c.score) FILTER (WHERE c.dj = b.dj AND c.di = b.di + 1) AS e FROM b JOIN sc c ON c.t = b.t JOIN z ON z.t = b.t JOIN z y ON y.t = b.t + 1 GROUP BY ALL)
+      SELECT t, dj, di, round(CASE WHEN n - 2 * peak + s < 0 THEN greatest(-0.5, least(0.5, 0.5 * (n - s) / (n - 2 * peak + s))) ELSE 0 END, 3) + 0e0 AS oj, round(CASE WHEN w - 2 * peak + e < 0 THEN greatest(-0.5, least(0.5, 0.5 * (w - e) / (w - 2 * peak + e))) ELSE 0 END, 3) + 0e0 AS oi,
+        round(peak, 5) + 0e0 AS peak, round(second, 5) + 0e0 AS second, round(peak - second, 5) + 0e0 AS margin, round(overlap, 5) + 0e0 AS overlap, round(finite, 5) + 0e0 AS finite, at_edge,
+        CASE WHEN peak >= 0.8 AND overlap >= 0.45 AND coalesce(peak - second >= 0.02, false) AND NOT at_edge THEN 'high' WHEN peak >= 0.6 AND overlap >= 0.25 AND NOT at_edge THEN 'medium' ELSE 'low' END AS confidence FROM q"""),
     "ncc_motion": oracle("field", f"+{_NCC} SELECT * FROM sc"),
     "ncc_peak": oracle("field", f"""+{_NCC}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, dj, di) AS r FROM sc) WHERE r = 1),
       q AS (SELECT b.t, b.dj, b.di, b.score AS peak, max(s.score) FILTER (WHERE abs(s.dj - b.dj) > 1 OR abs(s.di - b.di) > 1) AS second, max(s.score) FILTER (WHERE s.dj = b.dj - 1 AND s.di = b.di) AS n, max(s.score) FILTER (WHERE s.dj = b.dj + 1 AND s.di = b.di) AS o, max(s.score) FILTER (WHERE s.di = b.di - 1 AND s.dj = b.dj) AS w, max(s.score) FILTER (WHERE s.di = b.di + 1 AND s.dj = b.dj) AS e FROM b JOIN sc s USING (t) GROUP BY ALL)

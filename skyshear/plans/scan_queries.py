@@ -86,9 +86,9 @@ def _stream_claims(spark, sf):  # noqa: ANN001, ANN202
 
 
 def _as_files(spark, sf):  # noqa: ANN001, ANN202
-    """Texts as files of bytes."""
+    """Texts as files of bytes, and of 40 times their length."""
     content = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    return _docs(spark, sf).select(F.col("doc_id").alias("path"), content.alias("content"), F.octet_length(content).cast("long").alias("length"))
+    return _docs(spark, sf).select(F.col("doc_id").alias("path"), content.alias("content"), (40 * F.octet_length(content)).cast("long").alias("length"))
 
 
 QUERIES = {
@@ -139,7 +139,7 @@ ORACLES = {
       c AS (SELECT doc_id, string_split(array_to_string(list_transform(h, lambda b: chr(('0x' || b)::INT)), ''), ' ') AS p FROM h),
       t AS (SELECT doc_id, seq::INT AS seq, regexp_replace(p[seq + 1], '^[\\x09-\\x0d\\x20]+|[\\x09-\\x0d\\x20]+$', '', 'g') AS text FROM c, unnest(range(len(p))) u(seq))
       SELECT doc_id, seq, regexp_replace(text, '[^\\x00-\\x7f]', '�', 'g') AS text FROM t WHERE length(text) >= 3 AND regexp_matches(text, '[A-Za-z0-9]')""",
-    "shape_candidates": """SELECT doc_id, azimuths, gates, header, item_bytes, header + azimuths * gates * item_bytes AS expected FROM (SELECT doc_id, octet_length(encode(text)) AS n FROM documents),
+    "shape_candidates": """SELECT doc_id, azimuths, gates, header, item_bytes, header + azimuths * gates * item_bytes AS expected FROM (SELECT doc_id, 40 * octet_length(encode(text)) AS n FROM documents),
       (VALUES (360), (720), (1440)) a(azimuths), (VALUES (230), (460), (920), (1000)) g(gates), (VALUES (1024, 1), (2048, 1), (128, 2)) l(header, item_bytes)
       WHERE n > 1024 AND abs(n - (header + azimuths * gates * item_bytes)) < 2000""",
     "content_sha256": "SELECT doc_id, sha256(text) AS sha256 FROM documents",

@@ -93,6 +93,19 @@ def _fit(s, d):  # noqa: ANN001, ANN202
     return aggregate.harmonic_fit(view(s, d, "gates").select("radar", "sweep", F.col("ray").cast("double").alias("azimuth"), F.col("vr").alias("v")), "radar", "sweep")
 
 
+def _fit_check(s, d):  # noqa: ANN001, ANN202
+    """Fits in a band of heights against two profiles with gaps at their lower ends."""
+    gates = view(s, d, "gates").select(F.col("radar").alias("station"), F.col("ray").cast("double").alias("azimuth"), (F.col("gate") * 50.0).alias("height_m"), F.col("vr").alias("v"))
+    profile = view(s, d, "profile").select((F.col("level") % 2 + 1).alias("station"), (F.col("level") * 100.0).alias("height_m"), F.when(F.col("level") > 4, F.col("speed")).alias("speed"), "direction")
+    return aggregate.fit_against_profile(gates, profile)
+
+
+def _window_levels(s, d):  # noqa: ANN001, ANN202
+    """Gates of four quarters of the horizon as levels, sweeps as times, for each radar."""
+    g = view(s, d, "gates").select(F.col("sweep").alias("t"), "radar", F.floor(F.col("ray") / 90).cast("int").alias("k"), "ray", "gate")
+    return aggregate.window_levels(g, 0, 5, 9000, by=("radar", "k"), cell=("ray", "gate"))
+
+
 def _union(s, d):  # noqa: ANN001, ANN202
     """Of each volume and the next one: cells that either observes, and whether both do."""
     return aggregate.with_next(view(s, d, "field").filter("v IS NOT NULL"), VOLUMES).select("t", "j", "i", (F.col("now") & F.col("next")).alias("both"))
@@ -135,6 +148,8 @@ QUERIES = {
     "confidence_counts": _confidence,
     "meso_eligible": _eligible,
     "vad_harmonic_fit": _fit,
+    "vad_profile_check": _fit_check,
+    "window_levels": _window_levels,
     "mask_union_intersection": _union,
     "mask_xor": _xor,
     "gate_rollup": _rollup,
@@ -157,6 +172,15 @@ ORACLES = {
     "updraft_class": oracle("wind", "+m AS (SELECT j, i, round(avg(w), 8) + 0e0 AS mean_w FROM wind WHERE valid GROUP BY ALL) SELECT *, CASE WHEN mean_w > 0.3::DOUBLE THEN 'updraft' WHEN mean_w < -0.3::DOUBLE THEN 'downdraft' ELSE 'mixed' END AS class FROM m"),
     "confidence_counts": oracle("features", "+f AS (SELECT (id * 37 % 100) / 1e2 AS c, (id * 53 % 100) / 1e2 AS o, (id * 7 % 10) / 1e2 AS g, id % 9 = 0 AS e FROM features) SELECT CASE WHEN c >= 0.8::DOUBLE AND o >= 0.45::DOUBLE AND g >= 0.02::DOUBLE AND NOT e THEN 'high' WHEN c >= 0.6::DOUBLE AND o >= 0.25::DOUBLE AND NOT e THEN 'medium' ELSE 'low' END AS confidence, count(*) AS n FROM f GROUP BY 1"),
     "meso_eligible": oracle("wind", f"+{_VW}, q AS (SELECT n.k, n.i, n.j, dbz, round(CASE WHEN n.valid THEN ((v_ip - v_im) - (u_jp - u_jm)) END, 6) + 0e0 AS zeta FROM n JOIN wind USING (k, j, i)) SELECT k, count(*) AS n, max(zeta) AS peak FROM q WHERE zeta IS NOT NULL AND dbz >= 30 AND i BETWEEN 1 AND 19 AND j BETWEEN 1 AND 19 GROUP BY k"),
+    "vad_profile_check": oracle("gates profile", """+pf AS (SELECT level % 2 + 1 AS station, level * 1e2 AS h, speed, direction FROM profile WHERE level > 4 AND speed > 0), lo AS (SELECT station, min(h) AS h, arg_min(speed, h) AS speed, arg_min(direction, h) AS direction FROM pf GROUP BY station),
+      g AS (SELECT station, sin(radians(ray::DOUBLE)) AS s, cos(radians(ray::DOUBLE)) AS c, vr AS v FROM gates JOIN lo ON radar = station WHERE vr IS NOT NULL AND gate * 5e1 BETWEEN h - 150 AND h + 200),
+      m AS (SELECT station, count(*) AS samples, count(*)::DOUBLE AS n, sum(s * s) AS ss, sum(c * c) AS cc, sum(s * c) AS sc, sum(s) AS s, sum(c) AS c, sum(s * v) AS sv, sum(c * v) AS cv, sum(v) AS v FROM g GROUP BY ALL),
+      d AS (SELECT *, ss * (cc * n - c * c) - sc * (sc * n - c * s) + s * (sc * c - cc * s) AS d FROM m),
+      e AS (SELECT station, samples, round((sv * (cc * n - c * c) - sc * (cv * n - c * v) + s * (cv * c - cc * v)) / d, 5) + 0e0 AS east, round((ss * (cv * n - c * v) - sv * (sc * n - c * s) + s * (sc * v - cv * s)) / d, 5) + 0e0 AS north, round((ss * (cc * v - cv * c) - sc * (sc * v - cv * s) + sv * (sc * c - cc * s)) / d, 5) + 0e0 AS mean FROM d),
+      o AS (SELECT station, samples, mean, round((degrees(atan2(east, north)) + 360) % 360, 4) + 0e0 AS toward, (direction + 180e0) % 360 AS profile_toward, round(-speed * (east * sin(radians(direction::DOUBLE)) + north * cos(radians(direction::DOUBLE))), 4) + 0e0 AS dot FROM e JOIN lo USING (station)),
+      a AS (SELECT *, round(least(abs(toward - profile_toward), 360 - abs(toward - profile_toward)), 4) + 0e0 AS apart FROM o) SELECT *, dot > 0 AND apart < 15 AS agrees FROM a"""),
+    "window_levels": oracle("gates", """+w AS (SELECT length, start FROM (VALUES (3), (4), (5)) a(length), range(6) b(start) WHERE start + length <= 6), c AS (SELECT length, start, radar, ray // 90 AS k, ray, gate, count(DISTINCT sweep) AS n FROM w JOIN gates ON sweep >= start AND sweep < start + length GROUP BY ALL)
+      SELECT length, start::INT AS start, radar, k::INT AS k, count(*) AS "union", count(*) FILTER (WHERE n = length) AS intersection, round(count(*) FILTER (WHERE n = length)::DOUBLE / count(*), 6) + 0e0 AS of_union, round(count(*) FILTER (WHERE n = length) / 9e3, 6) + 0e0 AS of_level FROM c GROUP BY length, start, radar, k"""),
     "vad_harmonic_fit": oracle("gates", """+g AS (SELECT radar, sweep, sin(radians(ray::DOUBLE)) AS s, cos(radians(ray::DOUBLE)) AS c, vr AS v FROM gates WHERE vr IS NOT NULL),
       m AS (SELECT radar, sweep, count(*)::DOUBLE AS n, sum(s * s) AS ss, sum(c * c) AS cc, sum(s * c) AS sc, sum(s) AS s, sum(c) AS c, sum(s * v) AS sv, sum(c * v) AS cv, sum(v) AS v FROM g GROUP BY ALL),
       d AS (SELECT *, ss * (cc * n - c * c) - sc * (sc * n - c * s) + s * (sc * c - cc * s) AS d FROM m)
