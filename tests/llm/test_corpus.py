@@ -288,6 +288,33 @@ def test_toxicity_learns(spark, none):
     assert toxicity.score(none, model).count() == 0
 
 
+@pytest.mark.parametrize(("n", "reverse"), [(120, False), (400, True)])
+def test_toxicity_ranks_by_few_labels_and_by_reverse_ones(spark, n, reverse):
+    """Ten labelled documents with such words rank those held out; where label 1 marks the others, what speaks for label 0 does."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(n):
+        words, bad = prose(rng, 60).split(), i % 8 == 0
+        for _ in range(4 * bad):
+            words[rng.randrange(60)] = rng.choice(["vile", "rotten", "scummy"])
+        rows.append((i, " ".join(words), int(bad != reverse)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = [(r.score, r.toxic) for r in toxicity.score(df, toxicity.learn(df, df)).join(df, "doc_id").filter("held_out").collect()]
+    ones, zeros = ([s for s, y in got if y == k] for k in (1, 0))
+    assert len(ones) >= 2 and len(zeros) >= 2
+    assert sum((a > b) + (a == b) / 2 for a in ones for b in zeros) > 0.9 * len(ones) * len(zeros)
+
+
+def test_slopes_keep_their_sign():
+    """Steps that overshoot are halved, and evidence that happens to stand against its side keeps the least slope."""
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.exponential(300, 40), rng.normal(0, 1, 40)])
+    y = (x[:, 0] < 200).astype(int)
+    w = toxicity.logistic(x, y, np.array([-2.0, 0.5, -0.5]))
+    assert w[1] == toxicity.LEAST_SLOPE and w[2] <= -toxicity.LEAST_SLOPE and np.isfinite(w).all()
+    assert toxicity.logistic(x, 1 - y, np.array([-2.0, 0.5, -0.5]))[1] >= toxicity.LEAST_SLOPE
+
+
 def test_quality_classifier_learns(spark, none):
     texts, labels = labelled(spark)
     model = classifier.learn(texts, labels)
