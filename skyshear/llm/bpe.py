@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +74,8 @@ class Cache(dict):
         (self if len(self) < self.most and len(word) <= LONGEST else self.over)[word] = ids
 
 
+#: Bytes of texts whose words are looked up together.
+STRETCH = 8 << 20
 #: Words that are encoded as one text.
 JOINED = 500
 
@@ -118,21 +121,7 @@ class Codec:
             if None in got:
                 new.update([w for w, g in zip(words, got, strict=True) if g is None][got[0] is None :])
             held.append((words, got))
-        odd = {w for w in new if open_ended(w)}
-        missing, made = new - odd, {}
-        if self.splits:
-            for w in missing:
-                m = SPLIT.fullmatch(w)
-                if m and m.end(1) < len(w):
-                    made[w] = m.groups()
-            missing = missing.difference(made).union({m[0] for m in made.values()}.difference(self.spaced))
-            self.lines(list({m[2] for m in made.values() if m[2]}.difference(self.first)))
-        missing = list(missing)
-        for at in range(0, len(missing), JOINED):
-            self.words(missing[at : at + JOINED])
-        for w, (letters, marks, more, last) in made.items():
-            ids = self.spaced[letters] + self.mark(marks)
-            self.spaced.put(w, ids + self.mark(b"\n") + self.first[more] + self.mark(last) if more else ids)
+        odd = self.learned(new)
         out = []
         for text, (words, got) in zip(texts, held, strict=True):
             if None not in got:
@@ -151,6 +140,90 @@ class Codec:
                 out.append(b"".join(got))
         return out
 
+    def stretches(self, batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """A batch in slices of STRETCH bytes of text, or of one longer text, each with what ``encode_column`` gives."""
+        sums = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(sums):
+            end = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + STRETCH, "right")))
+            rows = batch.slice(at, end - at)
+            yield rows, *self.encode_column(rows.column(column))
+            at = end
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each text of a column, one after the other, and how many each has; null is empty.
+
+        As ``encode_many``, but Arrow finds the distinct words of all texts, only
+        these are looked up, and their ids are gathered by place.
+        """
+        self.spaced.over.clear()
+        self.first.over.clear()
+        texts = pc.fill_null(column.cast(pa.large_string()).cast(pa.large_binary()), b"")
+        split = pc.split_pattern(texts, b" ")
+        starts = split.offsets.to_numpy().astype(np.int64)
+        found = split.values.slice(starts[0], starts[-1] - starts[0]).dictionary_encode()
+        starts -= starts[0]
+        place, words = found.indices.to_numpy().astype(np.int64), values_of(found.dictionary)
+        heads = place[starts[:-1]]
+        place[starts[:-1]] = len(words) + np.arange(len(texts))  # a text's first word has ids of its own
+        used = np.flatnonzero(np.bincount(place, minlength=len(words))[: len(words)]).tolist()
+        look = self.spaced.get
+        got = {i: look(words[i]) for i in used}
+        odd = self.learned({words[i] for i, x in got.items() if x is None})
+        pieces = [b""] * len(words)
+        for i, x in got.items():
+            pieces[i] = x if x is not None else b"" if words[i] in odd else self.spaced[words[i]]
+        whole = np.zeros(len(texts), bool)  # as whole texts: those with a word before which a space is no place to cut
+        if odd:
+            bad = np.zeros(len(words) + len(texts), bool)
+            bad[[i for i in used if words[i] in odd]] = True
+            whole[np.searchsorted(starts, np.flatnonzero(bad[place]), "right") - 1] = True
+        for t, (head, n) in enumerate(zip(heads.tolist(), np.diff(starts).tolist(), strict=True)):
+            word = words[head]
+            if whole[t] or n > 1 and word and open_ended(word):
+                whole[t] = True
+                pieces.append(b"")
+                continue
+            x = self.first.get(word)
+            if x is None:
+                x = self.first.over.get(word)
+                if x is None:
+                    x = self.whole(word)
+                    self.first.put(word, x)
+            pieces.append(x)
+        for t in np.flatnonzero(whole).tolist():
+            place[starts[t] : starts[t + 1]] = len(words) + t
+            pieces[len(words) + t] = self.whole(texts[t].as_py())
+        keep = np.ones(len(place), bool)
+        for t in np.flatnonzero(whole).tolist():
+            keep[starts[t] + 1 : starts[t + 1]] = False
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        flat = np.frombuffer(b"".join(pieces), dtype="<u4")
+        n = np.where(keep, lengths[place], 0)
+        ends = np.cumsum(n)
+        source = np.repeat((np.cumsum(lengths) - lengths)[place] - (ends - n), n)
+        source += np.arange(len(source))
+        return flat[source], np.diff(np.concatenate([[0], ends])[starts])
+    def learned(self, new: set[bytes]) -> set[bytes]:
+        """Encodes words that follow a space for the caches; gives back those that are empty or end in white space, which aren't kept."""
+        odd = {w for w in new if open_ended(w)}
+        missing, made = new - odd, {}
+        if self.splits:
+            for w in missing:
+                m = SPLIT.fullmatch(w)
+                if m and m.end(1) < len(w):
+                    made[w] = m.groups()
+            # looked up one by one: a set's difference from a subclass of dict goes through all of that
+            missing = {w for w in missing if w not in made} | {m[0] for m in made.values() if m[0] not in self.spaced}
+            self.lines(list({m[2] for m in made.values() if m[2] and m[2] not in self.first}))
+        missing = list(missing)
+        for at in range(0, len(missing), JOINED):
+            self.words(missing[at : at + JOINED])
+        for w, (letters, marks, more, last) in made.items():
+            ids = self.spaced[letters] + self.mark(marks)
+            self.spaced.put(w, ids + self.mark(b"\n") + self.first[more] + self.mark(last) if more else ids)
+        return odd
+
     def mark(self, marks: bytes) -> bytes:
         """Ids of a run of marks, or of a line's end, which stands by itself."""
         if not marks:
@@ -201,6 +274,15 @@ class Codec:
             return self.tokenizer.decode(numbers, skip_special_tokens=False).encode("utf-8")
 
 
+def values_of(column: pa.LargeBinaryArray) -> list[bytes]:
+    """The values of a column without nulls; cut from one buffer, which is faster than ``to_pylist``."""
+    if not len(column):
+        return []
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    raw, ends = column.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes(), (ends - ends[0]).tolist()
+    return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def token_bytes(tokenizer) -> list[bytes]:  # noqa: ANN001
     """The bytes of each id: the vocabulary writes a byte as a printable character, others as 256 and up in order."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import codec, parts, texts_of, tokenizer_path
+from .bpe import codec, tokenizer_path
 from .common import ranges, shared_dir, table
 
 #: The id that ends each document.
@@ -52,18 +52,15 @@ def write_tokens(docs: DataFrame, to: str, path: str | None = None, *, end: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, at = codec(path), TaskContext.get().partitionId(), 0
-        tail = np.array([] if end is None else [end], dtype="<u4").tobytes()
         for batch in batches:
-            for rows in parts(batch, 512):
-                data, _, starts = texts_of(rows.column(1))
-                texts = [bytes(data[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-                ids = [x + tail for x in own.encode_many(texts)]
-                counts = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            for rows, ids, counts in own.stretches(batch, 1):
+                if end is not None:
+                    ids, counts = np.insert(ids, np.cumsum(counts), end), counts + 1
                 ends = np.cumsum(counts)
                 offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-                values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
+                values = pa.array(ids.view("<i4"))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(at + ends - counts), pa.array(counts), pa.ListArray.from_arrays(offsets, values)],
+                    [rows.column(0), pa.array(np.full(len(counts), part, np.int32)), pa.array(at + ends - counts), pa.array(counts), pa.ListArray.from_arrays(offsets, values)],
                     ["doc_id", "part", "start_in_part", "n_tokens", "ids"],
                 )
                 at += int(counts.sum())

@@ -93,6 +93,28 @@ def test_token_files(spark, docs, none, tokenizer, tmp_path):
     assert tokenfile.read_tokens(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_columns_are_encoded_by_their_distinct_words(tokenizer, monkeypatch):
+    """Exact on odd texts, sliced columns and short stretches; a word that many texts repeat is looked up once a stretch."""
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    odd = [None, "", " ", "  a", "a ", "a\n b", "\u3000 x", "x \u3000 y", "don't 's", "<|endoftext|> z", "é.\nÜber## \n", "tail \n", "word\u00a0 word", *(r[1] for r in corpus()[-12:])]
+    texts = odd + ["".join(rng.choice(["ab", "É", " ", " ", "  ", "\n", "!!", "'", "\u2003", "9", "日本", "Word"]) for _ in range(rng.randint(0, 40))) for _ in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"]).slice(1)
+    own, size = bpe.Codec(bpe.tokenizer_path()), bpe.STRETCH
+    for bpe_stretch in (size, 300):
+        monkeypatch.setattr(bpe, "STRETCH", bpe_stretch)
+        got = []
+        for rows, ids, counts in own.stretches(batch, 1):
+            ends = np.cumsum(counts).tolist()
+            got += [(i, ids[b - n : b].tolist()) for i, b, n in zip(rows.column(0).to_pylist(), ends, counts.tolist(), strict=True)]
+        assert got == [(i, tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts) if i]
+    looked = []
+    monkeypatch.setattr(bpe.Cache, "get", lambda self, w, *a: looked.append(w) or dict.get(self, w, *a), raising=False)
+    bpe.Codec(bpe.tokenizer_path()).encode_column(pa.array(["again and again"] * 500))
+    assert looked.count(b"and") == 1
+
+
 def brute_groups(rows):
     sets = []
     for doc_id, text, *_ in rows:
