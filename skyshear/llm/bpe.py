@@ -75,7 +75,7 @@ class Cache(dict):
 
 
 #: Bytes of texts whose words are looked up together.
-STRETCH = 8 << 20
+STRETCH = 4 << 20
 #: Words that are encoded as one text.
 JOINED = 500
 
@@ -148,6 +148,7 @@ class Codec:
             end = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + STRETCH, "right")))
             rows = batch.slice(at, end - at)
             yield rows, *self.encode_column(rows.column(column))
+            pa.default_memory_pool().release_unused()
             at = end
 
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -163,9 +164,10 @@ class Codec:
         starts = split.offsets.to_numpy().astype(np.int64)
         found = split.values.slice(starts[0], starts[-1] - starts[0]).dictionary_encode()
         starts -= starts[0]
-        place, words = found.indices.to_numpy().astype(np.int64), values_of(found.dictionary)
+        place, words = found.indices.to_numpy().copy(), values_of(found.dictionary)  # 32 bits, as there are no more ids than bytes
+        del split, found
         heads = place[starts[:-1]]
-        place[starts[:-1]] = len(words) + np.arange(len(texts))  # a text's first word has ids of its own
+        place[starts[:-1]] = len(words) + np.arange(len(texts), dtype=np.int32)  # a text's first word has ids of its own
         used = np.flatnonzero(np.bincount(place, minlength=len(words))[: len(words)]).tolist()
         look = self.spaced.get
         got = {i: look(words[i]) for i in used}
@@ -197,13 +199,13 @@ class Codec:
         keep = np.ones(len(place), bool)
         for t in np.flatnonzero(whole).tolist():
             keep[starts[t] + 1 : starts[t + 1]] = False
-        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        lengths = np.fromiter(map(len, pieces), np.int32, len(pieces)) // 4
         flat = np.frombuffer(b"".join(pieces), dtype="<u4")
-        n = np.where(keep, lengths[place], 0)
-        ends = np.cumsum(n)
-        source = np.repeat((np.cumsum(lengths) - lengths)[place] - (ends - n), n)
-        source += np.arange(len(source))
-        return flat[source], np.diff(np.concatenate([[0], ends])[starts])
+        n = np.where(keep, lengths[place], np.int32(0))
+        ends = np.cumsum(n, dtype=np.int32)
+        source = np.repeat((np.cumsum(lengths, dtype=np.int32) - lengths)[place] - (ends - n), n)
+        source += np.arange(len(source), dtype=np.int32)
+        return flat[source], np.diff(np.concatenate([[0], ends])[starts]).astype(np.int64)
     def learned(self, new: set[bytes]) -> set[bytes]:
         """Encodes words that follow a space for the caches; gives back those that are empty or end in white space, which aren't kept."""
         odd = {w for w in new if open_ended(w)}
