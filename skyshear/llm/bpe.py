@@ -13,10 +13,12 @@ holds. A chunk without such a place belongs to the window as a whole.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 import re
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -301,12 +303,21 @@ _codecs: dict[str, Codec] = {}
 
 
 def codec(path: str) -> Codec:
-    """This worker's codec; its word cache outlives a task."""
+    """This worker's codec; its word cache outlives a task, until ``forget``."""
     if path not in _codecs:
         _codecs[path] = Codec(path)
     return _codecs[path]
 
 
+def forget() -> None:
+    """Gives back the codecs of this worker, which outlives the stage that encoded; for tasks of operators that don't encode."""
+    if _codecs:
+        _codecs.clear()
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # only some C libraries have it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 #: A fixed pseudo-random number for each byte.
 GEAR = np.frombuffer(hashlib.shake_128(b"content-defined chunks").digest(1024), dtype="<u4")
 

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from skyshear.operators.graph import components
 
-from .bpe import parts, texts_of
+from .bpe import forget, parts, texts_of
 from .common import discard, stored, table
 
 #: Words of a shingle; the least similarity in hundredths.
@@ -149,6 +149,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
     """``doc_id, n, class, sketch`` of each row; n is 0 and class null where there is no word. A task sketches a class once, however many copies it reads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known, done = Words(), set()
         for batch in batches:
             for rows, got in texts(batch, 1, 1024, known):
@@ -167,6 +168,7 @@ def published(docs: DataFrame) -> DataFrame:
     """``key, hi, lo``: each set's published segments and its class in two numbers; a task publishes a class once, however many copies it reads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known, done = Words(), set()
         for batch in batches:
             for _, got in texts(batch, 0, 2048, known):
@@ -259,6 +261,7 @@ def sets_by_class(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> Dat
     found = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known = Words()
         for batch in batches:
             for _, got in texts(batch, 0, 512, known):

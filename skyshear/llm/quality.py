@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import parts
+from .bpe import forget, parts
 from .common import discard, stored, table
 
 SYMBOLS = "#*$%&|<>"
@@ -108,6 +108,7 @@ def block_counts(docs: DataFrame, share: float, only: dict[str, set[str]] | None
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         counts: dict[str, Counter] = {}
         held = 0
         for batch in batches:
@@ -205,6 +206,7 @@ def featured(docs: DataFrame, common: dict[str, dict[str, int]]) -> DataFrame:
     """``doc_id`` and FEATURES of each row, one scan of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for rows in parts(batch, 1024):
                 got = [features(t, lang, common) for t, lang in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True)]
@@ -282,6 +284,7 @@ def keep(docs: DataFrame) -> DataFrame:
     text_at, lang_at = names.index("text"), names.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for rows in parts(batch, 1024):
                 mask = []

@@ -844,3 +844,27 @@ def test_long_pages_of_stray_marks_are_quick(unit):
         began = time.process_time()
         pages.lines_of(start + unit * (200_000 // len(unit)))
         assert time.process_time() - began < 1.5, (start, unit)
+
+
+def test_tasks_that_dont_encode_give_codecs_back(docs, monkeypatch):
+    import pyarrow as pa
+
+    class Rows:  # hands out what a task would run
+        schema = docs.schema
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run  # noqa: E731, N815
+
+    columns = {"doc_id": pa.array([1]), "text": pa.array(["one two three four five six"]), "lang": pa.array(["en"])}
+    batch = lambda *names: pa.RecordBatch.from_arrays([columns[c] for c in names], list(names))
+    tasks = [
+        (jaccard.sets_of(Rows()), batch("doc_id", "text")),
+        (jaccard.published(Rows()), batch("text")),
+        (quality.block_counts(Rows(), quality.SHARE), batch("text", "lang")),
+        (quality.featured(Rows(), {}), batch("doc_id", "text", "lang")),
+    ]
+    for run, rows in tasks:
+        monkeypatch.setattr(bpe, "_codecs", {})
+        own = bpe.codec(bpe.tokenizer_path())
+        assert bpe.codec(bpe.tokenizer_path()) is own  # tasks that encode share it
+        assert sum(out.num_rows for out in run(iter([rows]))) > 0
+        assert not bpe._codecs
