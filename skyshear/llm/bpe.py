@@ -76,8 +76,8 @@ class Cache(dict):
         (self if len(self) < self.most and len(word) <= LONGEST else self.over)[word] = ids
 
 
-#: Bytes of texts whose words are looked up together.
-STRETCH = 4 << 20
+#: Bytes of texts whose words are looked up together, and whose ids are gathered together.
+STRETCH, GATHERED = 4 << 20, 2 << 20
 #: Words that are encoded as one text.
 JOINED = 500
 
@@ -96,8 +96,11 @@ class Codec:
         self.lengths = np.array([len(x) for x in self.bytes], dtype=np.int64)
         self.first, self.spaced = Cache(STARTS), Cache(WORDS)
         self.marks: dict[bytes, bytes] = {}
-        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.splits = not any(WITHIN.fullmatch(t) for t in added)  # an added token inside a word would be matched first
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.splits = not any(WITHIN.fullmatch(t.content.encode()) for t in added)  # an added token inside a word would be matched first
+        #: Added tokens, and whether they match whatever stands beside them.
+        self.added = [(t.content.encode(), not (t.lstrip or t.rstrip or t.single_word)) for t in added]
+        self.joins = all(plain and not re.search(rb"\s", t) for t, plain in self.added)  # none can match across pieces that are joined
 
     def numbers(self, text: bytes) -> np.ndarray:
         """Ids of a text by the tokenizer, which needs no offsets here."""
@@ -143,71 +146,104 @@ class Codec:
         return out
 
     def stretches(self, batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-        """A batch in slices of STRETCH bytes of text, or of one longer text, each with what ``encode_column`` gives."""
-        sums = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < len(sums):
-            end = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + STRETCH, "right")))
+        """Slices of a batch, each with the ids of its texts one after the other and how many each has; words are looked up once for STRETCH bytes of text."""
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        starts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        for at, end in spans(starts, STRETCH):
             rows = batch.slice(at, end - at)
-            yield rows, *self.encode_column(rows.column(column))
+            for a, b, ids, counts in self.encode_column(rows.column(column)):
+                yield rows.slice(a, b - a), ids, counts
             pa.default_memory_pool().release_unused()
-            at = end
 
-    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each text of a column, one after the other, and how many each has; null is empty.
+    def encode_column(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """For texts ``a`` to ``b`` of a column, some after the other: a, b, their ids and how many each has; null is empty.
 
-        As ``encode_many``, but Arrow finds the distinct words of all texts, only
-        these are looked up, and their ids are gathered by place.
+        As ``encode_many``, but texts are cut wherever the pre-tokenizer surely
+        splits (between letters and marks and at ends of lines, too), Arrow finds
+        the distinct pieces of all texts, only these are looked up, before this
+        returns, and their ids are gathered by place.
         """
+        data, codes, starts = texts_of(column)
+        cuts = [(self.places(codes[starts[a] : starts[b]], starts[a : b + 1] - starts[a]) + starts[a]).astype(np.int32) for a, b in spans(starts, GATHERED)]
+        ends = np.concatenate([np.zeros(1, np.int32), *(c[1:] for c in cuts)])  # 32 bits do, since no text has more bytes
+        del cuts
+        found = pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+        known = self.looked_up(found.dictionary)
+        places, of_texts = found.indices, np.searchsorted(ends, starts)
+
+        def gathered() -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+            for a, b in spans(starts, GATHERED):
+                taken = known.take(places.slice(of_texts[a], of_texts[b] - of_texts[a]))
+                reached = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] // 4
+                ids = np.frombuffer(taken.buffers()[2] or b"", "<u4")[: reached[-1]]
+                yield a, b, ids, np.diff(reached[of_texts[a : b + 1] - of_texts[a]])
+
+        return gathered()
+
+    def places(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where the texts in ``codes``, which begin at ``starts``, are cut: at their ends, and where the pre-tokenizer must split.
+
+        What stands between two cuts has the same ids by itself.
+        """
+        kinds, last = kinds_of(codes), max(len(codes) - 1, 0)
+        begins = np.zeros(len(codes) + 1, bool)
+        begins[starts] = True
+        cut = begins.copy()
+        between = np.frombuffer(((kinds[:-1] << 3) | kinds[1:]).tobytes().translate(SURE), np.uint8)
+        cut[1 : last + 1] = between == 1
+        others = np.flatnonzero(between == 2)
+        cut[others[~white_or_control(codes, others)] + 1] = True
+        lines = np.flatnonzero(kinds == LINE)  # a cut comes after one that is the only white space there; a run of more is split before its last character
+        lines = lines[cut[lines] & BLACK[codes[np.minimum(lines + 1, last)]]]
+        cut[lines + 1] = True
+        raw = codes.tobytes()
+        for token, plain in self.added:
+            i = raw.find(token)
+            while i >= 0:
+                a, b = i, i + len(token)
+                if not plain:  # no cut in the whole text
+                    a, b = starts[np.searchsorted(starts, a, "right") - 1], starts[np.searchsorted(starts[:-1], b, "left")]
+                cut[a + 1 : b] = False
+                i = raw.find(token, i + 1)
+        return np.flatnonzero(cut | begins)
+
+    def looked_up(self, pieces: pa.BinaryArray) -> pa.LargeBinaryArray:
+        """Ids of distinct pieces that aren't empty. What the caches lack is encoded; pieces that end in white space aren't kept."""
         self.spaced.over.clear()
         self.first.over.clear()
-        texts = pc.fill_null(column.cast(pa.large_string()).cast(pa.large_binary()), b"")
-        split = pc.split_pattern(texts, b" ")
-        starts = split.offsets.to_numpy().astype(np.int64)
-        found = split.values.slice(starts[0], starts[-1] - starts[0]).dictionary_encode()
-        starts -= starts[0]
-        place, words = found.indices.to_numpy().copy(), values_of(found.dictionary)  # 32 bits, as there are no more ids than bytes
-        del split, found
-        heads = place[starts[:-1]]
-        place[starts[:-1]] = len(words) + np.arange(len(texts), dtype=np.int32)  # a text's first word has ids of its own
-        used = np.flatnonzero(np.bincount(place, minlength=len(words))[: len(words)]).tolist()
-        look = self.spaced.get
-        got = {i: look(words[i]) for i in used}
-        odd = self.learned({words[i] for i, x in got.items() if x is None})
-        pieces = [b""] * len(words)
-        for i, x in got.items():
-            pieces[i] = x if x is not None else b"" if words[i] in odd else self.spaced[words[i]]
-        whole = np.zeros(len(texts), bool)  # as whole texts: those with a word before which a space is no place to cut
-        if odd:
-            bad = np.zeros(len(words) + len(texts), bool)
-            bad[[i for i in used if words[i] in odd]] = True
-            whole[np.searchsorted(starts, np.flatnonzero(bad[place]), "right") - 1] = True
-        for t, (head, n) in enumerate(zip(heads.tolist(), np.diff(starts).tolist(), strict=True)):
-            word = words[head]
-            if whole[t] or n > 1 and word and open_ended(word):
-                whole[t] = True
-                pieces.append(b"")
-                continue
-            x = self.first.get(word)
-            if x is None:
-                x = self.first.over.get(word)
-                if x is None:
-                    x = self.whole(word)
-                    self.first.put(word, x)
-            pieces.append(x)
-        for t in np.flatnonzero(whole).tolist():
-            place[starts[t] : starts[t + 1]] = len(words) + t
-            pieces[len(words) + t] = self.whole(texts[t].as_py())
-        keep = np.ones(len(place), bool)
-        for t in np.flatnonzero(whole).tolist():
-            keep[starts[t] + 1 : starts[t + 1]] = False
-        lengths = np.fromiter(map(len, pieces), np.int32, len(pieces)) // 4
-        flat = np.frombuffer(b"".join(pieces), dtype="<u4")
-        n = np.where(keep, lengths[place], np.int32(0))
-        ends = np.cumsum(n, dtype=np.int32)
-        source = np.repeat((np.cumsum(lengths, dtype=np.int32) - lengths)[place] - (ends - n), n)
-        source += np.arange(len(source), dtype=np.int32)
-        return flat[source], np.diff(np.concatenate([[0], ends])[starts]).astype(np.int64)
+        if not len(pieces):
+            return pa.array([], pa.large_binary())
+        ends = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1]
+        codes = np.frombuffer(pieces.buffers()[2], np.uint8)[: ends[-1]]
+        kinds = kinds_of(codes)
+        spaces = kinds[ends[:-1]] == SPACE
+        starts = ends[:-1] + spaces
+        joins = (starts < ends[1:]) & SEEN[kinds[np.minimum(starts, len(codes) - 1)]] & SEEN[kinds[ends[1:] - 1]] & self.joins
+        raw = codes.tobytes()
+        keys = [raw[a:b] for a, b in zip(starts.tolist(), ends[1:].tolist(), strict=True)]
+        look, head = self.spaced.get, self.first.get
+        got = [look(key) if space else head(key) for key, space in zip(keys, spaces.tolist(), strict=True)]
+        new = [i for i, ids in enumerate(got) if ids is None]
+        after, others = [], []
+        for i, space, join in zip(new, spaces[new].tolist(), joins[new].tolist(), strict=True):
+            key = keys[i]
+            if not join:
+                own = b" " + key if space else key
+                cache = self.spaced if space else self.first
+                if open_ended(key):
+                    cache.over[key] = self.whole(own)
+                    continue
+                if not self.joins or key.decode("utf-8", "replace")[0].isspace():
+                    cache.put(key, self.whole(own))
+                    continue
+            (after if space else others).append(key)
+        for at in range(0, len(after), JOINED):
+            self.words(after[at : at + JOINED])
+        self.lines(others)
+        for i, space in zip(new, spaces[new].tolist(), strict=True):
+            got[i] = (self.spaced if space else self.first)[keys[i]]
+        return pa.array(got, pa.large_binary())
+
     def learned(self, new: set[bytes]) -> set[bytes]:
         """Encodes words that follow a space for the caches; gives back those that are empty or end in white space, which aren't kept."""
         odd = {w for w in new if open_ended(w)}
@@ -278,13 +314,56 @@ class Codec:
             return self.tokenizer.decode(numbers, skip_special_tokens=False).encode("utf-8")
 
 
-def values_of(column: pa.LargeBinaryArray) -> list[bytes]:
-    """The values of a column without nulls; cut from one buffer, which is faster than ``to_pylist``."""
-    if not len(column):
-        return []
-    ends = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    raw, ends = column.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0])).to_pybytes(), (ends - ends[0]).tolist()
-    return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+def spans(starts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Neighbours of ``most`` bytes at most, or one that is longer, and all of about one size: where they begin and end, from where each begins and the last ends."""
+    at, n = 0, len(starts) - 1
+    while at < n:
+        left = int(starts[-1] - starts[at])
+        even = left // max(1, -(-left // most))
+        end = max(at + 1, int(np.searchsorted(starts, starts[at] + even, "right")) - 1)
+        yield at, end
+        at = end
+
+
+#: Kinds of bytes: unknown, a space, other white space of ASCII, letters of Latin scripts, marks of ASCII other than the apostrophe, that, digits.
+OTHER, SPACE, LINE, LETTER, MARK, QUOTE, DIGIT = range(7)
+
+
+def _kind(byte: int) -> int:
+    if byte >= 0x7F or byte < 9 or 13 < byte < 32:
+        return OTHER
+    c = chr(byte)
+    return SPACE if c == " " else LINE if c.isspace() else LETTER if c.isalpha() else DIGIT if c.isdigit() else QUOTE if c == "'" else MARK
+
+
+KINDS = bytes(map(_kind, range(256)))
+#: Kinds of characters that are no white space for sure.
+SEEN = np.isin(np.arange(8), [LETTER, MARK, QUOTE, DIGIT])
+_SPLITS = {LETTER: {SPACE, LINE, MARK, QUOTE, DIGIT}, MARK: {SPACE, LINE, LETTER, DIGIT}, DIGIT: {SPACE, LINE, LETTER, MARK, QUOTE}, QUOTE: {SPACE, LINE}}
+#: Bytes with which no white space begins; bytes within characters, too.
+BLACK = np.array([bool(SEEN[k]) or b >= 0xC3 and b not in (0xE1, 0xE2, 0xE3) for b, k in enumerate(KINDS)])
+#: By the kinds of two neighbours, 8 times the first and the second: 1 if the pre-tokenizer splits between them whatever stands around, 2 if it does unless the first is white space.
+SURE = bytes(2 if k in (8 * OTHER + SPACE, 8 * OTHER + LINE) else k % 8 in _SPLITS.get(k // 8, ()) for k in range(256))
+
+
+def kinds_of(codes: np.ndarray) -> np.ndarray:
+    """The kind of each byte; both bytes of a Latin letter beyond ASCII are letters."""
+    kinds = np.frombuffer(bytearray(codes).translate(KINDS), np.uint8)
+    at = np.flatnonzero((codes >= 0xC3) & (codes <= 0xC9))
+    at = at[at + 1 < len(codes)]
+    lead, then = codes[at], codes[at + 1]
+    at = at[(then & 0xC0 == 0x80) & ~((lead == 0xC3) & ((then == 0x97) | (then == 0xB7))) & ~((lead == 0xC9) & (then > 0x8F))]
+    kinds[at] = kinds[at + 1] = LETTER
+    return kinds
+
+
+def white_or_control(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the characters of unknown kind whose last bytes stand at ``ends`` are of ASCII or white space."""
+    last, second, third = codes[ends], codes[np.maximum(ends - 1, 0)], codes[np.maximum(ends - 2, 0)]
+    white = (second == 0xC2) & ((last == 0x85) | (last == 0xA0))
+    white |= (third == 0xE1) & (second == 0x9A) & (last == 0x80) | (third == 0xE3) & (second == 0x80) & (last == 0x80)
+    white |= (third == 0xE2) & ((second == 0x80) & ((last <= 0x8A) | (last == 0xA8) | (last == 0xA9) | (last == 0xAF)) | (second == 0x81) & (last == 0x9F))
+    return white | (last < 0x80)
 
 
 def token_bytes(tokenizer) -> list[bytes]:  # noqa: ANN001

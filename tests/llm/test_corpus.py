@@ -115,6 +115,29 @@ def test_columns_are_encoded_by_their_distinct_words(tokenizer, monkeypatch):
     assert looked.count(b"and") == 1
 
 
+def test_texts_are_cut_wherever_the_pretokenizer_splits(tokenizer, monkeypatch):
+    """A word with marks or at a line's end is no other word, and white space in a row leaves the rest of a text to the cache; exact across the edges of what is gathered."""
+    import pyarrow as pa
+
+    looked, whole = [], []
+    monkeypatch.setattr(bpe.Cache, "get", lambda self, w, *a: looked.append(w) or dict.get(self, w, *a), raising=False)
+    encoded = bpe.Codec.whole
+    monkeypatch.setattr(bpe.Codec, "whole", lambda self, text: whole.append(text) or encoded(self, text))
+    for _ in bpe.Codec(bpe.tokenizer_path()).stretches(pa.RecordBatch.from_arrays([pa.array(["one and, and. and!! (and) and\nand.\n and 12and  and " * 50])], ["text"]), 0):
+        pass
+    assert looked.count(b"and") == 2  # after a space, and elsewhere
+    assert max(map(len, whole)) < 20
+
+    rng = random.Random(3)
+    some = ["ab", "É", "×", "\u01bb", " ", " ", "  ", "\n", "\r\n", "\t", "\x1c", "\x85", "\u00a0", "\u2009", "\u201d", "\u3000", "!!", "'", "'s", "'re", "9", "½", "日本", "Слово", "\u0301", "<|endoftext|>", "<|", "\U0001f642"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 30))) for _ in range(800)]
+    monkeypatch.setattr(bpe, "GATHERED", 200)
+    own, got = bpe.Codec(bpe.tokenizer_path()), []
+    for _, ids, counts in own.stretches(pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]), 0):
+        got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def brute_groups(rows):
     sets = []
     for doc_id, text, *_ in rows:
